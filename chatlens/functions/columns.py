@@ -118,5 +118,6 @@ def weekday_sun0(ts: Column | str) -> Column:
 
 
 def micros_between(start: Column | str, end: Column | str) -> Column:
-    """Exact microseconds from start to end (works on TIMESTAMP_NTZ)."""
-    return F.timestampdiff("MICROSECOND", col(start), col(end))
+    """Exact microseconds from start to end. Wall-clock UTC values: with the
+    session time zone at UTC the cast to TIMESTAMP keeps the instant."""
+    return F.unix_micros(col(end).cast("timestamp")) - F.unix_micros(col(start).cast("timestamp"))

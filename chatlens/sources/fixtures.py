@@ -202,6 +202,11 @@ class DriverChatTables:
         plan = F.when(k % 3 == 0, "free").when(k % 3 == 1, "pro").otherwise("team")
         return conform(c.select(k.cast("string").alias("id"), plan.alias("plan")), "app_users")
 
+    @cached_property
+    def messages_resolved(self) -> DataFrame:
+        from chatlens.operators.common import resolve_reply_author
+        return resolve_reply_author(self.messages)
+
     @cached_property
     def sync_state(self) -> DataFrame:
         from chatlens.operators.ingest import sync_state_rollup
@@ -336,6 +341,9 @@ usage_logs AS (
          CASE WHEN l.l_returnflag = 'R' THEN 'extraction' ELSE 'query' END AS action,
          l.l_partkey * 1024 AS storage_bytes, l.l_shipdate AS created_at
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey),
+messages_resolved AS (
+  SELECT m.* REPLACE (coalesce(m.reply_to_author_id, o.author_id) AS reply_to_author_id)
+  FROM messages m LEFT JOIN messages o ON m.reply_to_message_id = o.id),
 app_users AS (
   SELECT CAST(c_custkey AS VARCHAR) AS id,
          CASE c_custkey % 3 WHEN 0 THEN 'free' WHEN 1 THEN 'pro' ELSE 'team' END AS plan
