@@ -1 +1,270 @@
-"""Registered queries."""
+"""Registered ingestion and maintenance queries.
+
+Raw records are rebuilt from the driver-derived tables (``nest_messages``)
+and flattened again, so each oracle is the table the rules define.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chatlens.catalog.base import AS_OF, SQL_AS_OF, register, since
+from chatlens.functions import columns as FC
+from chatlens.operators import ingest as G
+from chatlens.operators import quality as Q
+from chatlens.operators.common import resolve_reply_author
+from chatlens.sources.fixtures import TENANT
+from chatlens.sources.records import nest_messages
+
+MSG_COLS = ("tenant_id, id, server_id, channel_id, author_id, content, created_at, edited_at, "
+            "message_type, is_pinned, is_tts, reply_to_message_id, reply_to_author_id, thread_id, "
+            "mentions_everyone, mention_count, attachment_count, embed_count, has_poll, "
+            "word_count, char_count")
+
+
+def _records(t):
+    return nest_messages(t.messages, t.users, t.message_mentions, t.reactions, t.emojis)
+
+
+@register("normalize_messages", f"SELECT {MSG_COLS} FROM messages")
+def _normalize_messages(t):
+    return G.normalize_messages(_records(t), TENANT)
+
+
+@register("explode_mentions", "SELECT tenant_id, message_id, mentioned_user_id FROM message_mentions")
+def _explode_mentions(t):
+    return G.explode_mentions(_records(t), TENANT)
+
+
+@register("explode_reactions", """
+SELECT tenant_id, message_id, emoji_id, user_id, reacted_at, is_super_reaction FROM reactions""")
+def _explode_reactions(t):
+    return G.explode_reactions(_records(t), t.emojis, TENANT)
+
+
+@register("users_from_records", f"""
+WITH seen AS (
+  SELECT author_id AS id, created_at FROM messages WHERE author_id IS NOT NULL
+  UNION ALL SELECT mm.mentioned_user_id, m.created_at
+            FROM message_mentions mm JOIN messages m ON m.id = mm.message_id
+  UNION ALL SELECT r.user_id, m.created_at FROM reactions r JOIN messages m ON m.id = r.message_id),
+f AS (SELECT id, MIN(created_at) AS first_seen_at FROM seen GROUP BY id)
+SELECT '{TENANT}' AS tenant_id, u.id, u.username, u.discriminator, u.global_name, u.avatar_hash,
+       coalesce(u.is_bot, false) AS is_bot,
+       make_timestamp(((u.id >> 22) + 1420070400000) * 1000) AS created_at, f.first_seen_at
+FROM f JOIN users u ON u.id = f.id""")
+def _users_from_records(t):
+    return G.users_from_records(_records(t), TENANT)
+
+
+@register("conform_emojis", """
+WITH used AS (SELECT DISTINCT e.name, e.server_id, e.discord_id, e.is_custom, e.is_animated
+              FROM reactions r JOIN emojis e ON e.id = r.emoji_id),
+old AS (SELECT * FROM emojis WHERE id < 12),
+new AS (SELECT u.* FROM used u WHERE NOT EXISTS (
+          SELECT 1 FROM old o WHERE o.name IS NOT DISTINCT FROM u.name
+                                AND o.server_id IS NOT DISTINCT FROM u.server_id))
+SELECT tenant_id, id, discord_id, name, is_custom, server_id, is_animated FROM old
+UNION ALL
+SELECT 'user_demotenant01', CAST((SELECT max(id) FROM old)
+         + ROW_NUMBER() OVER (ORDER BY name NULLS FIRST, server_id NULLS FIRST) AS INTEGER),
+       discord_id, name, is_custom, server_id, is_animated FROM new""")
+def _conform_emojis(t):
+    return G.conform_emojis(t.emojis.filter(F.col("id") < 12), _records(t), TENANT)
+
+
+def _users_new(t):
+    u = t.users
+    changed = u.filter(F.col("id") % 7 == 0).withColumn("username", F.upper("username")) \
+        .withColumn("global_name", F.lit(None).cast("string")) \
+        .withColumn("is_bot", ~F.col("is_bot"))
+    added = u.filter(F.col("id") % 50 == 0).withColumn("id", F.col("id") + 1_000_000)
+    return changed.unionByName(added)
+
+
+@register("merge_latest_users", """
+SELECT tenant_id, id, CASE WHEN id % 7 = 0 THEN upper(username) ELSE username END AS username,
+       discriminator, CASE WHEN id % 7 = 0 THEN NULL ELSE global_name END AS global_name,
+       avatar_hash, is_bot, created_at, first_seen_at FROM users
+UNION ALL
+SELECT tenant_id, id + 1000000, username, discriminator, global_name, avatar_hash, is_bot,
+       created_at, first_seen_at FROM users WHERE id % 50 = 0""")
+def _merge_latest_users(t):
+    return G.merge_latest_users(t.users, _users_new(t))
+
+
+@register("merge_latest_servers", """
+SELECT tenant_id, id, 'renamed' AS name, icon_hash, owner_id + 1 AS owner_id,
+       member_count + 1 AS member_count, created_at, first_synced_at,
+       last_synced_at + INTERVAL 1 DAY AS last_synced_at FROM servers""")
+def _merge_latest_servers(t):
+    s = t.servers
+    new = s.select("tenant_id", "id", F.lit("renamed").alias("name"), "icon_hash",
+                   (F.col("owner_id") + 1).alias("owner_id"),
+                   (F.col("member_count") + 1).alias("member_count"),
+                   (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("created_at"),
+                   (F.col("first_synced_at") + F.expr("INTERVAL 1 DAY")).alias("first_synced_at"),
+                   (F.col("last_synced_at") + F.expr("INTERVAL 1 DAY")).alias("last_synced_at"))
+    return G.merge_latest_servers(s, new)
+
+
+@register("merge_latest_members", """
+SELECT tenant_id, server_id, user_id,
+       CASE WHEN user_id % 5 = 0 THEN 'renamed' ELSE nickname END AS nickname,
+       joined_at, is_active FROM server_members""")
+def _merge_latest_members(t):
+    m = t.server_members
+    new = m.filter(F.col("user_id") % 5 == 0).withColumn("nickname", F.lit("renamed")) \
+        .withColumn("joined_at", F.col("joined_at") + F.expr("INTERVAL 1 DAY")) \
+        .withColumn("is_active", F.lit(False))
+    old = m.withColumn("is_active", F.lit(True))
+    return G.merge_latest_members(old, new)
+
+
+@register("merge_latest_channels", """
+SELECT tenant_id, id, server_id, upper(name) AS name, type, parent_id, topic, position + 100 AS position,
+       is_nsfw, created_at, is_archived, last_synced_at FROM channels""")
+def _merge_latest_channels(t):
+    c = t.channels
+    new = c.withColumn("name", F.upper("name")).withColumn("position", F.col("position") + 100) \
+        .withColumn("type", F.lit(99)).withColumn("is_nsfw", ~F.col("is_nsfw"))
+    return G.merge_latest_channels(c, new)
+
+
+@register("insert_ignore", "SELECT " + MSG_COLS.replace(
+    "content,", "CASE WHEN created_at >= TIMESTAMP '2024-01-20 00:00:00' THEN 'EDITED ' || content "
+                "ELSE content END AS content,") + " FROM messages")
+def _insert_ignore(t):
+    m = t.messages
+    old = m.filter(F.col("created_at") < F.lit("2024-01-20").cast("timestamp_ntz"))
+    new = m.filter(F.col("created_at") >= F.lit("2024-01-15").cast("timestamp_ntz")) \
+        .withColumn("content", F.concat(F.lit("EDITED "), F.col("content")))
+    # a second copy of the batch must not change the result either
+    return G.insert_ignore(old, new.unionByName(new), ["tenant_id", "id"])
+
+
+@register("history_cutoff", f"SELECT id, created_at FROM messages WHERE created_at > {since(7)}")
+def _history_cutoff(t):
+    return G.history_cutoff(_records(t), as_of=AS_OF, sync_days=7).select("id", "created_at")
+
+
+@register("history_page", f"""
+SELECT id, created_at FROM messages WHERE channel_id = 2
+  AND created_at < {since(10)} AND created_at > {since(12)}
+ORDER BY created_at, id LIMIT 50""")
+def _history_page(t):
+    from chatlens.operators.common import since as s
+    return G.history_page(t.messages, 2, before=s(AS_OF, 10), after=s(AS_OF, 12),
+                          oldest_first=True, limit=50).select("id", "created_at")
+
+
+@register("extraction_stats", """
+SELECT (SELECT COUNT(DISTINCT server_id) FROM messages) AS servers,
+       (SELECT COUNT(DISTINCT author_id) FROM messages) AS users,
+       (SELECT COUNT(DISTINCT channel_id) FROM messages) AS channels,
+       (SELECT COUNT(*) FROM messages) AS messages,
+       (SELECT COUNT(*) FROM reactions) AS reactions,
+       (SELECT COUNT(*) FROM message_mentions) AS mentions""")
+def _extraction_stats(t):
+    return G.extraction_stats(_records(t))
+
+
+@register("messages_per_channel_run", """
+SELECT channel_id, COUNT(*) AS count FROM messages GROUP BY channel_id""")
+def _messages_per_channel_run(t):
+    return G.messages_per_channel_run(_records(t))
+
+
+@register("sync_state_rollup", """
+SELECT tenant_id, CAST(ROW_NUMBER() OVER (PARTITION BY tenant_id ORDER BY server_id, channel_id)
+       AS INTEGER) AS id, server_id, channel_id, 'messages' AS sync_type,
+       MAX(id) AS last_message_id, MIN(id) AS oldest_message_id, 'completed' AS status,
+       MIN(created_at) AS started_at, MAX(created_at) AS completed_at,
+       CAST(COUNT(*) AS INTEGER) AS message_count, CAST(NULL AS VARCHAR) AS error_message
+FROM messages GROUP BY tenant_id, server_id, channel_id""")
+def _sync_state_rollup(t):
+    return G.sync_state_rollup(t.messages)
+
+
+@register("incremental_batch", """
+WITH marks AS (SELECT channel_id, MAX(id) AS last_id FROM messages
+               WHERE created_at < TIMESTAMP '2024-01-20 00:00:00' GROUP BY channel_id)
+SELECT m.id, m.channel_id FROM messages m LEFT JOIN marks k ON k.channel_id = m.channel_id
+WHERE k.last_id IS NULL OR m.id > k.last_id""")
+def _incremental_batch(t):
+    old = t.messages.filter(F.col("created_at") < F.lit("2024-01-20").cast("timestamp_ntz"))
+    return G.incremental_batch(t.messages, G.sync_state_rollup(old)).select("id", "channel_id")
+
+
+@register("snowflake_to_timestamp", """
+SELECT id, make_timestamp(((id >> 22) + 1420070400000) * 1000) AS created_at FROM users""")
+def _snowflake(t):
+    return t.users.select("id", FC.snowflake_to_timestamp("id").alias("created_at"))
+
+
+@register("display_name", """
+SELECT sm.user_id, coalesce(nullif(sm.nickname, ''), nullif(u.global_name, ''), u.username)
+         AS display_name
+FROM server_members sm JOIN users u ON u.id = sm.user_id""")
+def _display_name(t):
+    j = t.server_members.join(t.users.withColumnRenamed("id", "user_id"), "user_id")
+    return j.select("user_id", FC.display_name("nickname", "global_name", "username")
+                    .alias("display_name"))
+
+
+@register("emoji_text", """
+SELECT id, CASE WHEN discord_id IS NOT NULL AND discord_id <> 0
+                THEN '<' || CASE WHEN coalesce(is_animated, false) THEN 'a' ELSE '' END || ':'
+                     || name || ':' || CAST(discord_id AS VARCHAR) || '>'
+                ELSE name END AS emoji_text FROM emojis""")
+def _emoji_text(t):
+    return t.emojis.select("id", FC.emoji_text("name", "discord_id", "is_animated").alias("emoji_text"))
+
+
+@register("jump_url", """
+SELECT id, 'https://discord.com/channels/' || coalesce(CAST(server_id AS VARCHAR), '@me') || '/'
+           || CAST(channel_id AS VARCHAR) || '/' || CAST(id AS VARCHAR) AS jump_url FROM messages""")
+def _jump_url(t):
+    return t.messages.select("id", FC.jump_url("server_id", "channel_id", "id").alias("jump_url"))
+
+
+@register("resolve_reply_author", """
+SELECT id, reply_to_author_id FROM messages_resolved WHERE reply_to_message_id IS NOT NULL""")
+def _resolve_reply_author(t):
+    return resolve_reply_author(t.messages).filter(F.col("reply_to_message_id").isNotNull()) \
+        .select("id", "reply_to_author_id")
+
+
+@register("cascade_delete", """
+WITH m AS (SELECT * FROM messages WHERE channel_id <> 2)
+SELECT 'messages' AS table_name, COUNT(*) AS count FROM m
+UNION ALL SELECT 'message_mentions', COUNT(*) FROM message_mentions
+  WHERE message_id IN (SELECT id FROM m) AND mentioned_user_id <> 7
+UNION ALL SELECT 'reactions', COUNT(*) FROM reactions
+  WHERE message_id IN (SELECT id FROM m) AND user_id <> 7
+UNION ALL SELECT 'users', COUNT(*) FROM users WHERE id <> 7
+UNION ALL SELECT 'channels', COUNT(*) FROM channels WHERE id <> 2
+UNION ALL SELECT 'server_members', COUNT(*) FROM server_members WHERE user_id <> 7
+UNION ALL SELECT 'authorless', COUNT(*) FROM m WHERE author_id IS NULL OR author_id = 7""")
+def _cascade_delete(t):
+    spark = t.spark
+    names = ["messages", "message_mentions", "reactions", "users", "channels", "server_members"]
+    out = G.cascade_delete({n: t[n] for n in names},
+                           channels=spark.range(2, 3).toDF("id"),
+                           users=spark.range(7, 8).toDF("id"))
+    counts = Q.table_counts(out, names)
+    authorless = out["messages"].filter(F.col("author_id").isNull()).agg(
+        F.count(F.lit(1)).alias("count")).select(F.lit("authorless").alias("table_name"), "count")
+    return counts.unionByName(authorless)
+
+
+@register("normalize_legacy", """
+SELECT tenant_id, id, server_id, name, type, parent_id, topic, position, is_nsfw, created_at,
+       is_archived, last_synced_at FROM channels""")
+def _normalize_legacy(t):
+    old = t.channels.withColumnsRenamed({"id": "channel_id", "type": "channel_type"}) \
+        .drop("tenant_id")
+    return G.normalize_legacy({"channels": old}, TENANT)["channels"]
+
+
+_ = SQL_AS_OF
