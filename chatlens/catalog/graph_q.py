@@ -1 +1,197 @@
-"""Registered queries."""
+"""Registered relationship-graph queries."""
+
+from __future__ import annotations
+
+from chatlens.catalog.base import AS_OF, HUMANS, pct, ratio, register, since
+from chatlens.operators import graph as G
+
+EDGES = """(SELECT m.id AS reply_id, m.author_id AS replier_id, o.author_id AS original_author_id,
+                   m.created_at AS reply_at FROM messages m JOIN messages o ON m.reply_to_message_id = o.id
+            WHERE m.author_id <> o.author_id)"""
+HEDGES = f"""(SELECT e.* FROM {EDGES} e JOIN {HUMANS} h1 ON e.replier_id = h1.id
+              JOIN {HUMANS} h2 ON e.original_author_id = h2.id)"""
+
+
+@register("interaction_summary", f"""
+WITH pt AS (SELECT u1.username AS from_user, u2.username AS to_user, ui.interaction_type,
+                   SUM(ui.interaction_count) AS n
+            FROM user_interactions ui JOIN users u1 ON ui.from_user_id = u1.id
+            JOIN users u2 ON ui.to_user_id = u2.id
+            WHERE ui.server_id = 1 AND ui.last_interaction > {since(7)}
+            GROUP BY 1, 2, 3)
+SELECT from_user, to_user, CAST(SUM(n) AS BIGINT) AS total_interactions,
+       map_from_entries(list_sort(list({{'k': interaction_type, 'v': CAST(n AS BIGINT)}}))) AS breakdown
+FROM pt GROUP BY from_user, to_user ORDER BY total_interactions DESC, from_user, to_user LIMIT 20""")
+def _interaction_summary(t):
+    return G.interaction_summary(t.user_interactions, t.users, server_id=1, days=7, as_of=AS_OF)
+
+
+@register("interaction_pairs", f"""
+WITH w AS (SELECT * FROM messages_resolved WHERE created_at >= {since(7)}),
+mi AS (SELECT w.author_id AS f, mm.mentioned_user_id AS t, COUNT(*) AS mention_count
+       FROM w JOIN message_mentions mm ON w.id = mm.message_id
+       WHERE w.author_id <> mm.mentioned_user_id GROUP BY 1, 2),
+ri AS (SELECT author_id AS f, reply_to_author_id AS t, COUNT(*) AS reply_count FROM w
+       WHERE reply_to_author_id IS NOT NULL AND author_id <> reply_to_author_id GROUP BY 1, 2),
+j AS (SELECT coalesce(mi.f, ri.f) AS f, coalesce(mi.t, ri.t) AS t,
+             coalesce(mi.mention_count, 0) AS mention_count, coalesce(ri.reply_count, 0) AS reply_count
+      FROM mi FULL OUTER JOIN ri ON mi.f = ri.f AND mi.t = ri.t)
+SELECT coalesce(fu.username, CAST(j.f AS VARCHAR)) AS from_user,
+       coalesce(tu.username, CAST(j.t AS VARCHAR)) AS to_user, j.mention_count, j.reply_count
+FROM j LEFT JOIN users fu ON j.f = fu.id LEFT JOIN users tu ON j.t = tu.id
+ORDER BY j.mention_count + j.reply_count DESC, j.f, j.t LIMIT 20""")
+def _interaction_pairs(t):
+    return G.interaction_pairs(t.messages_resolved, t.message_mentions, t.users, as_of=AS_OF, days=7)
+
+
+@register("best_friends", f"""
+SELECT u1.username AS user_1, u2.username AS user_2, COUNT(*) AS exchanges
+FROM {EDGES} e JOIN users u1 ON least(e.replier_id, e.original_author_id) = u1.id
+JOIN users u2 ON greatest(e.replier_id, e.original_author_id) = u2.id
+GROUP BY u1.id, u2.id, u1.username, u2.username ORDER BY exchanges DESC, u1.id, u2.id LIMIT 10""")
+def _best_friends(t):
+    return G.best_friends(t.messages, t.users)
+
+
+@register("best_friends_balance", f"""
+WITH p AS (SELECT least(replier_id, original_author_id) AS a, greatest(replier_id, original_author_id) AS b,
+                  replier_id FROM {HEDGES} x),
+pc AS (SELECT a, b, COUNT(CASE WHEN replier_id = a THEN 1 END) AS a_to_b,
+              COUNT(CASE WHEN replier_id = b THEN 1 END) AS b_to_a, COUNT(*) AS total FROM p GROUP BY a, b)
+SELECT u1.username AS user_1, u2.username AS user_2, a_to_b, b_to_a, total, abs(a_to_b - b_to_a) AS imbalance
+FROM pc JOIN users u1 ON pc.a = u1.id JOIN users u2 ON pc.b = u2.id WHERE total >= 4
+ORDER BY total DESC, imbalance ASC, pc.a, pc.b LIMIT 10""")
+def _best_friends_balance(t):
+    return G.best_friends_balance(t.messages, t.users, min_total=4)
+
+
+_DIR = f"""rc AS (SELECT replier_id AS x, original_author_id AS y, COUNT(*) AS n FROM {{src}} s GROUP BY 1, 2)"""
+
+
+@register("reciprocity", f"""
+WITH {_DIR.format(src=HEDGES)}
+SELECT u1.username AS user_a, u2.username AS user_b, r1.n AS a_to_b, coalesce(r2.n, 0) AS b_to_a,
+       abs(r1.n - coalesce(r2.n, 0)) AS imbalance
+FROM rc r1 JOIN users u1 ON r1.x = u1.id JOIN users u2 ON r1.y = u2.id
+LEFT JOIN rc r2 ON r1.x = r2.y AND r1.y = r2.x
+WHERE r1.n >= 3 ORDER BY imbalance DESC, r1.x, r1.y LIMIT 10""")
+def _reciprocity(t):
+    return G.reciprocity(t.messages, t.users, min_replies=3)
+
+
+@register("fan_relationships", f"""
+WITH {_DIR.format(src=EDGES)}
+SELECT u1.username AS fan, u2.username AS idol, r1.n AS fan_to_idol, coalesce(r2.n, 0) AS idol_to_fan,
+       r1.n - coalesce(r2.n, 0) AS imbalance
+FROM rc r1 JOIN users u1 ON r1.x = u1.id JOIN users u2 ON r1.y = u2.id
+LEFT JOIN rc r2 ON r1.x = r2.y AND r1.y = r2.x
+WHERE r1.n >= 3 ORDER BY imbalance DESC, r1.x, r1.y LIMIT 10""")
+def _fan_relationships(t):
+    return G.fan_relationships(t.messages, t.users, min_replies=3)
+
+
+_REACH = f"""
+WITH i AS (
+  SELECT DISTINCT replier_id AS uid, original_author_id AS other FROM {HEDGES} x
+  UNION
+  SELECT DISTINCT m.author_id, mm.mentioned_user_id FROM messages m
+  JOIN message_mentions mm ON m.id = mm.message_id
+  JOIN {HUMANS} h1 ON m.author_id = h1.id JOIN {HUMANS} h2 ON mm.mentioned_user_id = h2.id
+  WHERE m.author_id <> mm.mentioned_user_id),
+r AS (SELECT uid, COUNT(DISTINCT other) AS unique_interactions FROM i GROUP BY uid)"""
+
+
+@register("social_butterfly", f"""
+{_REACH}
+SELECT u.username, r.unique_interactions, (SELECT COUNT(*) FROM {HUMANS} h) AS total_humans,
+       {pct('r.unique_interactions', f'(SELECT COUNT(*) FROM {HUMANS} h)')} AS pct
+FROM r JOIN users u ON r.uid = u.id ORDER BY r.unique_interactions DESC, u.id LIMIT 15""")
+def _social_butterfly(t):
+    return G.social_butterfly(t.messages, t.message_mentions, t.users)
+
+
+@register("selective_socializers", f"""
+{_REACH}
+SELECT u.username, r.unique_interactions FROM r JOIN users u ON r.uid = u.id
+ORDER BY r.unique_interactions ASC, u.id LIMIT 5""")
+def _selective_socializers(t):
+    return G.selective_socializers(t.messages, t.message_mentions, t.users)
+
+
+_MAG = f"""
+WITH um AS (SELECT m.author_id AS uid, COUNT(*) AS sent FROM messages m JOIN {HUMANS} h ON m.author_id = h.id
+            GROUP BY 1 HAVING COUNT(*) >= 50),
+rr AS (SELECT o.author_id AS uid, COUNT(*) AS n FROM messages m JOIN messages o ON m.reply_to_message_id = o.id
+       GROUP BY 1),
+mr AS (SELECT mentioned_user_id AS uid, COUNT(*) AS n FROM message_mentions GROUP BY 1),
+x AS (SELECT um.uid, u.username, um.sent, coalesce(rr.n, 0) AS replies_received,
+             coalesce(mr.n, 0) AS mentions_received
+      FROM um JOIN users u ON um.uid = u.id LEFT JOIN rr ON um.uid = rr.uid LEFT JOIN mr ON um.uid = mr.uid)
+SELECT uid, username, sent, replies_received, mentions_received,
+       replies_received + mentions_received AS total_engagement,
+       {ratio('replies_received + mentions_received', 'sent', 2)} AS engagement_ratio FROM x"""
+
+
+@register("engagement_magnetism", f"""
+SELECT username, sent, replies_received, mentions_received, total_engagement, engagement_ratio
+FROM ({_MAG}) y ORDER BY engagement_ratio DESC, uid LIMIT 15""")
+def _engagement_magnetism(t):
+    return G.engagement_magnetism(t.messages, t.message_mentions, t.users)
+
+
+@register("low_engagement", f"""
+SELECT username, engagement_ratio FROM ({_MAG}) y ORDER BY engagement_ratio ASC, uid LIMIT 5""")
+def _low_engagement(t):
+    return G.low_engagement(t.messages, t.message_mentions, t.users)
+
+
+@register("late_night_crew", f"""
+SELECT u1.username AS user_1, u2.username AS user_2, COUNT(*) AS exchanges
+FROM {HEDGES} e JOIN users u1 ON least(e.replier_id, e.original_author_id) = u1.id
+JOIN users u2 ON greatest(e.replier_id, e.original_author_id) = u2.id
+WHERE hour(e.reply_at) BETWEEN 0 AND 5
+GROUP BY u1.id, u2.id, u1.username, u2.username ORDER BY exchanges DESC, u1.id, u2.id LIMIT 5""")
+def _late_night_crew(t):
+    return G.late_night_crew(t.messages, t.users)
+
+
+@register("wrapped_users", f"""
+SELECT u.id, u.username, COUNT(*) AS msg_count FROM messages m JOIN {HUMANS} u ON m.author_id = u.id
+GROUP BY u.id, u.username HAVING COUNT(*) >= 50 ORDER BY msg_count DESC, u.id LIMIT 10""")
+def _wrapped_users(t):
+    return G.wrapped_users(t.messages, t.users, min_messages=50)
+
+
+@register("personal_wrapped", f"""
+WITH base AS (SELECT m.author_id AS uid, COUNT(*) AS total_msgs, MAX(length(m.content)) AS longest_msg,
+                     COUNT(CASE WHEN m.content LIKE '%?' THEN 1 END) AS questions_asked,
+                     COUNT(CASE WHEN hour(m.created_at) BETWEEN 0 AND 5 THEN 1 END) AS late_night
+              FROM messages m JOIN {HUMANS} h ON m.author_id = h.id GROUP BY 1),
+rk AS (SELECT uid, RANK() OVER (ORDER BY total_msgs DESC) AS rank FROM base),
+tot AS (SELECT COUNT(*) AS total_users FROM base),
+ch AS (SELECT m.author_id AS uid, m.channel_id, c.name, COUNT(*) AS cnt FROM messages m
+       JOIN channels c ON m.channel_id = c.id GROUP BY 1, 2, 3),
+fav AS (SELECT uid, arg_max(name, (cnt, -channel_id)) AS fav_channel, max(cnt) AS fcnt FROM ch GROUP BY uid),
+pr AS (SELECT m.author_id AS uid, o.author_id AS o, COUNT(*) AS x FROM messages m
+       JOIN messages o ON m.reply_to_message_id = o.id WHERE m.author_id <> o.author_id GROUP BY 1, 2),
+bf AS (SELECT pr.uid, arg_max(pr.o, (pr.x, -pr.o)) AS bo, max(pr.x) AS bf_exchanges
+       FROM pr JOIN {HUMANS} h ON pr.o = h.id GROUP BY pr.uid),
+cv AS (SELECT uid, COUNT(*) AS unique_convos FROM pr GROUP BY uid),
+mn AS (SELECT mm.mentioned_user_id AS uid, COUNT(*) AS times_mentioned, COUNT(DISTINCT m.author_id) AS by_people
+       FROM message_mentions mm JOIN messages m ON mm.message_id = m.id GROUP BY 1),
+dd AS (SELECT author_id AS uid, CAST(created_at AS DATE) AS d, COUNT(*) AS c FROM messages GROUP BY 1, 2),
+bd AS (SELECT uid, arg_max(d, (c, -(d - DATE '1970-01-01'))) AS busiest_date, max(c) AS busiest_count
+       FROM dd GROUP BY uid)
+SELECT b.uid AS user_id, u.username, b.total_msgs, b.longest_msg, b.questions_asked, b.late_night,
+       CAST(rk.rank AS BIGINT) AS rank, tot.total_users,
+       {ratio('tot.total_users - rk.rank', 'tot.total_users', 0, 100)} AS percentile,
+       fav.fav_channel, {pct('fav.fcnt', 'b.total_msgs')} AS fav_channel_pct,
+       bu.username AS best_friend, bf.bf_exchanges,
+       coalesce(mn.times_mentioned, 0) AS times_mentioned, coalesce(mn.by_people, 0) AS by_people,
+       bd.busiest_date, bd.busiest_count, coalesce(cv.unique_convos, 0) AS unique_convos
+FROM base b JOIN users u ON b.uid = u.id JOIN rk ON rk.uid = b.uid CROSS JOIN tot
+LEFT JOIN fav ON fav.uid = b.uid LEFT JOIN bf ON bf.uid = b.uid LEFT JOIN users bu ON bu.id = bf.bo
+LEFT JOIN mn ON mn.uid = b.uid LEFT JOIN bd ON bd.uid = b.uid LEFT JOIN cv ON cv.uid = b.uid
+WHERE b.total_msgs >= 50""")
+def _personal_wrapped(t):
+    return G.personal_wrapped(t.messages, t.users, t.channels, t.message_mentions, min_messages=50)

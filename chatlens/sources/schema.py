@@ -49,9 +49,10 @@ SCHEMAS: dict[str, T.StructType] = {
     "user_interactions": _st(TENANT, ("from_user_id", L), ("to_user_id", L), ("server_id", L),
                              ("interaction_type", S), ("interaction_count", L),
                              ("first_interaction", TS), ("last_interaction", TS)),
-    "daily_stats": _st(TENANT, ("date", TS), ("server_id", L), ("channel_id", L),
-                       ("author_id", L), ("message_count", L), ("unique_reply_targets", L),
-                       ("reply_count", L), ("total_words", L), ("avg_words", T.DoubleType())),
+    "daily_stats": _st(TENANT, ("day", TS), ("server_id", L), ("channel_id", L),
+                       ("author_id", L), ("message_count", L), ("unique_users_replied_to", L),
+                       ("reply_count", L), ("total_words", L),
+                       ("avg_words_per_message", T.DoubleType())),
     "extraction_jobs": _st(("id", S), ("user_id", S), ("guild_id", L), ("status", S),
                            ("sync_days", I), ("messages_extracted", I), ("started_at", TS),
                            ("completed_at", TS), ("error_message", S)),
