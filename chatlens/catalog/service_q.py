@@ -1 +1,189 @@
-"""Registered queries."""
+"""Registered roll-up, tenant, ad-hoc SQL, export, usage and text queries
+(SURVEY §2.3)."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from chatlens.catalog.base import ratio, register
+from chatlens.functions.text import SENSITIVE_PATTERNS, scrub_text
+from chatlens.operators import rollups as RU
+from chatlens.operators import usage as US
+from chatlens.operators.users import top_users
+from chatlens.plans import bundle, exports, report, sql_gate, tenant
+from chatlens.sources.fixtures import TENANT
+
+USAGE_AS_OF = "1998-08-15 00:00:00"
+SQL_USAGE_MONTH = "TIMESTAMP '1998-08-01 00:00:00'"
+
+
+@register("user_interactions", """
+SELECT tenant_id, from_user_id, to_user_id, server_id, interaction_type,
+       CAST(interaction_count AS BIGINT) AS interaction_count, first_interaction, last_interaction
+FROM user_interactions""")
+def _user_interactions(t):
+    return RU.user_interactions(t.messages_resolved, t.reactions, t.message_mentions)
+
+
+@register("daily_stats", f"""
+SELECT tenant_id, date_trunc('day', created_at) AS day, server_id, channel_id, author_id,
+       COUNT(*) AS message_count, COUNT(DISTINCT reply_to_author_id) AS unique_users_replied_to,
+       COUNT(CASE WHEN reply_to_message_id IS NOT NULL THEN 1 END) AS reply_count,
+       CAST(SUM(coalesce(word_count, 0)) AS BIGINT) AS total_words,
+       {ratio('SUM(coalesce(word_count, 0))', 'COUNT(*)', 6)} AS avg_words_per_message
+FROM messages_resolved GROUP BY tenant_id, 2, server_id, channel_id, author_id""")
+def _daily_stats(t):
+    return RU.daily_stats(t.messages_resolved)
+
+
+@register("tenant_scope", f"""
+SELECT 'own' AS which, COUNT(*) AS n FROM messages WHERE tenant_id = '{TENANT}'
+UNION ALL SELECT 'other', 0 UNION ALL SELECT 'unset', 0""")
+def _tenant_scope(t):
+    m = t.messages
+    other = m.withColumn("tenant_id", F.lit("user_othertenant9"))
+    both = m.unionByName(other)
+    parts = [tenant.tenant_scope({"messages": both}, x)["messages"].agg(F.count(F.lit(1)).alias("n"))
+             .select(F.lit(name).alias("which"), "n")
+             for name, x in [("own", TENANT), ("other", "user_nobodyhere00"), ("unset", None)]]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("validate_tenant_id", """
+SELECT candidate, coalesce(regexp_full_match(candidate, 'user_[a-zA-Z0-9]{10,50}'), false) AS is_valid
+FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN 'user_' || CAST(c_custkey AS VARCHAR)
+                                WHEN 1 THEN 'user_' || replace(c_name, '#', '')
+                                ELSE 'user_' || c_name END AS candidate FROM customer)""")
+def _validate_tenant_id(t):
+    c = t.raw("customer")
+    k = F.col("c_custkey")
+    cand = (F.when(k % 3 == 0, F.concat(F.lit("user_"), k.cast("string")))
+            .when(k % 3 == 1, F.concat(F.lit("user_"), F.replace(F.col("c_name"), F.lit("#"), F.lit(""))))
+            .otherwise(F.concat(F.lit("user_"), F.col("c_name"))))
+    return tenant.validate_tenant_id(c.select(cand.alias("candidate")), "candidate")
+
+
+@register("safe_sql")
+def _safe_sql(t):
+    s = tenant.tenant_session(t.spark, {"messages": t.messages, "users": t.users}, TENANT)
+    df, _ = sql_gate.safe_sql(
+        s, "WITH c AS (SELECT channel_id, COUNT(*) AS n FROM messages GROUP BY channel_id) "
+           "SELECT * FROM c ORDER BY n DESC, channel_id", limit=1000)
+    return df
+
+
+@register("row_cap")
+def _row_cap(t):
+    df, truncated = sql_gate.row_cap(t.messages.select("id").orderBy("id"), 100)
+    return df
+
+
+@register("table_schema")
+def _table_schema(t):
+    s = tenant.tenant_session(t.spark, {n: t[n] for n in ["messages", "users", "channels"]}, TENANT)
+    return sql_gate.table_schema(s, sql_gate.list_tables(s))
+
+
+_MD_BODY = """
+SELECT '| ' || username || ' | ' || coalesce(global_name, '_null_') || ' | ' ||
+       CAST(message_count AS VARCHAR) || ' |' AS line
+FROM (SELECT u.username, u.global_name, COUNT(m.id) AS message_count
+      FROM users u LEFT JOIN messages m ON u.id = m.author_id
+      GROUP BY u.id, u.username, u.global_name ORDER BY message_count DESC, u.id LIMIT 10)
+UNION ALL SELECT '| username | global_name | message_count |'
+UNION ALL SELECT '| --- | --- | --- |'"""
+
+
+@register("export_markdown", _MD_BODY)
+def _export_markdown(t):
+    return exports.markdown_lines(top_users(t.users, t.messages)).select("line")
+
+
+def _sql_scrub():
+    cur = "text"
+    counts = []
+    for pat, tag in SENSITIVE_PATTERNS:
+        counts.append(f"len(regexp_extract_all({cur}, '(?i){pat}'))")
+        cur = f"regexp_replace({cur}, '(?i){pat}', '{tag}', 'g')"
+    return cur, " + ".join(f"coalesce({c}, 0)" for c in counts)
+
+
+_SCRUBBED, _HITS = _sql_scrub()
+
+
+@register("scrub_text", f"""
+SELECT doc_id, {_SCRUBBED} AS scrubbed, CAST({_HITS} AS BIGINT) AS n_hits FROM documents""")
+def _scrub_text(t):
+    d = t.raw("documents").select("doc_id", "text")
+    return scrub_text(d, "text").select("doc_id", "scrubbed", "n_hits")
+
+
+@register("usage_this_month", f"""
+WITH u AS (SELECT user_id, COUNT(CASE WHEN action = 'query' AND created_at >= {SQL_USAGE_MONTH} THEN 1 END) AS q,
+                  CAST(coalesce(SUM(storage_bytes), 0) AS BIGINT) AS b FROM usage_logs GROUP BY user_id),
+j AS (SELECT user_id, COUNT(*) AS e FROM extraction_jobs WHERE started_at >= {SQL_USAGE_MONTH} GROUP BY user_id),
+x AS (SELECT a.id AS user_id, a.plan, coalesce(u.q, 0) AS queries_this_month,
+             CASE a.plan WHEN 'free' THEN 1000 WHEN 'pro' THEN 999999 WHEN 'team' THEN 999999 ELSE 1000 END
+               AS queries_limit,
+             coalesce(j.e, 0) AS extractions_this_month, coalesce(u.b, 0) AS b,
+             CASE a.plan WHEN 'free' THEN 500 WHEN 'pro' THEN 5000 WHEN 'team' THEN 25000 ELSE 500 END
+               AS storage_limit_mb
+      FROM app_users a LEFT JOIN u ON u.user_id = a.id LEFT JOIN j ON j.user_id = a.id)
+SELECT user_id, plan, queries_this_month, queries_limit, extractions_this_month,
+       {ratio('b', '1048576', 2)} AS storage_used_mb, storage_limit_mb,
+       least({ratio('b', 'storage_limit_mb * 1048576', 1, 100)}, 100.0) AS storage_pct
+FROM x""")
+def _usage_this_month(t):
+    return US.usage_this_month(t.usage_logs, t.extraction_jobs, t.app_users, as_of=USAGE_AS_OF)
+
+
+@register("over_quota", f"""
+WITH q AS (SELECT user_id, COUNT(*) AS n FROM usage_logs
+           WHERE action = 'query' AND created_at >= {SQL_USAGE_MONTH} GROUP BY user_id),
+d AS (SELECT user_id, MAX(sync_days) AS mx FROM extraction_jobs GROUP BY user_id),
+x AS (SELECT a.id AS user_id, a.plan, coalesce(q.n, 0) AS queries_this_month, d.mx AS max_sync_days_requested,
+             a.plan = 'free' AND coalesce(q.n, 0) >= 1000 AS query_limit_reached,
+             coalesce(d.mx > CASE a.plan WHEN 'free' THEN 30 WHEN 'pro' THEN 365 WHEN 'team' THEN 9999
+                                         ELSE 30 END, false) AS sync_days_exceeded
+      FROM app_users a LEFT JOIN q ON q.user_id = a.id LEFT JOIN d ON d.user_id = a.id)
+SELECT * FROM x WHERE query_limit_reached OR sync_days_exceeded""")
+def _over_quota(t):
+    return US.over_quota(t.usage_logs, t.extraction_jobs, t.app_users, as_of=USAGE_AS_OF)
+
+
+@register("job_history", """
+SELECT user_id, id, status, CAST(guild_id AS VARCHAR) AS guild_id, sync_days,
+       coalesce(messages_extracted, 0) AS messages_extracted, started_at, completed_at, error_message
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY started_at DESC, id DESC) AS rn
+      FROM extraction_jobs) WHERE rn <= 3""")
+def _job_history(t):
+    return US.job_history(t.extraction_jobs, k=3)
+
+
+@register("active_jobs", """
+SELECT user_id, COUNT(*) AS n FROM extraction_jobs WHERE status IN ('pending', 'running') GROUP BY user_id""")
+def _active_jobs(t):
+    return US.active_jobs(t.extraction_jobs)
+
+
+@register("job_retention", """
+SELECT * FROM extraction_jobs
+WHERE completed_at IS NULL OR completed_at >= TIMESTAMP '1998-08-15 00:00:00' - INTERVAL 30 DAY""")
+def _job_retention(t):
+    return US.job_retention(t.extraction_jobs, as_of=USAGE_AS_OF, days=30)
+
+
+@register("year_report")
+def _year_report(t):
+    return report.year_report(t, humans_only=True)
+
+
+@register("analytics_bundle")
+def _analytics_bundle(t):
+    b = bundle.analytics_bundle(t, as_of="2024-01-31 00:00:00", days=7, cache=False)
+    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("result"), "rows")
+             for name, df in b.items() if not name.startswith("_")]
+    return reduce(DataFrame.unionByName, parts)
