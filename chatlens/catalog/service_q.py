@@ -134,7 +134,7 @@ x AS (SELECT a.id AS user_id, a.plan, coalesce(u.q, 0) AS queries_this_month,
       FROM app_users a LEFT JOIN u ON u.user_id = a.id LEFT JOIN j ON j.user_id = a.id)
 SELECT user_id, plan, queries_this_month, queries_limit, extractions_this_month,
        {ratio('b', '1048576', 2)} AS storage_used_mb, storage_limit_mb,
-       least({ratio('b', 'storage_limit_mb * 1048576', 1, 100)}, 100.0) AS storage_pct
+       least({ratio('b', 'CAST(storage_limit_mb AS BIGINT) * 1048576', 1, 100)}, 100.0) AS storage_pct
 FROM x""")
 def _usage_this_month(t):
     return US.usage_this_month(t.usage_logs, t.extraction_jobs, t.app_users, as_of=USAGE_AS_OF)
