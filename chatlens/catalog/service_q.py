@@ -187,3 +187,68 @@ def _analytics_bundle(t):
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("result"), "rows")
              for name, df in b.items() if not name.startswith("_")]
     return reduce(DataFrame.unionByName, parts)
+
+
+def _top_users_small(t):
+    return top_users(t.users, t.messages)
+
+
+_TOP_USERS_SQL = """(SELECT u.username, u.global_name, COUNT(m.id) AS message_count
+      FROM users u LEFT JOIN messages m ON u.id = m.author_id
+      GROUP BY u.id, u.username, u.global_name ORDER BY message_count DESC, u.id LIMIT 10)"""
+
+
+@register("export_csv", f"""
+SELECT username || ',' || coalesce(global_name, '') || ',' || CAST(message_count AS VARCHAR) AS value
+FROM {_TOP_USERS_SQL} UNION ALL SELECT 'username,global_name,message_count'""")
+def _export_csv(t):
+    from chatlens.session import shared_scratch
+    path = shared_scratch(t.spark, "export")
+    exports.export_csv(_top_users_small(t).coalesce(1), path)
+    return t.spark.read.text(path)
+
+
+@register("export_tsv", f"""
+SELECT username || chr(9) || coalesce(global_name, '') || chr(9) || CAST(message_count AS VARCHAR) AS value
+FROM {_TOP_USERS_SQL} UNION ALL SELECT 'username' || chr(9) || 'global_name' || chr(9) || 'message_count'""")
+def _export_tsv(t):
+    from chatlens.session import shared_scratch
+    path = shared_scratch(t.spark, "export")
+    exports.export_tsv(_top_users_small(t).coalesce(1), path)
+    return t.spark.read.text(path)
+
+
+@register("export_json", f"""
+SELECT CAST(to_json(struct_pack(username := username, global_name := global_name,
+                                message_count := message_count)) AS VARCHAR) AS value
+FROM {_TOP_USERS_SQL}""")
+def _export_json(t):
+    from chatlens.session import shared_scratch
+    path = shared_scratch(t.spark, "export")
+    exports.export_json(_top_users_small(t), path)
+    return t.spark.read.text(path)
+
+
+@register("list_tables", """
+SELECT unnest(['channels', 'messages', 'users']) AS name""")
+def _list_tables(t):
+    s = tenant.tenant_session(t.spark, {n: t[n] for n in ["messages", "users", "channels"]}, TENANT)
+    names = sql_gate.list_tables(s)
+    return t.spark.createDataFrame([(n,) for n in names], "name string")
+
+
+@register("refresh_rollups", f"""
+SELECT tenant_id, date_trunc('day', created_at) AS day, server_id, channel_id, author_id,
+       COUNT(*) AS message_count, COUNT(DISTINCT reply_to_author_id) AS unique_users_replied_to,
+       COUNT(CASE WHEN reply_to_message_id IS NOT NULL THEN 1 END) AS reply_count,
+       CAST(SUM(coalesce(word_count, 0)) AS BIGINT) AS total_words,
+       {ratio('SUM(coalesce(word_count, 0))', 'COUNT(*)', 6)} AS avg_words_per_message
+FROM messages_resolved GROUP BY tenant_id, 2, server_id, channel_id, author_id""")
+def _refresh_rollups(t):
+    from chatlens.plans.store import read_table, refresh_rollups
+    from chatlens.session import shared_scratch
+    root = shared_scratch(t.spark, "rollups")
+    paths = refresh_rollups(t.messages_resolved, t.reactions, t.message_mentions, root)
+    return read_table(t.spark, paths["daily_stats"]).select(
+        "tenant_id", "day", "server_id", "channel_id", "author_id", "message_count",
+        "unique_users_replied_to", "reply_count", "total_words", "avg_words_per_message")

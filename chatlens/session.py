@@ -64,3 +64,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="chatlens-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
+
+
+def shared_scratch(spark: SparkSession, name: str = "scratch") -> str:
+    """A fresh folder under the cluster's shared checkpoint folder (never a
+    machine-local temporary folder)."""
+    import uuid
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/chatlens-{name}/{uuid.uuid4().hex}"
