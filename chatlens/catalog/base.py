@@ -19,6 +19,7 @@ class Entry:
     name: str
     run: Callable[[object], DataFrame]
     sql: str | None
+    body: str | None = None
 
 
 REGISTRY: dict[str, Entry] = {}
@@ -28,7 +29,7 @@ def register(name: str, sql: str | None = None):
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Entry(name, fn, None if sql is None else oracle(sql))
+        REGISTRY[name] = Entry(name, fn, None if sql is None else oracle(sql), sql)
         return fn
     return deco
 

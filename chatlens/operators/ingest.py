@@ -142,12 +142,21 @@ def normalize_legacy(tables: dict[str, DataFrame], tenant_id: str) -> dict[str,
 
 
 # -- merges --------------------------------------------------------------------
-def _latest_per_key(new: DataFrame, key: list[str], order_col: str | None) -> DataFrame:
-    """In-batch dedupe: the last row per key by ``order_col`` (load order)."""
+def _pick_per_key(new: DataFrame, key: list[str], order_col: str | None, last: bool) -> DataFrame:
+    """In-batch dedupe: one row per key, the last (or first) by
+    ``order_col``. An aggregate (``max_by``/``min_by``), so partial
+    aggregation shrinks a key repeated many times before the shuffle; a
+    window per key would put every copy of a hot key in one task."""
     if order_col is None:
         return new.dropDuplicates(key)
-    w = Window.partitionBy(*key).orderBy(F.col(order_col).desc_nulls_last())
-    return new.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    rest = [c for c in new.columns if c not in key]
+    pick = F.max_by if last else F.min_by
+    g = new.groupBy(*key).agg(pick(F.struct(*rest), F.col(order_col)).alias("_row"))
+    return g.select(*key, *[F.col("_row")[c].alias(c) for c in rest]).select(*new.columns)
+
+
+def _latest_per_key(new: DataFrame, key: list[str], order_col: str | None) -> DataFrame:
+    return _pick_per_key(new, key, order_col, last=True)
 
 
 def merge_latest(old: DataFrame, new: DataFrame, key: list[str], overwrite: list[str],
@@ -215,11 +224,7 @@ def insert_ignore(old: DataFrame, new: DataFrame, key: list[str],
                   order_col: str | None = None) -> DataFrame:
     """First write wins: rows whose key exists are dropped, and within the
     batch the first row per key (by ``order_col``) is kept."""
-    if order_col is not None:
-        w = Window.partitionBy(*key).orderBy(F.col(order_col).asc_nulls_last())
-        new = new.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    else:
-        new = new.dropDuplicates(key)
+    new = _pick_per_key(new, key, order_col, last=False)
     fresh = new.join(old.select(*key), key, "left_anti")
     return old.unionByName(fresh.select(*old.columns))
 

@@ -186,7 +186,7 @@ def rolling_average(messages: DataFrame, window_days: int = 7) -> DataFrame:
                     .alias("rolling_avg")).orderBy(F.desc("day"))
 
 
-def latest_per_author(messages: DataFrame, bucket: str = "day") -> DataFrame:
+def latest_per_author(messages: DataFrame, bucket: str = "hour") -> DataFrame:
     """``row_number() over (partition by author order by created_at desc)``
     without one task per author: rows are numbered inside (author, bucket)
     and offset by the messages of that author in later buckets, taken from
