@@ -24,7 +24,7 @@ REQUIRED_CONF = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "chatlens") -> SparkSession:
+                  app: str = "chatlens", extra_conf: dict | None = None) -> SparkSession:
     """Session for tests and the local bench (no UI, UTC, AQE on)."""
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
          .config("spark.ui.enabled", "false")
@@ -32,7 +32,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", os.environ.get("CHATLENS_DRIVER_MEM", "16g"))
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
-    for k, v in REQUIRED_CONF.items():
+    for k, v in {**REQUIRED_CONF, **(extra_conf or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

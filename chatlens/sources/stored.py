@@ -12,9 +12,18 @@ STORED = ["servers", "users", "server_members", "channels", "messages", "message
           "emojis", "reactions", "extraction_jobs", "usage_logs", "app_users"]
 
 
-def materialize(tables, root: str, names=STORED) -> dict[str, str]:
-    """Write each table once (one version folder per table)."""
-    return {n: write_table(tables[n], root, n) for n in names}
+def materialize(tables, root: str, names=STORED, buckets: int | None = None) -> dict[str, str]:
+    """Write each table once (one version folder per table). With
+    ``buckets``, the message-keyed facts become bucketed catalog tables
+    (value ``table:<name>``) so joins on message id are co-located."""
+    from chatlens.plans.store import BUCKETING, save_bucketed
+    out = {}
+    for n in names:
+        if buckets and n in BUCKETING:
+            out[n] = "table:" + save_bucketed(tables[n], n, buckets)
+        else:
+            out[n] = write_table(tables[n], root, n)
+    return out
 
 
 class StoredChatTables:
@@ -31,7 +40,13 @@ class StoredChatTables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in self.__dict__.get("paths", {}):
-            df = read_table(self.spark, self.paths[name])
+            p = self.paths[name]
+            if p.startswith("table:"):
+                from chatlens.sources.schema import SCHEMAS
+                t = self.spark.table(p[len("table:"):])
+                df = t.select(*[f.name for f in SCHEMAS[name].fields])   # schema column order
+            else:
+                df = read_table(self.spark, p)
             self.__dict__[name] = df
             return df
         raise AttributeError(name)
