@@ -68,7 +68,7 @@ def main():
         for t in ("region nation customer supplier part orders lineitem events documents embeddings "
                   "pages benchmark labels conversations").split():
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
-        for n in STORED:
+        for n in STORED + ["daily_stats"]:
             p = paths[n]
             if p.startswith("table:"):
                 p = f"{scratch}/warehouse/{p[len('table:'):]}"
@@ -77,9 +77,8 @@ def main():
         con.execute("CREATE VIEW messages_resolved AS SELECT m.* REPLACE (coalesce(m.reply_to_author_id, "
                     "o.author_id) AS reply_to_author_id) FROM messages m LEFT JOIN messages o "
                     "ON m.reply_to_message_id = o.id")
-        from chatlens.sources.fixtures import ORACLE_PREFIX
-        ui_def = ORACLE_PREFIX.split("user_interactions AS (", 1)[1].split("),\napp_users AS (", 1)[0]
-        con.execute(f"CREATE VIEW user_interactions AS {ui_def}")
+        con.execute(f"CREATE VIEW user_interactions AS SELECT * FROM read_parquet("
+                    f"'{paths['user_interactions']}/**/*.parquet', hive_partitioning = true)")
         for name in HEADLINE:
             body = reg[name].body
             if body is None:

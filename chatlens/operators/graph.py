@@ -220,16 +220,23 @@ def personal_wrapped(messages: DataFrame, users: DataFrame, channels: DataFrame,
     channel, best friend, busiest day) are ``max_by`` with a deterministic
     tie-break; the rank counts humans with more messages via a histogram."""
     hid = _hid(users, "uid")
-    m = messages.withColumnRenamed("author_id", "uid")
-    base = m.groupBy("uid").agg(
-        F.count(F.lit(1)).alias("total_msgs"), F.max(F.length("content")).alias("longest_msg"),
-        F.count(F.when(F.col("content").endswith("?"), 1)).alias("questions_asked"),
-        F.count(F.when(F.hour("created_at").between(0, 5), 1)).alias("late_night"))
+    m = messages.select(F.col("author_id").alias("uid"), "channel_id", "content", "created_at",
+                        F.to_date("created_at").alias("d"))
+    # One scan and one shuffle for three groupings: per user, per (user,
+    # channel) and per (user, day), told apart by grouping_id.
+    sets = m.groupingSets([["uid"], ["uid", "channel_id"], ["uid", "d"]], "uid", "channel_id", "d") \
+        .agg(F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("cnt"),
+             F.max(F.length("content")).alias("longest_msg"),
+             F.count(F.when(F.col("content").endswith("?"), 1)).alias("questions_asked"),
+             F.count(F.when(F.hour("created_at").between(0, 5), 1)).alias("late_night"))
+    # grouping_id bits (channel_id, d): 3 = neither, 1 = channel, 2 = day
+    base = sets.filter(F.col("_g") == 3).select(
+        "uid", F.col("cnt").alias("total_msgs"), "longest_msg", "questions_asked", "late_night")
     hbase = base.join(hid, "uid")
     ranked = rank_desc(hbase.select("uid", F.col("total_msgs").alias("msgs")), "msgs") \
         .select("uid", "rank")
     total_users = total_of(hbase, F.count(F.lit(1)))
-    ch = m.groupBy("uid", "channel_id").agg(F.count(F.lit(1)).alias("cnt")).join(
+    ch = sets.filter(F.col("_g") == 1).select("uid", "channel_id", "cnt").join(
         channels.select(F.col("id").alias("channel_id"), F.col("name").alias("fav_channel")),
         "channel_id")
     fav = ch.groupBy("uid").agg(F.max_by(F.struct("fav_channel", "cnt"),
@@ -246,7 +253,7 @@ def personal_wrapped(messages: DataFrame, users: DataFrame, channels: DataFrame,
                                         F.col("author_id").alias("by")), "message_id") \
         .groupBy(F.col("mentioned_user_id").alias("uid")).agg(
             F.count(F.lit(1)).alias("times_mentioned"), F.countDistinct("by").alias("by_people"))
-    days = m.groupBy("uid", F.to_date("created_at").alias("d")).agg(F.count(F.lit(1)).alias("c"))
+    days = sets.filter(F.col("_g") == 2).select("uid", "d", F.col("cnt").alias("c"))
     busy = days.groupBy("uid").agg(F.max_by(F.struct("d", "c"),
                                             F.struct(F.col("c"), -F.unix_date("d"))).alias("bd"))
     out = hbase.filter(F.col("total_msgs") >= min_messages) \

@@ -12,7 +12,8 @@ STORED = ["servers", "users", "server_members", "channels", "messages", "message
           "emojis", "reactions", "extraction_jobs", "usage_logs", "app_users"]
 
 
-def materialize(tables, root: str, names=STORED, buckets: int | None = None) -> dict[str, str]:
+def materialize(tables, root: str, names=STORED, buckets: int | None = None,
+                rollups: bool = True) -> dict[str, str]:
     """Write each table once (one version folder per table). With
     ``buckets``, the message-keyed facts become bucketed catalog tables
     (value ``table:<name>``) so joins on message id are co-located."""
@@ -23,6 +24,11 @@ def materialize(tables, root: str, names=STORED, buckets: int | None = None) ->
             out[n] = "table:" + save_bucketed(tables[n], n, buckets)
         else:
             out[n] = write_table(tables[n], root, n)
+    if rollups:
+        # the two maintained roll-ups, as refresh_rollups writes them
+        from chatlens.plans.store import refresh_rollups
+        out.update(refresh_rollups(tables["messages_resolved"], tables["reactions"],
+                                   tables["message_mentions"], f"{root.rstrip('/')}/rollups"))
     return out
 
 
@@ -61,12 +67,24 @@ class StoredChatTables:
         from chatlens.operators.ingest import sync_state_rollup
         return sync_state_rollup(self.messages)
 
+    def _stored_rollup(self, name: str) -> DataFrame | None:
+        if name not in self.paths:
+            return None
+        from chatlens.sources.schema import conform
+        return conform(read_table(self.spark, self.paths[name]), name)
+
     @cached_property
     def user_interactions(self) -> DataFrame:
+        stored = self._stored_rollup("user_interactions")
+        if stored is not None:
+            return stored
         from chatlens.operators.rollups import user_interactions
         return user_interactions(self.messages_resolved, self.reactions, self.message_mentions)
 
     @cached_property
     def daily_stats(self) -> DataFrame:
+        stored = self._stored_rollup("daily_stats")
+        if stored is not None:
+            return stored
         from chatlens.operators.rollups import daily_stats
         return daily_stats(self.messages_resolved)
