@@ -89,6 +89,18 @@ def _dedup_constraints(t):
     return Q.dedup_constraints(t.messages, ["id"])
 
 
-@register("constraint_report")
+def _constraint_sql():
+    from chatlens.sources.schema import KEYS
+    parts = []
+    for n, key in KEYS.items():
+        src = "(SELECT DISTINCT tenant_id, server_id, channel_id, 'messages' AS sync_type FROM messages)" \
+            if n == "sync_state" else n
+        k = ", ".join(key)
+        parts.append(f"SELECT '{n}' AS table_name, COUNT(*) AS violations FROM "
+                     f"(SELECT {k} FROM {src} x GROUP BY {k} HAVING COUNT(*) > 1)")
+    return " UNION ALL ".join(parts)
+
+
+@register("constraint_report", _constraint_sql())
 def _constraint_report(t):
     return Q.constraint_report(t)

@@ -66,7 +66,9 @@ def _validate_tenant_id(t):
     return tenant.validate_tenant_id(c.select(cand.alias("candidate")), "candidate")
 
 
-@register("safe_sql")
+@register("safe_sql", f"""
+WITH c AS (SELECT channel_id, COUNT(*) AS n FROM messages WHERE tenant_id = '{TENANT}' GROUP BY channel_id)
+SELECT * FROM c ORDER BY n DESC, channel_id LIMIT 1000""")
 def _safe_sql(t):
     s = tenant.tenant_session(t.spark, {"messages": t.messages, "users": t.users}, TENANT)
     df, _ = sql_gate.safe_sql(
@@ -75,13 +77,27 @@ def _safe_sql(t):
     return df
 
 
-@register("row_cap")
+@register("row_cap", "SELECT id FROM messages ORDER BY id LIMIT 100")
 def _row_cap(t):
     df, truncated = sql_gate.row_cap(t.messages.select("id").orderBy("id"), 100)
     return df
 
 
-@register("table_schema")
+def _table_schema_sql():
+    from chatlens.sources.schema import SCHEMAS
+    vals = []
+    for n in ["channels", "messages", "users"]:
+        visible = [f for f in SCHEMAS[n].fields if f.name != "tenant_id"]
+        for i, f in enumerate(visible, 1):
+            vals.append(f"('{n}', '{f.name}', '{f.dataType.simpleString()}', {i})")
+    counts = " UNION ALL ".join(f"SELECT '{n}' AS t, COUNT(*) AS row_count FROM {n}"
+                                for n in ["channels", "messages", "users"])
+    return (f"SELECT v.\"table\", v.\"column\", v.type, CAST(v.position AS INTEGER) AS position, "
+            f"c.row_count FROM (VALUES {', '.join(vals)}) v(\"table\", \"column\", type, position) "
+            f"JOIN ({counts}) c ON c.t = v.\"table\"")
+
+
+@register("table_schema", _table_schema_sql())
 def _table_schema(t):
     s = tenant.tenant_session(t.spark, {n: t[n] for n in ["messages", "users", "channels"]}, TENANT)
     return sql_gate.table_schema(s, sql_gate.list_tables(s))
@@ -181,7 +197,22 @@ def _year_report(t):
     return report.year_report(t, humans_only=True)
 
 
-@register("analytics_bundle")
+def _bundle_sql():
+    from chatlens.catalog.base import REGISTRY
+    same = {"overview": "overview", "hourly_activity": "hourly_activity_filled",
+            "top_channels": "top_channels_detail", "top_users": "top_users_detail",
+            "user_interactions": "interaction_pairs", "content_metrics": "content_metrics",
+            "engagement_metrics": "engagement_metrics", "channel_growth": "channel_growth_window"}
+    parts = [f"SELECT '{k}' AS result, COUNT(*) AS rows FROM ({REGISTRY[v].body}) x"
+             for k, v in same.items()]
+    parts.append("SELECT 'messages_over_time', COUNT(DISTINCT CAST(created_at AS DATE)) FROM messages "
+                 "WHERE created_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY")
+    parts.append("SELECT 'day_of_week_activity', 7")
+    parts.append("SELECT 'bot_vs_human', 1")
+    return " UNION ALL ".join(parts)
+
+
+@register("analytics_bundle", _bundle_sql())
 def _analytics_bundle(t):
     b = bundle.analytics_bundle(t, as_of="2024-01-31 00:00:00", days=7, cache=False)
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("result"), "rows")
