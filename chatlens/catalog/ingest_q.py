@@ -14,7 +14,7 @@ from chatlens.operators import ingest as G
 from chatlens.operators import quality as Q
 from chatlens.operators.common import resolve_reply_author
 from chatlens.sources.fixtures import TENANT
-from chatlens.sources.records import nest_messages
+from chatlens.sources.records import nest_messages, nest_reactor_pages
 
 MSG_COLS = ("tenant_id, id, server_id, channel_id, author_id, content, created_at, edited_at, "
             "message_type, is_pinned, is_tts, reply_to_message_id, reply_to_author_id, thread_id, "
@@ -26,6 +26,10 @@ def _records(t):
     return nest_messages(t.messages, t.users, t.message_mentions, t.reactions, t.emojis)
 
 
+def _pages(t):
+    return nest_reactor_pages(t.messages, t.users, t.reactions, t.emojis)
+
+
 @register("normalize_messages", f"SELECT {MSG_COLS} FROM messages")
 def _normalize_messages(t):
     return G.normalize_messages(_records(t), TENANT)
@@ -39,7 +43,7 @@ def _explode_mentions(t):
 @register("explode_reactions", """
 SELECT tenant_id, message_id, emoji_id, user_id, reacted_at, is_super_reaction FROM reactions""")
 def _explode_reactions(t):
-    return G.explode_reactions(_records(t), t.emojis, TENANT)
+    return G.explode_reactions(_pages(t), t.emojis, TENANT)
 
 
 @register("users_from_records", f"""
@@ -47,14 +51,14 @@ WITH seen AS (
   SELECT author_id AS id, created_at FROM messages WHERE author_id IS NOT NULL
   UNION ALL SELECT mm.mentioned_user_id, m.created_at
             FROM message_mentions mm JOIN messages m ON m.id = mm.message_id
-  UNION ALL SELECT r.user_id, m.created_at FROM reactions r JOIN messages m ON m.id = r.message_id),
+  UNION ALL SELECT user_id, reacted_at FROM reactions),
 f AS (SELECT id, MIN(created_at) AS first_seen_at FROM seen GROUP BY id)
 SELECT '{TENANT}' AS tenant_id, u.id, u.username, u.discriminator, u.global_name, u.avatar_hash,
        coalesce(u.is_bot, false) AS is_bot,
        make_timestamp(((u.id >> 22) + 1420070400000) * 1000) AS created_at, f.first_seen_at
 FROM f JOIN users u ON u.id = f.id""")
 def _users_from_records(t):
-    return G.users_from_records(_records(t), TENANT)
+    return G.users_from_records(_records(t), TENANT, _pages(t))
 
 
 @register("conform_emojis", """
@@ -166,7 +170,7 @@ SELECT (SELECT COUNT(DISTINCT server_id) FROM messages) AS servers,
        (SELECT COUNT(*) FROM reactions) AS reactions,
        (SELECT COUNT(*) FROM message_mentions) AS mentions""")
 def _extraction_stats(t):
-    return G.extraction_stats(_records(t))
+    return G.extraction_stats(_records(t), _pages(t))
 
 
 @register("messages_per_channel_run", """

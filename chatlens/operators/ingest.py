@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from chatlens.functions.columns import (MESSAGE_TYPE_DEFAULT, char_count, snowflake_to_timestamp,
                                         word_count)
 from chatlens.operators.common import as_of_col, since, top_k
+from chatlens.sources.records import USER as _USER
 from chatlens.sources.schema import conform
 
+USER_FIELDS = _USER.fields
+
 DESC, ASC = F.desc_nulls_last, F.asc_nulls_first
 
 
@@ -83,16 +86,16 @@ def conform_emojis(existing: DataFrame, records: DataFrame, tenant_id: str) -> D
     return conform(existing, "emojis").unionByName(conform(new, "emojis"))
 
 
-def explode_reactions(records: DataFrame, emojis: DataFrame, tenant_id: str,
+def explode_reactions(pages: DataFrame, emojis: DataFrame, tenant_id: str,
                       fetch_reactions: bool = True, loaded_at=None) -> DataFrame:
-    """One row per (message, emoji, reacting user); the emoji id comes from
-    the dimension by (name, server_id) NULL-safe."""
+    """One row per (message, emoji, reacting user) from reactor pages; the
+    emoji id comes from the dimension by (name, server_id) NULL-safe.
+    ``fetch_reactions=False`` loads none, as the reference's switch does."""
     if not fetch_reactions:
-        return conform(records.limit(0).select(F.lit(tenant_id).alias("tenant_id")), "reactions")
-    r = records.select("id", "guild_id", F.explode("reactions").alias("r"))
-    r = r.select("id", "guild_id", F.col("r.emoji").alias("e"), F.explode("r.users").alias("u"))
-    r = r.select(F.col("id").alias("message_id"), F.col("e.name").alias("name"),
-                 F.when(F.col("e.id").isNotNull(), F.col("guild_id")).alias("server_id"),
+        return conform(pages.limit(0).select(F.lit(tenant_id).alias("tenant_id")), "reactions")
+    r = pages.select("message_id", "guild_id", "emoji", F.explode("users").alias("u"))
+    r = r.select("message_id", F.col("emoji.name").alias("name"),
+                 F.when(F.col("emoji.id").isNotNull(), F.col("guild_id")).alias("server_id"),
                  F.col("u.id").alias("user_id"),
                  F.coalesce(F.col("u.reacted_at"), as_of_col(loaded_at)).alias("reacted_at"),
                  F.coalesce(F.col("u.burst"), F.lit(False)).alias("is_super_reaction"))
@@ -103,19 +106,24 @@ def explode_reactions(records: DataFrame, emojis: DataFrame, tenant_id: str,
     return conform(j.dropDuplicates(["message_id", "emoji_id", "user_id"]), "reactions")
 
 
-def users_from_records(records: DataFrame, tenant_id: str) -> DataFrame:
-    """Every user a batch mentions: authors, mentioned users, reactors. One
-    row per id (the latest record by message time wins)."""
-    a = records.select(F.col("author").alias("u"), "created_at")
-    m = records.select(F.explode("mentions").alias("u"), "created_at")
-    r = records.select(F.explode("reactions").alias("r"), "created_at").select(
-        F.explode("r.users").alias("u"), "created_at").select(
-        F.struct(*[F.col("u")[f] .alias(f) for f in ["id", "name", "discriminator",
-                                                     "global_name", "avatar", "bot"]]).alias("u"),
-        "created_at")
-    u = a.unionByName(m).unionByName(r).filter(F.col("u.id").isNotNull())
+def users_from_records(records: DataFrame, tenant_id: str, pages: DataFrame | None = None
+                       ) -> DataFrame:
+    """Every user a batch names: authors, mentioned users and (from reactor
+    pages) reactors. One row per id; the copy seen last wins, first_seen_at
+    is the earliest sighting (message time, or reaction time for reactors).
+    An aggregate per id, so a very active user is pre-combined per task."""
+    fields = [f.name for f in USER_FIELDS]
+    a = records.select(F.col("author").alias("u"), F.col("created_at").alias("t"))
+    m = records.select(F.explode("mentions").alias("u"), F.col("created_at").alias("t"))
+    u = a.unionByName(m)
+    if pages is not None:
+        r = pages.select(F.explode("users").alias("x")).select(
+            F.struct(*[F.col("x")[f].alias(f) for f in fields]).alias("u"),
+            F.col("x.reacted_at").alias("t"))
+        u = u.unionByName(r)
+    u = u.filter(F.col("u.id").isNotNull())
     latest = u.groupBy(F.col("u.id").alias("id")).agg(
-        F.max_by("u", "created_at").alias("u"), F.min("created_at").alias("first_seen_at"))
+        F.max_by("u", "t").alias("u"), F.min("t").alias("first_seen_at"))
     return conform(latest.select(
         F.lit(tenant_id).alias("tenant_id"), "id", F.col("u.name").alias("username"),
         F.col("u.discriminator").alias("discriminator"), F.col("u.global_name").alias("global_name"),
@@ -246,18 +254,23 @@ def history_page(messages: DataFrame, channel_id: int, before=None, after=None,
     return top_k(m, order, limit)
 
 
-def extraction_stats(records: DataFrame) -> DataFrame:
-    """Run counters (events seen, duplicates included), one pass."""
-    r = records
-    return r.agg(
+def extraction_stats(records: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Run counters (events seen, duplicates included), one pass over the
+    records (plus one over the reactor pages when given; otherwise the
+    reaction counts of the record summaries)."""
+    r = records.agg(
         F.countDistinct("guild_id").alias("servers"),
         F.countDistinct("author.id").alias("users"),
         F.countDistinct("channel_id").alias("channels"),
         F.count(F.lit(1)).alias("messages"),
         F.coalesce(F.sum(F.aggregate(F.coalesce("reactions", F.array()), F.lit(0),
-                                     lambda acc, x: acc + F.size(x["users"]))), F.lit(0))
-        .cast("long").alias("reactions"),
+                                     lambda acc, x: acc + F.coalesce(x["count"], F.lit(0)))),
+                   F.lit(0)).cast("long").alias("reactions"),
         F.coalesce(F.sum(F.size("mentions")), F.lit(0)).cast("long").alias("mentions"))
+    if pages is not None:
+        n = pages.agg(F.coalesce(F.sum(F.size("users")), F.lit(0)).cast("long")).scalar()
+        r = r.withColumn("reactions", n)
+    return r.select("servers", "users", "channels", "messages", "reactions", "mentions")
 
 
 def messages_per_channel_run(records: DataFrame) -> DataFrame:

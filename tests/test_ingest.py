@@ -5,7 +5,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from chatlens.operators import ingest as G
-from chatlens.sources.records import RECORD_SCHEMA, nest_messages
+from chatlens.sources.records import (REACTOR_PAGE_SCHEMA, RECORD_SCHEMA, nest_messages,
+                                      nest_reactor_pages)
 from chatlens.sources.schema import conform
 from tests.conftest import rows
 
@@ -59,10 +60,15 @@ def test_reactions_and_emoji_get_or_create(spark):
     reactors = [_reactor(i, f"u{i}") for i in range(10, 30)]
     custom = {"id": 555, "name": "party", "animated": True}
     uni = {"id": None, "name": "😀", "animated": False}
-    recs = [_rec(1, alice, reactions=[{"emoji": uni, "count": 20, "users": reactors},
-                                      {"emoji": custom, "count": 1, "users": [_reactor(1, "alice")]}]),
-            _rec(2, alice, reactions=[{"emoji": uni, "count": 1, "users": [_reactor(10, "u10")]}])]
+    recs = [_rec(1, alice, reactions=[{"emoji": uni, "count": 20}, {"emoji": custom, "count": 1}]),
+            _rec(2, alice, reactions=[{"emoji": uni, "count": 1}])]
+    pages = [{"message_id": 1, "guild_id": 1, "emoji": uni, "page": 0, "users": reactors[:12]},
+             {"message_id": 1, "guild_id": 1, "emoji": uni, "page": 1, "users": reactors[12:]},
+             {"message_id": 1, "guild_id": 1, "emoji": custom, "page": 0,
+              "users": [_reactor(1, "alice")]},
+             {"message_id": 2, "guild_id": 1, "emoji": uni, "page": 0, "users": [_reactor(10, "u10")]}]
     df = records(spark, recs)
+    pg = spark.createDataFrame(pages, REACTOR_PAGE_SCHEMA)
     existing = conform(spark.createDataFrame([(T, 7, None, "😀", False, None, False)],
                                              "tenant_id string, id int, discord_id long, name string, "
                                              "is_custom boolean, server_id long, is_animated boolean"),
@@ -73,10 +79,22 @@ def test_reactions_and_emoji_get_or_create(spark):
     assert got[("party", 1)] == 8                          # new key numbered after max
     again = G.conform_emojis(em, df, T)
     assert rows(again) == rows(em)                          # re-run creates nothing
-    rx = G.explode_reactions(df, em, T)
-    assert rx.filter("message_id = 1 AND emoji_id = 7").count() == 20   # 20 reactors
+    rx = G.explode_reactions(pg, em, T)
+    assert rx.filter("message_id = 1 AND emoji_id = 7").count() == 20   # 20 reactors, two pages
     assert rx.filter("message_id = 1 AND user_id = 1").count() == 1     # self reaction kept
-    assert G.explode_reactions(df, em, T, fetch_reactions=False).count() == 0
+    assert G.explode_reactions(pg, em, T, fetch_reactions=False).count() == 0
+    st = G.extraction_stats(df, pg).first()
+    assert (st.messages, st.reactions) == (2, 22)
+    assert G.users_from_records(df, T, pg).count() == 21
+
+
+def test_reactor_pages_are_bounded(spark, small):
+    pages = nest_reactor_pages(small.messages, small.users, small.reactions, small.emojis,
+                               page_size=2)
+    sizes = [r.n for r in pages.select(F.size("users").alias("n")).collect()]
+    assert sum(sizes) == small.reactions.count()
+    back = G.explode_reactions(pages, small.emojis, "user_demotenant01")
+    assert rows(back) == rows(small.reactions)
 
 
 def test_insert_ignore_first_write_wins_and_rerun(spark, small):
