@@ -23,6 +23,23 @@ REQUIRED_CONF = {
 }
 
 
+# Sizing for a large cluster (applied by ``configure(spark, cluster=True)``):
+# shuffles start wide and AQE merges them to ~128 MB partitions, so a stage
+# fits executor memory at any scale without a hand-set partition count;
+# scans split files into 256 MB pieces; skewed join partitions are split.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8192",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "chatlens", extra_conf: dict | None = None) -> SparkSession:
     """Session for tests and the local bench (no UI, UTC, AQE on)."""
@@ -40,9 +57,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the required settings to an existing (cluster) session."""
-    for k, v in REQUIRED_CONF.items():
+def configure(spark: SparkSession, cluster: bool = False) -> SparkSession:
+    """Apply the required settings to an existing session; with
+    ``cluster=True`` also the sizing for a large cluster."""
+    for k, v in {**REQUIRED_CONF, **(CLUSTER_CONF if cluster else {})}.items():
         spark.conf.set(k, v)
     return spark
 
