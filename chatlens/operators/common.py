@@ -107,41 +107,34 @@ def adjacent(df: DataFrame, part: Sequence[str], ts: str, tiebreak: str,
 
     Skew-safe form of ``lag``/``lead`` over ``partitionBy(part)``: a hot
     partition (one channel holding a third of all rows) would land in one
-    task. Rows are windowed by (part, time bucket) instead; the first (last)
-    row of each bucket takes its neighbour from a per-bucket edge table
-    (one row per non-empty bucket) windowed by part alone, which is small
-    however rows are spread.
+    task. Rows are windowed by (part, time bucket) instead. The same window
+    pass marks each bucket's last (first) row; those edge rows, one per
+    non-empty bucket, are windowed by ``part`` alone to find the neighbouring
+    bucket's edge, and joined back on (part, bucket) — the partitioning the
+    big side already has, so it is not shuffled again. Rows whose key is
+    NULL are linked within their bucket only.
     """
     prefix = prefix or ("prev_" if which == "prev" else "next_")
     part = list(part)
     b = "_bucket"
     d = df.withColumn(b, F.date_trunc(bucket, F.col(ts)))
     w = Window.partitionBy(*part, b).orderBy(F.col(ts), F.col(tiebreak))
-    shift = F.lag if which == "prev" else F.lead
     need = list(dict.fromkeys(list(cols) + [tiebreak]))
+    shift, other = (F.lag, F.lead) if which == "prev" else (F.lead, F.lag)
     for c in need:
         d = d.withColumn(prefix + c, shift(F.col(c)).over(w))
-    order_key = F.struct(F.col(ts), F.col(tiebreak))
-    edge_val = F.struct(*[F.col(c) for c in need])
-    if which == "prev":
-        edges = d.groupBy(*part, b).agg(F.max_by(edge_val, order_key).alias("_edge"))
-        wb = Window.partitionBy(*part).orderBy(b)
-        edges = edges.withColumn("_carry", F.lag("_edge").over(wb))
-    else:
-        edges = d.groupBy(*part, b).agg(F.min_by(edge_val, order_key).alias("_edge"))
-        wb = Window.partitionBy(*part).orderBy(b)
-        edges = edges.withColumn("_carry", F.lead("_edge").over(wb))
-    edges = edges.select(*[F.col(p).alias("_e_" + p) for p in part],
-                         F.col(b).alias("_e_b"), "_carry")
-    cond = F.col(b) == F.col("_e_b")
-    for p in part:
-        cond = cond & F.col(p).eqNullSafe(F.col("_e_" + p))
-    d = d.join(edges, cond, "left")
+    # the row at the far end of the bucket (no neighbour inside it on the
+    # other side) carries the bucket's edge values
+    d = d.withColumn("_far", other(F.col(tiebreak)).over(w).isNull())
+    edges = d.filter(F.col("_far")).select(*part, b, F.struct(*[F.col(c) for c in need]).alias("_e"))
+    wb = Window.partitionBy(*part).orderBy(b)
+    edges = edges.select(*part, b, shift(F.col("_e")).over(wb).alias("_carry"))
+    d = d.join(edges, part + [b], "left")
     at_edge = F.col(prefix + tiebreak).isNull()
     for c in need:
         d = d.withColumn(prefix + c, F.when(at_edge, F.col("_carry")[c])
                          .otherwise(F.col(prefix + c)))
-    drop = [b, "_e_b", "_carry"] + ["_e_" + p for p in part]
+    drop = [b, "_far", "_carry"]
     if tiebreak not in cols:
         drop.append(prefix + tiebreak)
     return d.drop(*drop)
