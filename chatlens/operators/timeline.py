@@ -190,17 +190,19 @@ def latest_per_author(messages: DataFrame, bucket: str = "hour") -> DataFrame:
     """``row_number() over (partition by author order by created_at desc)``
     without one task per author: rows are numbered inside (author, bucket)
     and offset by the messages of that author in later buckets, taken from
-    a per-(author, bucket) count table with a running sum per author."""
-    m = messages.select("author_id", "created_at", "id").withColumn(
-        "_b", F.date_trunc(bucket, "created_at"))
-    inner = Window.partitionBy("author_id", "_b").orderBy(F.desc("created_at"), F.desc("id"))
+    a per-(author, bucket) count table with a running sum per author. The
+    NULL author (deleted users) is a group of its own, keyed by a sentinel
+    (ids are non-negative) so the join back reuses the window partitioning."""
+    key = F.coalesce(F.col("author_id"), F.lit(-(2 ** 63)).cast("long"))
+    m = messages.select("author_id", "created_at", "id").withColumn("_k", key) \
+        .withColumn("_b", F.date_trunc(bucket, "created_at"))
+    inner = Window.partitionBy("_k", "_b").orderBy(F.desc("created_at"), F.desc("id"))
     m = m.withColumn("_r", F.row_number().over(inner))
-    counts = m.groupBy("author_id", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    later = Window.partitionBy("author_id").orderBy(F.desc("_b")).rowsBetween(
+    counts = m.groupBy("_k", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    later = Window.partitionBy("_k").orderBy(F.desc("_b")).rowsBetween(
         Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(later), F.lit(0))) \
-        .select(F.col("author_id").alias("_a"), F.col("_b").alias("_bb"), "_off")
-    j = m.join(counts, F.col("author_id").eqNullSafe(F.col("_a")) & (F.col("_b") == F.col("_bb")))
+    counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(later), F.lit(0))).drop("_n")
+    j = m.join(counts, ["_k", "_b"])
     return j.select("author_id", "created_at", (F.col("_off") + F.col("_r")).cast("int").alias("rn"))
 
 
