@@ -163,7 +163,7 @@ def _wrapped_users(t):
 
 
 @register("personal_wrapped", f"""
-WITH base AS (SELECT m.author_id AS uid, COUNT(*) AS total_msgs, MAX(length(m.content)) AS longest_msg,
+WITH base AS (SELECT m.author_id AS uid, COUNT(*) AS total_msgs, CAST(MAX(length(m.content)) AS INTEGER) AS longest_msg,
                      COUNT(CASE WHEN m.content LIKE '%?' THEN 1 END) AS questions_asked,
                      COUNT(CASE WHEN hour(m.created_at) BETWEEN 0 AND 5 THEN 1 END) AS late_night
               FROM messages m JOIN {HUMANS} h ON m.author_id = h.id GROUP BY 1),

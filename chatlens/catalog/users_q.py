@@ -279,7 +279,8 @@ WITH c AS (SELECT u.id AS uid, u.username, COUNT(*) AS msgs
            FROM messages m JOIN {HUMANS} u ON m.author_id = u.id GROUP BY 1, 2),
 r AS (SELECT *, CAST(SUM(msgs) OVER () AS BIGINT) AS total,
              ROW_NUMBER() OVER (ORDER BY msgs DESC, uid) AS rn FROM c),
-top AS (SELECT username, msgs, total, {pct('msgs', 'total')} AS pct, rn FROM r WHERE rn <= 5)
+top AS (SELECT username, msgs, total, {pct('msgs', 'total')} AS pct, CAST(rn AS INTEGER) AS rn
+         FROM r WHERE rn <= 5)
 SELECT username, msgs, total, pct, rn,
        round(SUM(pct) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1)
          AS cumulative
