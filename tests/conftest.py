@@ -11,8 +11,11 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
     from chatlens.session import local_session
-    s = local_session("*", shuffle_partitions=8, app="chatlens-tests")
+    wh = tempfile.mkdtemp(prefix="chatlens-tests-wh-")   # tests only; clusters use their own
+    s = local_session("*", shuffle_partitions=8, app="chatlens-tests",
+                      extra_conf={"spark.sql.warehouse.dir": wh})
     yield s
 
 

@@ -28,6 +28,9 @@ def test_entry_runs(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     sdf = QUERIES[name](spark, SF_SMALL)
+    plan = sdf._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan                       # no all-pairs joins
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan   # no Python UDF
     srows = sdf.collect()
     if name not in ORACLES:
         assert len(srows) >= 0

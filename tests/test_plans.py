@@ -1,24 +1,13 @@
 """Physical-plan properties that matter at scale."""
 
-import pytest
-
-import __spark_entry__ as ent
-from tests.conftest import SF_SMALL
-
-QUERIES = ent.queries()
+"""Physical-plan properties that matter at scale (every registered query is
+also checked for Cartesian products and Python evaluation in test_oracle)."""
 
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_cartesian_or_python(spark, name):
-    p = _plan(QUERIES[name](spark, SF_SMALL))
-    assert "CartesianProduct" not in p
-    assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
-
-
 def test_scan_prunes_columns_and_pushes_filters(spark, small):
     from chatlens.operators.users import weekly_active_users
     df = weekly_active_users(small.users, small.messages, as_of="2024-01-31 00:00:00")
@@ -31,3 +20,23 @@ def test_adjacent_windows_by_bucket(spark, small):
     from chatlens.operators.replies import conversation_killers
     p = _plan(conversation_killers(small.messages, small.users))
     assert "_bucket" in p
+
+
+def test_bucketed_layout_colocates_message_joins(spark, small, tmp_path):
+    """With the facts bucketed by message id, reactions ⋈ messages on the
+    message id runs without shuffling either side (broadcast disabled to see
+    the join). A second equality key (e.g. reactor = author) would need all
+    keys for co-partitioning, so such joins still shuffle."""
+    from pyspark.sql import functions as F
+    from chatlens.plans.store import save_bucketed
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        m = spark.table(save_bucketed(small.messages, "messages", 8, database=None))
+        r = spark.table(save_bucketed(small.reactions, "reactions", 8, database=None))
+        j = r.join(m.select(F.col("id").alias("message_id"), "author_id", "channel_id"), "message_id")
+        p = _plan(j.groupBy("message_id").agg(F.count(F.lit(1)).alias("n")))
+        assert "SortMergeJoin" in p and "Exchange" not in p
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
