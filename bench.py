@@ -14,7 +14,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -38,14 +37,13 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from chatlens.catalog import load_all
-    from chatlens.session import local_session
+    from chatlens.session import local_session, shared_scratch
     from chatlens.sources.fixtures import chat_tables
     from chatlens.sources.stored import STORED, StoredChatTables, materialize
 
-    scratch = tempfile.mkdtemp(prefix="chatlens-bench-")
     buckets = int(os.environ.get("BENCH_BUCKETS", str(int(cpus) * 2)))
-    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="chatlens-bench",
-                          extra_conf={"spark.sql.warehouse.dir": f"{scratch}/warehouse"})
+    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="chatlens-bench")
+    scratch = shared_scratch(spark, "bench")     # under spark.checkpoint.dir
     t0 = time.time()
     paths = materialize(chat_tables(spark, sf_dir), scratch, buckets=buckets)
     prep = time.time() - t0
@@ -71,14 +69,17 @@ def main():
         for n in STORED + ["daily_stats"]:
             p = paths[n]
             if p.startswith("table:"):
-                p = f"{scratch}/warehouse/{p[len('table:'):]}"
+                p = f"{scratch}/{n}/bucketed"
+            p = p[len("file:"):] if p.startswith("file:") else p
             con.execute(f"CREATE VIEW {n} AS SELECT * FROM read_parquet('{p}/**/*.parquet', "
                         "hive_partitioning = true)")
         con.execute("CREATE VIEW messages_resolved AS SELECT m.* REPLACE (coalesce(m.reply_to_author_id, "
                     "o.author_id) AS reply_to_author_id) FROM messages m LEFT JOIN messages o "
                     "ON m.reply_to_message_id = o.id")
+        ui = paths["user_interactions"]
+        ui = ui[len("file:"):] if ui.startswith("file:") else ui
         con.execute(f"CREATE VIEW user_interactions AS SELECT * FROM read_parquet("
-                    f"'{paths['user_interactions']}/**/*.parquet', hive_partitioning = true)")
+                    f"'{ui}/**/*.parquet', hive_partitioning = true)")
         for name in HEADLINE:
             body = reg[name].body
             if body is None:

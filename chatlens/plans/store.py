@@ -56,18 +56,23 @@ def write_table(df: DataFrame, root: str, name: str, version: str | None = None)
 BUCKETING = {"messages": "id", "reactions": "message_id", "message_mentions": "message_id"}
 
 
-def save_bucketed(df: DataFrame, name: str, buckets: int, database: str | None = None) -> str:
+def save_bucketed(df: DataFrame, name: str, buckets: int, database: str | None = None,
+                  path: str | None = None) -> str:
     """Write ``df`` as a catalog table bucketed (and sorted) by its message
-    key; returns the table name. Needs a catalog (a metastore on a cluster,
-    the in-memory catalog in tests)."""
+    key; returns the table name. The catalog keeps the bucketing (a
+    metastore on a cluster, the in-memory catalog in tests); with ``path``
+    the files go there (an external table, e.g. in a shared folder)."""
     key = BUCKETING[name]
     table = f"{database}.{name}" if database else name
     # Partitioned by tenant (tenant views prune whole folders), bucketed and
     # sorted by the message id inside: snowflake ids grow with time, so the
     # sort also keeps parquet min/max statistics on created_at tight and time
     # windows skip row groups.
-    (df.repartition(buckets, key).write.mode("overwrite").partitionBy("tenant_id")
-     .bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table))
+    w = (df.repartition(buckets, key).write.mode("overwrite").partitionBy("tenant_id")
+         .bucketBy(buckets, key).sortBy(key).format("parquet"))
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)
     return table
 
 

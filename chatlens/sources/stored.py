@@ -21,7 +21,8 @@ def materialize(tables, root: str, names=STORED, buckets: int | None = None,
     out = {}
     for n in names:
         if buckets and n in BUCKETING:
-            out[n] = "table:" + save_bucketed(tables[n], n, buckets)
+            out[n] = "table:" + save_bucketed(tables[n], n, buckets,
+                                              path=f"{root.rstrip('/')}/{n}/bucketed")
         else:
             out[n] = write_table(tables[n], root, n)
     if rollups:
