@@ -41,8 +41,9 @@ def main():
     from chatlens.sources.fixtures import chat_tables
     from chatlens.sources.stored import STORED, StoredChatTables, materialize
 
-    buckets = int(os.environ.get("BENCH_BUCKETS", str(int(cpus) * 2)))
-    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="chatlens-bench")
+    # one bucket / shuffle partition per core locally; a cluster uses thousands
+    buckets = int(os.environ.get("BENCH_BUCKETS", cpus))
+    spark = local_session(cpus, shuffle_partitions=int(cpus), app="chatlens-bench")
     scratch = shared_scratch(spark, "bench")     # under spark.checkpoint.dir
     t0 = time.time()
     paths = materialize(chat_tables(spark, sf_dir), scratch, buckets=buckets)
