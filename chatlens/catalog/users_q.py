@@ -291,8 +291,7 @@ def _activity_concentration(t):
 
 @register("new_users_by_day", """
 SELECT CAST(joined_at AS DATE) AS join_date, COUNT(*) AS new_users
-FROM server_members WHERE joined_at IS NOT NULL
-GROUP BY 1 ORDER BY join_date DESC LIMIT 30""")
+FROM server_members GROUP BY 1 ORDER BY join_date DESC NULLS FIRST LIMIT 30""")
 def _new_users_by_day(t):
     return U.new_users_by_day(t.server_members)
 

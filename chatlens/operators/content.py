@@ -61,7 +61,8 @@ def longest_messages(messages: DataFrame, users: DataFrame, channels: DataFrame,
 
 def longest_messages_chars(messages: DataFrame, users: DataFrame, k: int | None = 20,
                            preview: int = 100) -> DataFrame:
-    m = messages.withColumn("content_length", F.length("content"))
+    m = messages.filter(F.col("content").isNotNull()).withColumn("content_length",
+                                                                 F.length("content"))
     j = m.join(_names(users), "author_id")
     return top_k(j, [DESC("content_length"), ASC("id")], k).select(
         "username", "content_length", F.substring("content", 1, preview).alias("preview"),
@@ -180,7 +181,7 @@ def exclamations(messages: DataFrame, users: DataFrame, min_messages: int = 20,
         F.count(F.lit(1)).alias("msgs"))
     j = per.filter(F.col("msgs") >= min_messages).join(_names(users), "author_id")
     j = j.withColumn("excl_per_msg", round_ratio(F.col("exclamations"), F.col("msgs"), 2))
-    return top_k(j, [DESC("exclamations"), ASC("author_id")], k).select(
+    return top_k(j, [DESC("excl_per_msg"), ASC("author_id")], k).select(
         "username", "exclamations", "msgs", "excl_per_msg")
 
 

@@ -330,9 +330,11 @@ def activity_concentration(messages: DataFrame, users: DataFrame, k: int = 5) ->
 
 
 def new_users_by_day(server_members: DataFrame, k: int | None = 30) -> DataFrame:
-    per = server_members.filter(F.col("joined_at").isNotNull()).groupBy(
-        F.to_date("joined_at").alias("join_date")).agg(F.count(F.lit(1)).alias("new_users"))
-    return top_k(per, [DESC("join_date")], k)
+    """Members per join day, newest first; members without a join time form
+    one NULL day, listed first as PostgreSQL orders NULL on DESC."""
+    per = server_members.groupBy(F.to_date("joined_at").alias("join_date")).agg(
+        F.count(F.lit(1)).alias("new_users"))
+    return top_k(per, [F.desc_nulls_first("join_date")], k)
 
 
 def server_members_overview(server_members: DataFrame, users: DataFrame,
