@@ -124,10 +124,13 @@ def recent_messages(messages: DataFrame, users: DataFrame, k: int | None = 20) -
 
 def first_and_last_message(messages: DataFrame, users: DataFrame, channels: DataFrame,
                            preview: int = 100) -> DataFrame:
-    """Earliest and latest message: one aggregate with min_by / max_by."""
+    """Earliest and latest message with a known author and channel: one
+    aggregate with min_by / max_by (no sort of all messages)."""
     key = F.struct("created_at", "id")
     val = F.struct("id", "author_id", "channel_id", "content", "created_at")
-    a = messages.agg(F.min_by(val, key).alias("first"), F.max_by(val, key).alias("last"))
+    known = messages.join(users.select(F.col("id").alias("author_id")), "author_id", "left_semi") \
+        .join(channels.select(F.col("id").alias("channel_id")), "channel_id", "left_semi")
+    a = known.agg(F.min_by(val, key).alias("first"), F.max_by(val, key).alias("last"))
     rows = a.select(F.explode(F.array(
         F.struct(F.lit("first").alias("which"), F.col("first").alias("m")),
         F.struct(F.lit("last").alias("which"), F.col("last").alias("m")))).alias("r"))
