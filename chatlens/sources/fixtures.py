@@ -66,14 +66,15 @@ class DriverChatTables:
 
     @cached_property
     def channels(self) -> DataFrame:
-        n = self.raw("nation")
-        k = F.col("n_nationkey")
+        sup = self.raw("supplier")
+        k = F.col("s_suppkey")
         ctype = (F.when(k == 5, 4).when(k == 6, 2).when(k == 7, 5).when(k == 8, 15)
                  .when(k == 9, 13).otherwise(0))
-        return conform(n.select(
+        name = F.lower(F.replace(F.col("s_name"), F.lit("Supplier#"), F.lit("channel-")))
+        return conform(sup.select(
             F.lit(TENANT).alias("tenant_id"), k.alias("id"), F.lit(1).alias("server_id"),
-            F.lower("n_name").alias("name"), ctype.alias("type"),
-            F.when(k % 2 == 0, F.concat(F.lit("about "), F.lower("n_name"))).alias("topic"),
+            name.alias("name"), ctype.alias("type"),
+            F.when(k % 2 == 0, F.concat(F.lit("about "), name)).alias("topic"),
             k.alias("position"), (k == 3).alias("is_nsfw"), _ts(EPOCH0).alias("created_at"),
             F.lit(False).alias("is_archived")), "channels")
 
@@ -118,9 +119,13 @@ class DriverChatTables:
                    .otherwise(F.concat(F.col("text"), suffix)))
         is_reply = (e % 20 < 7) & (e >= 25)
         reply_to = F.when(is_reply, e - 1 - (e * 13) % 20)
-        channel = (F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1)
-                   .when(F.col("event_type") == "purchase", 2)
-                   .when(F.col("event_type") == "signup", 3).otherwise(4))
+        # views and clicks (about 40 % of all messages) go to channel 0, a hot
+        # key; the rest spread over the first half of the other channels, so
+        # the second half stays empty
+        n_channels = self.raw("supplier").agg(F.count(F.lit(1))).scalar()
+        spread = F.greatest(idiv(n_channels - 1, 2), F.lit(1))
+        channel = F.when(F.col("event_type").isin("view", "click"), F.lit(0).cast("long")) \
+            .otherwise(1 + e % spread)
         mention_count = F.when(e % 20 == 7, 1).when(e % 20 == 8, 1).when(e % 20 == 9, 2).otherwise(0)
         out = m.select(
             F.lit(TENANT).alias("tenant_id"), e.alias("id"), F.lit(1).alias("server_id"),
@@ -249,16 +254,17 @@ servers AS (
          TIMESTAMP '2024-01-31 00:00:00' AS last_synced_at
   FROM customer),
 channels AS (
-  SELECT '{TENANT}' AS tenant_id, CAST(n_nationkey AS BIGINT) AS id, CAST(1 AS BIGINT) AS server_id,
-         lower(n_name) AS name,
-         CAST(CASE n_nationkey WHEN 5 THEN 4 WHEN 6 THEN 2 WHEN 7 THEN 5 WHEN 8 THEN 15
-                               WHEN 9 THEN 13 ELSE 0 END AS INTEGER) AS type,
+  SELECT '{TENANT}' AS tenant_id, CAST(s_suppkey AS BIGINT) AS id, CAST(1 AS BIGINT) AS server_id,
+         lower(replace(s_name, 'Supplier#', 'channel-')) AS name,
+         CAST(CASE s_suppkey WHEN 5 THEN 4 WHEN 6 THEN 2 WHEN 7 THEN 5 WHEN 8 THEN 15
+                             WHEN 9 THEN 13 ELSE 0 END AS INTEGER) AS type,
          CAST(NULL AS BIGINT) AS parent_id,
-         CASE WHEN n_nationkey % 2 = 0 THEN 'about ' || lower(n_name) END AS topic,
-         CAST(n_nationkey AS INTEGER) AS position, n_nationkey = 3 AS is_nsfw,
+         CASE WHEN s_suppkey % 2 = 0 THEN 'about ' || lower(replace(s_name, 'Supplier#', 'channel-')) END
+           AS topic,
+         CAST(s_suppkey AS INTEGER) AS position, s_suppkey = 3 AS is_nsfw,
          TIMESTAMP '{EPOCH0}' AS created_at, false AS is_archived,
          CAST(NULL AS TIMESTAMP) AS last_synced_at
-  FROM nation),
+  FROM supplier),
 emojis AS (
   SELECT '{TENANT}' AS tenant_id, CAST(n_nationkey AS INTEGER) AS id,
          CASE WHEN n_nationkey % 5 = 0 THEN CAST(n_nationkey + 900000 AS BIGINT) END AS discord_id,
@@ -286,8 +292,9 @@ messages_c AS (
   FROM messages_raw),
 messages AS (
   SELECT '{TENANT}' AS tenant_id, event_id AS id, CAST(1 AS BIGINT) AS server_id,
-         CAST(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2
-                              WHEN 'signup' THEN 3 ELSE 4 END AS BIGINT) AS channel_id,
+         CAST(CASE WHEN event_type IN ('view', 'click') THEN 0
+                   ELSE 1 + event_id % greatest(((SELECT count(*) FROM supplier) - 1) // 2, 1)
+              END AS BIGINT) AS channel_id,
          CASE WHEN event_id % 500 = 499 THEN NULL ELSE user_id END AS author_id,
          content, ts AS created_at, CAST(NULL AS TIMESTAMP) AS edited_at,
          CAST(CASE WHEN is_reply THEN 19 ELSE 0 END AS INTEGER) AS message_type,
