@@ -217,12 +217,17 @@ def _display_name(t):
 
 
 @register("emoji_text", """
-SELECT id, CASE WHEN discord_id IS NOT NULL AND discord_id <> 0
-                THEN '<' || CASE WHEN coalesce(is_animated, false) THEN 'a' ELSE '' END || ':'
-                     || name || ':' || CAST(discord_id AS VARCHAR) || '>'
-                ELSE name END AS emoji_text FROM emojis""")
+SELECT r.message_id, r.user_id,
+       CASE WHEN e.discord_id IS NOT NULL AND e.discord_id <> 0
+            THEN '<' || CASE WHEN coalesce(e.is_animated, false) THEN 'a' ELSE '' END || ':'
+                 || e.name || ':' || CAST(e.discord_id AS VARCHAR) || '>'
+            ELSE e.name END AS emoji_text
+FROM reactions r JOIN emojis e ON e.id = r.emoji_id""")
 def _emoji_text(t):
-    return t.emojis.select("id", FC.emoji_text("name", "discord_id", "is_animated").alias("emoji_text"))
+    """The text form of every reaction's emoji (as a message would render it)."""
+    e = t.emojis.select(F.col("id").alias("emoji_id"),
+                        FC.emoji_text("name", "discord_id", "is_animated").alias("emoji_text"))
+    return t.reactions.join(e, "emoji_id").select("message_id", "user_id", "emoji_text")
 
 
 @register("jump_url", """
