@@ -244,11 +244,15 @@ def personal_wrapped(messages: DataFrame, users: DataFrame, channels: DataFrame,
     e = reply_edges(messages).filter(F.col("replier_id") != F.col("original_author_id"))
     pair = e.groupBy(F.col("replier_id").alias("uid"), F.col("original_author_id").alias("o")) \
         .agg(F.count(F.lit(1)).alias("x"))
-    convos = pair.groupBy("uid").agg(F.count(F.lit(1)).alias("unique_convos"))
-    bf = pair.join(_hid(users, "o"), "o").groupBy("uid").agg(
-        F.max_by(F.struct("o", "x"), F.struct(F.col("x"), -F.col("o"))).alias("b"))
+    # one aggregation for both: distinct partners (any), best human partner
+    # (max_by skips rows whose ordering is NULL, i.e. bots and unknown ids)
+    human_o = humans(users).select(F.col("id").alias("o"), F.lit(True).alias("_h"))
+    bf = pair.join(human_o, "o", "left").groupBy("uid").agg(
+        F.count(F.lit(1)).alias("unique_convos"),
+        F.max_by(F.struct("o", "x"), F.when(F.col("_h"), F.struct(F.col("x"), -F.col("o"))))
+        .alias("b"))
     bf = bf.join(_names(users, "bo", "best_friend"), F.col("b.o") == F.col("bo"), "left") \
-        .select("uid", "best_friend", F.col("b.x").alias("bf_exchanges"))
+        .select("uid", "best_friend", F.col("b.x").alias("bf_exchanges"), "unique_convos")
     men = mentions.join(messages.select(F.col("id").alias("message_id"),
                                         F.col("author_id").alias("by")), "message_id") \
         .groupBy(F.col("mentioned_user_id").alias("uid")).agg(
@@ -259,7 +263,7 @@ def personal_wrapped(messages: DataFrame, users: DataFrame, channels: DataFrame,
     out = hbase.filter(F.col("total_msgs") >= min_messages) \
         .join(_names(users, "uid", "username"), "uid") \
         .join(ranked, "uid", "left").join(fav, "uid", "left").join(bf, "uid", "left") \
-        .join(men, "uid", "left").join(busy, "uid", "left").join(convos, "uid", "left")
+        .join(men, "uid", "left").join(busy, "uid", "left")
     tu = F.lit(total_users)
     return out.select(
         F.col("uid").alias("user_id"), "username", "total_msgs", "longest_msg", "questions_asked",
