@@ -152,14 +152,16 @@ def rank_desc(df: DataFrame, metric: str, out: str = "rank") -> DataFrame:
 
 
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
-                    salts: int = 64) -> DataFrame:
+                    salts: int = 64, salt_cols: Sequence[str] | None = None) -> DataFrame:
     """First k rows of each group in ``order``, without one task per group.
 
     Two rounds: the top k inside (group, salt) buckets, then the top k of
     each group over at most ``salts * k`` survivors. A hot group is spread
     over ``salts`` tasks in the first round; the result is exact because a
     group's top k lies inside the union of its buckets' top k."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
+    # a deterministic salt (task retries see the same split); hash a key
+    # such as the row id rather than every column
+    salt = F.pmod(F.xxhash64(*(salt_cols or df.columns)), F.lit(salts))
     d = df.withColumn("_salt", salt)
     w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
     d = d.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k).drop("_r", "_salt")

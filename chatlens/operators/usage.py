@@ -70,7 +70,8 @@ def job_history(extraction_jobs: DataFrame, k: int = 10) -> DataFrame:
     """Newest k jobs of each user; NULL message counts read 0."""
     j = extraction_jobs.withColumn("messages_extracted",
                                    F.coalesce("messages_extracted", F.lit(0)))
-    return top_k_per_group(j, ["user_id"], [DESC("started_at"), DESC("id")], k).select(
+    return top_k_per_group(j, ["user_id"], [DESC("started_at"), DESC("id")], k,
+                           salt_cols=["id"]).select(
         "user_id", "id", "status", F.col("guild_id").cast("string").alias("guild_id"), "sync_days",
         "messages_extracted", "started_at", "completed_at", "error_message")
 
