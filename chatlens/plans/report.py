@@ -87,3 +87,9 @@ def year_report(t, humans_only: bool = False) -> DataFrame:
                       if "date" in df.columns else df, fmt, cols, order)
              for i, (title, df, fmt, cols, order) in enumerate(secs, 1)]
     return reduce(DataFrame.unionByName, parts)
+
+
+def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The report as a text file: lines range-sorted by (section, line), so
+    the part files read in order."""
+    report.orderBy("section", "line_no").select("text").write.mode(mode).text(path)

@@ -54,3 +54,12 @@ def test_stream_ingest_is_idempotent(spark, small, tmp_path):
     assert mm.count() == small.message_mentions.count()
     assert stored.agg(F.sum("word_count")).first()[0] == small.messages.agg(
         F.sum("word_count")).first()[0]
+
+
+def test_report_text_in_order(spark, small, tmp_path):
+    from chatlens.plans.report import write_report, year_report
+    write_report(year_report(small), str(tmp_path / "rep"))
+    lines = _text(str(tmp_path / "rep"))
+    assert lines[0] == "== THE BIG NUMBERS ==" and any(x.startswith("== TOP 10 MESSAGERS") for x in lines)
+    heads = [x for x in lines if x.startswith("== ")]
+    assert len(heads) == 17
