@@ -10,14 +10,19 @@ this environment; the driver jar must be on the classpath.)
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from chatlens.functions.columns import TENANT_ID_PATTERN
 from chatlens.sources.schema import SCHEMAS, conform
 
 
 def read_jdbc_table(spark: SparkSession, url: str, table: str, properties: dict,
                     key: str = "id", partitions: int = 64, tenant: str | None = None
                     ) -> DataFrame:
+    if tenant is not None and not re.fullmatch(TENANT_ID_PATTERN.strip("^$"), tenant):
+        raise ValueError("invalid tenant id")      # it is spliced into the SQL text
     cols = ", ".join(f.name for f in SCHEMAS[table].fields)
     where = f" WHERE tenant_id = '{tenant}'" if tenant else ""
     bounds = spark.read.jdbc(url, f"(SELECT min({key}) AS lo, max({key}) AS hi FROM {table}{where}) b",
