@@ -50,7 +50,11 @@ def embed_stats(messages: DataFrame) -> DataFrame:
 
 def longest_messages(messages: DataFrame, users: DataFrame, channels: DataFrame,
                      k: int | None = 10, preview: int = 50) -> DataFrame:
-    m = messages.filter(F.col("word_count").isNotNull())
+    # only messages whose author and channel exist (the reference joins
+    # first), then the top k, then the names for those k rows
+    m = messages.filter(F.col("word_count").isNotNull()) \
+        .join(users.select(F.col("id").alias("author_id")), "author_id", "left_semi") \
+        .join(channels.select(F.col("id").alias("channel_id")), "channel_id", "left_semi")
     top = top_k(m, [DESC("word_count"), ASC("id")], k)
     j = top.join(_names(users), "author_id").join(
         channels.select(F.col("id").alias("channel_id"), F.col("name").alias("channel")), "channel_id")

@@ -97,8 +97,9 @@ def viral_messages(messages: DataFrame, users: DataFrame, channels: DataFrame,
     """Messages of humans with the most replies (zero kept)."""
     per = messages.filter(F.col("reply_to_message_id").isNotNull()).groupBy(
         F.col("reply_to_message_id").alias("id")).agg(F.count(F.lit(1)).alias("reply_count"))
-    m = messages.join(_human_ids(users, "author_id"), "author_id").join(per, "id", "left") \
-        .withColumn("reply_count", F.coalesce("reply_count", F.lit(0)))
+    m = messages.join(_human_ids(users, "author_id"), "author_id") \
+        .join(channels.select(F.col("id").alias("channel_id")), "channel_id", "left_semi") \
+        .join(per, "id", "left").withColumn("reply_count", F.coalesce("reply_count", F.lit(0)))
     top = top_k(m, [DESC("reply_count"), ASC("id")], k)
     j = top.join(_names(users, "author_id"), "author_id").join(
         channels.select(F.col("id").alias("channel_id"), F.col("name").alias("channel")), "channel_id")
