@@ -223,11 +223,13 @@ def conversation_catalysts(messages: DataFrame, users: DataFrame, silence_min: i
     strictly later and within ``window_min`` after them.
 
     Range join as an equi-join: time is cut into buckets of ``window_min``;
-    a follow-up in bucket b can only belong to a spark in bucket b or b-1,
-    so each follow-up is offered to those two buckets and the exact test
-    runs after the join. A spark needs ``silence_min`` of silence before
-    it, so a channel bucket holds at most one spark (when silence_min >=
-    window_min) and the join emits at most two rows per message."""
+    the follow-ups of a spark in bucket b lie in bucket b or b+1, so each
+    spark (few: they need a silence before them) is offered to those two
+    buckets, each follow-up keeps its own bucket, and the exact time test
+    runs after the join. Each (spark, follow-up) pair meets once. A spark
+    needs ``silence_min`` of silence before it, so a channel bucket meets at
+    most two sparks (when silence_min >= window_min) and the join emits at
+    most two rows per message."""
     stream = _human_stream(messages, users)
     s = adjacent(stream, ["channel_id"], "created_at", "id", ["created_at"], which="prev")
     gap = micros_between("prev_created_at", "created_at")
@@ -236,11 +238,12 @@ def conversation_catalysts(messages: DataFrame, users: DataFrame, silence_min: i
         F.col("channel_id").alias("s_channel"), F.col("created_at").alias("spark_time"))
     width = window_min * MIN_US
     us = F.unix_micros(F.col("spark_time").cast("timestamp"))
-    sparks = sparks.withColumn("bucket", F.floor(us / width).cast("long"))
+    sb = F.floor(us / width).cast("long")
+    sparks = sparks.withColumn("bucket", F.explode(F.array(sb, sb + 1)))
     fu = stream.select(F.col("id").alias("f_id"), F.col("author_id").alias("f_author"),
                        F.col("channel_id").alias("f_channel"), F.col("created_at").alias("f_time"))
-    fb = F.floor(F.unix_micros(F.col("f_time").cast("timestamp")) / width).cast("long")
-    fu = fu.withColumn("bucket", F.explode(F.array(fb, fb - 1)))
+    fu = fu.withColumn("bucket", F.floor(
+        F.unix_micros(F.col("f_time").cast("timestamp")) / width).cast("long"))
     j = sparks.join(fu, (F.col("s_channel") == F.col("f_channel"))
                     & (sparks["bucket"] == fu["bucket"]))
     d = micros_between("spark_time", "f_time")
