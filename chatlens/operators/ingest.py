@@ -229,11 +229,21 @@ def merge_latest_channels(old: DataFrame, new: DataFrame, saas: bool = False,
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: list[str],
-                  order_col: str | None = None) -> DataFrame:
+                  order_col: str | None = None, prune_col: str | None = None) -> DataFrame:
     """First write wins: rows whose key exists are dropped, and within the
-    batch the first row per key (by ``order_col``) is kept."""
+    batch the first row per key (by ``order_col``) is kept.
+
+    Only stored keys inside the batch's range of ``prune_col`` (default: the
+    first key column after ``tenant_id``) can collide, so the anti-join
+    reads just that range of the stored keys (two scalar subqueries give the
+    bounds). With storage sorted by id, parquet statistics then skip the
+    rest of the history instead of shuffling every stored key each load."""
     new = _pick_per_key(new, key, order_col, last=False)
-    fresh = new.join(old.select(*key), key, "left_anti")
+    prune_col = prune_col or next((k for k in key if k != "tenant_id"), key[0])
+    lo = new.agg(F.min(prune_col)).scalar()
+    hi = new.agg(F.max(prune_col)).scalar()
+    stored = old.select(*key).filter(F.col(prune_col).between(lo, hi))
+    fresh = new.join(stored, key, "left_anti")
     return old.unionByName(fresh.select(*old.columns))
 
 
