@@ -74,3 +74,13 @@ def test_catalysts_match_brute_force(mid):
     want = sorted((names[a], n, success[a]) for a, n in attempts.items())
     assert sorted((r.username, r.spark_attempts, r.successful_ignitions)
                   for r in got.collect()) == want
+
+
+def test_adjacent_with_one_hot_channel(mid):
+    """Every message in one channel: the plain window would be one task;
+    the bucketed form must still give the same neighbours."""
+    m = mid.messages.select("id", F.lit(0).cast("long").alias("channel_id"), "created_at")
+    w = Window.partitionBy("channel_id").orderBy("created_at", "id")
+    want = m.select("id", F.lag("id").over(w).alias("p"))
+    got = adjacent(m, ["channel_id"], "created_at", "id", ["id"], which="prev")
+    assert rows(got.select("id", F.col("prev_id").alias("p"))) == rows(want)
