@@ -11,8 +11,9 @@ with the item's one by one. The document is contaminated if some stretch of
 ``SHARE`` percent of its words.
 
 Only built-in functions. The seeds of the benchmark are broadcast behind a
-check of their number and joined by shuffle beyond it; texts are never
-shuffled: only the part of a text that lies against an item leaves the scan.
+check of their number; then only the part of a text that lies against an item
+leaves the scan. Beyond it seeds are joined by shuffle, and the texts that
+have hits are looked up again by a hash of the text.
 
 Items of fewer words than a mask spans use the dense mask of ``SHORT_SPAN``
 words; items with fewer words than that are too short to tell and match
@@ -50,8 +51,11 @@ def _seed(words: str, at: str, mask: str, number: int) -> Column:
 
 
 def _seeds(df: DataFrame, masks: list[tuple[int, str]], out: str, at: str) -> DataFrame:
-    """A row for each position and mask of the array ``words``."""
-    span = len(masks[0][1])
+    """A row for each position and mask of the array ``words``. Where a mask
+    reaches beyond the end, its seed is that of fewer words, which no item has.
+    All in one stage of generated code, in which rows refer to the array; it
+    must not be part of what leaves the stage."""
+    span = min(len(m) for _, m in masks)
     placed = (df.filter(F.size("words") >= span)
               .withColumn(at, F.explode(F.sequence(F.lit(0), F.size("words") - span))))
     return placed.withColumn(out, F.explode(F.array(*[_seed("words", at, m, k) for k, m in masks])))
@@ -77,38 +81,41 @@ def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col
                 words=plain_words(F.col("_t"))).drop("_t").dropDuplicates(["item_id", "words"])
     items = items.withColumn("item_key", F.xxhash64("item_id", "words"))
     span = len(MASKS[0])
-    long_items, short_items = (items.filter(F.size("words") >= span),
-                               items.filter(F.size("words").between(SHORT_SPAN, span - 1)))
-    masks = list(enumerate(MASKS))
-    dense = [(len(MASKS), "1" * SHORT_SPAN)]
-    seeds = (_seeds(long_items, masks, "seed", "item_at")
+    short_items = items.filter(F.size("words").between(SHORT_SPAN, span - 1))
+    masks, dense = list(enumerate(MASKS)), [(len(MASKS), "1" * SHORT_SPAN)]
+    seeds = (_seeds(items.filter(F.size("words") >= span), masks, "seed", "item_at")
              .unionByName(_seeds(short_items, dense, "seed", "item_at"))
              .select("seed", "item_key", "item_at"))
-    with_short = not short_items.isEmpty()
+    if not short_items.isEmpty():
+        masks = masks + dense
+    named = items.select("item_key", "item_id", F.col("words").alias("item_words"))
+    start = F.col("at") - F.col("item_at")
+    keep = [*carry, "doc_id"]
     slim = docs.select(*[F.col(f"`{c}`") for c in carry], docs[id_col].alias("doc_id"),
                        docs[text_col].alias("_t"))
-    texts = pin(slim, words=plain_words(F.col("_t"))).drop("_t")
-    placed = _seeds(texts, masks, "seed", "at")
-    if with_short:
-        placed = placed.unionByName(_seeds(texts, dense, "seed", "at"))
-    named = items.select("item_key", "item_id", F.col("words").alias("item_words"))
     if seeds.count() <= BROADCAST_SEEDS:
-        met = (placed.join(F.broadcast(seeds), "seed").join(F.broadcast(named), "item_key")
-               .withColumn("start", F.col("at") - F.col("item_at")))
-    else:       # only the words that may lie against an item go into the shuffle
-        longest = items.agg(F.max(F.size("words"))).first()[0]
-        cut = F.greatest(F.lit(0), F.col("at") - longest)
-        near = placed.select(*carry, "doc_id", "seed", (F.col("at") - cut).alias("at"),
-                             F.slice("words", cut + 1, F.lit(2 * longest)).alias("words"))
-        met = (near.join(seeds, "seed").join(named, "item_key")
-               .withColumn("start", F.col("at") - F.col("item_at")))
+        longest = items.agg(F.max(F.size("words"))).first()[0] or 0
+        texts = pin(slim, words=plain_words(F.col("_t"))).drop("_t")
+        # only the words beside a meeting leave the stage that reads the texts
+        cut = F.greatest(F.lit(0), start)
+        met = (_seeds(texts, masks, "seed", "at").join(F.broadcast(seeds), "seed")
+               .select(*keep, "item_key", (start - cut).alias("start"),
+                       F.slice("words", cut + 1, F.lit(max(1, longest))).alias("words"))
+               .join(F.broadcast(named), "item_key"))
+    else:
+        keyed = slim.withColumn("text_key", F.xxhash64("_t"))
+        texts = pin(keyed, words=plain_words(F.col("_t"))).drop("_t")
+        hits = (_seeds(texts.select("text_key", "words"), masks, "seed", "at")
+                .select("text_key", "seed", "at").join(seeds, "seed")
+                .select("text_key", "item_key", start.alias("start")).distinct())
+        met = texts.join(hits, "text_key").join(named, "item_key")
     # the word of the text that lies against each word of the item
     against = F.transform(F.sequence(F.lit(0), F.size("item_words") - 1), lambda k: F.when(
         F.col("start") + k >= 0, F.get(F.col("words"), F.col("start") + k)))
-    rated = (met.select(*carry, "doc_id", "item_id", "item_words", against.alias("against"))
+    rated = (met.select(*keep, "item_id", "item_words", against.alias("against"))
              .withColumn("percent", _agreement("item_words", "against"))
              .filter(F.col("percent") >= SHARE))
-    return rated.groupBy(*carry, "doc_id", "item_id").agg(F.max("percent").alias("percent"))
+    return rated.groupBy(*keep, "item_id").agg(F.max("percent").alias("percent"))
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, **names) -> DataFrame:
