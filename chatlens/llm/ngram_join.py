@@ -9,11 +9,11 @@ when 100 * intersection >= 75 * union; the result is the connected components.
    (``shingles.signatures``: linked sets share at least one). The table is
    kept in the shared folder; texts are not read again but for candidates.
 2. Signatures are grouped; those of one node only are dropped. What is left
-   are buckets (signature, node).
+   are buckets (signature, node); of buckets with the same nodes one stays.
 3. Rounds: in each bucket that holds more than one component so far, the nodes
    outside its largest component are compared with one node of it, so groups
    of copies join up in a few rounds without any pairs within the group.
-   Rounds stop when one finds no link.
+   Rounds stop when one finds less than a twentieth of the first one's links.
 4. The rest, exactly: what buckets still hold of nodes of different
    components is compared in full, in small buckets as distinct pairs, in
    large ones in blocks of at most ``BLOCK`` nodes a side, of which only links
@@ -45,6 +45,7 @@ SAMPLE = 16             # one text in so many is looked at for frequent shingles
 FREQUENT = 200_000      # most of them, at most (8 bytes each)
 SMALL = 32              # nodes of a bucket that is compared pair by pair
 BLOCK = 256             # nodes of a block of a larger one
+ROUNDS = 6              # rounds of step 3 at most; step 4 does what they leave
 SEEN = 1 << 20          # nodes that a task remembers, to emit copies once
 
 
@@ -138,11 +139,21 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _both(pairs, sets, "shingles").filter(test("shingles_a", "shingles_b")).select("a", "b")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label): the least node of each connected component. Roots hook
-    onto the least root they are linked with, then chains are shortened; the
-    number of components that are not whole at least halves in each round."""
-    labels = nodes.select("node", F.col("node").alias("label"))
+def _distinct_buckets(buckets: DataFrame) -> DataFrame:
+    """One of the buckets that hold the same nodes (told by their number and
+    a 128-bit hash): linked texts share many signatures."""
+    alike = (buckets.groupBy("signature")
+             .agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
+                  F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+             .groupBy("n", "x", "y").agg(F.min("signature").alias("signature")).select("signature"))
+    return buckets.join(alike, "signature", "left_semi")
+
+
+def components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) with the components that ``links`` join made
+    one, under their least label. Roots hook onto the least root they are
+    linked with, then chains are shortened; the number of components that are
+    not whole at least halves in each round."""
     while True:
         ends = links
         for side in ("a", "b"):
@@ -271,31 +282,33 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     buckets = keep_table(_buckets(described), "ngram-buckets")
     members = buckets.select("node").distinct()
     labels = keep_table(members.withColumn("label", F.col("node")), "ngram-labels")
+    buckets = keep_table(_distinct_buckets(buckets), "ngram-buckets")
 
-    sets = links = tried = None
-    turn = 0
-    while True:
-        still = _open(buckets, labels)
+    sets = tried = None
+    first = 0
+    for turn in range(ROUNDS):
+        still = keep_table(_open(buckets, labels), "ngram-open")
+        buckets = still.select("signature", "node")         # the others are settled
         pairs = _star_pairs(still, turn)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         near = keep_table(_may_link(pairs, nodes), "ngram-near")
         sets = _with_sets(texts, near, nodes, sets)
         new = keep_table(_linked(near, sets), "ngram-links")
+        found = new.count()
+        first = first or found
+        labels = components(labels, new) if found else labels
         tried = near if tried is None else tried.unionByName(near)
-        if new.isEmpty():
+        if found * 20 <= first:
             break
-        links = new if links is None else links.unionByName(new)
-        labels = components(members, links)
-        turn += 1
 
+    still = keep_table(_open(buckets, labels), "ngram-open")
     large = keep_table(_large(still), "ngram-large")
     near = keep_table(_may_link(_small_pairs(still).join(tried, ["a", "b"], "left_anti"), nodes), "ngram-near")
     need = near.unionByName(large.select(F.col("node").alias("a"), F.col("node").alias("b")))
     sets = _with_sets(texts, need, nodes, sets)
     new = keep_table(_linked(near, sets).unionByName(_block_links(large, sets)), "ngram-links")
-    if not new.isEmpty():
-        labels = components(members, new if links is None else links.unionByName(new))
+    labels = components(labels, new)
 
     joined = nodes.join(labels, "node", "left").select(
         "node", "doc_id", F.coalesce("label", "node").alias("component"))

@@ -135,7 +135,7 @@ def test_components(spark):
     nodes = spark.range(40).withColumnRenamed("id", "node")
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 19)] + [(30, 25), (25, 39), (39, 30)],
                                   "a long, b long")
-    got = {r.node: r.label for r in J.components(nodes, links).collect()}
+    got = {r.node: r.label for r in J.components(nodes.selectExpr("node", "node AS label"), links).collect()}
     assert {got[k] for k in range(20)} == {0} and {got[k] for k in (25, 30, 39)} == {25} and got[21] == 21
 
 
