@@ -69,34 +69,36 @@ def resolve_reply_author(messages: DataFrame) -> DataFrame:
     """Fill ``reply_to_author_id`` from the replied-to message when missing.
 
     Only replies are joined: the reply side is pre-filtered to non-NULL
-    targets and the target side is pruned to (id, author); the join is on
-    the message id alone (snowflake ids are unique across tenants), so a
-    layout bucketed by id shuffles only the replies. Replies to unknown
-    messages keep NULL.
+    targets and the target side is pruned to (tenant, id, author). Two tenants
+    may hold the same server, so the join is on (tenant, message id); a layout
+    bucketed by these shuffles only the replies. Replies to unknown messages
+    keep NULL.
     """
-    targets = messages.select(F.col("id").alias("_t_id"), F.col("author_id").alias("_t_author"))
+    targets = messages.select(F.col("tenant_id").alias("_t_tenant"), F.col("id").alias("_t_id"),
+                              F.col("author_id").alias("_t_author"))
     replies = messages.filter(F.col("reply_to_message_id").isNotNull())
     plain = messages.filter(F.col("reply_to_message_id").isNull())
-    j = replies.join(targets, F.col("reply_to_message_id") == F.col("_t_id"), "left")
+    j = replies.join(targets, (F.col("tenant_id") == F.col("_t_tenant"))
+                     & (F.col("reply_to_message_id") == F.col("_t_id")), "left")
     j = j.withColumn("reply_to_author_id",
                      F.coalesce(F.col("reply_to_author_id"), F.col("_t_author"))) \
-         .drop("_t_id", "_t_author")
+         .drop("_t_tenant", "_t_id", "_t_author")
     return plain.unionByName(j)
 
 
 def reply_edges(messages: DataFrame) -> DataFrame:
     """(reply id, replier, replied-to author, reply time, target time) for
-    replies whose target message exists. Self-join on message id (snowflake
-    ids are unique across tenants); both sides pruned to the few columns
-    needed. With messages bucketed by id only the reply side shuffles."""
+    replies whose target message exists. Self-join on (tenant, message id);
+    both sides pruned to the few columns needed. With messages bucketed by
+    these only the reply side shuffles."""
     r = messages.filter(F.col("reply_to_message_id").isNotNull()).select(
         "tenant_id", F.col("id").alias("reply_id"), F.col("author_id").alias("replier_id"),
         F.col("reply_to_message_id"), F.col("created_at").alias("reply_at"),
         F.col("channel_id"))
-    o = messages.select(F.col("id").alias("reply_to_message_id"),
+    o = messages.select("tenant_id", F.col("id").alias("reply_to_message_id"),
                         F.col("author_id").alias("original_author_id"),
                         F.col("created_at").alias("original_at"))
-    return r.join(o, "reply_to_message_id")
+    return r.join(o, ["tenant_id", "reply_to_message_id"])
 
 
 def adjacent(df: DataFrame, part: Sequence[str], ts: str, tiebreak: str,

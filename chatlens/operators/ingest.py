@@ -70,18 +70,25 @@ def _seen_emojis(records: DataFrame) -> DataFrame:
 def conform_emojis(existing: DataFrame, records: DataFrame, tenant_id: str) -> DataFrame:
     """Get-or-create the emoji dimension keyed by (name, server_id), NULL-safe.
 
-    Existing ids never change; new keys get max(id) + row_number over
-    (name, server_id). The numbering window covers only the *new* keys,
-    which are few next to the emoji uses they come from."""
+    Only the tenant's own emojis count as existing; other tenants' rows pass
+    through. Existing ids never change; new keys get max(id) + their number in
+    the order of (name, server_id). They are numbered within the first two
+    characters of the name and shifted by the counts of the beginnings before,
+    so no task sees them all."""
     seen = _seen_emojis(records).groupBy("name", "server_id").agg(
         F.max("discord_id").alias("discord_id"), F.max("is_custom").alias("is_custom"),
         F.max("is_animated").alias("is_animated"))
-    ex = existing.select("name", "server_id")
+    ex = existing.filter(F.col("tenant_id") == F.lit(tenant_id)).select("name", "server_id")
     new = seen.join(ex, seen["name"].eqNullSafe(ex["name"])
                     & seen["server_id"].eqNullSafe(ex["server_id"]), "left_anti")
     base = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    w = Window.orderBy(ASC("name"), ASC("server_id"))
-    new = new.withColumn("id", (base + F.row_number().over(w)).cast("int")) \
+    new = new.withColumn("_begin", F.coalesce(F.substring("name", 1, 2), F.lit("")))
+    before = Window.orderBy("_begin").rowsBetween(Window.unboundedPreceding, -1)   # of beginnings
+    shift = new.groupBy("_begin").agg(F.count(F.lit(1)).alias("_n")) \
+        .select("_begin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    w = Window.partitionBy("_begin").orderBy(ASC("name"), ASC("server_id"))
+    new = new.withColumn("_row", F.row_number().over(w)).join(shift, "_begin") \
+             .withColumn("id", (base + F.col("_shift") + F.col("_row")).cast("int")) \
              .withColumn("tenant_id", F.lit(tenant_id))
     return conform(existing, "emojis").unionByName(conform(new, "emojis"))
 
@@ -99,8 +106,8 @@ def explode_reactions(pages: DataFrame, emojis: DataFrame, tenant_id: str,
                  F.col("u.id").alias("user_id"),
                  F.coalesce(F.col("u.reacted_at"), as_of_col(loaded_at)).alias("reacted_at"),
                  F.coalesce(F.col("u.burst"), F.lit(False)).alias("is_super_reaction"))
-    em = emojis.select(F.col("id").alias("emoji_id"), F.col("name").alias("_n"),
-                       F.col("server_id").alias("_s"))
+    em = emojis.filter(F.col("tenant_id") == F.lit(tenant_id)).select(
+        F.col("id").alias("emoji_id"), F.col("name").alias("_n"), F.col("server_id").alias("_s"))
     j = r.join(em, r["name"].eqNullSafe(em["_n"]) & r["server_id"].eqNullSafe(em["_s"]), "left")
     j = j.withColumn("tenant_id", F.lit(tenant_id))
     return conform(j.dropDuplicates(["message_id", "emoji_id", "user_id"]), "reactions")
@@ -123,7 +130,7 @@ def users_from_records(records: DataFrame, tenant_id: str, pages: DataFrame | No
         u = u.unionByName(r)
     u = u.filter(F.col("u.id").isNotNull())
     latest = u.groupBy(F.col("u.id").alias("id")).agg(
-        F.max_by("u", "t").alias("u"), F.min("t").alias("first_seen_at"))
+        F.max(F.struct("t", "u"))["u"].alias("u"), F.min("t").alias("first_seen_at"))
     return conform(latest.select(
         F.lit(tenant_id).alias("tenant_id"), "id", F.col("u.name").alias("username"),
         F.col("u.discriminator").alias("discriminator"), F.col("u.global_name").alias("global_name"),
@@ -155,9 +162,10 @@ def _pick_per_key(new: DataFrame, key: list[str], order_col: str | None, last: b
     ``order_col``. An aggregate (``max_by``/``min_by``), so partial
     aggregation shrinks a key repeated many times before the shuffle; a
     window per key would put every copy of a hot key in one task."""
-    if order_col is None:
-        return new.dropDuplicates(key)
     rest = [c for c in new.columns if c not in key]
+    if order_col is None:       # the least row, so a rerun picks the same one
+        g = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row")) if rest else new.distinct()
+        return g.select(*key, *[F.col("_row")[c].alias(c) for c in rest]).select(*new.columns)
     pick = F.max_by if last else F.min_by
     g = new.groupBy(*key).agg(pick(F.struct(*rest), F.col(order_col)).alias("_row"))
     return g.select(*key, *[F.col("_row")[c].alias(c) for c in rest]).select(*new.columns)
@@ -311,20 +319,30 @@ def incremental_batch(messages_new: DataFrame, sync_state: DataFrame) -> DataFra
 
 def cascade_delete(tables: dict[str, DataFrame], servers=None, channels=None,
                    messages=None, users=None) -> dict[str, DataFrame]:
-    """Apply the reference's foreign-key actions for deleted keys (each a
-    one-column DataFrame of ids): dependants go, ``messages.author_id`` of a
-    deleted user becomes NULL."""
+    """Apply the foreign-key actions for deleted keys: dependants go,
+    ``messages.author_id`` of a deleted user becomes NULL; emojis stay. Keys
+    come as a DataFrame of ids, or of (tenant_id, id), which deletes in that
+    tenant only. Rows that were orphans before are left alone."""
     t = dict(tables)
 
+    def named(ids, col):
+        own = [c for c in ids.columns if c != "tenant_id"][0]
+        scope = ["tenant_id"] if "tenant_id" in ids.columns else []
+        return ids.select(*scope, F.col(own).alias(col)), scope + [col]
+
     def drop(name, col, ids):
         if ids is not None and name in t:
-            t[name] = t[name].join(ids.select(F.col(ids.columns[0]).alias(col)), col, "left_anti")
+            gone, on = named(ids, col)
+            t[name] = t[name].join(gone, on, "left_anti")
+
+    def messages_of(col, ids):
+        gone, on = named(ids, col)
+        return tables["messages"].join(gone, on, "left_semi").select("tenant_id", "id")
 
     if servers is not None:
         drop("servers", "id", servers)
         for n in ("channels", "messages", "server_members", "sync_state"):
             drop(n, "server_id", servers)
-        drop("emojis", "server_id", servers)
     if channels is not None:
         drop("channels", "id", channels)
         drop("messages", "channel_id", channels)
@@ -334,17 +352,14 @@ def cascade_delete(tables: dict[str, DataFrame], servers=None, channels=None,
         drop("server_members", "user_id", users)
         drop("message_mentions", "mentioned_user_id", users)
         drop("reactions", "user_id", users)
-        gone = users.select(F.col(users.columns[0]).alias("_gone"))
-        m = t["messages"].join(gone, F.col("author_id") == F.col("_gone"), "left")
-        t["messages"] = m.withColumn("author_id", F.when(F.col("_gone").isNotNull(), F.lit(None))
-                                     .otherwise(F.col("author_id"))).drop("_gone")
+        gone, on = named(users, "author_id")
+        m = t["messages"]
+        left = m.join(gone, on, "left_semi").withColumn("author_id", F.lit(None).cast("long"))
+        t["messages"] = m.join(gone, on, "left_anti").unionByName(left.select(*m.columns))
     # Messages removed above (by server or channel) or given directly.
-    removed = messages
-    if servers is not None or channels is not None:
-        kept = t["messages"].select(F.col("id").alias("message_id"))
-        for n in ("message_mentions", "reactions"):
-            t[n] = t[n].join(kept, "message_id", "left_semi")
-    if removed is not None:
+    for removed in ([messages_of("server_id", servers)] if servers is not None else []) + (
+            [messages_of("channel_id", channels)] if channels is not None else []) + (
+            [messages] if messages is not None else []):
         drop("messages", "id", removed)
         drop("message_mentions", "message_id", removed)
         drop("reactions", "message_id", removed)

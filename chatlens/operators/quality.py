@@ -22,10 +22,13 @@ def table_counts(tables: Mapping[str, DataFrame], names=CHAT_TABLES) -> DataFram
 
 
 def _orphans(child: DataFrame, key: str, parent: DataFrame, pkey: str, out: str) -> DataFrame:
-    """Children whose key has no parent row; a NULL key counts as orphan."""
-    p = parent.select(F.col(pkey).alias("_pk")).distinct()
-    lost = child.select(F.col(key).alias("_k")).join(p, F.col("_k") == F.col("_pk"), "left_anti")
-    return lost.agg(F.count(F.lit(1)).alias(out))
+    """Children whose key has no parent row of their tenant; a NULL key counts
+    as orphan. Children are counted per key first, so a busy key is one row of
+    the join."""
+    p = parent.select(F.col("tenant_id").alias("_pt"), F.col(pkey).alias("_pk")).distinct()
+    keys = child.groupBy("tenant_id", F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    lost = keys.join(p, (F.col("tenant_id") == F.col("_pt")) & (F.col("_k") == F.col("_pk")), "left_anti")
+    return lost.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias(out))
 
 
 def orphan_messages(messages: DataFrame, users: DataFrame) -> DataFrame:

@@ -28,14 +28,16 @@ def user_interactions(messages: DataFrame, reactions: DataFrame, mentions: DataF
                           & (F.col("author_id") != F.col("reply_to_author_id"))).select(
         "tenant_id", F.col("author_id").alias("from_user_id"),
         F.col("reply_to_author_id").alias("to_user_id"), "server_id", "created_at")
-    msg = messages.select(F.col("id").alias("message_id"), "author_id", "server_id", "created_at")
-    # joined on the message id alone (unique across tenants; co-located
-    # when both sides are bucketed by it)
-    rea = reactions.join(msg, "message_id") \
+    # two tenants may hold the same server: the key is (tenant, message id);
+    # co-located when both sides are bucketed by it
+    of_message = ["tenant_id", "message_id"]
+    msg = messages.select("tenant_id", F.col("id").alias("message_id"), "author_id", "server_id",
+                          "created_at")
+    rea = reactions.join(msg, of_message) \
         .filter(F.col("user_id") != F.col("author_id")).select(
         "tenant_id", F.col("user_id").alias("from_user_id"), F.col("author_id").alias("to_user_id"),
         "server_id", "reacted_at")
-    men = mentions.join(msg, "message_id") \
+    men = mentions.join(msg, of_message) \
         .filter(F.col("author_id") != F.col("mentioned_user_id")).select(
         "tenant_id", F.col("author_id").alias("from_user_id"),
         F.col("mentioned_user_id").alias("to_user_id"), "server_id", "created_at")

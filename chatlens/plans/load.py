@@ -19,6 +19,8 @@ lineage cut; a lost executor only recomputes the stage it was running.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ def load_batch(current: dict[str, DataFrame], records: DataFrame, pages: DataFra
                write: bool = True) -> dict[str, DataFrame | str]:
     """Apply one dump to the ``current`` tables. Returns the new tables as
     DataFrames (``write=False``) or the paths of their new versions."""
+    # one clock for the whole load: tables are written one after the other
+    as_of = as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     recs = G.history_cutoff(records, as_of, sync_days)
     kept_ids = recs.select(F.col("id").alias("message_id"))
     pg = None
@@ -54,7 +58,7 @@ def load_batch(current: dict[str, DataFrame], records: DataFrame, pages: DataFra
     out["message_mentions"] = G.insert_ignore(current["message_mentions"],
                                               G.explode_mentions(recs, tenant_id),
                                               FACT_KEYS["message_mentions"])
-    new_reactions = (G.explode_reactions(pg, out["emojis"], tenant_id) if pg is not None
+    new_reactions = (G.explode_reactions(pg, out["emojis"], tenant_id, loaded_at=as_of) if pg is not None
                      else current["reactions"].limit(0))
     out["reactions"] = G.insert_ignore(current["reactions"], new_reactions, FACT_KEYS["reactions"])
     for name, new, merge in (("servers", new_servers, G.merge_latest_servers),

@@ -1,6 +1,8 @@
 """Read-only ad-hoc SQL over a tenant's views.
 
-The statement is parsed by Spark's own parser (no text rules). The parsed
+The statement is parsed by Spark's own parser (no text rules). After the
+checks below, every scan of the analysed plan must stand under a temporary
+view of the session. The parsed
 plan is walked, including CTE definitions and subqueries inside
 expressions, and the statement is refused when it
 
@@ -48,8 +50,14 @@ def _walk(jvm, plan, allowed: set[str], ctes: set[str], problems: list[str]) ->
         problems.append(f"statement type {simple} is not allowed")
         return
     if simple == "UnresolvedWith":
+        # a name holds in the definitions after its own (in its own too, as it
+        # may be recursive) and in the statement below, and nowhere else
         for pair in _seq(plan.cteRelations()):
-            ctes.add(pair._1().lower())
+            ctes = ctes | {pair._1().lower()}
+            _walk(jvm, pair._2(), allowed, ctes, problems)
+        for c in _seq(plan.children()):
+            _walk(jvm, c, allowed, ctes, problems)
+        return
     if simple == "UnresolvedRelation":
         parts = [p for p in _seq(plan.multipartIdentifier())]
         name = ".".join(parts).lower()
@@ -80,6 +88,22 @@ def _walk_expr(jvm, expr, allowed, ctes, problems) -> None:
         _walk_expr(jvm, c, allowed, ctes, problems)
 
 
+def _foreign_scans(plan) -> list[str]:
+    """Leaves of an analysed plan that read data outside a temporary view."""
+    simple = plan.getClass().getSimpleName()
+    if simple == "View":
+        return [] if plan.isTempView() else [plan.desc().identifier().toString()]
+    found = []
+    if not plan.children().nonEmpty() and simple not in (
+            "OneRowRelation", "LocalRelation", "CTERelationRef", "UnionLoopRef"):
+        found.append(simple)
+    for e in _seq(plan.subqueries()):
+        found += _foreign_scans(e)
+    for c in _seq(plan.children()):
+        found += _foreign_scans(c)
+    return found
+
+
 def check_sql(spark: SparkSession, sql: str, allowed: set[str]) -> list[str]:
     """Reasons to refuse ``sql`` (empty list: accepted)."""
     if not sql or not sql.strip():
@@ -102,7 +126,7 @@ def row_cap(df: DataFrame, limit: int | None = DEFAULT_LIMIT) -> tuple[DataFrame
     """Cap at min(limit, 10000) rows, always (also when the SQL has its own
     LIMIT). Returns the capped frame and a one-row frame telling whether
     rows were cut (computed from at most limit + 1 rows)."""
-    n = min(int(limit or DEFAULT_LIMIT), MAX_LIMIT)
+    n = min(DEFAULT_LIMIT if limit is None else max(0, int(limit)), MAX_LIMIT)
     probe = df.limit(n + 1)
     truncated = probe.agg((F.count(F.lit(1)) > n).alias("truncated"))
     return df.limit(n), truncated
@@ -116,7 +140,11 @@ def safe_sql(session: SparkSession, sql: str, allowed: set[str] | None = None,
     problems = check_sql(session, sql, allowed)
     if problems:
         raise RefusedQuery("; ".join(problems))
-    return row_cap(session.sql(sql), limit)
+    df = session.sql(sql)
+    foreign = _foreign_scans(df._jdf.queryExecution().analyzed())
+    if foreign:
+        raise RefusedQuery(f"reads outside the tenant's views: {', '.join(sorted(set(foreign)))}")
+    return row_cap(df, limit)
 
 
 def list_tables(session: SparkSession, visible=None) -> list[str]:

@@ -1,9 +1,8 @@
 """Storage of the chat tables and roll-ups as parquet.
 
 Merges never overwrite what they read: a merged table is written to a new
-version folder and the caller switches to it. Long lineages (merge after
-merge) are cut with ``checkpoint()`` into the shared folder the cluster
-names in ``spark.checkpoint.dir``. Roll-ups are rewritten only for the
+version folder and the caller switches to it, so each load starts from stored
+tables and lineages stay short. Roll-ups are rewritten only for the
 days a batch touched (dynamic partition overwrite).
 """
 
@@ -15,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlens.operators.rollups import daily_stats, user_interactions
-from chatlens.session import ensure_checkpoint_dir
 
 # Fact tables are partitioned by tenant and UTC day, so tenant views and
 # time windows prune files; dimensions only by tenant.
@@ -28,12 +26,6 @@ PARTITIONING = {
 }
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the cluster's shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def write_table(df: DataFrame, root: str, name: str, version: str | None = None) -> str:
     """Write ``df`` as a new version of table ``name``; returns its path."""
     version = version or uuid.uuid4().hex[:12]
@@ -44,7 +36,9 @@ def write_table(df: DataFrame, root: str, name: str, version: str | None = None)
         out = out.withColumn("created_day", F.to_date("created_at"))
     if "day_part" in parts:
         out = out.withColumn("day_part", F.to_date("day"))
-    w = out.repartition(*parts) if parts else out
+    # rows of a partition folder come together, but a large one is split
+    # into several tasks and files (AQE)
+    w = out.hint("rebalance", *parts) if parts else out
     (w.write.mode("errorifexists").partitionBy(*parts).parquet(path) if parts
      else w.write.mode("errorifexists").parquet(path))
     return path
@@ -53,23 +47,23 @@ def write_table(df: DataFrame, root: str, name: str, version: str | None = None)
 # Co-location: the facts joined on message id are bucketed by it with one
 # bucket count, so reactions ⋈ messages and mentions ⋈ messages need no
 # shuffle, and the reply self-join shuffles only the (pruned) reply side.
-BUCKETING = {"messages": "id", "reactions": "message_id", "message_mentions": "message_id"}
+BUCKETING = {"messages": ("tenant_id", "id"), "reactions": ("tenant_id", "message_id"),
+             "message_mentions": ("tenant_id", "message_id")}
 
 
 def save_bucketed(df: DataFrame, name: str, buckets: int, database: str | None = None,
                   path: str | None = None) -> str:
-    """Write ``df`` as a catalog table bucketed (and sorted) by its message
-    key; returns the table name. The catalog keeps the bucketing (a
+    """Write ``df`` as a catalog table bucketed (and sorted) by tenant and
+    message id; returns the table name. The catalog keeps the bucketing (a
     metastore on a cluster, the in-memory catalog in tests); with ``path``
     the files go there (an external table, e.g. in a shared folder)."""
     key = BUCKETING[name]
     table = f"{database}.{name}" if database else name
-    # Partitioned by tenant (tenant views prune whole folders), bucketed and
-    # sorted by the message id inside: snowflake ids grow with time, so the
-    # sort also keeps parquet min/max statistics on created_at tight and time
-    # windows skip row groups.
-    w = (df.repartition(buckets, key).write.mode("overwrite").partitionBy("tenant_id")
-         .bucketBy(buckets, key).sortBy(key).format("parquet"))
+    # Sorted by tenant, then message id: tenant views skip the row groups of
+    # other tenants by their statistics; snowflake ids grow with time, so the
+    # statistics on created_at are tight too and time windows skip row groups.
+    w = (df.repartition(buckets, *key).write.mode("overwrite")
+         .bucketBy(buckets, *key).sortBy(*key).format("parquet"))
     if path:
         w = w.option("path", path)
     w.saveAsTable(table)
@@ -87,8 +81,6 @@ def refresh_rollups(messages: DataFrame, reactions: DataFrame, mentions: DataFra
     dates) only those days of ``daily_stats`` are rewritten, by dynamic
     partition overwrite; ``user_interactions`` spans all time per pair and
     is rewritten whole (per tenant and type partition)."""
-    spark = messages.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     ds_path = f"{root.rstrip('/')}/daily_stats/current"
     ui_path = f"{root.rstrip('/')}/user_interactions/current"
     m = messages
@@ -96,9 +88,11 @@ def refresh_rollups(messages: DataFrame, reactions: DataFrame, mentions: DataFra
         days = touched_days.select(F.col(touched_days.columns[0]).alias("_d")).distinct()
         m = m.join(days, F.to_date("created_at") == F.col("_d"), "left_semi")
     ds = daily_stats(m).withColumn("day_part", F.to_date("day"))
-    ds.repartition("tenant_id", "day_part").write.mode("overwrite") \
+    ds.hint("rebalance", "tenant_id", "day_part").write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic") \
         .partitionBy("tenant_id", "day_part").parquet(ds_path)
     ui = user_interactions(messages, reactions, mentions)
-    ui.repartition("tenant_id", "interaction_type").write.mode("overwrite") \
+    ui.hint("rebalance", "tenant_id", "interaction_type").write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic") \
         .partitionBy("tenant_id", "interaction_type").parquet(ui_path)
     return {"daily_stats": ds_path, "user_interactions": ui_path}

@@ -61,6 +61,7 @@ def tenant_session(spark: SparkSession, tables: Mapping[str, DataFrame],
         hidden = f"{tag}_{name}"
         df.createOrReplaceGlobalTempView(hidden)
         child.table(f"global_temp.{hidden}").createOrReplaceTempView(name)
+        spark.catalog.dropGlobalTempView(hidden)    # the child's view holds the plan
     return child
 
 

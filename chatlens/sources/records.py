@@ -49,11 +49,32 @@ REACTOR_PAGE_SCHEMA = T.StructType([T.StructField(n, t) for n, t in [
     ("users", T.ArrayType(REACTOR))]])
 
 
+REJECT = "_corrupt_record"
+
+
+def with_rejects(reader):
+    """A JSON reader that keeps lines that are no records in column REJECT."""
+    schema = T.StructType([*RECORD_SCHEMA.fields, T.StructField(REJECT, T.StringType())])
+    return reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECT)
+
+
+def split_rejects(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records, and the lines that are none (also those without an id). Spark
+    parses the whole line for both, so the input should be persisted."""
+    bad = F.col(REJECT).isNotNull() | F.col("id").isNull()
+    rejects = lines.filter(bad).select(F.coalesce(F.col(REJECT), F.to_json(F.struct(
+        *[f.name for f in RECORD_SCHEMA.fields]))).alias("value"))
+    return lines.filter(~bad).drop(REJECT), rejects
+
+
 def read_records(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Read a dump folder of message records with the explicit schema."""
+    """Read a dump folder of message records with the explicit schema. A JSON
+    line that is no record fails the job (a dump is loaded whole or not at
+    all); ``split_rejects`` of ``with_rejects(spark.read).json(path)`` sets
+    such lines aside instead."""
     reader = spark.read.schema(RECORD_SCHEMA)
     if fmt == "json":
-        return reader.option("mode", "PERMISSIVE").json(path)
+        return reader.option("mode", "FAILFAST").json(path)
     return reader.format(fmt).load(path)
 
 

@@ -3,39 +3,39 @@ batches only, so this adds no semantics): raw message records arriving as
 files in a dump folder are flattened by the same batch functions inside
 ``foreachBatch`` and appended first-write-wins to the parquet tables.
 
-Duplicates across micro-batches are dropped by message id within an event
-time watermark (``dropDuplicatesWithinWatermark``) and, for late copies,
-by the anti-join of ``insert_ignore`` against what is stored. The stream's
-checkpoint must live in a shared folder so a restarted driver or a lost
-executor resumes exactly where the last committed batch ended.
+A dump is not in time order, so there is no watermark: nothing is dropped for
+being old. Duplicates are dropped within a micro-batch by key and across them
+by the anti-join against what is stored. Lines that are no records are
+appended to ``rejects`` as text. The stream's checkpoint must live in a shared
+folder so a restarted driver or a lost executor resumes exactly where the last
+committed batch ended.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chatlens.operators.ingest import explode_mentions, normalize_messages
-from chatlens.sources.records import RECORD_SCHEMA
+from chatlens.sources.records import split_rejects, with_rejects
 
 
-def read_record_stream(spark: SparkSession, path: str, max_files: int = 100,
-                       watermark: str = "1 day") -> DataFrame:
-    s = (spark.readStream.schema(RECORD_SCHEMA).option("maxFilesPerTrigger", max_files)
-         .json(path))
-    # watermarks need TIMESTAMP; with the session at UTC the cast keeps the instant
-    s = s.withColumn("_event_time", F.col("created_at").cast("timestamp"))
-    return s.withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark(["id"])
+def read_record_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
+    return with_rejects(spark.readStream.option("maxFilesPerTrigger", max_files)).json(path)
+
+
+def _stored(spark: SparkSession, path: str) -> bool:
+    """Whether the table has been written before; any other failure of the
+    storage is raised."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
 
 
 def _append_new(batch: DataFrame, target: str, key: list[str]) -> None:
     spark = batch.sparkSession
-    try:
-        stored = spark.read.parquet(target).select(*key)
-        fresh = batch.join(stored, key, "left_anti")
-    except Exception:  # noqa: BLE001  (first batch: nothing stored yet)
-        fresh = batch
-    fresh.dropDuplicates(key).write.mode("append").partitionBy("tenant_id").parquet(target)
+    fresh = batch.dropDuplicates(key)
+    if _stored(spark, target):
+        fresh = fresh.join(spark.read.schema(batch.schema).parquet(target).select(*key), key, "left_anti")
+    fresh.write.mode("append").partitionBy("tenant_id").parquet(target)
 
 
 def start_ingest(records: DataFrame, tenant_id: str, out_root: str, checkpoint: str,
@@ -44,13 +44,15 @@ def start_ingest(records: DataFrame, tenant_id: str, out_root: str, checkpoint:
     root = out_root.rstrip("/")
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        batch = batch.persist()
+        whole = batch = batch.persist()
         try:
+            batch, rejects = split_rejects(batch)
+            rejects.write.mode("append").text(f"{root}/rejects")
             _append_new(normalize_messages(batch, tenant_id), f"{root}/messages", ["tenant_id", "id"])
             _append_new(explode_mentions(batch, tenant_id), f"{root}/message_mentions",
                         ["tenant_id", "message_id", "mentioned_user_id"])
         finally:
-            batch.unpersist()
+            whole.unpersist()
 
     w = records.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="1 minute")

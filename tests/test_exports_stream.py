@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from chatlens.plans import exports
@@ -56,6 +57,26 @@ def test_stream_ingest_is_idempotent(spark, small, tmp_path):
         F.sum("word_count")).first()[0]
 
 
+def test_stream_keeps_old_records_and_counts_rejects(spark, tmp_path):
+    """One file a batch, out of time order, one line cut short, one copy."""
+    from chatlens.sources.records import read_records
+    src, out = tmp_path / "dump", str(tmp_path / "tables")
+    src.mkdir()
+    days = [(1, "2024-06-01"), (2, "2024-01-05"), (3, "2024-02-01"), (2, "2024-01-05")]
+    for k, (i, d) in enumerate(days):
+        (src / f"{k}.json").write_text(json.dumps({"id": i, "guild_id": 1, "channel_id": 1,
+                                                   "content": "x", "created_at": f"{d}T00:00:00"}) + "\n"
+                                       + ('{"id": 9, "gui' if k == 1 else ""))
+        os.utime(src / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    q = start_ingest(read_record_stream(spark, str(src), max_files=1), "user_demotenant01", out,
+                     str(tmp_path / "ck"))
+    q.awaitTermination(300)
+    assert sorted(r.id for r in spark.read.parquet(out + "/messages").collect()) == [1, 2, 3]
+    assert [r.value for r in spark.read.text(out + "/rejects").collect()] == ['{"id": 9, "gui']
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_records(spark, str(src)).collect()
+
+
 def test_report_text_in_order(spark, small, tmp_path):
     from chatlens.plans.report import write_report, year_report
     write_report(year_report(small), str(tmp_path / "rep"))

@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as ent
+from chatlens.catalog import load_all
 from tests.conftest import SF_SMALL
 from tools.oracle_check import TABLES, rows_of
 
@@ -25,7 +26,7 @@ def test_entry_runs(spark):
     assert df.count() >= 0 and df.columns == ["username", "display_name", "message_count", "pct"]
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(load_all()))
 def test_query_matches_oracle(spark, con, name):
     sdf = QUERIES[name](spark, SF_SMALL)
     plan = sdf._jdf.queryExecution().executedPlan().toString()

@@ -23,7 +23,7 @@ def test_adjacent_windows_by_bucket(spark, small):
 
 
 def test_bucketed_layout_colocates_message_joins(spark, small, tmp_path):
-    """With the facts bucketed by message id, reactions ⋈ messages on the
+    """With the facts bucketed by tenant and message id, reactions ⋈ messages on the
     message id runs without shuffling either side (broadcast disabled to see
     the join). A second equality key (e.g. reactor = author) would need all
     keys for co-partitioning, so such joins still shuffle."""
@@ -34,8 +34,8 @@ def test_bucketed_layout_colocates_message_joins(spark, small, tmp_path):
     try:
         m = spark.table(save_bucketed(small.messages, "messages", 8, database=None))
         r = spark.table(save_bucketed(small.reactions, "reactions", 8, database=None))
-        j = r.join(m.select(F.col("id").alias("message_id"), "author_id", "channel_id"), "message_id")
-        p = _plan(j.groupBy("message_id").agg(F.count(F.lit(1)).alias("n")))
+        j = r.join(m.select(F.col("id").alias("message_id"), "author_id", "channel_id", "tenant_id"), ["tenant_id", "message_id"])
+        p = _plan(j.groupBy("tenant_id", "message_id").agg(F.count(F.lit(1)).alias("n")))
         assert "SortMergeJoin" in p and "Exchange" not in p
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -43,6 +43,9 @@ def test_no_row_crosses_tenants(spark, two_tenants):
     "SELECT 1; SELECT 2",
     "SELECT * FROM messages WHERE id IN (SELECT id FROM hidden_table)",
     "CACHE TABLE messages",
+    "SELECT o.* FROM (WITH hidden AS (SELECT 1 AS x) SELECT x FROM hidden) q CROSS JOIN hidden o",
+    "WITH a AS (SELECT * FROM b), b AS (SELECT 1 AS x) SELECT * FROM a",
+    "SELECT (WITH hidden AS (SELECT 1 AS x) SELECT max(x) FROM hidden) FROM hidden",
     "x" * 10_001,
 ])
 def test_refused(spark, two_tenants, sql):
@@ -57,6 +60,9 @@ def test_refused(spark, two_tenants, sql):
     "WITH c AS (SELECT channel_id, COUNT(*) n FROM messages GROUP BY 1) SELECT * FROM c",
     "SELECT resp_time FROM (SELECT 1 AS resp_time)",
     "SELECT 'DROP TABLE x; --' AS s",
+    "WITH a AS (WITH b AS (SELECT id FROM users) SELECT id FROM b), c AS (SELECT id FROM a) SELECT * FROM c JOIN a USING (id)",
+    "SELECT id, (SELECT max(id) FROM users) AS top FROM messages WHERE id IN (SELECT id FROM users)",
+    "SELECT * FROM VALUES (1), (2) AS v(x)",
     "SELECT id FROM messages INTERSECT SELECT id FROM messages",
 ])
 def test_accepted_and_capped(spark, two_tenants, sql):
@@ -66,10 +72,26 @@ def test_accepted_and_capped(spark, two_tenants, sql):
     assert truncated.first()[0] in (True, False)
 
 
+def test_only_views_of_the_session_are_read(spark, two_tenants):
+    """A catalog table behind the gate stays shut even if the name is allowed,
+    and sessions leave no global views behind."""
+    spark.range(3).write.mode("overwrite").saveAsTable("secret_t")
+    s = tenant.tenant_session(spark, two_tenants[0], TENANT)
+    for sql in ("SELECT * FROM secret_t", "SELECT o.* FROM (WITH secret_t AS (SELECT 1 AS x) "
+                "SELECT x FROM secret_t) q CROSS JOIN secret_t o"):
+        with pytest.raises(sql_gate.RefusedQuery):
+            sql_gate.safe_sql(s, sql)
+    with pytest.raises(sql_gate.RefusedQuery):
+        sql_gate.safe_sql(s, "SELECT * FROM secret_t", allowed={"secret_t"})
+    assert [t for t in spark.catalog.listTables("global_temp") if t.namespace == ["global_temp"]] == []
+    spark.sql("DROP TABLE secret_t")
+
+
 def test_row_cap_always_applies(spark, small):
     df, truncated = sql_gate.row_cap(small.messages.select("id"), 10)
     assert df.count() == 10 and truncated.first()[0] is True
     df2, truncated2 = sql_gate.row_cap(small.messages.select("id").limit(3), 10)
     assert df2.count() == 3 and truncated2.first()[0] is False
+    assert sql_gate.row_cap(small.messages.select("id"), 0)[0].count() == 0
     df3, _ = sql_gate.row_cap(small.messages.select("id"), 50_000)
     assert df3.count() == min(10_000, small.messages.count())
