@@ -44,7 +44,8 @@ from chatlens.llm.common import free_name, keep_table
 SAMPLE = 16             # one text in so many is looked at for frequent shingles
 FREQUENT = 200_000      # most of them, at most (8 bytes each)
 SMALL = 32              # nodes of a bucket that is compared pair by pair
-BLOCK = 256             # nodes of a block of a larger one
+BLOCK = 1024            # nodes of a block of a larger one, at most
+BLOCK_SHINGLES = 1 << 20    # shingles of a block, about
 ROUNDS = 6              # rounds of step 3 at most; step 4 does what they leave
 SEEN = 1 << 20          # nodes that a task remembers, to emit copies once
 
@@ -196,36 +197,48 @@ def _small_pairs(still: DataFrame) -> DataFrame:
     return x.join(y, "signature").filter("a < b and la <> lb").select("a", "b").distinct()
 
 
-def _large(still: DataFrame) -> DataFrame:
-    """Rows of the larger buckets but those whose nodes all share an earlier
-    bucket too: their pairs are met there."""
-    rows = still.filter(F.col("size") > SMALL).withColumn(
-        "earlier", F.lag("signature").over(Window.partitionBy("node").orderBy("signature")))
-    need = (rows.groupBy("signature")
-            .agg(F.min("earlier").alias("lo"), F.max("earlier").alias("hi"),
-                 F.count("earlier").alias("n"), F.count(F.lit(1)).alias("all"))
-            .filter("n < all or lo <> hi").select("signature"))
-    return rows.drop("earlier").join(need, "signature", "left_semi")
+def _large(still: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of the larger buckets: signature, node, aside, block and n_blocks
+    (of the nodes aside) and n_main_blocks. Of the nodes of a bucket that need
+    not be compared with each other the most are its main group (aside 0):
+    either its main component, or nodes that all share the same earlier bucket,
+    where they are met. A block holds as many nodes as keep its sets small."""
+    rows = (still.filter(F.col("size") > SMALL)
+            .withColumn("earlier", F.lag("signature").over(Window.partitionBy("node").orderBy("signature")))
+            .join(nodes.select("node", "n_shingles"), "node"))
+    shared = (rows.filter("earlier IS NOT NULL").groupBy("signature", "earlier").agg(F.count(F.lit(1)).alias("n"))
+              .groupBy("signature").agg(F.max(F.struct("n", "earlier")).alias("most")))
+    whole = (rows.groupBy("signature").agg(F.count(F.when(F.col("label") == F.col("main"), 1)).alias("n_main"),
+                                           F.max("n_shingles").alias("longest"))
+             .join(shared, "signature", "left"))
+    by_bucket = F.coalesce(F.col("most.n"), F.lit(0)) > F.col("n_main")
+    in_main = F.when(by_bucket, F.coalesce(F.col("earlier") == F.col("most.earlier"), F.lit(False))) \
+        .otherwise(F.col("label") == F.col("main"))
+    n_main = F.greatest(F.coalesce(F.col("most.n"), F.lit(0)), F.col("n_main"))
+    block = F.greatest(F.lit(BLOCK // 8), F.least(F.lit(BLOCK), F.floor(BLOCK_SHINGLES / F.col("longest"))))
+    return (rows.join(whole, "signature").filter(n_main < F.col("size"))
+            .withColumn("aside", F.when(in_main, 0).otherwise(1))
+            .withColumn("n_blocks", F.ceil((F.col("size") - n_main) / block))
+            .withColumn("n_main_blocks", F.ceil(n_main / block))
+            .withColumn("block", F.pmod(F.xxhash64("node", "signature"),
+                                        F.when(in_main, F.col("n_main_blocks")).otherwise(F.col("n_blocks"))))
+            .select("signature", "node", "label", "aside", "block", "n_blocks", "n_main_blocks"))
 
 
 def _block_links(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between nodes of different components of the larger buckets. Nodes
-    outside the main component meet each other and the main component, block
-    by block; of what a pair of blocks finds, a spanning forest leaves."""
-    aside = F.when(F.col("label") == F.col("main"), 0).otherwise(1)
-    sized = (large.withColumn("aside", aside).join(
-        large.groupBy("signature").agg(F.sum(aside).alias("n_aside")), "signature")
-        .withColumn("n_side", F.when(F.col("aside") == 1, F.col("n_aside")).otherwise(F.col("size") - F.col("n_aside")))
-        .withColumn("block", F.pmod(F.xxhash64("node", "signature"), F.ceil(F.col("n_side") / BLOCK)))
-        .withColumn("n_blocks", F.ceil(F.col("n_aside") / BLOCK)))
+    """Links between nodes of the larger buckets. Nodes aside meet each other
+    and the main group, block by block; of what a pair of blocks finds, a
+    spanning forest leaves."""
     others = F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)
     units = F.when(F.col("aside") == 0, F.transform(others, lambda o: F.struct(
         o.alias("first"), (-F.col("block") - 1).alias("second")))).otherwise(
         F.concat(F.transform(others, lambda o: F.struct(F.least("block", o).alias("first"),
                                                         F.greatest("block", o).alias("second"))),
-                 F.transform(F.sequence(F.lit(1).cast("long"), F.ceil((F.col("size") - F.col("n_aside")) / BLOCK)),
-                             lambda o: F.struct(F.col("block").alias("first"), (-o).alias("second")))))
-    met = (sized.withColumn("unit", F.explode(units))
+                 F.when(F.col("n_main_blocks") > 0, F.transform(
+                     F.sequence(F.lit(1).cast("long"), F.col("n_main_blocks")),
+                     lambda o: F.struct(F.col("block").alias("first"), (-o).alias("second")))).otherwise(
+                     F.array().cast("array<struct<first:bigint,second:bigint>>"))))
+    met = (large.withColumn("unit", F.explode(units))
            .select("signature", "unit.first", "unit.second", "node", "label").join(sets, "node"))
 
     def run(unit: pd.DataFrame) -> pd.DataFrame:
@@ -303,7 +316,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             break
 
     still = keep_table(_open(buckets, labels), "ngram-open")
-    large = keep_table(_large(still), "ngram-large")
+    large = keep_table(_large(still, nodes), "ngram-large")
     near = keep_table(_may_link(_small_pairs(still).join(tried, ["a", "b"], "left_anti"), nodes), "ngram-near")
     need = near.unionByName(large.select(F.col("node").alias("a"), F.col("node").alias("b")))
     sets = _with_sets(texts, need, nodes, sets)

@@ -95,7 +95,7 @@ def test_large_groups_chains_and_shared_passages(make, monkeypatch):
     """Buckets beyond SMALL and BLOCK, chains of copies, passages that many
     documents share without being similar."""
     monkeypatch.setattr(J, "SMALL", 6)
-    monkeypatch.setattr(J, "BLOCK", 8)
+    monkeypatch.setattr(J, "BLOCK", 16)
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(5000)}"
     rows, base = [], [word() for _ in range(120)]
