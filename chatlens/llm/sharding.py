@@ -19,7 +19,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.llm.common import free_name, local_table
+from chatlens.llm.common import free_name
 
 SLOTS = 65537           # a prime, over a hundred times the number of shards
 SHARDS = tuple(f"shard-{k:02d}" for k in range(64))
@@ -64,9 +64,11 @@ def place(df: DataFrame, key_col: str = "doc_id", spare_col: str | None = "text"
     key = F.col(f"`{key_col}`").cast("string")
     if spare_col:
         key = F.coalesce(key, F.md5(F.col(f"`{spare_col}`").cast("string")))
-    lookup = local_table(df.sparkSession,
-                         [(k, shards[s]) for k, s in enumerate(fill_table(shards, slots))],
-                         f"{slot_name} long,{shard_name} string")
+    # one literal that Spark unfolds: a plan with a row for each slot is costly
+    held = F.posexplode(F.split(F.lit(",".join(map(str, fill_table(shards, slots)))), ","))
+    lookup = df.sparkSession.range(1).select(held.alias("_at", "_shard")).select(
+        F.col("_at").cast("long").alias(slot_name),
+        F.element_at(F.array(*[F.lit(s) for s in shards]), F.col("_shard").cast("int") + 1).alias(shard_name))
     out = df.withColumn(slot_name, slot_of(F.coalesce(key, F.lit("")), slots))
     return (out.join(F.broadcast(lookup), slot_name)
             .select(*[F.col(f"`{c}`") for c in df.columns], slot_name, shard_name))
