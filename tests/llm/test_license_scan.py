@@ -42,5 +42,5 @@ def test_odd_rows_and_plan(make, odd):
 def test_planted_lines(spark):
     docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
     bare = lambda t: re.sub(r"[^a-z]+", " ", t.lower())
-    want = {r.doc_id for r in docs.collect() if re.search(r"\b(licensed|released) under\b", bare(r.text))}
+    want = {r.doc_id for r in docs.collect() if re.search(r"\b((licensed|released) under|all rights reserved)\b", bare(r.text))}
     assert {r.doc_id for r in X.scan(docs).filter("license is not null").collect()} == want
