@@ -7,7 +7,8 @@ the languages of that family others pick the language (votes, then margins).
 
 The models are fitted on the driver on a bounded sample of labelled rows: of
 each language the ``per_language`` rows whose id has the least hash, at most
-``max_rows`` together; only their sparse features leave the executors. All
+``max_rows`` together (of rows with the same id one teaches, the least by
+language and features); only their sparse features leave the executors. All
 else runs over all rows, in one narrow pass. Whole texts are read.
 
 Languages that FAMILIES does not name are a family of their own. A null text
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlens.llm.common import free_name
+from chatlens.llm.common import free_name, keep_table
 
 UND = "und"
 # ISO 639-1 codes of some language families.
@@ -41,6 +42,7 @@ FAMILIES = {
 DIM = 1 << 13           # hashed features
 PER_LANGUAGE = 400      # rows of a language in the sample
 MAX_ROWS = 4000         # rows of the sample
+PREFIX_HEX = 3          # digits of the id hashes that are counted to find those rows
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -148,13 +150,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learns from rows that are not held out and have a text and a language."""
     usable = docs.select(docs[id_col].alias("doc_id"), docs[lang_col].cast("string").alias("lang"),
                          docs[text_col].cast("string").alias("text")) \
-        .filter(F.col("lang").isNotNull() & (F.col("lang") != UND) & F.col("text").isNotNull()
-                & ~held_out(F.col("doc_id")))
-    n_langs = usable.select("lang").distinct().count()
-    each = max(1, min(per_language, max_rows // max(1, n_langs)))
-    # Spark keeps the first rows of a group before the shuffle already
-    by_hash = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    ids = (usable.select("doc_id", "lang").withColumn("_n", F.row_number().over(by_hash))
+        .filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UND)
+                & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    # a histogram of the hashes tells up to which prefix a language's rows are
+    # looked at, so few of them meet in the task that picks the first ones
+    hashed = usable.select("doc_id", "lang", F.md5(F.col("doc_id").cast("string")).alias("hash")) \
+        .withColumn("prefix", F.substring("hash", 1, PREFIX_HEX))
+    counts = keep_table(hashed.groupBy("lang", "prefix").agg(F.count(F.lit(1)).alias("n")), "language-counts")
+    each = max(1, min(per_language, max_rows // max(1, counts.select("lang").distinct().count())))
+    before = Window.partitionBy("lang").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+    bounds = (counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+              .filter(F.col("before") < each).groupBy("lang").agg(F.max("prefix").alias("last")))
+    by_hash = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    ids = (hashed.join(bounds, "lang").filter("prefix <= last").withColumn("_n", F.row_number().over(by_hash))
            .filter(F.col("_n") <= each).select("doc_id").distinct())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,7 +178,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sample = (usable.withColumn("doc_id", F.col("doc_id").cast("string"))
               .join(F.broadcast(ids.select(F.col("doc_id").cast("string").alias("doc_id"))), "doc_id", "left_semi")
               .mapInPandas(run, "doc_id string, lang string, at array<int>, value array<float>"))
-    rows = sorted(sample.collect(), key=lambda r: (r["lang"], r["doc_id"], list(r["at"]), list(r["value"])))[:max_rows]
+    once = sample.groupBy("doc_id").agg(F.min(F.struct("lang", "at", "value")).alias("row")).select("doc_id", "row.*")
+    rows = sorted(once.collect(), key=lambda r: (r["lang"], r["doc_id"]))
     x = np.zeros((len(rows), DIM), np.float32)
     for k, r in enumerate(rows):
         x[k, r["at"]] = r["value"]
