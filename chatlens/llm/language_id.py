@@ -157,10 +157,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     hashed = usable.select("doc_id", "lang", F.md5(F.col("doc_id").cast("string")).alias("hash")) \
         .withColumn("prefix", F.substring("hash", 1, PREFIX_HEX))
     counts = keep_table(hashed.groupBy("lang", "prefix").agg(F.count(F.lit(1)).alias("n")), "language-counts")
-    each = max(1, min(per_language, max_rows // max(1, counts.select("lang").distinct().count())))
+    n_langs = counts.select("lang").distinct().count()
+    each = max(1, min(per_language, max_rows // max(1, n_langs)))
     before = Window.partitionBy("lang").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     bounds = (counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
               .filter(F.col("before") < each).groupBy("lang").agg(F.max("prefix").alias("last")))
+    if n_langs <= max_rows:     # a row for each language
+        bounds = F.broadcast(bounds)
     by_hash = Window.partitionBy("lang").orderBy("hash", "doc_id")
     ids = (hashed.join(bounds, "lang").filter("prefix <= last").withColumn("_n", F.row_number().over(by_hash))
            .filter(F.col("_n") <= each).select("doc_id").distinct())
