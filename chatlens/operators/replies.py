@@ -240,7 +240,7 @@ def conversation_catalysts(messages: DataFrame, users: DataFrame, silence_min: i
     us = F.unix_micros(F.col("spark_time").cast("timestamp"))
     sb = F.floor(us / width).cast("long")
     sparks = sparks.withColumn("bucket", F.explode(F.array(sb, sb + 1)))
-    fu = stream.select(F.col("id").alias("f_id"), F.col("author_id").alias("f_author"),
+    fu = stream.select(F.col("author_id").alias("f_author"),
                        F.col("channel_id").alias("f_channel"), F.col("created_at").alias("f_time"))
     fu = fu.withColumn("bucket", F.floor(
         F.unix_micros(F.col("f_time").cast("timestamp")) / width).cast("long"))
@@ -249,7 +249,7 @@ def conversation_catalysts(messages: DataFrame, users: DataFrame, silence_min: i
     d = micros_between("spark_time", "f_time")
     j = j.filter((F.col("f_time") > F.col("spark_time")) & (d <= width))
     res = j.groupBy("spark_id", "spark_author").agg(
-        F.countDistinct("f_id").alias("follow_ups"), F.countDistinct("f_author").alias("responders"))
+        F.count(F.lit(1)).alias("follow_ups"), F.countDistinct("f_author").alias("responders"))
     ok = (F.col("follow_ups") >= min_followups) & (F.col("responders") >= min_responders)
     per = res.groupBy(F.col("spark_author").alias("uid")).agg(
         F.count(F.lit(1)).alias("spark_attempts"),
