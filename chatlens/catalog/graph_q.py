@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from chatlens.catalog.base import AS_OF, HUMANS, pct, ratio, register, since
+from chatlens.catalog.base import (
+    AS_OF, BOTH_WAYS, HUMANS, MUTUAL, REPLIED, between, pct, ratio, register, since, tally,
+)
 from chatlens.operators import graph as G
 
 EDGES = """(SELECT m.id AS reply_id, m.author_id AS replier_id, o.author_id AS original_author_id,
@@ -44,48 +46,34 @@ def _interaction_pairs(t):
     return G.interaction_pairs(t.messages_resolved, t.message_mentions, t.users, as_of=AS_OF, days=7)
 
 
-@register("best_friends", f"""
-SELECT u1.username AS user_1, u2.username AS user_2, COUNT(*) AS exchanges
-FROM {EDGES} e JOIN users u1 ON least(e.replier_id, e.original_author_id) = u1.id
-JOIN users u2 ON greatest(e.replier_id, e.original_author_id) = u2.id
-GROUP BY u1.id, u2.id, u1.username, u2.username ORDER BY exchanges DESC, u1.id, u2.id LIMIT 10""")
+@register("best_friends", between(
+    tally(REPLIED, "least(a, b) AS a", "greatest(a, b) AS b", where="a <> b"),
+    "user_1", "user_2", "exchanges", 10))
 def _best_friends(t):
     return G.best_friends(t.messages, t.users)
 
 
 @register("best_friends_balance", f"""
-WITH p AS (SELECT least(replier_id, original_author_id) AS a, greatest(replier_id, original_author_id) AS b,
-                  replier_id FROM {HEDGES} x),
-pc AS (SELECT a, b, COUNT(CASE WHEN replier_id = a THEN 1 END) AS a_to_b,
-              COUNT(CASE WHEN replier_id = b THEN 1 END) AS b_to_a, COUNT(*) AS total FROM p GROUP BY a, b)
-SELECT u1.username AS user_1, u2.username AS user_2, a_to_b, b_to_a, total, abs(a_to_b - b_to_a) AS imbalance
-FROM pc JOIN users u1 ON pc.a = u1.id JOIN users u2 ON pc.b = u2.id WHERE total >= 4
-ORDER BY total DESC, imbalance ASC, pc.a, pc.b LIMIT 10""")
+SELECT ua.username AS user_1, ub.username AS user_2, up AS a_to_b, down AS b_to_a, up + down AS total,
+       abs(up - down) AS imbalance
+FROM {MUTUAL} p JOIN {HUMANS} ua ON ua.id = lo JOIN {HUMANS} ub ON ub.id = hi
+WHERE up + down >= 4 ORDER BY total DESC, imbalance, lo, hi LIMIT 10""")
 def _best_friends_balance(t):
     return G.best_friends_balance(t.messages, t.users, min_total=4)
 
 
-_DIR = f"""rc AS (SELECT replier_id AS x, original_author_id AS y, COUNT(*) AS n FROM {{src}} s GROUP BY 1, 2)"""
-
-
 @register("reciprocity", f"""
-WITH {_DIR.format(src=HEDGES)}
-SELECT u1.username AS user_a, u2.username AS user_b, r1.n AS a_to_b, coalesce(r2.n, 0) AS b_to_a,
-       abs(r1.n - coalesce(r2.n, 0)) AS imbalance
-FROM rc r1 JOIN users u1 ON r1.x = u1.id JOIN users u2 ON r1.y = u2.id
-LEFT JOIN rc r2 ON r1.x = r2.y AND r1.y = r2.x
-WHERE r1.n >= 3 ORDER BY imbalance DESC, r1.x, r1.y LIMIT 10""")
+SELECT ua.username AS user_a, ub.username AS user_b, n AS a_to_b, back AS b_to_a, abs(n - back) AS imbalance
+FROM {BOTH_WAYS} p JOIN {HUMANS} ua ON ua.id = a JOIN {HUMANS} ub ON ub.id = b
+WHERE n >= 3 ORDER BY imbalance DESC, a, b LIMIT 10""")
 def _reciprocity(t):
     return G.reciprocity(t.messages, t.users, min_replies=3)
 
 
 @register("fan_relationships", f"""
-WITH {_DIR.format(src=EDGES)}
-SELECT u1.username AS fan, u2.username AS idol, r1.n AS fan_to_idol, coalesce(r2.n, 0) AS idol_to_fan,
-       r1.n - coalesce(r2.n, 0) AS imbalance
-FROM rc r1 JOIN users u1 ON r1.x = u1.id JOIN users u2 ON r1.y = u2.id
-LEFT JOIN rc r2 ON r1.x = r2.y AND r1.y = r2.x
-WHERE r1.n >= 3 ORDER BY imbalance DESC, r1.x, r1.y LIMIT 10""")
+SELECT ua.username AS fan, ub.username AS idol, n AS fan_to_idol, back AS idol_to_fan, n - back AS imbalance
+FROM {BOTH_WAYS} p JOIN users ua ON ua.id = a JOIN users ub ON ub.id = b
+WHERE n >= 3 ORDER BY imbalance DESC, a, b LIMIT 10""")
 def _fan_relationships(t):
     return G.fan_relationships(t.messages, t.users, min_replies=3)
 
@@ -119,16 +107,14 @@ def _selective_socializers(t):
 
 
 _MAG = f"""
-WITH um AS (SELECT m.author_id AS uid, COUNT(*) AS sent FROM messages m JOIN {HUMANS} h ON m.author_id = h.id
-            GROUP BY 1 HAVING COUNT(*) >= 50),
-rr AS (SELECT o.author_id AS uid, COUNT(*) AS n FROM messages m JOIN messages o ON m.reply_to_message_id = o.id
-       GROUP BY 1),
-mr AS (SELECT mentioned_user_id AS uid, COUNT(*) AS n FROM message_mentions GROUP BY 1),
-x AS (SELECT um.uid, u.username, um.sent, coalesce(rr.n, 0) AS replies_received,
-             coalesce(mr.n, 0) AS mentions_received
-      FROM um JOIN users u ON um.uid = u.id LEFT JOIN rr ON um.uid = rr.uid LEFT JOIN mr ON um.uid = mr.uid)
-SELECT uid, username, sent, replies_received, mentions_received,
-       replies_received + mentions_received AS total_engagement,
+WITH got AS (SELECT id, COUNT(*) FILTER (reply) AS replies, COUNT(*) FILTER (NOT reply) AS tags
+             FROM (SELECT b AS id, true AS reply FROM {REPLIED} r
+                   UNION ALL SELECT mentioned_user_id, false FROM message_mentions) x GROUP BY id),
+x AS (SELECT id AS uid, username, n AS sent, coalesce(replies, 0) AS replies_received,
+             coalesce(tags, 0) AS mentions_received
+      FROM {tally('messages', 'author_id AS id')} wrote JOIN {HUMANS} h USING (id) LEFT JOIN got USING (id)
+      WHERE n >= 50)
+SELECT *, replies_received + mentions_received AS total_engagement,
        {ratio('replies_received + mentions_received', 'sent', 2)} AS engagement_ratio FROM x"""
 
 
@@ -146,18 +132,16 @@ def _low_engagement(t):
 
 
 @register("late_night_crew", f"""
-SELECT u1.username AS user_1, u2.username AS user_2, COUNT(*) AS exchanges
-FROM {HEDGES} e JOIN users u1 ON least(e.replier_id, e.original_author_id) = u1.id
-JOIN users u2 ON greatest(e.replier_id, e.original_author_id) = u2.id
-WHERE hour(e.reply_at) BETWEEN 0 AND 5
-GROUP BY u1.id, u2.id, u1.username, u2.username ORDER BY exchanges DESC, u1.id, u2.id LIMIT 5""")
+SELECT ua.username AS user_1, ub.username AS user_2, n AS exchanges
+FROM {tally(REPLIED, 'least(a, b) AS a', 'greatest(a, b) AS b', where='a <> b AND hour(ts) < 6')} p
+JOIN {HUMANS} ua ON ua.id = a JOIN {HUMANS} ub ON ub.id = b ORDER BY n DESC, a, b LIMIT 5""")
 def _late_night_crew(t):
     return G.late_night_crew(t.messages, t.users)
 
 
 @register("wrapped_users", f"""
-SELECT u.id, u.username, COUNT(*) AS msg_count FROM messages m JOIN {HUMANS} u ON m.author_id = u.id
-GROUP BY u.id, u.username HAVING COUNT(*) >= 50 ORDER BY msg_count DESC, u.id LIMIT 10""")
+SELECT id, username, n AS msg_count FROM {tally('messages', 'author_id AS id')} wrote JOIN {HUMANS} h USING (id)
+WHERE n >= 50 ORDER BY n DESC, id LIMIT 10""")
 def _wrapped_users(t):
     return G.wrapped_users(t.messages, t.users, min_messages=50)
 
