@@ -47,7 +47,9 @@ SMALL = 32              # nodes of a bucket that is compared pair by pair
 BLOCK = 1024            # nodes of a block of a larger one, at most
 BLOCK_SHINGLES = 1 << 20    # shingles of a block, about
 ROUNDS = 6              # rounds of step 3 at most; step 4 does what they leave
-SEEN = 1 << 20          # nodes that a task remembers, to emit copies once
+SEEN = 1 << 20          # nodes or texts that a task remembers, to emit copies once
+MAP_BITS = 1 << 27      # bits of a map of keys, at most (16 MB); it moves work, never results
+CHUNK = 1 << 15         # bits of a map that are put together in one row
 
 
 def _frequent(texts: DataFrame) -> np.ndarray:
@@ -103,15 +105,57 @@ def _buckets(described: DataFrame) -> DataFrame:
             .filter("lo <> hi").select("signature", "node").distinct())
 
 
-def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles as bytes) of ``nodes`` (node, text_key)."""
+def _key_map(keys: DataFrame, col: str) -> np.ndarray:
+    """A map of bits, set where a key of ``keys`` falls, 16 for a key or
+    ``MAP_BITS``. Rows whose bit is not set need not be shuffled to a join with
+    ``keys``; the join still decides on the others."""
+    bits, wanted = CHUNK, min(16 * keys.count(), MAP_BITS)
+    while bits < wanted:
+        bits *= 2
+    rows = (keys.select(F.pmod(col, F.lit(bits)).alias("bit"))
+            .groupBy(F.floor(F.col("bit") / CHUNK).alias("chunk"))
+            .agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(CHUNK))).alias("set")).collect())
+    out = np.zeros((bits // CHUNK, CHUNK // 8), np.uint8)
+    for chunk, some in rows:
+        out[chunk] = np.frombuffer(some, np.uint8)
+    return out.reshape(-1)
+
+
+def _on_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys % (len(bits) * 8)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _perhaps_in(bits: np.ndarray):
+    @F.pandas_udf("boolean")
+    def test(keys: pd.Series) -> pd.Series:
+        return pd.Series(_on_map(bits, keys.to_numpy()))
+
+    return test
+
+
+def _sets(texts: DataFrame, need: DataFrame) -> DataFrame:
+    """(node, shingles as bytes) of ``need`` (node, text_key). Of the texts
+    only the sets that may be needed are shuffled, copies once a task."""
+    bits = _key_map(need, "text_key")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for b in batches:
-            yield pd.DataFrame({"node": b["node"], "shingles": [S.shingle_set(t).tobytes() for t in b["text"]]})
-
-    found = texts.select("text_key", "text").join(nodes.select("node", "text_key"), "text_key")
-    return (found.select("node", "text").mapInPandas(run, "node long, shingles binary")
-            .dropDuplicates(["node"]))
+            keys, nodes, sets = b["text_key"].to_numpy(), [], []
+            for i in np.flatnonzero(_on_map(bits, keys)).tolist():
+                if int(keys[i]) in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(int(keys[i]))
+                s = S.shingle_set(b["text"].iat[i])
+                nodes.append(S.digest(s)[0])
+                sets.append(s.tobytes())
+            yield pd.DataFrame({"node": np.array(nodes, np.int64), "shingles": pd.Series(sets, dtype=object)})
+
+    found = texts.select("text_key", "text").mapInPandas(run, "node long, shingles binary")
+    return found.join(need.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _both(pairs: DataFrame, of_nodes: DataFrame, *cols: str) -> DataFrame:
@@ -137,7 +181,17 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return pd.Series([S.linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
                           for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    return _both(pairs, sets, "shingles").filter(test("shingles_a", "shingles_b")).select("a", "b")
+    both = _both(pairs, _only(sets, _ends(pairs)), "shingles")
+    return both.filter(test("shingles_a", "shingles_b")).select("a", "b")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+
+def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``sets`` without most of those that a join with ``nodes`` drops."""
+    return sets.filter(_perhaps_in(_key_map(nodes, "node"))("node"))
 
 
 def _distinct_buckets(buckets: DataFrame) -> DataFrame:
@@ -335,7 +389,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def _with_sets(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, sets: DataFrame | None) -> DataFrame:
     """``sets`` and those of the nodes of ``pairs`` that it lacks."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    need = _ends(pairs).distinct()
     if sets is not None:
         need = need.join(sets, "node", "left_anti")
     need = keep_table(need.join(nodes.select("node", "text_key"), "node"), "ngram-needed")
@@ -349,24 +403,26 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``docs`` with one row of each component: that of the smallest id (null
     ids last; of equal ids the least hash of the text, of equal rows any one).
     Rows with an empty set all stay. Which rows leave is settled on ids and
-    hashes; of the texts, only those are shuffled that Spark can't filter by a
-    broadcast list."""
+    hashes; only texts that may leave, or stay once of several, are shuffled."""
     placed = keep_table(join(docs, id_col, text_col).filter("n_shingles > 0")
                         .groupBy("component", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies")),
                         "ngram-placed")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     best = placed.groupBy("component").agg(F.min(order).alias("best"))
-    rated = placed.join(best, "component").withColumn("stays", order == F.col("best"))
-    leaving = keep_table(rated.filter("not stays").select("doc_id", "text_key"), "ngram-leaving")
-    repeated = keep_table(rated.filter("stays and copies > 1").select("doc_id", "text_key"), "ngram-repeated")
+    rated = (placed.join(best, "component").withColumn("stays", order == F.col("best"))
+             .filter("not stays or copies > 1").select("doc_id", "text_key", "stays"))
+    listed = keep_table(rated, "ngram-listed")
+    leaving, repeated = listed.filter("not stays"), listed.filter("stays")
     tid, tkey = free_name(docs, "_id"), free_name(docs, "_text_key")
     keyed = docs.withColumn(tid, docs[id_col]).withColumn(tkey, F.xxhash64(docs[text_col].cast("string")))
+    perhaps = _perhaps_in(_key_map(listed, "text_key"))(F.col(tkey))
 
     def on(rows: DataFrame):
         return (F.col(tkey) == rows["text_key"]) & F.col(tid).eqNullSafe(rows["doc_id"])
 
-    out = keyed.join(leaving, on(leaving), "left_anti")
+    some = keyed.filter(perhaps)
+    some = some.join(leaving, on(leaving), "left_anti")
     if not repeated.isEmpty():
-        one = out.join(repeated, on(repeated), "left_semi").dropDuplicates([tid, tkey])
-        out = out.join(repeated, on(repeated), "left_anti").unionByName(one)
-    return out.drop(tid, tkey)
+        one = some.join(repeated, on(repeated), "left_semi").dropDuplicates([tid, tkey])
+        some = some.join(repeated, on(repeated), "left_anti").unionByName(one)
+    return keyed.filter(~perhaps).unionByName(some).drop(tid, tkey)
