@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from chatlens.llm import ngram_join as J
@@ -144,3 +145,13 @@ def test_entry_query_reads_everything(spark):
     n = spark.read.parquet(f"{SF_MID}/documents.parquet").count()
     df = op7_ngram_jaccard(spark, SF_MID)
     assert df.columns == ["doc_id", "n_shingles", "component_id"] and df.count() == n
+
+
+def test_key_map_holds_every_key(spark):
+    rng = np.random.default_rng(5)
+    keys = rng.integers(-2 ** 63, 2 ** 63, 6000, dtype=np.int64)
+    table = spark.createDataFrame(pd.DataFrame({"k": np.concatenate([keys, keys[:50]])}))
+    bits = J._key_map(table, "k")
+    assert J._on_map(bits, keys).all()
+    assert J._on_map(bits, rng.integers(-2 ** 63, 2 ** 63, 6000, dtype=np.int64)).mean() < 0.1
+    assert not J._on_map(J._key_map(table.limit(0), "k"), keys).any()
