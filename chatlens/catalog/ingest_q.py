@@ -272,7 +272,7 @@ SELECT tenant_id, id, server_id, name, type, parent_id, topic, position, is_nsfw
        is_archived, last_synced_at FROM channels""")
 def _normalize_legacy(t):
     old = t.channels.withColumnsRenamed({"id": "channel_id", "type": "channel_type"}) \
-        .drop("tenant_id")
+        .drop("tenant_id", "is_archived")
     return G.normalize_legacy({"channels": old}, TENANT)["channels"]
 
 

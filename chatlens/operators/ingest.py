@@ -139,19 +139,23 @@ def users_from_records(records: DataFrame, tenant_id: str, pages: DataFrame | No
 
 
 def normalize_legacy(tables: dict[str, DataFrame], tenant_id: str) -> dict[str, DataFrame]:
-    """Rename the older per-user schema to the current one; missing columns
-    become NULL (``conform``)."""
+    """Rename the older per-user schema to the current one. Of the columns it
+    lacks, flags are false, the others NULL (``conform``); the time of the
+    last sync is that of its completion."""
     ren = {
         "servers": {"server_id": "id"}, "users": {"user_id": "id"},
         "channels": {"channel_id": "id", "channel_type": "type"},
         "messages": {"message_id": "id"}, "emojis": {"emoji_id": "id"},
-        "reactions": {"created_at": "reacted_at"},
+        "reactions": {"created_at": "reacted_at"}, "sync_state": {"last_sync_at": "completed_at"},
     }
+    flags = {"channels": "is_archived", "messages": "has_poll", "reactions": "is_super_reaction"}
     out = {}
     for name, df in tables.items():
         d = df.withColumnsRenamed({k: v for k, v in ren.get(name, {}).items() if k in df.columns})
         if "tenant_id" not in d.columns:
             d = d.withColumn("tenant_id", F.lit(tenant_id))
+        if name in flags and flags[name] not in d.columns:
+            d = d.withColumn(flags[name], F.lit(False))
         out[name] = conform(d, name)
     return out
 

@@ -172,3 +172,19 @@ def test_load_batch_rebuilds_tables_and_is_idempotent(spark, small, tmp_path):
     none = load_batch(start, recs, pages, "user_demotenant01", "", sync_days=0,
                       as_of="2024-01-31 00:00:00", write=False)
     assert none["messages"].count() == 0
+
+
+def test_legacy_flags_and_sync_time(spark):
+    old = {
+        "channels": spark.sql("SELECT 5L AS channel_id, 1L AS server_id, 'a' AS name, 0 AS channel_type"),
+        "messages": spark.sql("SELECT 9L AS message_id, 7L AS author_id, 5L AS channel_id, 'x' AS content"),
+        "reactions": spark.sql("SELECT 9L AS message_id, 3 AS emoji_id, 7L AS user_id, "
+                               "TIMESTAMP_NTZ '2024-01-02 03:04:05' AS created_at"),
+        "sync_state": spark.sql("SELECT 1 AS id, 1L AS server_id, 5L AS channel_id, 9L AS last_message_id, "
+                                "TIMESTAMP_NTZ '2024-01-03 00:00:00' AS last_sync_at"),
+    }
+    new = {k: v.first() for k, v in G.normalize_legacy(old, "t").items()}
+    assert (new["channels"].id, new["channels"].is_archived) == (5, False)
+    assert (new["messages"].id, new["messages"].has_poll, new["messages"].thread_id) == (9, False, None)
+    assert new["reactions"].is_super_reaction is False and str(new["reactions"].reacted_at) == "2024-01-02 03:04:05"
+    assert str(new["sync_state"].completed_at) == "2024-01-03 00:00:00"
