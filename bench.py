@@ -84,7 +84,8 @@ def main():
         from chatlens.sources.fixtures import ORACLE_PREFIX
         # the roll-up query recomputes the roll-up in both engines (its
         # registered body only reads the stored one)
-        ui_def = ORACLE_PREFIX.split("user_interactions AS (", 1)[1].split("),\napp_users AS (", 1)[0]
+        ui_def = ("WITH acts AS (" + ORACLE_PREFIX.split("\nacts AS (", 1)[1].split(",\napp_users AS (", 1)[0]
+                  + "\nSELECT * FROM user_interactions")
         for name in HEADLINE:
             body = reg[name].body
             if name == "user_interactions":
