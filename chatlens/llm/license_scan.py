@@ -1,9 +1,13 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences (at line ends and after ``. ; ! ?`` with a space).
-Sentences that hold a licence word are normalised: lower case, everything but
-ASCII letters, digits and inner dots becomes one space. A normalised sentence
-that is known has an identifier. The identifiers of a text, in order, are
+A text is cut into parts (at line ends and after ``. ; ! ?`` with a space).
+Parts are normalised: lower case, everything but ASCII letters, digits and
+inner dots becomes one space, which takes comment signs away. A known sentence
+fills one part or several that follow each other over line ends or semicolons,
+so wrapped lines do no harm; it does not reach over blank lines (also those of
+a comment) or over the end of a sentence (``. ! ?``). Of the known sentences
+that start at a part the longest counts; each has an identifier.
+The identifiers of a text, in order, are
 matched against ordered rules: a rule matches if its identifiers follow each
 other in the sequence (unknown sentences in between do not count). The first
 rule that matches gives the licence; the licences of all matching rules are
@@ -11,7 +15,8 @@ listed in rule order. Identifiers that are known but that no rule explains
 give the licence ``unclear``.
 
 The sentence and rule tables are parameters of fixed size and are compared in
-expressions; only built-in functions, one narrow pass, no shuffle. Whole texts
+expressions (the sentences as one regular expression). The DuckDB twin knows
+sentences within one part only, so it has no wrapped ones. Only built-in functions, one narrow pass, no shuffle. Whole texts
 are read. Null and empty texts have no sentence. A row in gives a row out.
 """
 
@@ -54,6 +59,57 @@ SENTENCES = {
     " permission": "BSD_ENDORSE",
     "all rights reserved": "ARR",
 }
+# The same sentences in the full wording of the public texts.
+SENTENCES |= {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software"
+    " and associated documentation files the software to deal in the software without restriction"
+    " including without limitation the rights to use copy modify merge publish distribute sublicense"
+    " and or sell copies of the software and to permit persons to whom the software is furnished to"
+    " do so subject to the following conditions": "MIT_GRANT_SHORT",
+    "the above copyright notice and this permission notice including the next paragraph shall be"
+    " included in all copies or substantial portions of the software": "MIT_NOTICE",
+    "the software is provided as is without warranty of any kind express or implied including but"
+    " not limited to the warranties of merchantability fitness for a particular purpose and"
+    " noninfringement": "AS_IS",
+    "apache license version 2.0 january 2004": "APACHE2_REF",
+    "the asf licenses this file to you under the apache license version 2.0 the license": "APACHE2_REF",
+    "gnu general public license version 3 29 june 2007": "GPL3_REF",
+    "gnu general public license version 2 june 1991": "GPL2_REF",
+    "gnu lesser general public license version 3 29 june 2007": "LGPL3_REF",
+    "gnu lesser general public license version 2.1 february 1999": "LGPL21_REF",
+    "gnu affero general public license version 3 19 november 2007": "AGPL3_REF",
+    "this source code form is subject to the terms of the mozilla public license v": "MPL2_REF",
+    "permission to use copy modify and or distribute this software for any purpose with or without"
+    " fee is hereby granted provided that the above copyright notice and this permission notice"
+    " appear in all copies": "ISC_GRANT",
+    "permission to use copy modify and distribute this software for any purpose with or without"
+    " fee is hereby granted provided that the above copyright notice and this permission notice"
+    " appear in all copies": "ISC_GRANT",
+}
+for _place in ("http www.apache.org licenses license 2.0", "https www.apache.org licenses license 2.0"):
+    SENTENCES["you may obtain a copy of the license at " + _place] = "APACHE_COPY"
+for _owner in ("the copyright holders", "the copyright owner", "the author", "the authors", "the project",
+               "the organization", "the university", "the company"):
+    SENTENCES[f"neither the name of {_owner} nor the names of its contributors may be used to endorse or"
+              " promote products derived from this software without specific prior written"
+              " permission"] = "BSD_ENDORSE"
+for _what in ("this program", "this library", "this file", "this software", "this package", "it", "foobar"):
+    for _name, _version, _ident in (
+            ("", "3", "GPL3_REF"), ("", "2", "GPL2_REF"), ("lesser ", "3", "LGPL3_REF"),
+            ("lesser ", "2.1", "LGPL21_REF"), ("affero ", "3", "AGPL3_REF")):
+        _grant = (f"{_what} is free software you can redistribute it and or modify it under the terms of the gnu"
+                  f" {_name}general public license")
+        SENTENCES[f"{_grant} as published by the free software foundation either version {_version} of the"
+                  " license or at your option any later version"] = _ident
+        SENTENCES[f"{_grant} as published by the free software foundation version {_version}"] = _ident
+        SENTENCES[f"{_grant} as published by the free software foundation version {_version} of the"
+                  " license"] = _ident
+        SENTENCES[f"{_grant} version {_version} as published by the free software foundation"] = _ident
+for _kind, _ident in (("attribution", "CCBY_REF"), ("attribution sharealike", "CCBYSA_REF"),
+                      ("attribution noncommercial", "CCBYNC_REF"),
+                      ("attribution noncommercial noderivatives", "CCBYNCND_REF")):
+    for _the in ("a", "the"):
+        SENTENCES[f"this work is licensed under {_the} creative commons {_kind} 4.0 international license"] = _ident
 # Rules in order of precedence: identifiers in sequence, licence, class.
 RULES = (
     (("MIT_GRANT_SHORT", "MIT_NOTICE", "AS_IS"), "MIT", "permissive"),
@@ -62,6 +118,10 @@ RULES = (
     (("GPL_GRANT",), "GPL", "copyleft"),
     (("GPL3_REF",), "GPL-3.0", "copyleft"),
     (("GPL2_REF",), "GPL-2.0", "copyleft"),
+    (("AGPL3_REF",), "AGPL-3.0", "copyleft"),
+    (("LGPL3_REF",), "LGPL-3.0", "copyleft"),
+    (("LGPL21_REF",), "LGPL-2.1", "copyleft"),
+    (("MPL2_REF",), "MPL-2.0", "copyleft"),
     (("CCBYNCND_REF",), "CC-BY-NC-ND-4.0", "noncommercial"),
     (("CCBYNC_REF",), "CC-BY-NC-4.0", "noncommercial"),
     (("CCBYSA_REF",), "CC-BY-SA-4.0", "copyleft"),
@@ -71,27 +131,31 @@ RULES = (
     (("MIT_REF",), "MIT", "permissive"),
     (("MIT_GRANT_SHORT",), "MIT", "permissive"),
     (("BSD_GRANT",), "BSD-2-Clause", "permissive"),
+    (("ISC_GRANT",), "ISC", "permissive"),
     (("ARR",), "all-rights-reserved", "closed"),
 )
 CUE = "(?i)licen[sc]e|permission|permitted|copyright|warranty|redistribut|compliance|rights"
-SENTENCE_END = r"\n|(?<=[.;!?])[\x20\x09\x0B-\x0D]+"
+SENTENCE_END = r"(?<=[.!?])[\x20\x09-\x0D]+"
+PART_END = r"(?<=;)[\x20\x09\x0B-\x0D]+"
 
 
 def _literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _identifiers(text: Column, sentences: dict[str, str]) -> Column:
-    known = F.create_map(*[F.lit(x) for kv in sentences.items() for x in kv])
+def _parts(text: Column) -> Column:
+    """Normalised parts, one a line; a blank line where a sentence can't go on."""
+    cut = F.regexp_replace(F.regexp_replace(F.lower(text), SENTENCE_END, "\n\n"), PART_END, "\n")
+    plain = F.regexp_replace(cut, r"[^a-z0-9.\n]+", " ")
+    return F.btrim(F.regexp_replace(F.regexp_replace(plain, r"\.+(?=[ \n]|\z)", ""), " *\n *", "\n"))
 
-    def normal(s: Column) -> Column:
-        plain = F.regexp_replace(F.lower(s), r"[^a-z0-9.]+", " ")
-        return F.btrim(F.regexp_replace(plain, r"\.+(?= |$)", ""))
 
-    parts = F.split(text, SENTENCE_END)
-    cued = F.filter(parts, lambda s: s.rlike(CUE))
-    return F.filter(F.transform(cued, lambda s: F.element_at(known, normal(s))),
-                    lambda i: i.isNotNull())
+def _identifiers(text: Column, sentences: dict[str, str]) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in sentences.items() for x in kv])
+    longest = sorted(sentences, key=lambda s: (-len(s), s))
+    any_of = "|".join(s.replace(".", "\\.").replace(" ", "[ \n]") for s in longest)
+    found = F.regexp_extract_all(_parts(text), F.lit(rf"(?<![^\n])(?:{any_of})(?![^\n])"), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n", " ")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

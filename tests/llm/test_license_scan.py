@@ -44,3 +44,88 @@ def test_planted_lines(spark):
     bare = lambda t: re.sub(r"[^a-z]+", " ", t.lower())
     want = {r.doc_id for r in docs.collect() if re.search(r"\b((licensed|released) under|all rights reserved)\b", bare(r.text))}
     assert {r.doc_id for r in X.scan(docs).filter("license is not null").collect()} == want
+
+
+MIT = '''MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+'''
+BSD = '''Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+'''
+BSD3 = BSD + '''
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+'''
+GPL = '''This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU {1}General Public License as published by
+the Free Software Foundation{2} either version {3} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+'''
+APACHE = '''Licensed under the Apache License, Version 2.0 (the "License"); you may
+not use this file except in compliance with the License. You may obtain
+a copy of the License at
+
+     http://www.apache.org/licenses/LICENSE-2.0
+'''
+ISC = '''Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+'''
+MPL = '''This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+'''
+CANON = [(MIT, "MIT_GRANT_SHORT,MIT_NOTICE,AS_IS", "MIT"), (BSD, "ARR,BSD_GRANT", "BSD-2-Clause"),
+         (BSD3, "ARR,BSD_GRANT,BSD_ENDORSE", "BSD-3-Clause"), (GPL.format(":", "", ",", "3"), "GPL3_REF", "GPL-3.0"),
+         (GPL.format(";", "", ";", "2"), "GPL2_REF", "GPL-2.0"),
+         (GPL.format(":", "Affero ", ",", "3"), "AGPL3_REF", "AGPL-3.0"),
+         (GPL.format(";", "Lesser ", ";", "2.1"), "LGPL21_REF", "LGPL-2.1"),
+         (APACHE, "APACHE2_REF,APACHE_COMPLY,APACHE_COPY", "Apache-2.0"), (ISC, "ISC_GRANT", "ISC"),
+         (MPL, "MPL2_REF", "MPL-2.0"),
+         ("This work is licensed under the GNU General Public\nLicense, version 3.", "GPL3_REF", "GPL-3.0"),
+         ("All rights.\nReserved. All rights\n\nreserved. All rights\n*\nreserved", "", None)]
+
+
+def _wrapped(text, n):
+    """Each paragraph wrapped anew, one word a line for n = 1."""
+    import textwrap
+    return "\n\n".join(textwrap.fill(p, n, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+
+
+def test_wrapped_public_texts(make):
+    forms = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: _wrapped(t, 30), lambda t: _wrapped(t, 1),
+             lambda t: _wrapped(t, 10**6), lambda t: "/*\n" + re.sub("(?m)^", " * ", t) + "\n */",
+             lambda t: re.sub("(?m)^", "# ", t), lambda t: re.sub("(?m)^", "// ", t)]
+    cases = [(form(t), s, lic) for t, s, lic in CANON[:-1] for form in forms
+             if not (t is BSD or t is BSD3) or "_wrapped" not in form.__code__.co_names]
+    cases += [(t, s, lic) for t, s, lic in CANON[-1:]]
+    got = {r.doc_id: (r.sequence, r.license) for r in X.scan(make([(k, t) for k, (t, _, _) in enumerate(cases)])).collect()}
+    assert got == {k: (s, lic) for k, (_, s, lic) in enumerate(cases)}
