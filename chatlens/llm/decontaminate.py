@@ -1,22 +1,23 @@
-"""Benchmark decontamination by spaced seeds.
+"""Benchmark decontamination by seeds that miss nothing.
 
 Texts and benchmark items are reduced to words: lower case, everything but
-letters, digits and white space removed. At each position of a text the masks
-of ``MASKS`` pick some of the next words and skip the others; the hash of the
-picked words is a seed, so a changed word at a skipped position does no harm.
-Seeds of the text are joined with the seeds of the items. A meeting fixes how
-item and text lie against each other; there the text's words are compared
-with the item's one by one. The document is contaminated if some stretch of
-``STRETCH`` words of the item (the whole item, if shorter) agrees in at least
-``SHARE`` percent of its words.
+letters, digits and white space removed. A document is contaminated by an item
+if some stretch of ``STRETCH`` words of the item (the whole item, if shorter)
+agrees in at least ``SHARE`` percent of its words with the words that lie
+against it. So a stretch may have some changed words; cut into one block more
+than that, it has a block without a change. Blocks are the seeds: of an item
+shorter than a stretch the blocks that it is cut into, of a longer one the
+words from every position on that make a block. Hashes of the seeds of a text,
+from each of its positions on, are joined with those of the items. A meeting
+fixes how item and text lie against each other; there the text's words are
+compared with the item's one by one.
 
 Only built-in functions. The seeds of the benchmark are broadcast behind a
 check of their number; then only the part of a text that lies against an item
 leaves the scan. Beyond it seeds are joined by shuffle, and the texts that
 have hits are looked up again by a hash of the text.
 
-Items of fewer words than a mask spans use the dense mask of ``SHORT_SPAN``
-words; items with fewer words than that are too short to tell and match
+Items of fewer words than ``SHORT_SPAN`` are too short to tell and match
 nothing, as do null and empty texts and items. Repeated item ids are fine:
 each row is an item of its own. Documents with the same id (also null) share
 one result row.
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 
 from chatlens.llm.common import SPACES, WORD_GAP, free_name, keep_table, pin
 
-# Fixed masks of one span: 1 picks a word, 0 skips it.
-MASKS = ("1110100111", "1101110011", "1011011101")
+# Fixed mask of the seeds of long items: the words of a block, which are the
+# most that changes anywhere in a stretch leave side by side.
+MASKS = ("1111",)
 SHORT_SPAN = 5
 STRETCH = 20
 SHARE = 80
@@ -44,28 +46,53 @@ def plain_words(text: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, WORD_GAP))
 
 
-def _seed(words: str, at: str, mask: str, number: int) -> Column:
-    """Hash of the words that a mask picks from (0-based) position ``at`` on."""
-    return F.xxhash64(F.lit(number), *[F.get(F.col(words), F.col(at) + k)
-                                       for k, c in enumerate(mask) if c == "1"])
-
-
-def _seeds(df: DataFrame, masks: list[tuple[int, str]], out: str, at: str) -> DataFrame:
-    """A row for each position and mask of the array ``words``. Where a mask
-    reaches beyond the end, its seed is that of fewer words, which no item has.
+def blocks(n: int) -> list[tuple[int, int]]:
+    """Start and words of the blocks of an item of ``n`` words: more blocks of a
+    stretch than it may have changes."""
+    span = len(MASKS[0])
+    if n >= STRETCH:
+        return [(at, span) for at in range(n - span + 1)]
+    parts = n * (100 - SHARE) // 100 + 1
+    ends = [-(-n * k // parts) for k in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _seed(words: str, at: str, size: int) -> Column:
+    """Hash of ``size`` words from (0-based) position ``at`` on."""
+    return F.xxhash64(F.lit(size), *[F.get(F.col(words), F.col(at) + k) for k in range(size)])
+
+
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """item_key, item_at, size (words of the block), seed."""
+    n, span = F.size("words"), len(MASKS[0])
+    block = lambda at, size: F.struct(F.lit(at).alias("item_at"), F.lit(size).alias("size"))
+    cut = F.when(n >= STRETCH, F.transform(F.sequence(F.lit(0), n - span), lambda at: F.struct(
+        at.alias("item_at"), F.lit(span).alias("size"))))
+    for k in range(SHORT_SPAN, STRETCH):
+        cut = cut.when(n == k, F.array(*[block(*b) for b in blocks(k)]))
+    sizes = sorted({size for k in range(SHORT_SPAN, STRETCH + 1) for _, size in blocks(k)})
+    at = items.filter(n >= SHORT_SPAN).withColumn("_b", F.explode(cut)).select("item_key", "words", "_b.*")
+    seed = F.coalesce(*[F.when(F.col("size") == k, _seed("words", "item_at", k)) for k in sizes])
+    return at.select("item_key", "item_at", "size", seed.alias("seed"))
+
+
+def _seeds(df: DataFrame, sizes: list[int], out: str, at: str) -> DataFrame:
+    """A row for each position and block size of the array ``words``. Where a
+    block reaches beyond the end, its seed is that of fewer words, which no
+    item has.
     All in one stage of generated code, in which rows refer to the array; it
     must not be part of what leaves the stage."""
-    span = min(len(m) for _, m in masks)
+    span = min(sizes)
     placed = (df.filter(F.size("words") >= span)
               .withColumn(at, F.explode(F.sequence(F.lit(0), F.size("words") - span))))
-    return placed.withColumn(out, F.explode(F.array(*[_seed("words", at, m, k) for k, m in masks])))
+    return placed.withColumn(out, F.explode(F.array(*[_seed("words", at, k) for k in sizes])))
 
 
-def _agreement(item: str, text: str) -> Column:
+def _agreement(same: Column) -> Column:
     """Largest number of equal words in a stretch of the item, as a percent
-    rounded down; ``text`` holds the words that lie against the item's."""
-    same = F.zip_with(F.col(item), F.col(text), lambda a, b: F.when(a == b, 1).otherwise(0))
-    n = F.size(item)
+    rounded down; ``same`` has 1 for each word of the item that the text's word
+    equals, else 0."""
+    n = F.size(same)
     width = F.least(F.lit(STRETCH), n)
     sums = F.transform(F.sequence(F.lit(1), n - width + 1),
                        lambda i: F.aggregate(F.slice(same, i, width), F.lit(0), lambda s, x: s + x))
@@ -80,40 +107,40 @@ def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col
     items = pin(bench.select(bench[item_col].alias("item_id"), bench[item_text_col].alias("_t")),
                 words=plain_words(F.col("_t"))).drop("_t").dropDuplicates(["item_id", "words"])
     items = items.withColumn("item_key", F.xxhash64("item_id", "words"))
-    span = len(MASKS[0])
-    short_items = items.filter(F.size("words").between(SHORT_SPAN, span - 1))
-    masks, dense = list(enumerate(MASKS)), [(len(MASKS), "1" * SHORT_SPAN)]
-    seeds = (_seeds(items.filter(F.size("words") >= span), masks, "seed", "item_at")
-             .unionByName(_seeds(short_items, dense, "seed", "item_at"))
-             .select("seed", "item_key", "item_at"))
-    if not short_items.isEmpty():
-        masks = masks + dense
+    sized = _item_seeds(items)
+    seeds = sized.select("seed", "item_key", "item_at")
+    counts = {r["size"]: r["n"] for r in sized.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = sorted(counts) or [len(MASKS[0])]
     named = items.select("item_key", "item_id", F.col("words").alias("item_words"))
     start = F.col("at") - F.col("item_at")
     keep = [*carry, "doc_id"]
     slim = docs.select(*[F.col(f"`{c}`") for c in carry], docs[id_col].alias("doc_id"),
                        docs[text_col].alias("_t"))
-    if seeds.count() <= BROADCAST_SEEDS:
+    if sum(counts.values()) <= BROADCAST_SEEDS:
         longest = items.agg(F.max(F.size("words"))).first()[0] or 0
         texts = pin(slim, words=plain_words(F.col("_t"))).drop("_t")
         # only the words beside a meeting leave the stage that reads the texts
         cut = F.greatest(F.lit(0), start)
-        met = (_seeds(texts, masks, "seed", "at").join(F.broadcast(seeds), "seed")
+        met = (_seeds(texts, sizes, "seed", "at").join(F.broadcast(seeds), "seed")
                .select(*keep, "item_key", (start - cut).alias("start"),
                        F.slice("words", cut + 1, F.lit(max(1, longest))).alias("words"))
                .join(F.broadcast(named), "item_key"))
     else:
         keyed = slim.withColumn("text_key", F.xxhash64("_t"))
         texts = pin(keyed, words=plain_words(F.col("_t"))).drop("_t")
-        hits = (_seeds(texts.select("text_key", "words"), masks, "seed", "at")
+        hits = (_seeds(texts.select("text_key", "words"), sizes, "seed", "at")
                 .select("text_key", "seed", "at").join(seeds, "seed")
                 .select("text_key", "item_key", start.alias("start")).distinct())
         met = texts.join(hits, "text_key").join(named, "item_key")
     # the word of the text that lies against each word of the item
     against = F.transform(F.sequence(F.lit(0), F.size("item_words") - 1), lambda k: F.when(
         F.col("start") + k >= 0, F.get(F.col("words"), F.col("start") + k)))
-    rated = (met.select(*keep, "item_id", "item_words", against.alias("against"))
-             .withColumn("percent", _agreement("item_words", "against"))
+    same = F.zip_with("item_words", against, lambda a, b: F.when(a == b, 1).otherwise(0))
+    width = F.least(F.lit(STRETCH), F.size("same"))
+    # few meetings agree in enough words at all, and only those are looked at by stretches
+    rated = (pin(met.select(*keep, "item_id", "item_words", "start", "words"), same=same)
+             .filter(F.aggregate("same", F.lit(0), lambda s, x: s + x) * 100 >= width * SHARE)
+             .withColumn("percent", _agreement(F.col("same")))
              .filter(F.col("percent") >= SHARE))
     return rated.groupBy(*keep, "item_id").agg(F.max("percent").alias("percent"))
 

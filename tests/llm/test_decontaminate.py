@@ -1,5 +1,6 @@
 import re
 from collections import defaultdict
+from itertools import combinations
 
 import pytest
 
@@ -97,3 +98,34 @@ def test_native(make, spark):
     plan = D.contaminated(make([(1, ITEM)]), spark.createDataFrame([(1, ITEM)], BENCH)) \
         ._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan and "InPandas" not in plan and "Cartesian" not in plan
+
+
+def tolerated(n):
+    """Every set of changed words that a stretch of an item of n words may have."""
+    width = min(D.STRETCH, n)
+    return list(combinations(range(width), width * (100 - D.SHARE) // 100))
+
+
+def test_blocks_meet_every_tolerated_change():
+    for n in range(D.SHORT_SPAN, 2 * D.STRETCH):
+        spans = [set(range(at, at + size)) for at, size in D.blocks(n)]
+        for shift in range(n - min(D.STRETCH, n) + 1):
+            inside = [s for s in spans if min(s) >= shift and max(s) < shift + D.STRETCH]
+            for gone in tolerated(n):
+                assert any(s.isdisjoint(k + shift for k in gone) for s in inside), (n, shift, gone)
+
+
+@pytest.mark.parametrize("broadcast", [D.BROADCAST_SEEDS, 0])
+def test_every_tolerated_change_of_short_items_is_found(make, spark, monkeypatch, broadcast):
+    monkeypatch.setattr(D, "BROADCAST_SEEDS", broadcast)
+    bench, docs = [], []
+    for n in (*range(D.SHORT_SPAN, 16), 19, 20):
+        item = [f"i{n}w{k}" for k in range(n)]
+        bench.append((n, " ".join(item)))
+        for gone in tolerated(n)[::1 if n < 20 else 40]:
+            docs.append((len(docs), "on " + " ".join("x" if k in gone else w for k, w in enumerate(item)) + " off"))
+        docs.append((len(docs), " ".join(item[n // 5:])))       # begins within the item
+        docs.append((len(docs), " ".join(item[:n - n // 5 - 1])))    # a word too few
+    want = brute(docs, bench)
+    assert len(want) == len(docs) - len(bench)
+    assert got(make(docs, extra=False), spark.createDataFrame(bench, BENCH)) == want
