@@ -55,9 +55,14 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
 
+def letters(text: str | None) -> str:
+    """The text in lower case with a space for all that is no letter."""
+    return _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+
+
 def features(text: str | None) -> np.ndarray | None:
     """Feature vector of a text, or None without a letter."""
-    plain = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    plain = letters(text)
     if not plain:
         return None
     c = np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -211,7 +216,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def with_language(docs: DataFrame, text_col: str = "text", **names) -> DataFrame:
-    """``docs`` without the rows whose language can't be told (``und``)."""
+    """``docs`` without the rows whose text is null or has no letter: those that
+    are ``und`` under a model. Where nothing could be learned all texts are
+    ``und``, and the letters alone decide."""
     found = free_name(docs, "_found")
     model = fit(docs, text_col=text_col, **names)
+    if model.top is None:
+        @F.pandas_udf(T.BooleanType())
+        def lettered(texts: pd.Series) -> pd.Series:
+            return pd.Series([bool(letters(t)) for t in texts], dtype=bool)
+
+        return docs.filter(lettered(F.col(f"`{text_col}`").cast("string")))
     return predict(docs, model, text_col, found).filter(F.col(found)["lang_pred"] != UND).drop(found)

@@ -48,3 +48,16 @@ def test_odd_rows(make, odd):
     assert L.identify(make([])).collect() == []
     kept = L.with_language(make(some))
     assert kept.columns == make(some).columns and kept.count() == sum(r.lang_pred != "und" for r in got)
+
+
+def test_texts_with_letters_stay_where_nothing_teaches(spark, make, odd):
+    import corpus_pipeline
+
+    held = next(k for k in range(99) if crc32(str(k).encode()) % 4 == 2)
+    lettered = lambda rows: sorted(repr(r[:2]) for r in rows if any(c.isalpha() for c in r[1] or ""))
+    digits = [(20, "12 34.5"), (21, "_-_")]
+    for rows in (odd + digits, [(held, "the held out one", "en"), (None, "no id", "de"), (7, "plain"), *digits]):
+        docs = make(rows)
+        out = corpus_pipeline.stage_language_id(spark, docs, "")
+        assert out.columns == docs.columns
+        assert sorted(repr((r.doc_id, r.text)) for r in out.collect()) == lettered(rows) != []
