@@ -11,7 +11,9 @@ Kinds, in the order in which spans are listed:
   their kind; matches that fail their check (a part over 255, Luhn, number of
   digits) are dropped and not retried;
 * ``login``: user part of a URL authority (``scheme://user[:word]@host``);
-* ``iban``: account number after the cue IBAN, checked modulo 97;
+* ``iban``: account numbers after the cue IBAN, also several in a row, each as
+  long as its country's are and checked modulo 97; of a country without an
+  entry the longest end that passes the check;
 * ``secret``: value of eight or more characters with a digit that an
   identifier cue (token, password, account, ...) assigns.
 
@@ -41,7 +43,20 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOGIN = re.compile(r"[^\s/?#@]+@(?=[A-Za-z0-9\[])")
-_IBAN = re.compile(r"[\x20:#]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[\x20:#]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
+_IBAN_NEXT = re.compile(r"(?:[\x20]?[,;/&+]|\x20and(?=\x20)|\x20und(?=\x20))?[\x20]{0,2}(?=[A-Z]{2}[0-9]{2})")
+# Characters of an account number by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29,
+    "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19,
+    "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29,
+    "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24,
+    "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+    "YE": 30,
+}
 _SECRET = re.compile(r"(?:[\x20_-]?(?:number|no\.?|id|key))?[\x20]{0,3}[=:#][\x20]{0,3}[\"']?"
                      r"([A-Za-z0-9_./+=-]{8,})", re.I)
 
@@ -64,6 +79,19 @@ def _mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def _account_end(text: str, start: int, limit: int) -> int | None:
+    """End of the valid account number at ``start``, which ends by ``limit``."""
+    at = [k for k in range(start, limit) if text[k] != " "]
+    length = IBAN_LENGTHS.get(text[start:start + 2])
+    for n in (length,) if length else range(len(at), 14, -1):
+        if n <= len(at):
+            end = at[n - 1] + 1
+            if not (end < len(text) and text[end].isascii() and text[end].isalnum()) \
+                    and _mod97("".join(text[k] for k in at[:n])):
+                return end
+    return None
+
+
 _automaton = None
 
 
@@ -126,8 +154,11 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
             if start < last - 2 and (m := _LOGIN.match(text, last + 1)):
                 put("login", last + 1, m.end() - 1, True)
         elif what == "iban":
-            if last >= done["iban"] and (m := _IBAN.match(text, last + 1)):
-                put("iban", m.start(1), m.end(1), _mod97(m[1].replace(" ", "")))
+            m = _IBAN.match(text, last + 1) if last >= done["iban"] else None
+            while m and (end := _account_end(text, m.start(1), m.end(1))):
+                put("iban", m.start(1), end, True)
+                more = _IBAN_NEXT.match(text, end)
+                m = more and _IBAN.match(text, more.end())
         elif last >= done["secret"] and (m := _SECRET.match(text, last + 1)):
             put("secret", m.start(1), m.end(1), any(c in _DIGITS for c in m[1]))
     return out

@@ -77,3 +77,25 @@ def test_odd_rows(make, odd):
     assert pii.scan(make([])).collect() == []
     one = pii.scan(make([(2**60 + 1, "a@b.c"), (None, "x")])).filter("n_email = 1").collect()
     assert [r.doc_id for r in one] == [2**60 + 1] and one[0].spans == "email:0:5"
+
+
+DE, GB, NL, NO = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NL91ABNA0417164300", "NO93 8601 1117 947"
+
+
+@pytest.mark.parametrize("text, found", [
+    (f"IBAN {DE} BIC COBADEFFXXX", [DE]), (f"IBAN: {DE.replace(' ', '')} EUR 500", [DE.replace(" ", "")]),
+    (f"IBAN {DE} 500 EUR", [DE]), (f"IBAN {DE}\nBIC X", [DE]), (f"IBAN {NO} A 1 B 2", [NO]),
+    (f"IBAN {DE} IBAN {GB} BIC X", [DE, GB]), (f"IBAN {DE} {GB} EUR 1", [DE, GB]),
+    (f"IBANs: {DE}", []), (f"IBAN {DE}, {GB}; {NL} and {NO}.", [DE, GB, NL, NO]),
+    (f"IBAN {DE}00 x", []), (f"IBAN {DE.replace('89', '88')} BIC X", []), (f"IBAN {DE[:-3]}", []),
+    ("IBAN MT84 MALT 0110 0001 2345 MTLC AST0 01S BIC X", ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"]),
+])
+def test_account_numbers_end_where_their_country_says(text, found):
+    assert [text[a:b] for a, b in pii.find_spans(text)["iban"]] == found
+
+
+def test_account_number_of_a_country_without_an_entry():
+    body = "ZZ00 1234 5678 9012"
+    good = next(t for k in range(2, 99) if pii._mod97((t := body.replace("00", f"{k:02}", 1)).replace(" ", "")))
+    text = f"IBAN {good} BIC ABCDEF"
+    assert [text[a:b] for a, b in pii.find_spans(text)["iban"]] == [good]
