@@ -14,7 +14,9 @@ of good and bad rows; all learning reads that table by aggregation, and only
 counts of (feature, interval) reach the driver. A rule grows on two thirds of
 the rows, condition by condition, by information gain; then its last
 conditions are cut as long as it does as well on the other third; it is taken
-if it is precise there. Rows that a rule covers leave the table. The list is
+if it is precise there. Rows that a rule covers leave the table. What a failed rule
+covers as grown is set aside: nothing more grows from it, but later rules are
+still cut and judged on it, as they would reject there too. The list is
 emitted as one ordered CASE expression: the first rule that holds rejects.
 
 Only built-in functions. Everything but the labels' join and its small
@@ -182,6 +184,10 @@ def _pruned(cells: DataFrame, rule: Rule) -> tuple[Rule, int, int]:
     return rule[:k], int(r[f"bad{k}"]), int(r[f"good{k}"])
 
 
+def _bad_rows(cells: DataFrame, part: str) -> int:
+    return cells.filter(F.col("part") == part).agg(F.sum("bad")).first()[0] or 0
+
+
 def learn(featured: DataFrame, labels: DataFrame, id_col: str = "doc_id",
           label_col: str = "quality") -> list[Rule]:
     """The decision list: rules that reject, in order. ``featured`` has doc_id
@@ -192,15 +198,19 @@ def learn(featured: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     cells, cuts = _cells(keep_table(rows, "quality-rows"))
     cells = keep_table(cells, "quality-cells")
     rules: list[Rule] = []
+    fresh = cells           # without what was set aside
     while len(rules) < MAX_RULES and all(cuts.values()):
-        rule = _grow(cells, cuts)
-        if not rule:
-            break
-        rule, bad, good = _pruned(cells, rule)
-        if bad < SUPPORT or bad < PRECISION * (bad + good):
+        grown = _grow(fresh, cuts)
+        if not grown:
             break
-        rules.append(rule)
-        cells = cells.filter(~holds(rule))
+        rule, bad, good = _pruned(cells, grown)
+        if bad >= SUPPORT and bad >= PRECISION * (bad + good):
+            rules.append(rule)
+            cells, fresh = cells.filter(~holds(rule)), fresh.filter(~holds(rule))
+        else:
+            fresh = fresh.filter(~holds(grown))
+            if _bad_rows(fresh, "grow") < SUPPORT or _bad_rows(cells, "prune") < SUPPORT:
+                break       # too few for any rule
     return rules
 
 

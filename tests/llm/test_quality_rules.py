@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from chatlens.llm import quality_rules as Q
 from tests.conftest import SF_MID
 
@@ -78,3 +80,20 @@ def test_rules_of_planted_labels(make, spark):
 def test_native(make, odd):
     plan = Q.counts(make(odd))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("noise", [5, 10])
+def test_a_precise_rule_behind_a_noisy_region(make, spark, noise):
+    """Symbols mark most bad rows, but ``noise`` percent of these are labelled
+    good; capitals mark fewer, without noise."""
+    def text(k):
+        words = " ".join(f"w{k}x{j}" for j in range(40))
+        return words + " ###" * 5 if k % 4 == 0 else words.upper() if k % 8 == 1 else words
+
+    rng = random.Random(5)
+    quality = {k: int(rng.random() < noise / 100) if k % 4 == 0 else int(k % 8 != 1) for k in range(1600)}
+    docs = make([(k, text(k)) for k in quality])
+    labels = spark.createDataFrame(list(quality.items()), "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in Q.judge(docs, labels).collect()}
+    assert not any(kept[k] for k in kept if k % 8 == 1)
+    assert all(kept[k] for k in kept if k % 4 and k % 8 != 1)
