@@ -4,10 +4,11 @@ production parameters to its whole table. ``SQL`` has the DuckDB twins."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chatlens.llm import (
-    decontaminate, language_id, license_scan, mixing, ngram_join, pii, quality_rules, sharding,
-    token_counts, url_filter)
+    decontaminate, language_id, license_scan, mixing, ngram_join, packing, pii, quality_rules, runs,
+    sharding, spelling, token_counts, url_filter)
 from chatlens.llm.common import local_table, prepare, table
 
 # Fixed values: (host, path, action).
@@ -15,6 +16,8 @@ URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
              ("net", "/es/", "block"), ("net", "/fr/", "block"))
 TOKEN_FILE = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
+PACK_FILE = "word_bpe_49k.json"
+PACK_END = 1
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +76,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    prepare(spark)
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PACK_FILE), PACK_END)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return runs.report(runs.detect(table(spark, sf_dir, "documents"), plant=True))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii, op2_url_filter, op3_sharding, op4_token_counts, op5_source_mixing, op6_language_id,
-    op7_ngram_jaccard, op8_license_scan, op9_decontamination, op10_quality_rules)}
+    op7_ngram_jaccard, op8_license_scan, op9_decontamination, op10_quality_rules,
+    op11_spelling_variants, op12_packing, op13_periodic_runs)}
 
 
 def _values(rows) -> str:
