@@ -20,7 +20,10 @@ columns are not looked at. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import functools
+import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,29 +41,80 @@ BATCH = 256             # words that are encoded at once
 
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
+# The kind of tokeniser whose work is done in two quick steps, see Encoder: its
+# normaliser and its words.
+_NORMALISER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PLAIN = 0x180           # characters below it: composed, and the same in every edition of Unicode
+END = "\x01"            # stands for a word's end; texts that have it go the other way
+
+
+def _class(kinds: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(PLAIN) if unicodedata.category(chr(c))[0] in kinds)
+
+
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0"
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_WHITE}{_class('LN')}]+")
+_NOT_PLAIN = re.compile(f"[{END}{chr(PLAIN)}-\U0010ffff]|<\\|")
+
+
+@functools.cache
+def _quick(path: str):
+    """The tokeniser's merges for ``tiktoken``, or None if it is of another
+    kind. A word's end is a byte of its own there, which the lowest ranks join
+    to the last byte, so words are merged in the same order."""
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    model = given["model"]
+    split = (given["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern")
+    if (given["normalizer"] != _NORMALISER or split != {"Regex": _SPLIT} or model["type"] != "BPE"
+            or model["end_of_word_suffix"] != "</w>"):
+        return None
+    import tiktoken
+
+    printed = [b for b in range(256) if chr(b).isprintable() and chr(b) != " " and b < 128 or b > 160 and b != 173]
+    byte = {chr(b): b for b in printed}
+    byte |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printed)}
+    special = {t["content"] for t in given["added_tokens"]}
+    ranks = {}
+    for token, rank in model["vocab"].items():
+        if token not in special:
+            end = token.endswith("</w>") and len(token) > 4
+            ranks[bytes(byte[c] for c in (token[:-4] if end else token)) + (END.encode() if end else b"")] = rank
+    return tiktoken.Encoding(path, pat_str=f"[^{END}]*{END}", mergeable_ranks=ranks, special_tokens={})
+
 
 class Encoder:
     """Ids of texts as little-endian numbers of ``width`` bytes.
 
     Only for tokenisers whose tokens never hold or reach over white space and
     whose normaliser looks at nothing beyond it: there a text's ids are those
-    of its words in turn, so each word is encoded once and remembered."""
+    of its words in turn, so each word is encoded once and remembered. Texts of
+    plain characters (``PLAIN``) are normalised and cut into words here and
+    merged by a quicker library, where the tokeniser is of the known kind."""
 
     def __init__(self, path: str, known: int = KNOWN):
         self.tok = tokenizer(path)
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.ids: dict[str, bytes] = {}
         self.known = known
+        self.quick = _quick(path)
 
     def __call__(self, text: str | None) -> bytes:
-        words = _SPACES.split(text or "")
-        try:
-            return b"".join(map(self.ids.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.ids) >= self.known:
-            self.ids.clear()
+        text = text or ""
+        if self.quick is None or _NOT_PLAIN.search(text):
+            return self.by_word(text)
+        words = _WORDS.findall(text.lower())
+        words.append("")
+        return np.array(self.quick.encode_ordinary(END.join(words)), f"<u{self.width}").tobytes()
+
+    def by_word(self, text: str) -> bytes:
+        words = _SPACES.split(text)
         new = list({w for w in words if w not in self.ids})
+        if new and len(self.ids) >= self.known:
+            self.ids.clear()
+            new = list(set(words))
         for lo in range(0, len(new), BATCH):
             part = new[lo:lo + BATCH]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):

@@ -11,6 +11,7 @@ from chatlens.llm.queries import op12_packing
 from tests.conftest import SF_SMALL
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+ENCODE = P.Encoder(PATH)
 
 
 def whole(text):
@@ -29,6 +30,21 @@ def test_ids_of_words_are_the_texts_ids(pieces):
     encode = P.Encoder(PATH, known=5)
     for _ in range(2):
         assert np.frombuffer(encode(text), "<u2").tolist() == whole(text)[:-1]
+        assert encode.by_word(text) == encode(text)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(st.characters(max_codepoint=P.PLAIN + 5, exclude_categories=["Cs"]), max_size=80))
+def test_quick_ids_of_plain_characters(text):
+    assert np.frombuffer(ENCODE(text), "<u2").tolist() == whole(text)[:-1]
+
+
+def test_quick_way_is_taken_where_it_may_be():
+    assert ENCODE.quick is not None
+    assert P.Encoder(public_tokenizers.path("byte_bpe_50k.json")).quick is None
+    for c in range(P.PLAIN):
+        text = f"ab{chr(c)}cd {chr(c)}{chr(c)} 'S{chr(c)}'ll"
+        assert np.frombuffer(ENCODE(text), "<u2").tolist() == whole(text)[:-1], hex(c)
 
 
 @settings(max_examples=300, deadline=None)
