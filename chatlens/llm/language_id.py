@@ -19,6 +19,7 @@ labelled row was given. A row in gives a row out.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -43,7 +44,9 @@ DIM = 1 << 13           # hashed features
 PER_LANGUAGE = 400      # rows of a language in the sample
 MAX_ROWS = 4000         # rows of the sample
 PREFIX_HEX = 3          # digits of the id hashes that are counted to find those rows
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+# also without number characters that are no digits, such as fractions
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def family_of(lang: str) -> str:
@@ -180,18 +183,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 v = features(text)
                 if v is not None:
                     at = np.flatnonzero(v)
-                    rows.append((doc_id, lang, at.astype(np.int32), v[at]))
+                    rows.append((doc_id, lang, at.astype("<u2").tobytes(), v[at].astype("<f4").tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "lang", "at", "value"])
 
     sample = (usable.withColumn("doc_id", F.col("doc_id").cast("string"))
               .join(F.broadcast(ids.select(F.col("doc_id").cast("string").alias("doc_id"))), "doc_id", "left_semi")
-              .mapInPandas(run, "doc_id string, lang string, at array<int>, value array<float>"))
+              .mapInPandas(run, "doc_id string, lang string, at binary, value binary"))
     once = sample.groupBy("doc_id").agg(F.min(F.struct("lang", "at", "value")).alias("row")).select("doc_id", "row.*")
-    rows = sorted(once.collect(), key=lambda r: (r["lang"], r["doc_id"]))
+    # two bytes of place and four of value for each feature, by Arrow
+    rows = once.toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     x = np.zeros((len(rows), DIM), np.float32)
-    for k, r in enumerate(rows):
-        x[k, r["at"]] = r["value"]
-    return Model(x, [r["lang"] for r in rows])
+    for k, (at, value) in enumerate(zip(rows["at"], rows["value"], strict=True)):
+        x[k, np.frombuffer(at.as_buffer(), "<u2")] = np.frombuffer(value.as_buffer(), "<f4")
+    return Model(x, rows["lang"].to_pylist())
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "found") -> DataFrame:

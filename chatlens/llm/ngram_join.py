@@ -64,8 +64,8 @@ def _frequent(texts: DataFrame) -> np.ndarray:
     some = texts.filter(F.pmod("text_key", F.lit(SAMPLE)) == 0).dropDuplicates(["text_key"])
     rows = (some.select("text").mapInPandas(run, "shingle long")
             .groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-            .orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").collect())
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+            .orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").toArrow())
+    return np.sort(rows["shingle"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _described(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -114,10 +114,10 @@ def _key_map(keys: DataFrame, col: str) -> np.ndarray:
         bits *= 2
     rows = (keys.select(F.pmod(col, F.lit(bits)).alias("bit"))
             .groupBy(F.floor(F.col("bit") / CHUNK).alias("chunk"))
-            .agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(CHUNK))).alias("set")).collect())
+            .agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(CHUNK))).alias("set")).toArrow())
     out = np.zeros((bits // CHUNK, CHUNK // 8), np.uint8)
-    for chunk, some in rows:
-        out[chunk] = np.frombuffer(some, np.uint8)
+    for chunk, some in zip(rows["chunk"].to_pylist(), rows["set"], strict=True):
+        out[chunk] = np.frombuffer(some.as_buffer(), np.uint8)
     return out.reshape(-1)
 
 
