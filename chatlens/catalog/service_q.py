@@ -39,16 +39,27 @@ def _daily_stats(t):
     return RU.daily_stats(t.messages_resolved)
 
 
-@register("tenant_scope", f"""
-SELECT 'own' AS which, COUNT(*) AS n FROM messages WHERE tenant_id = '{TENANT}'
-UNION ALL SELECT 'other', 0 UNION ALL SELECT 'unset', 0""")
+_SCOPED = ["servers", "users", "server_members", "channels", "messages", "message_mentions", "emojis", "reactions",
+           "user_interactions", "daily_stats"]
+_DAILY_SQL = """(SELECT tenant_id, CAST(created_at AS DATE) AS day, server_id, channel_id, author_id
+                 FROM messages GROUP BY ALL)"""
+
+
+@register("tenant_scope", " UNION ALL ".join(
+    f"SELECT 'own' AS which, '{n}' AS name, COUNT(*) AS n FROM {_DAILY_SQL if n == 'daily_stats' else n} x "
+    f"WHERE tenant_id = '{TENANT}' UNION ALL SELECT 'other', '{n}', COUNT(*) "
+    f"FROM {_DAILY_SQL if n == 'daily_stats' else n} y UNION ALL SELECT 'unknown', '{n}', 0 "
+    f"UNION ALL SELECT 'unset', '{n}', 0" for n in _SCOPED))
 def _tenant_scope(t):
-    m = t.messages
-    other = m.withColumn("tenant_id", F.lit("user_othertenant9"))
-    both = m.unionByName(other)
-    parts = [tenant.tenant_scope({"messages": both}, x)["messages"].agg(F.count(F.lit(1)).alias("n"))
-             .select(F.lit(name).alias("which"), "n")
-             for name, x in [("own", TENANT), ("other", "user_nobodyhere00"), ("unset", None)]]
+    """Rows of each table that two tenants with the same ids, an unknown one
+    and an unset one see."""
+    second = "user_othertenant9"
+    both = {n: t[n].unionByName(t[n].withColumn("tenant_id", F.lit(second))) for n in _SCOPED}
+    parts = []
+    for which, who in (("own", TENANT), ("other", second), ("unknown", "user_nobodyhere00"), ("unset", None)):
+        for name, df in tenant.tenant_scope(both, who).items():
+            parts.append(df.agg(F.count(F.lit(1)).alias("n")).select(
+                F.lit(which).alias("which"), F.lit(name.removesuffix("_secure")).alias("name"), "n"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -77,32 +88,92 @@ def _safe_sql(t):
     return df
 
 
-@register("row_cap", "SELECT id FROM messages ORDER BY id LIMIT 100")
+@register("row_cap", """
+SELECT * EXCLUDE (content), length(content) AS size, (SELECT COUNT(*) > 100 FROM messages) AS truncated
+FROM messages ORDER BY id LIMIT 100""")
 def _row_cap(t):
-    df, truncated = sql_gate.row_cap(t.messages.select("id").orderBy("id"), 100)
-    return df
+    df, truncated = sql_gate.row_cap(t.messages.orderBy("id"), 100)
+    return df.withColumn("size", F.length("content").cast("long")).drop("content") \
+        .withColumn("truncated", truncated.scalar())
+
+
+_LISTED = ["channels", "emojis", "message_mentions", "messages", "reactions", "server_members", "servers",
+           "sync_state", "users"]
+_SYNC_SQL = "(SELECT DISTINCT server_id, channel_id FROM messages)"
+
+
+def _rows_sql() -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS name, COUNT(*) AS row_count FROM "
+                              f"{_SYNC_SQL if n == 'sync_state' else n} x" for n in _LISTED)
+
+
+def _editor(t):
+    """A session of the SQL editor with all nine tables of the tenant."""
+    return tenant.tenant_session(t.spark, {n: t[n] for n in _LISTED}, TENANT)
 
 
 def _table_schema_sql():
     from chatlens.sources.schema import SCHEMAS
     vals = []
-    for n in ["channels", "messages", "users"]:
+    for n in _LISTED:
         visible = [f for f in SCHEMAS[n].fields if f.name != "tenant_id"]
         for i, f in enumerate(visible, 1):
             vals.append(f"('{n}', '{f.name}', '{f.dataType.simpleString()}', {i})")
-    counts = " UNION ALL ".join(f"SELECT '{n}' AS t, COUNT(*) AS row_count FROM {n}"
-                                for n in ["channels", "messages", "users"])
     return (f"SELECT v.\"table\", v.\"column\", v.type, CAST(v.position AS INTEGER) AS position, "
             f"c.row_count FROM (VALUES {', '.join(vals)}) v(\"table\", \"column\", type, position) "
-            f"JOIN ({counts}) c ON c.t = v.\"table\"")
+            f"JOIN ({_rows_sql()}) c ON c.name = v.\"table\"")
 
 
 @register("table_schema", _table_schema_sql())
 def _table_schema(t):
-    s = tenant.tenant_session(t.spark, {n: t[n] for n in ["messages", "users", "channels"]}, TENANT)
+    s = _editor(t)
     return sql_gate.table_schema(s, sql_gate.list_tables(s))
 
 
+@register("sql_set_operations", """
+SELECT author_id FROM messages WHERE author_id IS NOT NULL
+  INTERSECT SELECT mentioned_user_id FROM message_mentions
+  EXCEPT SELECT r.user_id FROM reactions r WHERE r.emoji_id = 3""")
+def _sql_set_operations(t):
+    """Authors who were mentioned and never used an emoji, as user SQL."""
+    df, _ = sql_gate.safe_sql(_editor(t), """
+        SELECT author_id FROM messages WHERE author_id IS NOT NULL
+        INTERSECT SELECT mentioned_user_id FROM message_mentions
+        EXCEPT SELECT user_id FROM reactions WHERE emoji_id = 3""", limit=10_000)
+    return df
+
+
+@register("sql_thread_depth", """
+WITH RECURSIVE thread(id, depth) AS (
+  SELECT id, 0 FROM messages WHERE reply_to_message_id IS NULL
+  UNION ALL SELECT m.id, depth + 1 FROM thread JOIN messages m ON m.reply_to_message_id = thread.id)
+SELECT CAST(depth AS INTEGER) AS depth, COUNT(*) AS messages FROM thread GROUP BY ALL""")
+def _sql_thread_depth(t):
+    """How deep replies are nested: a recursive query over the reply links,
+    which fails beyond ``MAX_DEPTH`` steps instead of being cut."""
+    df, _ = sql_gate.safe_sql(_editor(t), """
+        WITH RECURSIVE thread(id, depth) AS (
+          SELECT id, 0 FROM messages WHERE reply_to_message_id IS NULL
+          UNION ALL SELECT m.id, depth + 1 FROM thread JOIN messages m ON m.reply_to_message_id = thread.id)
+        SELECT depth, COUNT(*) AS messages FROM thread GROUP BY depth""")
+    return df
+
+
+@register("sql_functions", """
+SELECT channel_id, date_diff('second', min(created_at), max(created_at)) AS seconds, strftime(min(created_at), '%Y-%m') AS month,
+       string_agg(DISTINCT CAST(message_type AS VARCHAR), ',' ORDER BY CAST(message_type AS VARCHAR)) AS kinds
+FROM messages GROUP BY channel_id""")
+def _sql_functions(t):
+    df, _ = sql_gate.safe_sql(_editor(t), """
+        SELECT channel_id, CAST(EXTRACT(DAY FROM a) * 86400 + EXTRACT(HOUR FROM a) * 3600
+                 + EXTRACT(MINUTE FROM a) * 60 + floor(EXTRACT(SECOND FROM a)) AS BIGINT) AS seconds, month, kinds
+        FROM (SELECT channel_id, age(date_trunc('SECOND', max(created_at)), date_trunc('SECOND', min(created_at))) AS a,
+                     to_char(min(created_at), 'yyyy-MM') AS month,
+                     string_agg(DISTINCT CAST(message_type AS STRING), ',') WITHIN GROUP (ORDER BY CAST(message_type AS STRING)) AS kinds
+              FROM messages GROUP BY channel_id)""")
+    return df
+
+
 _MD_BODY = """
 SELECT '| ' || username || ' | ' || coalesce(global_name, '_null_') || ' | ' ||
        CAST(message_count AS VARCHAR) || ' |' AS line
@@ -260,12 +331,10 @@ def _export_json(t):
     return t.spark.read.text(path)
 
 
-@register("list_tables", """
-SELECT unnest(['channels', 'messages', 'users']) AS name""")
+@register("list_tables", _rows_sql())
 def _list_tables(t):
-    s = tenant.tenant_session(t.spark, {n: t[n] for n in ["messages", "users", "channels"]}, TENANT)
-    names = sql_gate.list_tables(s)
-    return t.spark.createDataFrame([(n,) for n in names], "name string")
+    s = _editor(t)
+    return sql_gate.tables_with_rows(s, sql_gate.list_tables(s))
 
 
 @register("refresh_rollups", f"""

@@ -10,7 +10,10 @@ expressions, and the statement is refused when it
 * contains a command (DDL, DML, SET, CACHE, ...),
 * reads a relation outside the allow-list (CTE names aside), including
   path relations such as parquet.`/data`, or calls a table function,
-* calls a function that reaches the JVM or the file system.
+* calls a function that reaches the JVM or the file system,
+* joins two large sides without equal keys (told by the optimised plan).
+
+``run_sql`` also stops a statement's jobs after ``TIME_LIMIT`` seconds.
 
 Parsing happens before ``spark.sql`` because ``spark.sql`` runs commands
 eagerly. The walk uses the JVM parser, so it needs a classic (non-Connect)
@@ -19,12 +22,18 @@ session.
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_SQL_CHARS = 10_000
 DEFAULT_LIMIT = 1000
 MAX_LIMIT = 10_000
+SMALL_SIDE = 1_000      # rows that a side of a join without equal keys may have
+TIME_LIMIT = 30         # seconds
+MAX_DEPTH = 100         # steps of a recursive query; one more is an error
 # Functions refused in user SQL (reflection or file access).
 DENIED_FUNCTIONS = {"reflect", "java_method", "try_reflect", "input_file_name",
                     "input_file_block_start", "input_file_block_length"}
@@ -34,6 +43,10 @@ class RefusedQuery(ValueError):
     pass
 
 
+class TimedOut(TimeoutError):
+    pass
+
+
 def _seq(jseq):
     it = jseq.iterator()
     out = []
@@ -104,6 +117,20 @@ def _foreign_scans(plan) -> list[str]:
     return found
 
 
+def _costly(jvm, plan) -> list[str]:
+    """Joins of an optimised plan that meet every row of one side with every
+    row of the other, unless one side is known to be small."""
+    found = []
+    if plan.getClass().getSimpleName() == "Join":
+        keys = jvm.org.apache.spark.sql.catalyst.planning.ExtractEquiJoinKeys.unapply(plan)
+        sides = [side.maxRows() for side in (plan.left(), plan.right())]
+        if keys.isEmpty() and not any(n.isDefined() and n.get() <= SMALL_SIDE for n in sides):
+            found.append("a join without equal keys of two large sides")
+    for e in [*_seq(plan.subqueries()), *_seq(plan.children())]:
+        found += _costly(jvm, e)
+    return found
+
+
 def check_sql(spark: SparkSession, sql: str, allowed: set[str]) -> list[str]:
     """Reasons to refuse ``sql`` (empty list: accepted)."""
     if not sql or not sql.strip():
@@ -140,13 +167,45 @@ def safe_sql(session: SparkSession, sql: str, allowed: set[str] | None = None,
     problems = check_sql(session, sql, allowed)
     if problems:
         raise RefusedQuery("; ".join(problems))
+    session.conf.set("spark.sql.cteRecursionLevelLimit", str(MAX_DEPTH))
     df = session.sql(sql)
     foreign = _foreign_scans(df._jdf.queryExecution().analyzed())
     if foreign:
         raise RefusedQuery(f"reads outside the tenant's views: {', '.join(sorted(set(foreign)))}")
+    costly = _costly(session._jvm, df._jdf.queryExecution().optimizedPlan())
+    if costly:
+        raise RefusedQuery("; ".join(sorted(set(costly))))
     return row_cap(df, limit)
 
 
+def run_sql(session: SparkSession, sql: str, allowed: set[str] | None = None, limit: int | None = DEFAULT_LIMIT,
+            seconds: float = TIME_LIMIT) -> tuple[list, bool]:
+    """The rows of a user's statement (at most ``MAX_LIMIT``) and whether some
+    were cut. Its jobs carry a tag, by which they are cancelled when the time is up."""
+    safe_sql(session, sql, allowed, limit)      # raises where the statement is refused
+    n = min(DEFAULT_LIMIT if limit is None else max(0, int(limit)), MAX_LIMIT)
+    sc, tag, late = session.sparkContext, f"user-sql-{uuid.uuid4().hex}", threading.Event()
+
+    def stop():
+        late.set()
+        sc.cancelJobsWithTag(tag)
+
+    whole = session.sql(sql).limit(n + 1)       # one row more tells whether some are cut
+    timer = threading.Timer(seconds, stop)
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        rows = whole.collect()
+    except Exception as e:
+        if late.is_set():
+            raise TimedOut(f"stopped after {seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)
+    return rows[:n], len(rows) > n
+
+
 def list_tables(session: SparkSession, visible=None) -> list[str]:
     """Names of the user-visible tables of a tenant session, sorted."""
     from chatlens.plans.tenant import VISIBLE
@@ -154,6 +213,14 @@ def list_tables(session: SparkSession, visible=None) -> list[str]:
     return sorted(n for n in names if n in set(visible or VISIBLE))
 
 
+def tables_with_rows(session: SparkSession, names: list[str]) -> DataFrame:
+    """name, row_count of each table: one grouped count, all in one job."""
+    from functools import reduce
+    return reduce(DataFrame.unionByName, [
+        session.table(n).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("name"), "row_count")
+        for n in names])
+
+
 def table_schema(session: SparkSession, names: list[str]) -> DataFrame:
     """Columns, types and positions of each table plus its row count; one
     job unions the counts."""

@@ -20,6 +20,11 @@ from chatlens.functions.columns import valid_tenant_id
 # through their ``_secure`` names.
 VISIBLE = ["servers", "users", "server_members", "channels", "messages", "message_mentions",
            "emojis", "reactions", "sync_state"]
+# Functions that the SQL editor lists and Spark has not under that name.
+SQL_FUNCTIONS = (
+    "CREATE OR REPLACE TEMPORARY FUNCTION age(later TIMESTAMP_NTZ, earlier TIMESTAMP_NTZ) "
+    "RETURNS INTERVAL DAY TO SECOND RETURN later - earlier",
+)
 ROLLUPS = {"user_interactions": "user_interactions_secure", "daily_stats": "daily_stats_secure"}
 
 
@@ -27,13 +32,12 @@ def validate_tenant_id(df: DataFrame, col: str = "tenant_id", out: str = "is_val
     return df.withColumn(out, valid_tenant_id(col))
 
 
-def scope(df: DataFrame, tenant: str | None, keep_tenant: bool = False) -> DataFrame:
-    """Rows of one tenant; an unset or empty tenant sees nothing."""
+def scope(df: DataFrame, tenant: str | None) -> DataFrame:
+    """Rows of one tenant; an unset or empty tenant sees nothing. The column
+    stays, as operators join on (tenant, id); the SQL editor's views hide it."""
     if not tenant:
-        out = df.filter(F.lit(False))
-    else:
-        out = df.filter(F.col("tenant_id") == F.lit(tenant))
-    return out if keep_tenant else out.drop("tenant_id")
+        return df.filter(F.lit(False))
+    return df.filter(F.col("tenant_id") == F.lit(tenant))
 
 
 def tenant_scope(tables: Mapping[str, DataFrame], tenant: str | None) -> dict[str, DataFrame]:
@@ -60,12 +64,8 @@ def tenant_session(spark: SparkSession, tables: Mapping[str, DataFrame],
     for name, df in tenant_scope(tables, tenant).items():
         hidden = f"{tag}_{name}"
         df.createOrReplaceGlobalTempView(hidden)
-        child.table(f"global_temp.{hidden}").createOrReplaceTempView(name)
+        child.table(f"global_temp.{hidden}").drop("tenant_id").createOrReplaceTempView(name)
         spark.catalog.dropGlobalTempView(hidden)    # the child's view holds the plan
+    for text in SQL_FUNCTIONS:
+        child.sql(text)
     return child
-
-
-def writes_carry_tenant(df: DataFrame, tenant: str) -> bool:
-    """A write is allowed only when every row carries the session's tenant."""
-    bad = df.filter(F.col("tenant_id").isNull() | (F.col("tenant_id") != F.lit(tenant))).limit(1)
-    return bad.count() == 0

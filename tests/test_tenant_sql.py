@@ -87,6 +87,49 @@ def test_only_views_of_the_session_are_read(spark, two_tenants):
     spark.sql("DROP TABLE secret_t")
 
 
+@pytest.mark.parametrize("sql", [
+    "SELECT COUNT(*) FROM messages a CROSS JOIN messages b",
+    "SELECT a.id FROM messages a JOIN messages b ON a.id < b.id",
+    "SELECT a.id FROM messages a, users b",
+    "SELECT id FROM messages WHERE EXISTS (SELECT 1 FROM users u WHERE u.id < author_id)",
+])
+def test_joins_without_keys_are_refused(spark, two_tenants, sql):
+    s = tenant.tenant_session(spark, two_tenants[0], TENANT)
+    with pytest.raises(sql_gate.RefusedQuery, match="without equal keys"):
+        sql_gate.safe_sql(s, sql)
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT a.id, t.top FROM messages a CROSS JOIN (SELECT max(id) AS top FROM messages) t",
+    "SELECT a.id FROM messages a JOIN messages b ON a.reply_to_message_id = b.id AND a.created_at > b.created_at",
+    "SELECT a.id, v.x FROM users a CROSS JOIN (VALUES (1), (2)) v(x)",
+    "SELECT id, age(created_at, TIMESTAMP_NTZ'2024-01-01 00:00:00') AS since FROM messages",
+])
+def test_joins_with_keys_or_a_small_side_run(spark, two_tenants, sql):
+    s = tenant.tenant_session(spark, two_tenants[0], TENANT)
+    rows, cut = sql_gate.run_sql(s, sql, limit=5)
+    assert len(rows) == 5 and cut is True
+
+
+def test_statements_are_stopped_when_their_time_is_up(spark, two_tenants):
+    import time
+    s = tenant.tenant_session(spark, two_tenants[0], TENANT)
+    slow = "SELECT sum(length(regexp_replace(repeat(content, 3000), '(a|e|i)+', 'x'))) AS n FROM messages"
+    start = time.time()
+    with pytest.raises(sql_gate.TimedOut):
+        sql_gate.run_sql(s, slow, seconds=2)
+    assert time.time() - start < 25
+    rows, cut = sql_gate.run_sql(s, "SELECT COUNT(*) AS n FROM users", seconds=60)
+    assert rows[0].n > 0 and cut is False
+
+
+def test_recursion_ends_with_an_error(spark, two_tenants):
+    s = tenant.tenant_session(spark, two_tenants[0], TENANT)
+    df, _ = sql_gate.safe_sql(s, "WITH RECURSIVE r(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM r) SELECT max(x) AS m FROM r")
+    with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT"):
+        df.collect()
+
+
 def test_row_cap_always_applies(spark, small):
     df, truncated = sql_gate.row_cap(small.messages.select("id"), 10)
     assert df.count() == 10 and truncated.first()[0] is True
