@@ -106,15 +106,30 @@ def tolerated(n):
     return list(combinations(range(width), width * (100 - D.SHARE) // 100))
 
 
-def test_blocks_meet_every_tolerated_change():
-    for n in range(D.SHORT_SPAN, 2 * D.STRETCH):
-        spans = [set(range(at, at + size)) for at, size in D.blocks(n)]
+def test_seeds_meet_every_tolerated_change():
+    for n in range(1, 2 * D.STRETCH):
+        seeds = [{at + step * k for k in range(size)} for at, step, size in D.picks(n)]
         for shift in range(n - min(D.STRETCH, n) + 1):
-            inside = [s for s in spans if min(s) >= shift and max(s) < shift + D.STRETCH]
+            inside = [s for s in seeds if min(s) >= shift and max(s) < shift + D.STRETCH]
             for gone in tolerated(n):
                 assert any(s.isdisjoint(k + shift for k in gone) for s in inside), (n, shift, gone)
 
 
+def test_seeds_ignore_words_between_their_picks():
+    assert all("10" in m for m in D.MASKS)
+    for n in range(5, 2 * D.STRETCH):       # shorter items may have no change
+        assert all(step > 1 for _, step, _ in D.picks(n))
+    assert D.picks(4) == [(0, 1, 4)]
+
+
+def test_short_items_and_null_ids(make, spark):
+    bench = spark.createDataFrame([(1, "two words"), (None, ITEM), (2, "gone"), (2, "word29 end"), (3, " !? ")], BENCH)
+    docs = make([(1, "here are Two, words!"), (2, "two other words"), (3, ITEM + " end"), (4, "two"), (5, None), (6, "gone")])
+    rows = {r.doc_id: (r.n_items, r.item_ids) for r in D.contaminated(docs, bench, short_span=1).collect()}
+    assert rows == {1: (1, "1"), 3: (2, "2,null"), 6: (1, "2")}
+    assert {r.doc_id for r in D.contaminated(docs, bench).collect()} == {3}
+
+
 @pytest.mark.parametrize("broadcast", [D.BROADCAST_SEEDS, 0])
 def test_every_tolerated_change_of_short_items_is_found(make, spark, monkeypatch, broadcast):
     monkeypatch.setattr(D, "BROADCAST_SEEDS", broadcast)
