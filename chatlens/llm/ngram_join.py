@@ -44,8 +44,8 @@ from chatlens.llm.common import free_name, keep_table
 SAMPLE = 16             # one text in so many is looked at for frequent shingles
 FREQUENT = 200_000      # most of them, at most (8 bytes each)
 SMALL = 32              # nodes of a bucket that is compared pair by pair
-BLOCK = 1024            # nodes of a block of a larger one, at most
-BLOCK_SHINGLES = 1 << 20    # shingles of a block, about
+BLOCK = 2048            # nodes of a block of a larger one, at most
+BLOCK_SHINGLES = 1 << 21    # shingles of a block, about
 ROUNDS = 6              # rounds of step 3 at most; step 4 does what they leave
 SEEN = 1 << 20          # nodes or texts that a task remembers, to emit copies once
 MAP_BITS = 1 << 27      # bits of a map of keys, at most (16 MB); it moves work, never results
