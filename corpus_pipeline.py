@@ -8,7 +8,11 @@ before it kept, written as Parquet in the shared folder and read again.
 5. sharding: each document gets its slot and shard.
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns
-of ``documents``.
+of ``documents``, also further ones that the table has. Null and empty texts
+and texts without a letter leave in the first stage. Rows with a null id stay
+rows of their own in stages 1 and 3 to 5; in stage 2 rows of equal sets are one
+group whatever their ids, and of repeated rows one stays. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ def stage_ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"), short_span=1)
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
