@@ -49,6 +49,18 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int | None) -> DataFrame:
     return out if k is None else out.limit(k)
 
 
+def narrow(messages: DataFrame) -> DataFrame:
+    """Messages without their text: what a top k is taken on."""
+    return messages.drop("content")
+
+
+def with_content(top: DataFrame, messages: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The few rows of a top k with their texts, fetched by (tenant, id) and
+    put in order again. The k rows go to the texts, no text is shuffled to them."""
+    key = [c for c in ("tenant_id", "id") if c in top.columns and c in messages.columns]
+    return top.join(messages.select(*key, "content"), key).orderBy(*order)
+
+
 def total_of(df: DataFrame, expr: Column) -> Column:
     """Scalar subquery over ``df`` (one aggregate row; no window over all rows)."""
     return df.agg(expr).scalar()

@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.functions.columns import count_occurrences, round_ratio
-from chatlens.operators.common import humans, in_window, share, top_k
+from chatlens.operators.common import humans, in_window, narrow, share, top_k, with_content
 
 DESC, ASC = F.desc_nulls_last, F.asc_nulls_first
 
 
+def _newest() -> list:
+    return [DESC("created_at"), DESC("id")]
+
+
 def _nonempty(messages: DataFrame) -> DataFrame:
     return messages.filter(F.col("content").isNotNull() & (F.col("content") != ""))
 
@@ -52,23 +56,23 @@ def longest_messages(messages: DataFrame, users: DataFrame, channels: DataFrame,
                      k: int | None = 10, preview: int = 50) -> DataFrame:
     # only messages whose author and channel exist (the reference joins
     # first), then the top k, then the names for those k rows
-    m = messages.filter(F.col("word_count").isNotNull()) \
+    m = narrow(messages).filter(F.col("word_count").isNotNull()) \
         .join(users.select(F.col("id").alias("author_id")), "author_id", "left_semi") \
         .join(channels.select(F.col("id").alias("channel_id")), "channel_id", "left_semi")
     top = top_k(m, [DESC("word_count"), ASC("id")], k)
     j = top.join(_names(users), "author_id").join(
         channels.select(F.col("id").alias("channel_id"), F.col("name").alias("channel")), "channel_id")
-    return top_k(j, [DESC("word_count"), ASC("id")], None).select(
+    return with_content(j, messages, [DESC("word_count"), ASC("id")]).select(
         "username", "channel", "word_count", "char_count",
         F.substring("content", 1, preview).alias("content_preview"))
 
 
 def longest_messages_chars(messages: DataFrame, users: DataFrame, k: int | None = 20,
                            preview: int = 100) -> DataFrame:
-    m = messages.filter(F.col("content").isNotNull()).withColumn("content_length",
-                                                                 F.length("content"))
-    j = m.join(_names(users), "author_id")
-    return top_k(j, [DESC("content_length"), ASC("id")], k).select(
+    m = narrow(messages.filter(F.col("content").isNotNull()).withColumn("content_length", F.length("content")))
+    order = [DESC("content_length"), ASC("id")]
+    top = top_k(m.join(_names(users), "author_id"), order, k)
+    return with_content(top, messages, order).select(
         "username", "content_length", F.substring("content", 1, preview).alias("preview"),
         "created_at")
 
@@ -97,32 +101,32 @@ def content_metrics(messages: DataFrame, as_of=None, days: int = 30) -> DataFram
 
 
 def messages_with_attachments(messages: DataFrame, users: DataFrame, k: int | None = 20) -> DataFrame:
-    m = messages.filter(F.col("attachment_count") > 0).join(_names(users), "author_id")
-    return top_k(m, [DESC("created_at"), DESC("id")], k).select(
+    m = narrow(messages).filter(F.col("attachment_count") > 0).join(_names(users), "author_id")
+    return with_content(top_k(m, _newest(), k), messages, _newest()).select(
         "username", "content", "attachment_count", "created_at")
 
 
 def search_messages(messages: DataFrame, users: DataFrame, channels: DataFrame, needle: str,
                     k: int | None = 20) -> DataFrame:
     """Case-insensitive substring search (ILIKE '%needle%'), newest first."""
-    m = messages.filter(F.lower("content").contains(needle.lower()))
+    m = narrow(messages.filter(F.lower("content").contains(needle.lower())))
     j = m.join(_names(users), "author_id").join(
         channels.select(F.col("id").alias("channel_id"), F.col("name").alias("channel")), "channel_id")
-    return top_k(j, [DESC("created_at"), DESC("id")], k).select(
+    return with_content(top_k(j, _newest(), k), messages, _newest()).select(
         "username", "content", "channel", "created_at")
 
 
 def pinned_messages(messages: DataFrame, users: DataFrame, channels: DataFrame) -> DataFrame:
-    m = messages.filter(F.col("is_pinned"))
+    m = narrow(messages).filter(F.col("is_pinned"))
     j = m.join(_names(users), "author_id").join(
         channels.select(F.col("id").alias("channel_id"), F.col("name").alias("channel")), "channel_id")
-    return top_k(j, [DESC("created_at"), DESC("id")], None).select(
+    return with_content(j, messages, _newest()).select(
         "username", "channel", "content", "created_at")
 
 
 def recent_messages(messages: DataFrame, users: DataFrame, k: int | None = 20) -> DataFrame:
-    j = messages.join(_names(users), "author_id")
-    return top_k(j, [DESC("created_at"), DESC("id")], k).select(
+    j = narrow(messages).join(_names(users), "author_id")
+    return with_content(top_k(j, _newest(), k), messages, _newest()).select(
         "id", "username", "content", "created_at")
 
 
@@ -131,14 +135,16 @@ def first_and_last_message(messages: DataFrame, users: DataFrame, channels: Data
     """Earliest and latest message with a known author and channel: one
     aggregate with min_by / max_by (no sort of all messages)."""
     key = F.struct("created_at", "id")
-    val = F.struct("id", "author_id", "channel_id", "content", "created_at")
-    known = messages.join(users.select(F.col("id").alias("author_id")), "author_id", "left_semi") \
+    scope = [c for c in ("tenant_id",) if c in messages.columns]
+    val = F.struct(*scope, "id", "author_id", "channel_id", "created_at")
+    known = narrow(messages).join(users.select(F.col("id").alias("author_id")), "author_id", "left_semi") \
         .join(channels.select(F.col("id").alias("channel_id")), "channel_id", "left_semi")
     a = known.agg(F.min_by(val, key).alias("first"), F.max_by(val, key).alias("last"))
     rows = a.select(F.explode(F.array(
         F.struct(F.lit("first").alias("which"), F.col("first").alias("m")),
         F.struct(F.lit("last").alias("which"), F.col("last").alias("m")))).alias("r"))
     r = rows.select("r.which", "r.m.*")
+    r = r.join(messages.select(*scope, "id", "content"), [*scope, "id"], "left")
     r = r.join(_names(users), "author_id", "left").join(
         channels.select(F.col("id").alias("channel_id"), F.col("name").alias("channel")),
         "channel_id", "left")

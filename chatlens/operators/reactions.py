@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.functions.columns import round_ratio
-from chatlens.operators.common import in_window, top_k
+from chatlens.operators.common import in_window, narrow, top_k, with_content
 
 DESC, ASC = F.desc_nulls_last, F.asc_nulls_first
 
@@ -48,11 +48,12 @@ def most_reacted_messages(messages: DataFrame, users: DataFrame, channels: DataF
                           reactions: DataFrame, k: int | None = 10, preview: int = 50) -> DataFrame:
     cnt = reactions.groupBy(F.col("message_id").alias("id")).agg(
         F.count(F.lit(1)).alias("reaction_count"))
-    m = messages.select("id", "author_id", "channel_id", "content").join(cnt, "id") \
+    m = narrow(messages).join(cnt, "id") \
         .join(_names(users, "author_id", "author"), "author_id") \
         .join(channels.select(F.col("id").alias("channel_id"), F.col("name").alias("channel")),
               "channel_id")
-    return top_k(m, [DESC("reaction_count"), ASC("id")], k).select(
+    order = [DESC("reaction_count"), ASC("id")]
+    return with_content(top_k(m, order, k), messages, order).select(
         "author", "channel", "reaction_count",
         F.substring("content", 1, preview).alias("content_preview"))
 
@@ -61,10 +62,10 @@ def most_reacted_messages_all(messages: DataFrame, users: DataFrame, reactions:
                               k: int | None = 20, preview: int = 50) -> DataFrame:
     cnt = reactions.groupBy(F.col("message_id").alias("id")).agg(
         F.count(F.lit(1)).alias("reaction_count"))
-    m = messages.select("id", "author_id", "content").join(_names(users, "author_id", "author"),
-                                                           "author_id") \
+    m = narrow(messages).join(_names(users, "author_id", "author"), "author_id") \
         .join(cnt, "id", "left").withColumn("reaction_count", F.coalesce("reaction_count", F.lit(0)))
-    return top_k(m, [DESC("reaction_count"), ASC("id")], k).select(
+    order = [DESC("reaction_count"), ASC("id")]
+    return with_content(top_k(m, order, k), messages, order).select(
         "id", F.substring("content", 1, preview).alias("preview"), "author", "reaction_count")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.functions.columns import micros_between, round_ratio
-from chatlens.operators.common import adjacent, humans, reply_edges, share, top_k
+from chatlens.operators.common import adjacent, humans, narrow, reply_edges, share, top_k, with_content
 
 DESC, ASC = F.desc_nulls_last, F.asc_nulls_first
 MIN_US = 60_000_000
@@ -86,9 +86,10 @@ def replies_received(messages: DataFrame, users: DataFrame, k: int | None = 10)
 
 
 def reply_chains(messages: DataFrame, users: DataFrame, k: int | None = 20) -> DataFrame:
-    m = messages.filter(F.col("reply_to_message_id").isNotNull()).join(
+    m = narrow(messages).filter(F.col("reply_to_message_id").isNotNull()).join(
         _names(users, "author_id", "author"), "author_id")
-    return top_k(m, [DESC("created_at"), DESC("id")], k).select(
+    order = [DESC("created_at"), DESC("id")]
+    return with_content(top_k(m, order, k), messages, order).select(
         "id", "author", "content", "reply_to_message_id")
 
 
@@ -97,12 +98,13 @@ def viral_messages(messages: DataFrame, users: DataFrame, channels: DataFrame,
     """Messages of humans with the most replies (zero kept)."""
     per = messages.filter(F.col("reply_to_message_id").isNotNull()).groupBy(
         F.col("reply_to_message_id").alias("id")).agg(F.count(F.lit(1)).alias("reply_count"))
-    m = messages.join(_human_ids(users, "author_id"), "author_id") \
+    m = narrow(messages).join(_human_ids(users, "author_id"), "author_id") \
         .join(channels.select(F.col("id").alias("channel_id")), "channel_id", "left_semi") \
         .join(per, "id", "left").withColumn("reply_count", F.coalesce("reply_count", F.lit(0)))
     top = top_k(m, [DESC("reply_count"), ASC("id")], k)
     j = top.join(_names(users, "author_id"), "author_id").join(
         channels.select(F.col("id").alias("channel_id"), F.col("name").alias("channel")), "channel_id")
+    j = with_content(j, messages, [DESC("reply_count"), ASC("id")])
     c = F.col("content")
     cut = F.when(F.length(c) > preview, F.concat(F.substring(c, 1, preview), F.lit("..."))).otherwise(c)
     return j.select("username", F.replace(cut, F.lit("\n"), F.lit(" ")).alias("content"),

@@ -40,3 +40,33 @@ def test_bucketed_layout_colocates_message_joins(spark, small, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_no_text_is_shuffled_before_a_top_k(spark, small):
+    """Joins with users that are too large to broadcast move narrow rows only."""
+    from chatlens.operators import content as C
+    from chatlens.operators import reactions as RE
+    from chatlens.operators import replies as RP
+    t = small
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",)}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1024")
+        for df in (C.recent_messages(t.messages, t.users), C.longest_messages(t.messages, t.users, t.channels),
+                   C.search_messages(t.messages, t.users, t.channels, "haha"), RP.reply_chains(t.messages, t.users),
+                   RP.viral_messages(t.messages, t.users, t.channels),
+                   RE.most_reacted_messages(t.messages, t.users, t.channels, t.reactions)):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            below = plan[plan.index("GlobalLimit"):]
+            top = below.split("\n")[0]
+            depth = len(top) - len(top.lstrip(" :+-"))
+            inside = [x for x in below.split("\n")[1:]]
+            kept = []
+            for line in inside:             # the subtree of the limit
+                if len(line) - len(line.lstrip(" :+-")) <= depth:
+                    break
+                kept.append(line)
+            projected = [x for x in kept if x.lstrip(" :+-").startswith("Project")]
+            assert projected and not any(", content#" in x or "[content#" in x for x in projected[:2]), plan
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
