@@ -30,8 +30,10 @@ def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def export_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    (_flat(df).write.mode(mode).option("header", True).option("sep", "\t")
-     .option("nullValue", "").option("emptyValue", "").option("quote", "\u0000").csv(path))
+    """Header, NULL as empty, quotes only around values with a tab, quote or
+    newline (quotes doubled), so such a value does not break its row."""
+    (_flat(df).write.mode(mode).option("header", True).option("sep", "\t").option("quote", '"')
+     .option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path))
 
 
 def export_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

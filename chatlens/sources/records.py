@@ -79,8 +79,10 @@ def read_records(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
 
 
 def read_reactor_pages(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Read a dump folder of reactor pages; a JSON line that is no page fails
+    the job, as for records."""
     reader = spark.read.schema(REACTOR_PAGE_SCHEMA)
-    return reader.json(path) if fmt == "json" else reader.format(fmt).load(path)
+    return reader.option("mode", "FAILFAST").json(path) if fmt == "json" else reader.format(fmt).load(path)
 
 
 def _user_struct(users: DataFrame, id_col: str, prefix: str) -> DataFrame:

@@ -6,7 +6,7 @@ files in a dump folder are flattened by the same batch functions inside
 A dump is not in time order, so there is no watermark: nothing is dropped for
 being old. Duplicates are dropped within a micro-batch by key and across them
 by the anti-join against what is stored. Lines that are no records are
-appended to ``rejects`` as text. The stream's checkpoint must live in a shared
+kept under ``rejects`` as text. The stream's checkpoint must live in a shared
 folder so a restarted driver or a lost executor resumes exactly where the last
 committed batch ended.
 """
@@ -47,7 +47,9 @@ def start_ingest(records: DataFrame, tenant_id: str, out_root: str, checkpoint:
         whole = batch = batch.persist()
         try:
             batch, rejects = split_rejects(batch)
-            rejects.write.mode("append").text(f"{root}/rejects")
+            # a folder of its own for each batch, so a batch that is run again
+            # writes its rejects over, not twice
+            rejects.write.mode("overwrite").text(f"{root}/rejects/batch={epoch_id}")
             _append_new(normalize_messages(batch, tenant_id), f"{root}/messages", ["tenant_id", "id"])
             _append_new(explode_mentions(batch, tenant_id), f"{root}/message_mentions",
                         ["tenant_id", "message_id", "mentioned_user_id"])

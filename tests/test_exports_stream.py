@@ -84,3 +84,23 @@ def test_report_text_in_order(spark, small, tmp_path):
     assert lines[0] == "== THE BIG NUMBERS ==" and any(x.startswith("== TOP 10 MESSAGERS") for x in lines)
     heads = [x for x in lines if x.startswith("== ")]
     assert len(heads) == 17
+
+
+@pytest.mark.parametrize("kind", ["csv", "tsv"])
+def test_special_characters_come_back(spark, tmp_path, kind):
+    from chatlens.plans import exports
+    rows = [(1, "a,b"), (2, "tab\there"), (3, 'say "hi"'), (4, "two\nlines"), (5, "pipe|d"), (6, None), (7, "plain")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    out = str(tmp_path / kind)
+    {"csv": exports.export_csv, "tsv": exports.export_tsv}[kind](df, out)
+    back = spark.read.csv(out, header=True, sep="," if kind == "csv" else "\t", quote='"', escape='"', multiLine=True,
+                          schema="id int, text string")
+    assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
+
+
+def test_malformed_reactor_pages_fail(spark, tmp_path):
+    from chatlens.sources.records import read_reactor_pages
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "p.json").write_text('{"message_id": 1, "users": []}\n{"message_id": 2, "use')
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        read_reactor_pages(spark, str(tmp_path / "pages")).collect()
