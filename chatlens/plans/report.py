@@ -17,6 +17,7 @@ from chatlens.operators import reactions as RX
 from chatlens.operators import replies as R
 from chatlens.operators import timeline as T
 from chatlens.operators import users as U
+from chatlens.operators.common import humans
 
 
 def _section(no: int, title: str, df: DataFrame, fmt: str, cols: list[str],
@@ -36,6 +37,11 @@ def _section(no: int, title: str, df: DataFrame, fmt: str, cols: list[str],
 def year_report(t, humans_only: bool = False) -> DataFrame:
     """Sections of the yearly report over the tables mapping ``t``."""
     m, u, c, mm = t["messages"], t["users"], t["channels"], t["message_mentions"]
+    if humans_only:         # in every section; messages of deleted authors stay
+        bots = u.filter("is_bot").select("tenant_id", F.col("id").alias("author_id"))
+        m = m.join(bots, ["tenant_id", "author_id"], "left_anti")
+        mm = mm.join(m.select("tenant_id", F.col("id").alias("message_id")), ["tenant_id", "message_id"], "left_semi")
+        u = humans(u)
     d = F.desc_nulls_last
     secs = [
         ("THE BIG NUMBERS", Q.big_numbers(m, c, mm),

@@ -51,3 +51,13 @@ def test_tie_breaks_are_by_id(small):
     from chatlens.operators.users import top_users
     got = [r.message_count for r in top_users(small.users, small.messages, k=None).collect()]
     assert got == sorted(got, reverse=True)
+
+
+def test_report_of_humans_has_no_bot_in_any_section(spark, small):
+    from chatlens.plans.report import year_report
+    bots = {r.username for r in small.users.filter("is_bot").collect()}
+    lines = [r.text for r in year_report(small, humans_only=True).collect()]
+    assert len(lines) > 20 and not [x for x in lines for b in bots if b in x]
+    human = small.messages.join(small.users.filter("NOT is_bot").selectExpr("id AS author_id"), "author_id").count()
+    alone = small.messages.filter("author_id IS NULL").count()
+    assert any(f"messages {human + alone}," in x for x in lines)
