@@ -6,10 +6,14 @@ when 100 * intersection >= 75 * union; the result is the connected components.
 1. Equal sets are one node. One pass over the texts gives each document its
    set's 128-bit digest, size, a profile (counts of the set's hashes in a few
    classes, at most a byte for four shingles) and signatures
-   (``shingles.signatures``: linked sets share at least one). The table is
-   kept in the shared folder; texts are not read again but for candidates.
-2. Signatures are grouped; those of one node only are dropped. What is left
-   are buckets (signature, node); of buckets with the same nodes one stays.
+   (``shingles.signatures``: linked sets share at least one). A node's number is
+   half of the digest; where sets with different digests have the same number,
+   it is told apart by the other half and the pass is made again.
+2. In the same pass signatures meet; those of one node only are dropped. What
+   is left are buckets (signature, node), kept in the shared folder with the
+   documents' rows; of buckets with the same nodes one stays. Signatures of
+   many sampled sets are known to be shared, so their rows need not meet and
+   are spread; texts are not read again but for candidates.
 3. Rounds: in each bucket that holds more than one component so far, the nodes
    outside its largest component are compared with one node of it, so groups
    of copies join up in a few rounds without any pairs within the group.
@@ -30,7 +34,8 @@ out, also repeated ones. Other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -43,6 +48,9 @@ from chatlens.llm.common import free_name, keep_table
 
 SAMPLE = 16             # one text in so many is looked at for frequent shingles
 FREQUENT = 200_000      # most of them, at most (8 bytes each)
+HOT = 64                # sampled sets that make a signature a hot one
+HOT_LIST = 100_000      # hot signatures that are spread, at most (8 bytes each); the others meet in one task
+SPREAD = 4096           # ways that the rows of a hot signature are spread
 SMALL = 32              # nodes of a bucket that is compared pair by pair
 BLOCK = 2048            # nodes of a block of a larger one, at most
 BLOCK_SHINGLES = 1 << 21    # shingles of a block, about
@@ -52,7 +60,12 @@ MAP_BITS = 1 << 27      # bits of a map of keys, at most (16 MB); it moves work,
 CHUNK = 1 << 15         # bits of a map that are put together in one row
 
 
-def _frequent(texts: DataFrame) -> np.ndarray:
+def _sample(texts: DataFrame) -> DataFrame:
+    return (texts.filter(F.pmod("text_key", F.lit(SAMPLE)) == 0).dropDuplicates(["text_key"])
+            .select("doc_id", "text_key", "text"))
+
+
+def _frequent(sample: DataFrame) -> np.ndarray:
     """Shingles that sampled texts share. They only move signatures to the end
     of an order, so which ones are found changes no result."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,14 +74,23 @@ def _frequent(texts: DataFrame) -> np.ndarray:
                 sets = [S.shingle_set(t) for t in b["text"].iloc[lo:lo + 64]]
                 yield pd.DataFrame({"shingle": np.concatenate(sets).view(np.int64)})
 
-    some = texts.filter(F.pmod("text_key", F.lit(SAMPLE)) == 0).dropDuplicates(["text_key"])
-    rows = (some.select("text").mapInPandas(run, "shingle long")
+    rows = (sample.select("text").mapInPandas(run, "shingle long")
             .groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
             .orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").toArrow())
     return np.sort(rows["shingle"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _described(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
+def _number(s: np.ndarray, split: frozenset[int], digest: Callable) -> tuple[int, int]:
+    """A set's node and the other half of its digest. Nodes of ``split`` are
+    those of several sets, which the other half tells apart."""
+    node, check = digest(s)
+    while node in split:
+        half = np.array([node, check], np.int64).view(np.uint64)
+        node = int(S.mix(S.mix(half[:1]) ^ half[1:]).view(np.int64)[0])
+    return node, check
+
+
+def _described(texts: DataFrame, frequent: np.ndarray, number: Callable) -> DataFrame:
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("check", T.LongType()),
                            T.StructField("n_shingles", T.LongType()),
                            T.StructField("profile", T.BinaryType()),
@@ -81,7 +103,7 @@ def _described(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
             out: dict[str, list] = {f.name: [] for f in schema}
             for text in b:
                 s = S.shingle_set(text)
-                node, check = S.digest(s)
+                node, check = number(s)
                 new = len(s) > 0 and node not in seen
                 if new:
                     if len(seen) >= SEEN:
@@ -97,12 +119,33 @@ def _described(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
             .select("doc_id", "text_key", "d.*"))
 
 
-def _buckets(described: DataFrame) -> DataFrame:
-    """(signature, node) of the signatures that several nodes have."""
-    rows = described.select(F.explode("signatures").alias("signature"), "node")
-    own = Window.partitionBy("signature")
-    return (rows.withColumn("lo", F.min("node").over(own)).withColumn("hi", F.max("node").over(own))
-            .filter("lo <> hi").select("signature", "node").distinct())
+def _hot(sample: DataFrame, frequent: np.ndarray, number: Callable) -> DataFrame:
+    """Signatures of many sampled texts, which need not prove that others have
+    them too. Should all be copies of one set, its bucket joins nothing."""
+    return (_described(sample, frequent, number).select(F.explode("signatures").alias("signature"))
+            .groupBy("signature").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT)
+            .orderBy(F.desc("n"), "signature").limit(HOT_LIST).select("signature"))
+
+
+def _rows(described: DataFrame, hot: DataFrame) -> DataFrame:
+    """A row for each document (``doc`` is set, ``signature`` null) and the
+    rows (signature, node) of the signatures that several nodes have. Document
+    rows go through the same exchange, each under a key of its own."""
+    doc = F.struct("doc_id", "text_key", "check", "n_shingles", "profile")
+    none = F.lit(None).cast("long")
+    # a list of the document's own entry and its signatures
+    entries = F.concat(F.array(none), F.coalesce(F.col("signatures"), F.array().cast("array<bigint>")))
+    rows = (described.select("node", doc.alias("doc"), F.explode(entries).alias("signature"))
+            .withColumn("doc", F.when(F.col("signature").isNull(), F.col("doc")))
+            .join(F.broadcast(hot.withColumn("hot", F.lit(True))), "signature", "left")
+            .withColumn("spread", F.when(F.col("hot"), 1 + F.pmod("node", F.lit(SPREAD)))
+                        .when(F.col("signature").isNull(), F.monotonically_increasing_id()).otherwise(0)))
+    own = Window.partitionBy("signature", "spread")
+    met = (rows.select("signature", "spread", "node", "doc")
+           .withColumn("lo", F.min("node").over(own)).withColumn("hi", F.max("node").over(own)))
+    return (met.filter(F.col("signature").isNull() | (F.col("spread") > 0) | (F.col("lo") != F.col("hi")))
+            .select("signature", "spread", "node", "doc").dropDuplicates(["signature", "spread", "node"])
+            .select("signature", "node", "doc"))
 
 
 def _key_map(keys: DataFrame, col: str) -> np.ndarray:
@@ -134,7 +177,7 @@ def _perhaps_in(bits: np.ndarray):
     return test
 
 
-def _sets(texts: DataFrame, need: DataFrame) -> DataFrame:
+def _sets(texts: DataFrame, need: DataFrame, number: Callable) -> DataFrame:
     """(node, shingles as bytes) of ``need`` (node, text_key). Of the texts
     only the sets that may be needed are shuffled, copies once a task."""
     bits = _key_map(need, "text_key")
@@ -150,7 +193,7 @@ def _sets(texts: DataFrame, need: DataFrame) -> DataFrame:
                     seen.clear()
                 seen.add(int(keys[i]))
                 s = S.shingle_set(b["text"].iat[i])
-                nodes.append(S.digest(s)[0])
+                nodes.append(number(s)[0])
                 sets.append(s.tobytes())
             yield pd.DataFrame({"node": np.array(nodes, np.int64), "shingles": pd.Series(sets, dtype=object)})
 
@@ -336,20 +379,35 @@ def _forest(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray]) -> pd
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, and node and component (the set's and
-    the component's internal number)."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+         digest: Callable = S.digest) -> DataFrame:
+    """doc_id, n_shingles, component_id, and component and text_key (the
+    component's internal number and the text's hash). ``digest`` gives two
+    64-bit hashes of a set, which together tell sets apart."""
     text = docs[text_col].cast("string")
     texts = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    described = keep_table(_described(texts, _frequent(texts)), "ngram-sets")
-    nodes = keep_table(
-        described.filter("n_shingles > 0").groupBy("node")
-        .agg(F.min("text_key").alias("text_key"), F.min("n_shingles").alias("n_shingles"),
-             F.min("profile").alias("profile"), F.min("doc_id").alias("doc_id")), "ngram-nodes")
-    buckets = keep_table(_buckets(described), "ngram-buckets")
-    members = buckets.select("node").distinct()
-    labels = keep_table(members.withColumn("label", F.col("node")), "ngram-labels")
+    sample = keep_table(_sample(texts), "ngram-sample")
+    frequent = _frequent(sample)
+    split: frozenset[int] = frozenset()
+    number = partial(_number, split=split, digest=digest)
+    hot = keep_table(_hot(sample, frequent, number), "ngram-hot")
+    while True:
+        rows = keep_table(_rows(_described(texts, frequent, number), hot), "ngram-rows")
+        described = rows.filter("signature IS NULL").select("node", "doc.*")
+        nodes = keep_table(
+            described.filter("n_shingles > 0").groupBy("node")
+            .agg(F.min("text_key").alias("text_key"), F.min("n_shingles").alias("n_shingles"),
+                 F.min("profile").alias("profile"), F.min("doc_id").alias("doc_id"),
+                 (F.min("check") != F.max("check")).alias("several")), "ngram-nodes")
+        # two of 64 bits alike: a handful among ten thousand million sets
+        several = {r.node for r in nodes.filter("several").select("node").collect()}
+        if several <= split:
+            break
+        split |= several
+        number = partial(_number, split=split, digest=digest)
+    buckets = rows.filter("signature IS NOT NULL").select("signature", "node")
     buckets = keep_table(_distinct_buckets(buckets), "ngram-buckets")
+    labels = keep_table(buckets.select("node").distinct().withColumn("label", F.col("node")), "ngram-labels")
 
     sets = tried = None
     first = 0
@@ -360,7 +418,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         near = keep_table(_may_link(pairs, nodes), "ngram-near")
-        sets = _with_sets(texts, near, nodes, sets)
+        sets = _with_sets(texts, near, nodes, sets, number)
         new = keep_table(_linked(near, sets), "ngram-links")
         found = new.count()
         first = first or found
@@ -373,7 +431,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     large = keep_table(_large(still, nodes), "ngram-large")
     near = keep_table(_may_link(_small_pairs(still).join(tried, ["a", "b"], "left_anti"), nodes), "ngram-near")
     need = near.unionByName(large.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    sets = _with_sets(texts, need, nodes, sets)
+    sets = _with_sets(texts, need, nodes, sets, number)
     new = keep_table(_linked(near, sets).unionByName(_block_links(large, sets)), "ngram-links")
     labels = components(labels, new)
 
@@ -387,15 +445,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "component", "text_key")
 
 
-def _with_sets(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, sets: DataFrame | None) -> DataFrame:
+def _with_sets(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, sets: DataFrame | None,
+               number: Callable) -> DataFrame:
     """``sets`` and those of the nodes of ``pairs`` that it lacks."""
     need = _ends(pairs).distinct()
     if sets is not None:
         need = need.join(sets, "node", "left_anti")
     need = keep_table(need.join(nodes.select("node", "text_key"), "node"), "ngram-needed")
     if need.isEmpty():
-        return sets if sets is not None else keep_table(_sets(texts.limit(0), need), "ngram-texts")
-    more = keep_table(_sets(texts, need), "ngram-texts")
+        return sets if sets is not None else keep_table(_sets(texts.limit(0), need, number), "ngram-texts")
+    more = keep_table(_sets(texts, need, number), "ngram-texts")
     return more if sets is None else sets.unionByName(more)
 
 

@@ -155,3 +155,55 @@ def test_key_map_holds_every_key(spark):
     assert J._on_map(bits, keys).all()
     assert J._on_map(bits, rng.integers(-2 ** 63, 2 ** 63, 6000, dtype=np.int64)).mean() < 0.1
     assert not J._on_map(J._key_map(table.limit(0), "k"), keys).any()
+
+
+def near_copies(rng, n, words=80):
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    return [" ".join(edited(rng, base, rng.randrange(3))) for _ in range(n)]
+
+
+def test_hot_signatures_are_spread(make, monkeypatch):
+    """Every text is sampled, so signatures of two sampled texts are hot and
+    their rows do not meet; repeated rows stay."""
+    monkeypatch.setattr(J, "SAMPLE", 1)
+    monkeypatch.setattr(J, "HOT", 2)
+    rng = random.Random(11)
+    rows = near_copies(rng, 60) + near_copies(rng, 3) + near_copies(rng, 1)
+    rows = [(k, t) for k, t in enumerate(rows)] * 2 + [(None, rows[0]), (900, None), (901, " ")]
+    check(make, rows)
+    monkeypatch.setattr(J, "HOT_LIST", 5)       # the others meet
+    check(make, rows)
+
+
+def test_rows_of_a_hot_signature_meet_in_no_task(make, monkeypatch):
+    monkeypatch.setattr(J, "SAMPLE", 1)
+    monkeypatch.setattr(J, "HOT", 20)
+    rows = list(enumerate(near_copies(random.Random(2), 80)))
+    texts = make(rows).selectExpr("doc_id", "text", "xxhash64(text) AS text_key")
+    number = J.partial(J._number, split=frozenset(), digest=S.digest)
+    frequent = J._frequent(J._sample(texts))
+    hot = J._hot(J._sample(texts), frequent, number)
+    held = {r.signature for r in hot.collect()}
+    assert held
+    plan = J._rows(J._described(texts, frequent, number), hot)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(signature" in plan and "spread" in plan
+    got = Counter(r.signature for r in J._rows(J._described(texts, frequent, number), hot).collect())
+    want = Counter(int(x) for _, t in set(rows)
+                   for x in S.signatures(S.shingle_set(t), frequent).view(np.int64))
+    n_sets = len({S.shingle_set(t).tobytes() for _, t in rows})
+    assert got[None] == len(rows) and n_sets > 20
+    assert all(got[s] > 1 for s in held) and {s for s, n in want.items() if n > 1} >= held
+
+
+def test_sets_whose_nodes_are_alike_are_told_apart(make):
+    """Only three bits of the first half of the digest are left."""
+    def poor(s):
+        node, other = S.digest(s)
+        return node & 7, other
+
+    rng = random.Random(3)
+    texts = near_copies(rng, 12) + near_copies(rng, 12, 40)
+    texts += [" ".join(f"x{rng.randrange(5000)}" for _ in range(30)) for _ in range(40)]
+    rows = [(k, t) for k, t in enumerate(texts + texts[:5])]
+    got = J.join(make(rows), digest=poor).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
