@@ -14,14 +14,23 @@ rule that matches gives the licence; the licences of all matching rules are
 listed in rule order. Identifiers that are known but that no rule explains
 give the licence ``unclear``.
 
+Templates are sentences with open slots: ``*`` stands for 1 to 12 words (an
+owner, a project, where to read on), ``(a|b)`` for one of some words. A slot at
+the start stays on its line; one inside also reaches over the dot of an owner
+such as ``Inc.``. Texts without a word of any sentence or template (``cue``) are
+not cut.
+
 The sentence and rule tables are parameters of fixed size and are compared in
 expressions (the sentences as one regular expression). The DuckDB twin knows
-sentences within one part only, so it has no wrapped ones. Only built-in functions, one narrow pass, no shuffle. Whole texts
+sentences and templates within one part only, so it has no wrapped ones. Only built-in functions, one narrow pass, no shuffle. Whole texts
 are read. Null and empty texts have no sentence. A row in gives a row out.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +119,31 @@ for _kind, _ident in (("attribution", "CCBY_REF"), ("attribution sharealike", "C
                       ("attribution noncommercial noderivatives", "CCBYNCND_REF")):
     for _the in ("a", "the"):
         SENTENCES[f"this work is licensed under {_the} creative commons {_kind} 4.0 international license"] = _ident
+# Tags of one line, and the names that files give to a licence.
+for _tag, _ident in (("mit", "MIT_REF"), ("apache 2.0", "APACHE2_REF"), ("bsd 3 clause", "BSD3_REF"),
+                     ("bsd 2 clause", "BSD2_REF"), ("isc", "ISC_REF"), ("mpl 2.0", "MPL2_REF"),
+                     ("cc by 4.0", "CCBY_REF"), ("cc by sa 4.0", "CCBYSA_REF"), ("cc by nc 4.0", "CCBYNC_REF"),
+                     ("cc by nc nd 4.0", "CCBYNCND_REF"), ("cc0 1.0", "CC0_REF")):
+    SENTENCES[f"spdx license identifier {_tag}"] = _ident
+for _tag, _ident in (("gpl 3.0", "GPL3_REF"), ("gpl 2.0", "GPL2_REF"), ("agpl 3.0", "AGPL3_REF"),
+                     ("lgpl 3.0", "LGPL3_REF"), ("lgpl 2.1", "LGPL21_REF")):
+    for _more in ("", " only", " or later"):
+        SENTENCES[f"spdx license identifier {_tag}{_more}"] = _ident
+SENTENCES["licensed under the mit license the license"] = "MIT_REF"
+TEMPLATES = {
+    "neither the (name|names) of * nor the names of (its|their) contributors may be used to endorse or promote"
+    " products derived from this software without specific prior written permission": "BSD_ENDORSE",
+}
+for _name, _ident in (("mit license", "MIT_REF"), ("apache license (version|v) 2.0", "APACHE2_REF"),
+                      ("apache (2.0 license|license 2.0)", "APACHE2_REF"), ("bsd 3 clause license", "BSD3_REF"),
+                      ("bsd 2 clause license", "BSD2_REF"), ("isc license", "ISC_REF"),
+                      ("mozilla public license (version|v) 2.0", "MPL2_REF"),
+                      ("gnu general public license (version 3|v3|v3.0)", "GPL3_REF"),
+                      ("gnu general public license (version 2|v2|v2.0)", "GPL2_REF"),
+                      ("gnu affero general public license (version 3|v3|v3.0)", "AGPL3_REF")):
+    for _start in ("", "* (is|are) "):
+        for _tail in ("", " see *"):
+            TEMPLATES[f"{_start}(licensed|released|distributed|available) under the {_name}{_tail}"] = _ident
 # Rules in order of precedence: identifiers in sequence, licence, class.
 RULES = (
     (("MIT_GRANT_SHORT", "MIT_NOTICE", "AS_IS"), "MIT", "permissive"),
@@ -130,11 +164,30 @@ RULES = (
     (("APACHE2_REF",), "Apache-2.0", "permissive"),
     (("MIT_REF",), "MIT", "permissive"),
     (("MIT_GRANT_SHORT",), "MIT", "permissive"),
+    (("BSD3_REF",), "BSD-3-Clause", "permissive"),
+    (("BSD2_REF",), "BSD-2-Clause", "permissive"),
+    (("ISC_REF",), "ISC", "permissive"),
     (("BSD_GRANT",), "BSD-2-Clause", "permissive"),
     (("ISC_GRANT",), "ISC", "permissive"),
     (("ARR",), "all-rights-reserved", "closed"),
 )
-CUE = "(?i)licen[sc]e|permission|permitted|copyright|warranty|redistribut|compliance|rights"
+
+
+def cue(sentences) -> str:
+    """A pattern that each of the (normalised) sentences or templates meets: a
+    few of their words, the most common ones first. A word stands in a
+    lower-cased text as it does in its normal form."""
+    words = [{w for w in re.sub(r"\([^)]*\)", " ", s).split() if w != "*"} for s in sentences]
+    words = [{w for w in own if len(w) >= 6} or own for own in words]     # short ones are in many texts
+    out = []
+    while words:
+        found = Counter(w for own in words for w in own)
+        out.append(max(found, key=lambda w: (found[w], len(w), w)))
+        words = [own for own in words if out[-1] not in own]
+    return "|".join(w.replace(".", "\\.") for w in out) or r"\z\A."
+
+
+CUE = cue([*SENTENCES, *TEMPLATES])
 SENTENCE_END = r"(?<=[.!?])[\x20\x09-\x0D]+"
 PART_END = r"(?<=;)[\x20\x09\x0B-\x0D]+"
 
@@ -150,23 +203,51 @@ def _parts(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(plain, r"\.+(?=[ \n]|\z)", ""), " *\n *", "\n"))
 
 
-def _identifiers(text: Column, sentences: dict[str, str]) -> Column:
-    known = F.create_map(*[F.lit(x) for kv in sentences.items() for x in kv])
-    longest = sorted(sentences, key=lambda s: (-len(s), s))
-    any_of = "|".join(s.replace(".", "\\.").replace(" ", "[ \n]") for s in longest)
+def _regex(sentence: str, gap: str = " ", wide: str = " ") -> str:
+    """Pattern of a sentence or template; ``gap`` between its words, ``wide``
+    between those of a slot that words precede."""
+    out = ""
+    for k, word in enumerate(re.sub(r"\([^)]*\)", lambda m: m[0].replace(" ", "_"), sentence).split()):
+        if k:
+            out += wide if word == "*" or out.endswith("?)") else gap
+        if word == "*":
+            out += f"(?:[a-z0-9.]+(?:{wide if k else ' '}[a-z0-9.]+){{0,11}}?)"
+            out = out if k else out + "(?:)"
+        else:
+            out += word.replace(".", "\\.").replace("(", "(?:").replace("_", gap)
+    return out
+
+
+def _identifiers(text: Column, sentences: dict[str, str], templates: dict[str, str]) -> Column:
+    longest = sorted({**templates, **sentences}, key=lambda s: (-len(s), s))
+    if not longest:
+        return F.array().cast("array<string>")
+    any_of = "|".join(_regex(s, "[ \n]", "(?: |\n\n?)") for s in longest)
     found = F.regexp_extract_all(_parts(text), F.lit(rf"(?<![^\n])(?:{any_of})(?![^\n])"), F.lit(0))
-    return F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n", " ")))
+    known = F.create_map(F.lit(""), F.lit(""), *[F.lit(x) for kv in sentences.items() for x in kv])
+
+    def ident(part: Column) -> Column:
+        flat = F.regexp_replace(part, "\n+", " ")
+        out = F.when(F.map_contains_key(known, flat), F.element_at(known, flat))
+        for s in (s for s in longest if s in templates):
+            out = out.when(flat.rlike(f"^{_regex(s)}$"), F.lit(templates[s]))
+        return out
+
+    return F.transform(found, ident)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         sentences: dict[str, str] | None = None, rules=RULES) -> DataFrame:
+         sentences: dict[str, str] | None = None, rules=RULES, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_known (known sentences), sequence (their identifiers, comma
     joined), license (null without a known sentence), license_class, licenses
-    (all matching rules' licences in rule order, comma joined, each once)."""
+    (all matching rules' licences in rule order, comma joined, each once).
+    With own ``sentences`` there are no templates but own ones."""
+    templates = templates if templates is not None else TEMPLATES if sentences is None else {}
     sentences = SENTENCES if sentences is None else sentences
     slim = docs.select(docs[id_col].alias("doc_id"),
                        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
-    ids = F.when(F.col("_text").rlike(CUE), _identifiers(F.col("_text"), sentences)) \
+    ids = F.when(F.lower("_text").rlike(cue([*sentences, *templates])),
+                 _identifiers(F.col("_text"), sentences, templates)) \
         .otherwise(F.array().cast("array<string>"))
     found = pin(slim, _ids=ids).drop("_text")
     seq = F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(","))
@@ -185,10 +266,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         first(2).alias("license_class"), F.array_join(every, ",").alias("licenses"))
 
 
-def oracle(sentences: dict[str, str] | None = None, rules=RULES) -> str:
+def oracle(sentences: dict[str, str] | None = None, rules=RULES, templates: dict[str, str] | None = None) -> str:
     """The registered scan of ``documents`` for DuckDB."""
+    templates = templates if templates is not None else TEMPLATES if sentences is None else {}
     sentences = SENTENCES if sentences is None else sentences
     q = lambda s: "'" + s.replace("'", "''") + "'"
+    open_ones = " ".join(f"WHEN regexp_full_match(sentence, {q(_regex(s))}) THEN {q(templates[s])}"
+                         for s in sorted(templates, key=lambda s: (-len(s), s)))
+    open_ones = f"CASE {open_ones} END" if open_ones else "NULL"
     known = ", ".join(f"({q(s)}, {q(i)})" for s, i in sentences.items())
     ruled = ", ".join(f"({k}, {q(',' + ','.join(need) + ',')}, {q(lic)}, {q(cls)})"
                       for k, (need, lic, cls) in enumerate(rules))
@@ -206,9 +291,11 @@ normal AS (SELECT rid, line_no, part_no,
                   trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'),
                                       '[.]+( |$)', '\\1', 'g')) AS sentence
            FROM parts),
+told AS (SELECT sentence, coalesce(ident, {open_ones}) AS ident
+         FROM (SELECT DISTINCT sentence FROM normal) LEFT JOIN known USING (sentence)),
 seqs AS (SELECT rid, count(*) AS n_known,
                 string_agg(ident, ',' ORDER BY line_no, part_no) AS sequence
-         FROM normal JOIN known USING (sentence) GROUP BY rid),
+         FROM normal JOIN told USING (sentence) WHERE ident IS NOT NULL GROUP BY rid),
 hits AS (SELECT rid, arg_min(license, rank) AS license, arg_min(license_class, rank) AS license_class
          FROM seqs JOIN rules ON contains(',' || sequence || ',', need) GROUP BY rid),
 firsts AS (SELECT rid, license, min(rank) AS rank

@@ -129,3 +129,36 @@ def test_wrapped_public_texts(make):
     cases += [(t, s, lic) for t, s, lic in CANON[-1:]]
     got = {r.doc_id: (r.sequence, r.license) for r in X.scan(make([(k, t) for k, (t, _, _) in enumerate(cases)])).collect()}
     assert got == {k: (s, lic) for k, (_, s, lic) in enumerate(cases)}
+
+
+SLOTS = [
+    ("SPDX-License-Identifier: MIT", "MIT_REF", "MIT"),
+    ("// SPDX-License-Identifier: GPL-3.0-or-later", "GPL3_REF", "GPL-3.0"),
+    ("/* SPDX-License-Identifier: BSD-3-Clause */\nint x;", "BSD3_REF", "BSD-3-Clause"),
+    ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT_REF", "MIT"),
+    ("Some Tool 2.1 is distributed under the\nApache License, version 2.0.", "APACHE2_REF", "Apache-2.0"),
+    ("Licensed under the MIT License (the \"License\");", "MIT_REF", "MIT"),
+    ("a license that is released under the MIT license plan", "", None),
+    ("the hotel is available under the bridge", "", None),
+    (BSD + """
+3. Neither the name of Google Inc. nor the names of its contributors may be used
+   to endorse or promote products derived from this software without specific
+   prior written permission.
+""", "ARR,BSD_GRANT,BSD_ENDORSE", "BSD-3-Clause"),
+    (BSD + "\nNeither the names of A. Person and B. Other Ltd. nor the names of their\ncontributors may be used to endorse"
+     " or promote products\nderived from this software without specific prior written permission.",
+     "ARR,BSD_GRANT,BSD_ENDORSE", "BSD-3-Clause"),
+]
+
+
+def test_open_slots(make):
+    got = {r.doc_id: (r.sequence, r.license) for r in X.scan(make([(k, t) for k, (t, _, _) in enumerate(SLOTS)])).collect()}
+    assert got == {k: (s, lic) for k, (_, s, lic) in enumerate(SLOTS)}
+
+
+def test_own_sentences_need_no_built_in_cue(make):
+    own = {"this is free and unencumbered software released into the public domain": "FREE"}
+    text = "This is free and unencumbered software released into the public domain."
+    df = X.scan(make([(1, text), (2, "nothing")]), sentences=own, rules=((("FREE",), "Unlicense", "permissive"),))
+    assert {r.doc_id: r.license for r in df.collect()} == {1: "Unlicense", 2: None}
+    assert [r.n_known for r in X.scan(make([(1, text)]), sentences={}).collect()] == [0]
