@@ -11,5 +11,5 @@ def load_all() -> dict:
     from chatlens.catalog import (  # noqa: F401
         channels_q, content_q, graph_q, ingest_q, quality_q, reactions_q, replies_q, store_q,
         time_q, users_q)
-    from chatlens.catalog import service_q  # noqa: F401  (composes bodies of the others)
+    from chatlens.catalog import report_q, service_q  # noqa: F401  (compose bodies of the others)
     return REGISTRY

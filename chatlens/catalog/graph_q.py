@@ -3,17 +3,10 @@
 from __future__ import annotations
 
 from chatlens.catalog.base import (
-    AS_OF, BOTH_WAYS, HUMANS, MUTUAL, REPLIED, between, pct, ratio, register, since, tally,
+    AS_OF, BOTH_WAYS, HUMANS, MUTUAL, REPLIED, TAGGED, between, pct, ratio, register, since, tally,
 )
 from chatlens.operators import graph as G
 
-EDGES = """(SELECT m.id AS reply_id, m.author_id AS replier_id, o.author_id AS original_author_id,
-                   m.created_at AS reply_at FROM messages m JOIN messages o ON m.reply_to_message_id = o.id
-            WHERE m.author_id <> o.author_id)"""
-HEDGES = f"""(SELECT e.* FROM {EDGES} e JOIN {HUMANS} h1 ON e.replier_id = h1.id
-              JOIN {HUMANS} h2 ON e.original_author_id = h2.id)"""
-
-
 @register("interaction_summary", f"""
 WITH pt AS (SELECT u1.username AS from_user, u2.username AS to_user, ui.interaction_type,
                    SUM(ui.interaction_count) AS n
@@ -79,14 +72,9 @@ def _fan_relationships(t):
 
 
 _REACH = f"""
-WITH i AS (
-  SELECT DISTINCT replier_id AS uid, original_author_id AS other FROM {HEDGES} x
-  UNION
-  SELECT DISTINCT m.author_id, mm.mentioned_user_id FROM messages m
-  JOIN message_mentions mm ON m.id = mm.message_id
-  JOIN {HUMANS} h1 ON m.author_id = h1.id JOIN {HUMANS} h2 ON mm.mentioned_user_id = h2.id
-  WHERE m.author_id <> mm.mentioned_user_id),
-r AS (SELECT uid, COUNT(DISTINCT other) AS unique_interactions FROM i GROUP BY uid)"""
+WITH met AS (SELECT a, b FROM {REPLIED} r UNION SELECT a, b FROM {TAGGED} t),
+r AS (SELECT a AS uid, COUNT(*) AS unique_interactions
+      FROM met SEMI JOIN {HUMANS} h ON h.id = a SEMI JOIN {HUMANS} k ON k.id = b WHERE a <> b GROUP BY a)"""
 
 
 @register("social_butterfly", f"""
@@ -131,6 +119,21 @@ def _low_engagement(t):
     return G.low_engagement(t.messages, t.message_mentions, t.users)
 
 
+@register("selective_socializers_within_top", f"""
+{_REACH},
+top AS (SELECT * FROM r JOIN users ON users.id = uid ORDER BY unique_interactions DESC, uid LIMIT 15)
+SELECT username, unique_interactions FROM top ORDER BY unique_interactions, uid LIMIT 5""")
+def _selective_socializers_within_top(t):
+    return G.selective_socializers(t.messages, t.message_mentions, t.users, within_top=15)
+
+
+@register("low_engagement_within_top", f"""
+WITH top AS (SELECT * FROM ({_MAG}) y ORDER BY engagement_ratio DESC, uid LIMIT 15)
+SELECT username, engagement_ratio FROM top ORDER BY engagement_ratio, uid LIMIT 5""")
+def _low_engagement_within_top(t):
+    return G.low_engagement(t.messages, t.message_mentions, t.users, within_top=15)
+
+
 @register("late_night_crew", f"""
 SELECT ua.username AS user_1, ub.username AS user_2, n AS exchanges
 FROM {tally(REPLIED, 'least(a, b) AS a', 'greatest(a, b) AS b', where='a <> b AND hour(ts) < 6')} p
@@ -146,36 +149,38 @@ def _wrapped_users(t):
     return G.wrapped_users(t.messages, t.users, min_messages=50)
 
 
-@register("personal_wrapped", f"""
-WITH base AS (SELECT m.author_id AS uid, COUNT(*) AS total_msgs, CAST(MAX(length(m.content)) AS INTEGER) AS longest_msg,
-                     COUNT(CASE WHEN m.content LIKE '%?' THEN 1 END) AS questions_asked,
-                     COUNT(CASE WHEN hour(m.created_at) BETWEEN 0 AND 5 THEN 1 END) AS late_night
-              FROM messages m JOIN {HUMANS} h ON m.author_id = h.id GROUP BY 1),
-rk AS (SELECT uid, RANK() OVER (ORDER BY total_msgs DESC) AS rank FROM base),
-tot AS (SELECT COUNT(*) AS total_users FROM base),
-ch AS (SELECT m.author_id AS uid, m.channel_id, c.name, COUNT(*) AS cnt FROM messages m
-       JOIN channels c ON m.channel_id = c.id GROUP BY 1, 2, 3),
-fav AS (SELECT uid, arg_max(name, (cnt, -channel_id)) AS fav_channel, max(cnt) AS fcnt FROM ch GROUP BY uid),
-pr AS (SELECT m.author_id AS uid, o.author_id AS o, COUNT(*) AS x FROM messages m
-       JOIN messages o ON m.reply_to_message_id = o.id WHERE m.author_id <> o.author_id GROUP BY 1, 2),
-bf AS (SELECT pr.uid, arg_max(pr.o, (pr.x, -pr.o)) AS bo, max(pr.x) AS bf_exchanges
-       FROM pr JOIN {HUMANS} h ON pr.o = h.id GROUP BY pr.uid),
-cv AS (SELECT uid, COUNT(*) AS unique_convos FROM pr GROUP BY uid),
-mn AS (SELECT mm.mentioned_user_id AS uid, COUNT(*) AS times_mentioned, COUNT(DISTINCT m.author_id) AS by_people
-       FROM message_mentions mm JOIN messages m ON mm.message_id = m.id GROUP BY 1),
-dd AS (SELECT author_id AS uid, CAST(created_at AS DATE) AS d, COUNT(*) AS c FROM messages GROUP BY 1, 2),
-bd AS (SELECT uid, arg_max(d, (c, -(d - DATE '1970-01-01'))) AS busiest_date, max(c) AS busiest_count
-       FROM dd GROUP BY uid)
-SELECT b.uid AS user_id, u.username, b.total_msgs, b.longest_msg, b.questions_asked, b.late_night,
-       CAST(rk.rank AS BIGINT) AS rank, tot.total_users,
-       {ratio('tot.total_users - rk.rank', 'tot.total_users', 0, 100)} AS percentile,
-       fav.fav_channel, {pct('fav.fcnt', 'b.total_msgs')} AS fav_channel_pct,
-       bu.username AS best_friend, bf.bf_exchanges,
-       coalesce(mn.times_mentioned, 0) AS times_mentioned, coalesce(mn.by_people, 0) AS by_people,
-       bd.busiest_date, bd.busiest_count, coalesce(cv.unique_convos, 0) AS unique_convos
-FROM base b JOIN users u ON b.uid = u.id JOIN rk ON rk.uid = b.uid CROSS JOIN tot
-LEFT JOIN fav ON fav.uid = b.uid LEFT JOIN bf ON bf.uid = b.uid LEFT JOIN users bu ON bu.id = bf.bo
-LEFT JOIN mn ON mn.uid = b.uid LEFT JOIN bd ON bd.uid = b.uid LEFT JOIN cv ON cv.uid = b.uid
-WHERE b.total_msgs >= 50""")
+# Cards from one tally per author, channel and day
+_CARDS = f"""
+WITH wrote AS {tally('messages', 'author_id AS id', 'channel_id', 'CAST(created_at AS DATE) AS day',
+                     size='max(length(content))', asks="COUNT(*) FILTER (suffix(content, '?'))",
+                     dark='COUNT(*) FILTER (hour(created_at) < 6)')},
+people AS (SELECT id, username, SUM(n) AS n, max(size) AS size, SUM(asks) AS asks, SUM(dark) AS dark
+           FROM wrote JOIN {HUMANS} h USING (id) GROUP BY ALL),
+ladder AS (SELECT n, SUM(COUNT(*)) OVER (ORDER BY n DESC) - COUNT(*) + 1 AS place, SUM(COUNT(*)) OVER () AS everyone
+           FROM people GROUP BY n),
+homes AS (SELECT DISTINCT ON (id) id, name, n
+          FROM (SELECT id, channel_id, SUM(n) AS n FROM wrote GROUP BY ALL) spread
+          JOIN (SELECT id AS channel_id, name FROM channels) c USING (channel_id) ORDER BY id, n DESC, channel_id),
+peaks AS (SELECT DISTINCT ON (id) id, day, n FROM (SELECT id, day, SUM(n) AS n FROM wrote GROUP BY ALL) days
+          ORDER BY id, n DESC, day),
+partners AS {tally(REPLIED, 'a AS id', 'b', where='a <> b')},
+circles AS (SELECT id, COUNT(*) AS n FROM partners GROUP BY id),
+friends AS (SELECT DISTINCT ON (p.id) p.id, username, p.n FROM partners p JOIN {HUMANS} h ON h.id = p.b
+            ORDER BY p.id, p.n DESC, p.b),
+callers AS {tally(TAGGED, 'b AS id', 'a')},
+called AS (SELECT id, SUM(n) AS n, COUNT(a) AS people FROM callers GROUP BY id)
+SELECT people.id AS user_id, people.username, CAST(people.n AS BIGINT) AS total_msgs,
+       CAST(size AS INTEGER) AS longest_msg, CAST(asks AS BIGINT) AS questions_asked,
+       CAST(dark AS BIGINT) AS late_night, CAST(place AS BIGINT) AS rank, CAST(everyone AS BIGINT) AS total_users,
+       {ratio('everyone - place', 'everyone', 0, 100)} AS percentile, homes.name AS fav_channel,
+       {pct('homes.n', 'people.n')} AS fav_channel_pct, friends.username AS best_friend, friends.n AS bf_exchanges,
+       CAST(coalesce(called.n, 0) AS BIGINT) AS times_mentioned, coalesce(called.people, 0) AS by_people,
+       peaks.day AS busiest_date, CAST(peaks.n AS BIGINT) AS busiest_count, coalesce(circles.n, 0) AS unique_convos
+FROM people JOIN ladder USING (n) LEFT JOIN homes ON homes.id = people.id LEFT JOIN friends ON friends.id = people.id
+LEFT JOIN called ON called.id = people.id LEFT JOIN peaks ON peaks.id = people.id
+LEFT JOIN circles ON circles.id = people.id WHERE people.n >= 50"""
+
+
+@register("personal_wrapped", _CARDS)
 def _personal_wrapped(t):
     return G.personal_wrapped(t.messages, t.users, t.channels, t.message_mentions, min_messages=50)

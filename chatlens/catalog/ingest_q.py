@@ -6,6 +6,9 @@ and flattened again, so each oracle is the table the rules define.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.catalog.base import AS_OF, SQL_AS_OF, register, since
@@ -276,4 +279,67 @@ def _normalize_legacy(t):
     return G.normalize_legacy({"channels": old}, TENANT)["channels"]
 
 
+# Older names of columns, and the flag that the older tables lack
+_OLD_NAMES = {"servers": {"id": "server_id"}, "users": {"id": "user_id"}, "messages": {"id": "message_id"},
+              "emojis": {"id": "emoji_id"}, "reactions": {"reacted_at": "created_at"}, "server_members": {},
+              "message_mentions": {}}
+_LACKING = {"messages": "has_poll", "reactions": "is_super_reaction"}
+
+
+def _legacy(name: str):
+    def run(t):
+        old = t[name].withColumnsRenamed(_OLD_NAMES[name]).drop("tenant_id", _LACKING.get(name, "tenant_id"))
+        return G.normalize_legacy({name: old}, TENANT)[name]
+
+    lacking = f"* REPLACE (false AS {_LACKING[name]})" if name in _LACKING else "*"
+    register(f"normalize_legacy_{name}", f"SELECT {lacking} FROM {name}")(run)
+
+
+for _name in _OLD_NAMES:
+    _legacy(_name)
+
+
+@register("normalize_legacy_sync_state", """
+SELECT tenant_id, server_id, channel_id, 'messages' AS sync_type, MAX(id) AS last_message_id,
+       MAX(created_at) AS completed_at, COUNT(*) AS message_count FROM messages GROUP BY ALL""")
+def _legacy_sync_state(t):
+    old = t.sync_state.withColumnsRenamed({"completed_at": "last_sync_at"}).drop("tenant_id")
+    return G.normalize_legacy({"sync_state": old}, TENANT)["sync_state"].select(
+        "tenant_id", "server_id", "channel_id", "sync_type", "last_message_id", "completed_at",
+        F.col("message_count").cast("long").alias("message_count"))
+
+
+# The keys of what is left, as text, with the author of messages
+_LEFT = {"messages": ["id", "author_id"], "message_mentions": ["message_id", "mentioned_user_id"],
+         "reactions": ["message_id", "emoji_id", "user_id"], "users": ["id"], "channels": ["id"],
+         "server_members": ["server_id", "user_id"], "servers": ["id"], "emojis": ["id"]}
+
+
+def _left_sql(name: str, fact: str) -> str:
+    key = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in _LEFT[name])
+    return f"SELECT '{name}' AS table_name, concat_ws('/', {key}) AS key FROM {fact} AS x"
+
+
+@register("cascade_delete_rows", """
+WITH kept AS (SELECT id, if(author_id % 5 = 2, NULL, author_id) AS author_id FROM messages WHERE channel_id % 3 <> 2),
+tags AS (SELECT * FROM message_mentions SEMI JOIN kept ON kept.id = message_id WHERE mentioned_user_id % 5 <> 2),
+marks AS (SELECT * FROM reactions SEMI JOIN kept ON kept.id = message_id WHERE user_id % 5 <> 2)
+""" + " UNION ALL ".join([
+    _left_sql("messages", "kept"), _left_sql("message_mentions", "tags"), _left_sql("reactions", "marks"),
+    _left_sql("users", "(SELECT id FROM users WHERE id % 5 <> 2)"),
+    _left_sql("channels", "(SELECT id FROM channels WHERE id % 3 <> 2)"),
+    _left_sql("server_members", "(SELECT server_id, user_id FROM server_members WHERE user_id % 5 <> 2)"),
+    _left_sql("servers", "servers"), _left_sql("emojis", "emojis")]))
+def _cascade_delete_rows(t):
+    """What is left, row by row, when a third of the channels and a fifth of
+    the users go; messages of such users lose their author."""
+    out = G.cascade_delete({n: t[n] for n in _LEFT},
+                           channels=t.channels.filter(F.col("id") % 3 == 2).select("tenant_id", "id"),
+                           users=t.users.filter(F.col("id") % 5 == 2).select("tenant_id", "id"))
+    return reduce(DataFrame.unionByName, [out[n].select(
+        F.lit(n).alias("table_name"),
+        F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in key]).alias("key"))
+        for n, key in _LEFT.items()])
+
+
 _ = SQL_AS_OF

@@ -113,6 +113,13 @@ def _slow_responders(t):
     return R.slow_responders(t.messages, t.users, min_replies=3)
 
 
+@register("slow_responders_within_top", f"""
+WITH top AS (SELECT * FROM ({_RT}) x ORDER BY avg_response_min, uid LIMIT 10)
+SELECT username, avg_response_min FROM top ORDER BY avg_response_min DESC, uid LIMIT 5""")
+def _slow_responders_within_top(t):
+    return R.slow_responders(t.messages, t.users, min_replies=3, within_top=10)
+
+
 @register("left_on_read", f"""
 WITH calls AS (SELECT b AS id, 1 AS ping, 0 AS answer FROM {REPLIED} r
                UNION ALL SELECT mentioned_user_id, 1, 0 FROM message_mentions

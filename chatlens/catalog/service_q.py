@@ -13,7 +13,7 @@ from chatlens.functions.text import SENSITIVE_PATTERNS, scrub_text
 from chatlens.operators import rollups as RU
 from chatlens.operators import usage as US
 from chatlens.operators.users import top_users
-from chatlens.plans import bundle, exports, report, sql_gate, tenant
+from chatlens.plans import bundle, exports, sql_gate, tenant
 from chatlens.sources.fixtures import TENANT
 
 USAGE_AS_OF = "1998-08-15 00:00:00"
@@ -263,11 +263,6 @@ def _job_retention(t):
     return US.job_retention(t.extraction_jobs, as_of=USAGE_AS_OF, days=30)
 
 
-@register("year_report")
-def _year_report(t):
-    return report.year_report(t, humans_only=True)
-
-
 def _bundle_sql():
     from chatlens.catalog.base import REGISTRY
     same = {"overview": "overview", "hourly_activity": "hourly_activity_filled",
@@ -291,6 +286,33 @@ def _analytics_bundle(t):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _bundle_parts() -> dict[str, str]:
+    """The dashboard's results by content: bodies of the operators behind them,
+    with the dashboard's window of seven days."""
+    from chatlens.catalog.base import REGISTRY, since
+    same = {"overview": "overview", "hourly_activity": "hourly_activity_filled",
+            "top_channels": "top_channels_detail", "top_users": "top_users_detail",
+            "content_metrics": "content_metrics", "engagement_metrics": "engagement_metrics",
+            "channel_growth": "channel_growth_window"}
+    parts = {k: REGISTRY[v].body for k, v in same.items()}
+    parts["day_of_week_activity"] = REGISTRY["weekday_filled"].body.replace(since(3), since(7))
+    parts["messages_over_time"] = REGISTRY["timeline"].body.replace(since(30), since(7))
+    parts["bot_vs_human"] = REGISTRY["bot_vs_human_pivot"].body.replace(since(30), since(7))
+    # the bundle takes messages as stored, where no reply author is filled in
+    parts["user_interactions"] = REGISTRY["interaction_pairs"].body.replace("messages_resolved", "messages")
+    parts["top_users"] = parts["top_users"].replace("messages_resolved", "messages")
+    return parts
+
+
+def _bundle_part(name: str):
+    return lambda t: bundle.analytics_bundle(t, as_of="2024-01-31 00:00:00", days=7, cache=False,
+                                             names=[name])[name]
+
+
+for _name, _body in _bundle_parts().items():
+    register(f"bundle_{_name}", _body)(_bundle_part(_name))
+
+
 def _top_users_small(t):
     return top_users(t.users, t.messages)
 
@@ -331,6 +353,53 @@ def _export_json(t):
     return t.spark.read.text(path)
 
 
+_AWKWARD = "' \"' || coalesce(text, '') || chr(10) || 'a,b' || chr(9) || 'c|d '"
+
+
+def _read_back(t, export, **options):
+    """Every document's text between signs that a row must not break on,
+    exported and read again."""
+    from chatlens.session import shared_scratch
+    path = shared_scratch(t.spark, "export")
+    text = F.concat(F.lit(' "'), F.coalesce("text", F.lit("")), F.lit("\na,b\tc|d "))
+    export(t.raw("documents").select("doc_id", text.alias("text"), F.array("lang").alias("langs")), path)
+    return t.spark.read.csv(path, schema="doc_id long, text string, langs string", header=True, quote='"',
+                            escape='"', multiLine=True, **options)
+
+
+_READ_BACK = f"""SELECT doc_id, {_AWKWARD} AS text, if(lang IS NULL, '[null]', '["' || lang || '"]') AS langs
+FROM documents"""
+
+
+@register("export_csv_read_back", _READ_BACK)
+def _export_csv_read_back(t):
+    return _read_back(t, exports.export_csv)
+
+
+@register("export_tsv_read_back", _READ_BACK)
+def _export_tsv_read_back(t):
+    return _read_back(t, exports.export_tsv, sep="\t")
+
+
+@register("export_json_read_back", f"SELECT doc_id, {_AWKWARD} AS text FROM documents")
+def _export_json_read_back(t):
+    from chatlens.session import shared_scratch
+    path = shared_scratch(t.spark, "export")
+    text = F.concat(F.lit(' "'), F.coalesce("text", F.lit("")), F.lit("\na,b\tc|d "))
+    exports.export_json(t.raw("documents").select("doc_id", text.alias("text")), path)
+    return t.spark.read.json(path, schema="doc_id long, text string")
+
+
+@register("export_markdown_texts", """
+SELECT '| ' || CAST(doc_id AS VARCHAR) || ' | ' || replace(replace(text || '|', '|', '\\|'), chr(10), ' ') || ' |' AS line
+FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT '| ' || CAST(doc_id AS VARCHAR) || ' | _null_ |' FROM documents WHERE text IS NULL
+UNION ALL SELECT '| doc_id | text |' UNION ALL SELECT '| --- | --- |'""")
+def _export_markdown_texts(t):
+    return exports.markdown_lines(t.raw("documents").select(
+        "doc_id", F.concat("text", F.lit("|")).alias("text"))).select("line")
+
+
 @register("list_tables", _rows_sql())
 def _list_tables(t):
     s = _editor(t)
@@ -352,3 +421,18 @@ def _refresh_rollups(t):
     return read_table(t.spark, paths["daily_stats"]).select(
         "tenant_id", "day", "server_id", "channel_id", "author_id", "message_count",
         "unique_users_replied_to", "reply_count", "total_words", "avg_words_per_message")
+
+
+@register("refresh_rollups_interactions", """
+SELECT tenant_id, from_user_id, to_user_id, server_id, interaction_type,
+       CAST(interaction_count AS BIGINT) AS interaction_count, first_interaction, last_interaction
+FROM user_interactions""")
+def _refresh_rollups_interactions(t):
+    """The other roll-up of a refresh, as it is stored."""
+    from chatlens.plans.store import read_table, refresh_rollups
+    from chatlens.session import shared_scratch
+    root = shared_scratch(t.spark, "rollups")
+    paths = refresh_rollups(t.messages_resolved, t.reactions, t.message_mentions, root)
+    return read_table(t.spark, paths["user_interactions"]).select(
+        "tenant_id", "from_user_id", "to_user_id", "server_id", "interaction_type", "interaction_count",
+        "first_interaction", "last_interaction")

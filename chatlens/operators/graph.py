@@ -26,11 +26,17 @@ def _hid(users: DataFrame, id_col: str) -> DataFrame:
     return humans(users).select(F.col("id").alias(id_col))
 
 
-def _human_edges(messages: DataFrame, users: DataFrame) -> DataFrame:
-    """Reply edges between two different humans."""
-    e = reply_edges(messages).filter(F.col("replier_id") != F.col("original_author_id"))
-    return e.join(_hid(users, "replier_id"), "replier_id").join(
-        _hid(users, "original_author_id"), "original_author_id")
+def _directed(e: DataFrame) -> DataFrame:
+    """Replies counted per (replier x, replied-to y)."""
+    return e.groupBy(F.col("replier_id").alias("x"), F.col("original_author_id").alias("y")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+def _human_pairs(edges: DataFrame, users: DataFrame) -> DataFrame:
+    """Reply counts between two different humans. Edges are counted per pair
+    before bots leave, so a busy user is a row per partner in the joins."""
+    d = _directed(edges.filter(F.col("replier_id") != F.col("original_author_id")))
+    return d.join(_hid(users, "x"), "x").join(_hid(users, "y"), "y")
 
 
 def interaction_summary(user_interactions: DataFrame, users: DataFrame, server_id: int,
@@ -88,12 +94,14 @@ def best_friends(messages: DataFrame, users: DataFrame, k: int | None = 10) -> D
 
 def best_friends_balance(messages: DataFrame, users: DataFrame, min_total: int = 20,
                          k: int | None = 10) -> DataFrame:
-    e = _human_edges(messages, users)
-    a, b = pair_key("replier_id", "original_author_id")
-    g = e.groupBy(a.alias("a"), b.alias("b")).agg(
-        F.count(F.when(F.col("replier_id") == a, 1)).alias("a_to_b"),
-        F.count(F.when(F.col("replier_id") == b, 1)).alias("b_to_a"),
-        F.count(F.lit(1)).alias("total"))
+    d = _human_pairs(reply_edges(messages), users)
+    a, b = pair_key("x", "y")
+
+    def sent_by(who):
+        return F.sum(F.when(F.col("x") == who, F.col("n")).otherwise(F.lit(0)))
+
+    g = d.groupBy(a.alias("a"), b.alias("b")).agg(
+        sent_by(a).alias("a_to_b"), sent_by(b).alias("b_to_a"), F.sum("n").alias("total"))
     g = g.filter(F.col("total") >= min_total).withColumn(
         "imbalance", F.abs(F.col("a_to_b") - F.col("b_to_a")))
     j = g.join(_names(users, "a", "user_1"), "a").join(_names(users, "b", "user_2"), "b")
@@ -101,11 +109,6 @@ def best_friends_balance(messages: DataFrame, users: DataFrame, min_total: int =
         "user_1", "user_2", "a_to_b", "b_to_a", "total", "imbalance")
 
 
-def _directed(e: DataFrame) -> DataFrame:
-    return e.groupBy(F.col("replier_id").alias("x"), F.col("original_author_id").alias("y")) \
-        .agg(F.count(F.lit(1)).alias("n"))
-
-
 def _with_reverse(d: DataFrame) -> DataFrame:
     rev = d.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("n").alias("back"))
     return d.join(rev, ["x", "y"], "left").withColumn("back", F.coalesce("back", F.lit(0)))
@@ -113,7 +116,7 @@ def _with_reverse(d: DataFrame) -> DataFrame:
 
 def reciprocity(messages: DataFrame, users: DataFrame, min_replies: int = 10,
                 k: int | None = 10) -> DataFrame:
-    d = _with_reverse(_directed(_human_edges(messages, users)))
+    d = _with_reverse(_human_pairs(reply_edges(messages), users))
     d = d.filter(F.col("n") >= min_replies).withColumn(
         "imbalance", F.abs(F.col("n") - F.col("back")))
     j = d.join(_names(users, "x", "user_a"), "x").join(_names(users, "y", "user_b"), "y")
@@ -134,14 +137,14 @@ def fan_relationships(messages: DataFrame, users: DataFrame, min_replies: int =
 
 def _reach(messages: DataFrame, mentions: DataFrame, users: DataFrame) -> DataFrame:
     """Distinct people each human reached by a reply or a mention."""
-    r = _human_edges(messages, users).select(F.col("replier_id").alias("uid"),
-                                             F.col("original_author_id").alias("other"))
+    r = reply_edges(messages).select(F.col("replier_id").alias("uid"),
+                                     F.col("original_author_id").alias("other"))
     m = mentions.join(messages.select(F.col("id").alias("message_id"),
                                       F.col("author_id").alias("uid")), "message_id") \
-        .select("uid", F.col("mentioned_user_id").alias("other")) \
-        .filter(F.col("uid") != F.col("other")) \
+        .select("uid", F.col("mentioned_user_id").alias("other"))
+    # pairs are made distinct before bots leave: a busy user is a row per partner
+    edges = r.unionByName(m).filter(F.col("uid") != F.col("other")).distinct() \
         .join(_hid(users, "uid"), "uid").join(_hid(users, "other"), "other")
-    edges = r.unionByName(m).distinct()
     return edges.groupBy("uid").agg(F.count(F.lit(1)).alias("unique_interactions"))
 
 
@@ -197,9 +200,9 @@ def low_engagement(messages: DataFrame, mentions: DataFrame, users: DataFrame, m
 
 def late_night_crew(messages: DataFrame, users: DataFrame, first_hour: int = 0,
                     last_hour: int = 5, k: int | None = 5) -> DataFrame:
-    e = _human_edges(messages, users).filter(F.hour("reply_at").between(first_hour, last_hour))
-    a, b = pair_key("replier_id", "original_author_id")
-    g = e.groupBy(a.alias("a"), b.alias("b")).agg(F.count(F.lit(1)).alias("exchanges"))
+    late = reply_edges(messages).filter(F.hour("reply_at").between(first_hour, last_hour))
+    a, b = pair_key("x", "y")
+    g = _human_pairs(late, users).groupBy(a.alias("a"), b.alias("b")).agg(F.sum("n").alias("exchanges"))
     j = g.join(_names(users, "a", "user_1"), "a").join(_names(users, "b", "user_2"), "b")
     return top_k(j, [DESC("exchanges"), ASC("a"), ASC("b")], k).select("user_1", "user_2", "exchanges")
 
@@ -220,15 +223,17 @@ def personal_wrapped(messages: DataFrame, users: DataFrame, channels: DataFrame,
     channel, best friend, busiest day) are ``max_by`` with a deterministic
     tie-break; the rank counts humans with more messages via a histogram."""
     hid = _hid(users, "uid")
-    m = messages.select(F.col("author_id").alias("uid"), "channel_id", "content", "created_at",
-                        F.to_date("created_at").alias("d"))
-    # One scan and one shuffle for three groupings: per user, per (user,
-    # channel) and per (user, day), told apart by grouping_id.
-    sets = m.groupingSets([["uid"], ["uid", "channel_id"], ["uid", "d"]], "uid", "channel_id", "d") \
-        .agg(F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("cnt"),
-             F.max(F.length("content")).alias("longest_msg"),
-             F.count(F.when(F.col("content").endswith("?"), 1)).alias("questions_asked"),
-             F.count(F.when(F.hour("created_at").between(0, 5), 1)).alias("late_night"))
+    # One tally of the messages per user, channel and day; the three groupings
+    # (per user, per user and channel, per user and day, told apart by
+    # grouping_id) expand its narrow rows, never a text.
+    tally = messages.groupBy(F.col("author_id").alias("uid"), "channel_id",
+                             F.to_date("created_at").alias("d")).agg(
+        F.count(F.lit(1)).alias("cnt"), F.max(F.length("content")).alias("longest_msg"),
+        F.count(F.when(F.col("content").endswith("?"), 1)).alias("questions_asked"),
+        F.count(F.when(F.hour("created_at").between(0, 5), 1)).alias("late_night"))
+    sets = tally.groupingSets([["uid"], ["uid", "channel_id"], ["uid", "d"]], "uid", "channel_id", "d") \
+        .agg(F.grouping_id().alias("_g"), F.sum("cnt").alias("cnt"), F.max("longest_msg").alias("longest_msg"),
+             F.sum("questions_asked").alias("questions_asked"), F.sum("late_night").alias("late_night"))
     # grouping_id bits (channel_id, d): 3 = neither, 1 = channel, 2 = day
     base = sets.filter(F.col("_g") == 3).select(
         "uid", F.col("cnt").alias("total_msgs"), "longest_msg", "questions_asked", "late_night")

@@ -62,10 +62,11 @@ def big_numbers(messages: DataFrame, channels: DataFrame, mentions: DataFrame) -
 
 
 def human_totals(messages: DataFrame, users: DataFrame) -> DataFrame:
+    """Messages are counted per author first, so a busy one is a row of the join."""
     human_ids = users.filter(~F.coalesce("is_bot", F.lit(False))).select(F.col("id").alias("author_id"))
-    hm = messages.join(human_ids, "author_id")
-    m = hm.agg(F.count(F.lit(1)).alias("human_messages"),
-               F.countDistinct("author_id").alias("active_humans"))
+    wrote = messages.groupBy("author_id").agg(F.count(F.lit(1)).alias("n")).join(human_ids, "author_id")
+    m = wrote.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("human_messages"),
+                  F.count(F.lit(1)).alias("active_humans"))
     u = users.agg(F.count(F.when(~F.coalesce("is_bot", F.lit(False)), 1)).alias("human_users"),
                   F.count(F.when(F.col("is_bot"), 1)).alias("bot_users"))
     return m.select("human_messages", "active_humans",

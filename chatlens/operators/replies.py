@@ -139,14 +139,13 @@ def conversation_starters(messages: DataFrame, users: DataFrame, min_started: in
 
 
 def _response_times(messages, users, min_replies, lo_us=6_000_000, hi_us=1440 * MIN_US):
-    e = reply_edges(messages).join(_human_ids(users, "replier_id"), "replier_id")
-    e = e.filter(F.col("replier_id") != F.col("original_author_id")) \
-         .withColumn("us", micros_between("original_at", "reply_at"))
+    e = reply_edges(messages).filter(F.col("replier_id") != F.col("original_author_id")) \
+        .withColumn("us", micros_between("original_at", "reply_at"))
     e = e.filter(F.col("us").between(lo_us, hi_us))
     per = e.groupBy(F.col("replier_id").alias("uid")).agg(
         F.count(F.lit(1)).alias("reply_count"), F.sum("us").alias("_s"))
     j = per.filter(F.col("reply_count") >= min_replies).join(
-        users.select(F.col("id").alias("uid"), "username"), "uid")
+        humans(users).select(F.col("id").alias("uid"), "username"), "uid")
     return j.withColumn("avg_response_min",
                         round_ratio(F.col("_s"), F.col("reply_count") * MIN_US, 1))
 

@@ -69,6 +69,14 @@ def messages_by_weekday(messages: DataFrame) -> DataFrame:
         .orderBy("day_num")
 
 
+def weekday_bars(messages: DataFrame, width: int = 30) -> DataFrame:
+    """Messages per weekday with a bar; the busiest day's bar is ``width`` long."""
+    g = messages_by_weekday(messages)
+    peak = total_of(g, F.max("message_count"))
+    return g.withColumn("bar", F.repeat(F.lit("#"), idiv(F.col("message_count") * width, peak).cast("int"))) \
+        .orderBy("day_num")
+
+
 def weekday_filled(messages: DataFrame, spark: SparkSession, as_of=None, days: int = 30) -> DataFrame:
     win = messages.filter(in_window("created_at", as_of, days))
     g = win.groupBy(weekday_sun0("created_at").alias("day")).agg(
@@ -93,7 +101,7 @@ def peak_weekday(messages: DataFrame) -> DataFrame:
     return p.select(_day_name(F.col("day")).alias("day_name"))
 
 
-def night_owls(messages: DataFrame, users: DataFrame, min_messages: int = 50) -> DataFrame:
+def night_owls(messages: DataFrame, users: DataFrame, min_messages: int = 50, with_id: bool = False) -> DataFrame:
     """Hour bands, both ends inclusive as in the reference (5, 9 and 17 fall
     in two bands)."""
     h = F.hour("created_at")
@@ -106,7 +114,22 @@ def night_owls(messages: DataFrame, users: DataFrame, min_messages: int = 50) ->
     j = per.filter(F.col("total") >= min_messages).join(
         users.select(F.col("id").alias("uid"), "username"), "uid")
     return top_k(j, [DESC("night_owl"), ASC("uid")], None).select(
-        "username", "night_owl", "early_bird", "work_hours", "evening", "total")
+        *(["uid"] if with_id else []), "username", "night_owl", "early_bird", "work_hours", "evening", "total")
+
+
+def night_and_early(messages: DataFrame, users: DataFrame, min_messages: int = 50, k: int = 5) -> DataFrame:
+    """The k users with the most messages at night and those with the most in
+    the early morning, each with the share of their own messages. Both lists
+    come from one row per user."""
+    per = night_owls(messages, users, min_messages, with_id=True)
+    lists = []
+    for name, band in (("night_owl", "night_owl"), ("early_bird", "early_bird")):
+        top = per.orderBy(DESC(band), ASC("uid")).limit(k)
+        w = Window.orderBy(DESC(band), ASC("uid"))      # over k rows
+        lists.append(top.select(F.lit(name).alias("list"), F.row_number().over(w).alias("place"), "username",
+                                F.col(band).alias("messages"), "total",
+                                share(F.col(band), F.col("total")).alias("pct")))
+    return lists[0].unionByName(lists[1])
 
 
 def night_owl_share(messages: DataFrame, users: DataFrame, min_messages: int = 50,

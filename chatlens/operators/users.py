@@ -269,19 +269,31 @@ def longest_streak(messages: DataFrame, users: DataFrame, k: int | None = 10) ->
 
 def ghost_gap(messages: DataFrame, users: DataFrame, min_gaps: int = 20,
               k: int | None = 10) -> DataFrame:
-    """Longest and mean gap (days) between a user's consecutive messages."""
+    """Longest and mean gap (days) between a user's consecutive messages.
+
+    The mean needs only the count and both ends. The longest gap is looked for
+    between a user's days (one row each: first and last message), so no window
+    runs over raw rows; only days that last longer than the longest gap between
+    days can hold a longer one, and of these alone the messages are read again
+    (neighbours by hour, so a user who writes all day is spread)."""
     h = humans(users).select(F.col("id").alias("uid"), "username")
-    m = messages.filter(F.col("author_id").isNotNull()).select("author_id", "created_at", "id")
-    m = adjacent(m, ["author_id"], "created_at", "id", ["created_at"], which="prev")
-    g = m.filter(F.col("prev_created_at").isNotNull()).withColumn(
-        "gap_us", micros_between("prev_created_at", "created_at"))
-    per = g.groupBy(F.col("author_id").alias("uid")).agg(
-        F.count(F.lit(1)).alias("_n"), F.max("gap_us").alias("_max"), F.sum("gap_us").alias("_sum"))
-    j = per.filter(F.col("_n") >= min_gaps).join(h, "uid")
-    j = j.select("uid", "username",
-                 round_ratio(F.col("_max"), F.lit(DAY_US), 4).alias("longest_absence_days"),
-                 round_ratio(F.col("_sum"), F.col("_n") * DAY_US, 1).alias("avg_gap_days"),
-                 "_max")
+    m = messages.filter(F.col("author_id").isNotNull()).select(
+        F.col("author_id").alias("uid"), F.to_date("created_at").alias("d"), "created_at", "id")
+    days = m.groupBy("uid", "d").agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("first"),
+                                     F.max("created_at").alias("last"))
+    own = Window.partitionBy("uid")
+    days = days.withColumn("gap", micros_between(F.lag("last").over(own.orderBy("d")), "first")) \
+        .withColumn("across", F.coalesce(F.max("gap").over(own), F.lit(0)))
+    per = days.groupBy("uid").agg((F.sum("n") - 1).alias("_n"), F.max("across").alias("_across"),
+                                  micros_between(F.min("first"), F.max("last")).alias("_sum")) \
+        .filter(F.col("_n") >= min_gaps).join(h, "uid")
+    wide = days.filter(micros_between("first", "last") > F.col("across")).join(per, "uid", "left_semi")
+    inside = adjacent(m.join(wide.select("uid", "d"), ["uid", "d"], "left_semi"), ["uid", "d"],
+                      "created_at", "id", ["created_at"], which="prev")
+    inside = inside.groupBy("uid").agg(F.max(micros_between("prev_created_at", "created_at")).alias("_inside"))
+    j = per.join(inside, "uid", "left").withColumn("_max", F.greatest("_across", "_inside")).select(
+        "uid", "username", round_ratio(F.col("_max"), F.lit(DAY_US), 4).alias("longest_absence_days"),
+        round_ratio(F.col("_sum"), F.col("_n") * DAY_US, 1).alias("avg_gap_days"), "_max")
     return top_k(j, [DESC("_max"), ASC("uid")], k).drop("uid", "_max")
 
 

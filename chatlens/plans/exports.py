@@ -21,10 +21,14 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+# Values are written as they are: Spark's writer would trim white space.
+_UNTRIMMED = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header, NULL as empty, quotes only around values with a comma, quote
     or newline (quotes doubled)."""
-    (_flat(df).write.mode(mode).option("header", True).option("quote", '"')
+    (_flat(df).write.mode(mode).options(**_UNTRIMMED).option("header", True).option("quote", '"')
      .option("escape", '"').option("nullValue", "").option("emptyValue", "")
      .option("quoteAll", False).csv(path))
 
@@ -32,7 +36,7 @@ def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def export_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header, NULL as empty, quotes only around values with a tab, quote or
     newline (quotes doubled), so such a value does not break its row."""
-    (_flat(df).write.mode(mode).option("header", True).option("sep", "\t").option("quote", '"')
+    (_flat(df).write.mode(mode).options(**_UNTRIMMED).option("header", True).option("sep", "\t").option("quote", '"')
      .option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path))
 
 

@@ -70,8 +70,17 @@ def save_bucketed(df: DataFrame, name: str, buckets: int, database: str | None =
     return table
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """A stored table. ``since`` and ``until`` (days, both included) are tested
+    on the partition column of a table stored by day, so files of other days
+    are not opened; an operator's own time window stays exact within them."""
     df = spark.read.parquet(path)
+    for day in ("created_day", "day_part"):
+        if day in df.columns:
+            if since is not None:
+                df = df.filter(F.col(day) >= F.lit(since).cast("date"))
+            if until is not None:
+                df = df.filter(F.col(day) <= F.lit(until).cast("date"))
     return df.drop(*[c for c in ("created_day", "day_part") if c in df.columns])
 
 

@@ -70,3 +70,35 @@ def test_no_text_is_shuffled_before_a_top_k(spark, small):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_days_of_a_window_prune_partitions(spark, small, tmp_path):
+    """A window of days reads the files of these days only, and an operator's
+    window over them gives what it gives over the whole table."""
+    from chatlens.operators.users import weekly_active_users
+    from chatlens.plans.store import read_table, write_table
+    path = write_table(small.messages, str(tmp_path), "messages", "one")
+    week = read_table(spark, path, since="2024-01-24")
+    plan = _plan(week.select("id"))
+    assert "created_day" in plan[plan.index("PartitionFilters"):].split("]")[0]
+    assert len(week.inputFiles()) <= len(read_table(spark, path).inputFiles())
+    as_of = "2024-01-31 00:00:00"
+    assert sorted(map(str, weekly_active_users(small.users, week, as_of=as_of).collect())) == sorted(
+        map(str, weekly_active_users(small.users, small.messages, as_of=as_of).collect()))
+    assert read_table(spark, path, since="2024-01-05", until="2024-01-04").isEmpty()
+
+
+def test_bots_leave_after_pairs_are_counted(spark, small):
+    """The replies are counted per pair below every join with users, and the
+    cards expand no text."""
+    from chatlens.operators import graph as G
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = G.reciprocity(small.messages, small.users)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("is_bot") > plan.index("Aggregate [replier_id")
+        cards = G.personal_wrapped(small.messages, small.users, small.channels, small.message_mentions)
+        plan = cards._jdf.queryExecution().optimizedPlan().toString()
+        assert all("content" not in x for x in plan.split("\n") if x.lstrip(" :+-").startswith("Expand"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -61,3 +61,24 @@ def test_report_of_humans_has_no_bot_in_any_section(spark, small):
     human = small.messages.join(small.users.filter("NOT is_bot").selectExpr("id AS author_id"), "author_id").count()
     alone = small.messages.filter("author_id IS NULL").count()
     assert any(f"messages {human + alone}," in x for x in lines)
+
+
+def test_longest_gap_lies_within_or_between_days(spark):
+    """Gaps within a day, over midnight, over days, of equal times, and of a
+    user who writes on one day only."""
+    import datetime as dt
+
+    from chatlens.operators.users import ghost_gap
+    at = {1: [(1, 0), (1, 23), (2, 1)], 2: [(1, 1), (1, 2), (1, 9)], 3: [(1, 23), (2, 0), (9, 0), (9, 20)],
+          4: [(5, 5), (5, 5)], 5: [(1, 0)], 6: [(1, 0), (1, 12), (1, 18), (3, 0), (5, 0), (5, 20)]}
+    rows = [(100 * u + k, u, dt.datetime(2024, 1, day, hour)) for u, times in at.items()
+            for k, (day, hour) in enumerate(times)]
+    m = spark.createDataFrame(rows, "id long, author_id long, created_at timestamp_ntz")
+    u = spark.createDataFrame([(k, f"u{k}", False) for k in at], "id long, username string, is_bot boolean")
+    got = {r.username: r.longest_absence_days for r in ghost_gap(m, u, min_gaps=1).collect()}
+    want = {}
+    for k, times in at.items():
+        t = sorted(24 * day + hour for day, hour in times)
+        if len(t) > 1:
+            want[f"u{k}"] = round(max(b - a for a, b in zip(t, t[1:])) / 24, 4)
+    assert got == want
