@@ -96,7 +96,13 @@ def test_bots_leave_after_pairs_are_counted(spark, small):
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         plan = G.reciprocity(small.messages, small.users)._jdf.queryExecution().optimizedPlan().toString()
-        assert plan.index("is_bot") > plan.index("Aggregate [replier_id")
+        lines = plan.split("\n")
+        depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+        counted = [k for k, x in enumerate(lines) if x.lstrip(" :+-").startswith("Aggregate [replier_id")]
+        assert counted, plan
+        for k in counted:       # no user in what the pairs are counted from
+            below = next((i for i in range(k + 1, len(lines)) if depth[i] <= depth[k]), len(lines))
+            assert not any("c_custkey" in x for x in lines[k:below]), plan
         cards = G.personal_wrapped(small.messages, small.users, small.channels, small.message_mentions)
         plan = cards._jdf.queryExecution().optimizedPlan().toString()
         assert all("content" not in x for x in plan.split("\n") if x.lstrip(" :+-").startswith("Expand"))
