@@ -99,6 +99,27 @@ def test_mixed_order_keeps_all_rows(make, odd):
         mixing.schedule(docs, {"src0": 1})
 
 
+def test_written_files_hold_the_mixed_order(make, tmp_path):
+    """The files that the pipeline's stage leaves, read one after the other,
+    hold the blocks in their order: on the prefix where the weights hold, no
+    source is a block away from its share."""
+    import pyarrow.parquet as pq
+
+    weights, block = {"a": 5, "b": 3, mixing.OTHER: 2}, 4
+    docs = make([(k, f"t{k}", None, "a" if k < 700 else "b" if k < 900 else "zz") for k in range(1000)])
+    mixing.in_mixed_order(docs, weights, block).write.parquet(str(tmp_path / "out"))
+    files = sorted((tmp_path / "out").glob("part-*.parquet"))
+    ids = [k for f in files for k in pq.read_table(f, columns=["doc_id"])["doc_id"].to_pylist()]
+    placed = sorted(mixing.schedule(docs, weights, block).collect(), key=lambda r: r.position)
+    assert ids == [r.doc_id for r in placed]
+    source = {r.doc_id: r.source if r.source in weights else mixing.OTHER for r in placed}
+    prefix = [k for k, r in zip(ids, placed, strict=True) if r.on_target]
+    assert len(prefix) >= 100
+    for n in range(block, len(prefix) + 1, block):
+        done = Counter(source[k] for k in prefix[:n])
+        assert all(abs(done[s] - n * w / 10) < block for s, w in weights.items())
+
+
 def test_native(make, odd):
     for df in (mixing.schedule(make(odd)), mixing.in_mixed_order(make(odd))):
         plan = df._jdf.queryExecution().executedPlan().toString()
