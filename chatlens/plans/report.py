@@ -60,9 +60,11 @@ def _in_parts(sections: list[DataFrame]) -> DataFrame:
     return spark.read.schema(sections[0].schema).parquet(*paths)
 
 
-def year_report(t, humans_only: bool = False, min_card: int = 100) -> DataFrame:
-    """Sections of the yearly report over the tables mapping ``t``. The edition
-    for humans leaves bots out of every section and has further sections, among
+def year_report(t, humans_only: bool = False, min_card: int = 100, whole: bool = False) -> DataFrame:
+    """Sections of the yearly report over the tables mapping ``t``: the main
+    ones, or with ``whole`` also those on weekdays, hours of the day and first
+    and last messages. The edition for humans has all of them, leaves bots out
+    of every section and has further ones, among
     them the cards of the ten busiest users with ``min_card`` messages."""
     m, u, c, mm = t["messages"], t["users"], t["channels"], t["message_mentions"]
     if humans_only:         # in every section; messages of deleted authors stay
@@ -107,23 +109,26 @@ def year_report(t, humans_only: bool = False, min_card: int = 100) -> DataFrame:
          ["month", "messages", "active_users", "bar"], ["month"]),
         ("BUSIEST DATES", T.busiest_dates(m), "%s %7d %5d",
          ["date", "message_count", "active_users"], [d("message_count"), "date"]),
-        ("WEEKDAY BARS", T.weekday_bars(m), "%-12s %7d %s", ["day_of_week", "message_count", "bar"], ["day_num"]),
-        ("WEEKEND SHARE", T.weekday_weekend_ratio(m), "weekday %d, weekend %d, %.1f%%",
-         ["weekday", "weekend", "ratio"], None),
-        ("PEAK HOUR", T.peak_hour(m), "%02d:00 with %d messages", ["hour", "messages"], None),
-        ("NIGHT OWLS", T.night_and_early(m, u).filter("list = 'night_owl'"), "%s: %d (%.1f%% of their total)",
-         ["username", "messages", "pct"], ["place"]),
-        ("EARLY BIRDS", T.night_and_early(m, u).filter("list = 'early_bird'"), "%s: %d (%.1f%% of their total)",
-         ["username", "messages", "pct"], ["place"]),
-        ("HYPE BUILDERS", X.exclamations(m, u), "%-24s %6d %6.2f",
-         ["username", "exclamations", "excl_per_msg"], [d("excl_per_msg"), "username"]),
-        ("PEAK AND SLOWEST MONTH", T.peak_and_slowest_month(m), "%s with %d, %s with %d",
-         ["peak_month", "peak_messages", "slowest_month", "slowest_messages"], None),
-        ("FIRST AND LAST MESSAGE", X.first_and_last_message(m, u, c), "%s: %s in #%s",
-         ["which", "username", "channel"], ["which"]),
         ("FANS", G.fan_relationships(m, u), "%s -> %s %4d / %4d",
          ["fan", "idol", "fan_to_idol", "idol_to_fan"], [d("imbalance"), "fan", "idol"]),
     ]
+    if whole or humans_only:
+        secs += [
+            ("WEEKDAY BARS", T.weekday_bars(m), "%-12s %7d %s", ["day_of_week", "message_count", "bar"], ["day_num"]),
+            ("WEEKEND SHARE", T.weekday_weekend_ratio(m), "weekday %d, weekend %d, %.1f%%",
+             ["weekday", "weekend", "ratio"], None),
+            ("PEAK HOUR", T.peak_hour(m), "%02d:00 with %d messages", ["hour", "messages"], None),
+            ("NIGHT OWLS", T.night_and_early(m, u).filter("list = 'night_owl'"), "%s: %d (%.1f%% of their total)",
+             ["username", "messages", "pct"], ["place"]),
+            ("EARLY BIRDS", T.night_and_early(m, u).filter("list = 'early_bird'"), "%s: %d (%.1f%% of their total)",
+             ["username", "messages", "pct"], ["place"]),
+            ("HYPE BUILDERS", X.exclamations(m, u), "%-24s %6d %6.2f",
+             ["username", "exclamations", "excl_per_msg"], [d("excl_per_msg"), "username"]),
+            ("PEAK AND SLOWEST MONTH", T.peak_and_slowest_month(m), "%s with %d, %s with %d",
+             ["peak_month", "peak_messages", "slowest_month", "slowest_messages"], None),
+            ("FIRST AND LAST MESSAGE", X.first_and_last_message(m, u, c), "%s: %s in #%s",
+             ["which", "username", "channel"], ["which"]),
+        ]
     if humans_only:
         secs += [
             ("CONSISTENCY", U.consistency(m, u), "%-24s %4d days %6.1f/day",
