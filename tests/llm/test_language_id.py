@@ -61,3 +61,19 @@ def test_texts_with_letters_stay_where_nothing_teaches(spark, make, odd):
         out = corpus_pipeline.stage_language_id(spark, docs, "")
         assert out.columns == docs.columns
         assert sorted(repr((r.doc_id, r.text)) for r in out.collect()) == lettered(rows) != []
+
+
+def test_letters_are_those_of_the_whole_pattern_and_found_quickly():
+    """Numbers that are no digits still part words, and plain prose costs about
+    what the short pattern costs."""
+    from time import process_time
+
+    odd = ["a½b", "Ⅷ x", "1a2", "〇", " ½ ", "a ½ b", "١x", "ßİ", "", None]
+    assert [L.letters(x) for x in odd] == [L._NOT_LETTERS.sub(" ", (x or "").lower()).strip() for x in odd]
+    prose = "Some plain words of ordinary prose, and more of them. " * 4000
+    at = process_time()
+    L._NOT_LETTERS.sub(" ", prose.lower())
+    whole = process_time() - at
+    at = process_time()
+    L.letters(prose)
+    assert process_time() - at < whole / 2
