@@ -64,3 +64,14 @@ def test_count_occurrences_non_overlapping(spark):
 def test_weekday_sunday_zero(spark):
     d = [(dt.datetime(2024, 1, 7, 12),), (dt.datetime(2024, 1, 8, 12),)]  # Sunday, Monday
     assert one(spark, C.weekday_sun0(F.col("t").cast("timestamp_ntz")), d, "t timestamp") == [0, 1]
+
+
+def test_word_count_splits_where_python_does_and_is_never_null(spark):
+    """Every character of the basic plane between two letters; a filter on the
+    count does not split the text a second time."""
+    data = [(f"a{chr(k)}b",) for k in range(0x10000) if not 0xD800 <= k < 0xE000] + [(None,), (" 　",)]
+    df = spark.createDataFrame(data, "c string").withColumn("n", C.word_count("c"))
+    assert df.filter(F.col("n").isNotNull()).select("n").rdd.map(lambda r: r[0]).collect() == [
+        len(x.split()) if x else 0 for (x,) in data]
+    plan = df.filter(F.col("n").isNotNull())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
