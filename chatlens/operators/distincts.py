@@ -1,9 +1,11 @@
 """Exact distinct users of any window from mergeable bitmaps.
 
 Each user of a tenant gets a dense number once. The roll-up has a row for each
-(day, channel, server, bucket of numbers) with the bitmap of the authors seen;
-bitmaps of any days, channels or months are joined by bitwise or, and the bits
-counted, so a window reads no message.
+(day, channel, server, bucket of numbers, word of 64 numbers within the bucket)
+with the bitmap of the authors seen, one long; bitmaps of any days, channels or months are joined by bitwise or, and
+the bits counted, so a window reads no message. A channel and day with few
+authors thus holds few short rows, never more than it has authors (and one for
+authorless messages).
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ from chatlens.functions.columns import idiv, round_ratio
 from chatlens.operators.common import share, total_of
 
 SPREAD = 1024           # groups of ids that are numbered on their own
+BITS = 64               # numbers of a word: the bits of a long
 L, S, D = T.LongType(), T.StringType(), T.DateType()
 USER_NUMBERS = T.StructType([T.StructField(n, t) for n, t in (("tenant_id", S), ("user_id", L), ("number", L))])
 AUTHOR_MAPS = T.StructType([T.StructField(n, t) for n, t in (
-    ("tenant_id", S), ("day", D), ("server_id", L), ("channel_id", L), ("bucket", L), ("authors", T.BinaryType()),
-    ("messages", L), ("chars", L), ("with_chars", L))])
+    ("tenant_id", S), ("day", D), ("server_id", L), ("channel_id", L), ("bucket", L), ("word", L),
+    ("authors", L), ("messages", L), ("chars", L), ("with_chars", L))])
 
 
 def number_users(known: DataFrame, messages: DataFrame) -> DataFrame:
@@ -48,21 +51,23 @@ def author_maps(messages: DataFrame, numbers: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("char_count").alias("c"), F.count("char_count").alias("k"))
     j = per.join(numbers, ["tenant_id", "user_id"], "left")
     no_bit = F.col("number").isNull()
+    at = F.bitmap_bit_position("number") % BITS                     # null for an authorless row
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
     return (j.withColumn("bucket", F.when(no_bit, F.lit(-1).cast("long")).otherwise(F.bitmap_bucket_number("number")))
-            .groupBy("tenant_id", "day", "server_id", "channel_id", "bucket").agg(
-                F.bitmap_construct_agg(F.bitmap_bit_position(F.coalesce("number", F.lit(0)))).alias("authors"),
-                F.sum("n").alias("messages"), F.sum("c").alias("chars"), F.sum("k").alias("with_chars"))
-            .withColumn("authors", F.when(F.col("bucket") >= 0, F.col("authors"))).select(*AUTHOR_MAPS.names))
+            .withColumn("word", F.coalesce(idiv(F.bitmap_bit_position("number"), BITS), F.lit(0).cast("long")))
+            .groupBy("tenant_id", "day", "server_id", "channel_id", "bucket", "word").agg(
+                F.bit_or(bit).alias("authors"), F.sum("n").alias("messages"), F.sum("c").alias("chars"),
+                F.sum("k").alias("with_chars")).select(*AUTHOR_MAPS.names))
 
 
 def distinct_authors(maps: DataFrame, *by: str | Column) -> DataFrame:
     """Messages and distinct authors of the given rows, in all or for each
-    value of ``by``: bitmaps of a bucket are merged, then buckets added up."""
+    value of ``by``: bitmaps of a word are merged, then words added up."""
     keys = [F.col(c) if isinstance(c, str) else c for c in by]
-    merged = maps.groupBy(*keys, "bucket").agg(
-        F.bitmap_count(F.bitmap_or_agg("authors")).alias("_d"), F.sum("messages").alias("_m"),
+    merged = maps.groupBy(*keys, "bucket", "word").agg(
+        F.bit_count(F.bit_or("authors")).alias("_d"), F.sum("messages").alias("_m"),
         F.sum("chars").alias("_c"), F.sum("with_chars").alias("_k"))
-    names = [c for c in merged.columns if c not in ("bucket", "_d", "_m", "_c", "_k")]
+    names = [c for c in merged.columns if c not in ("bucket", "word", "_d", "_m", "_c", "_k")]
     out = merged.groupBy(*names) if names else merged.groupBy()
     return out.agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("messages"),
                    F.coalesce(F.sum(F.when(F.col("bucket") >= 0, F.col("_d"))), F.lit(0)).alias("active_users"),

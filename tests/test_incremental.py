@@ -209,6 +209,22 @@ def test_user_numbers_are_dense_and_stay(spark):
     assert B.distinct_authors(maps).first().active_users == 200
 
 
+def test_bitmaps_grow_with_the_authors_not_with_the_channels(spark):
+    """Many channels with an author each: a short row for each, whatever the
+    number; aggregates hold longs, so no task sorts or keeps wide bitmaps."""
+    users = spark.range(0, 200_000, 1_000)
+    far = users.select(F.lit(A).alias("tenant_id"), F.col("id").alias("user_id"), F.col("id").alias("number"))
+    m = far.select("tenant_id", F.col("user_id").alias("author_id"), F.col("user_id").alias("channel_id"),
+                   F.lit(T0).cast("timestamp_ntz").alias("created_at"), F.lit(1).alias("server_id"),
+                   F.lit(3).alias("char_count"))
+    none = m.limit(1).withColumn("author_id", F.lit(None).cast("long"))
+    maps = B.author_maps(m.unionByName(none), far)
+    assert maps.count() == 201 and dict(maps.dtypes)["authors"] == "bigint"
+    got = B.distinct_authors(maps)
+    assert [tuple(r)[:2] for r in got.collect()] == [(201, 200)]
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ledger_intervals(spark):
     def runs(*iv):
         return spark.createDataFrame([(A, 1, c, lo, hi, n, T0, T0 + dt.timedelta(hours=n)) for c, lo, hi, n in iv],
