@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chatlens.functions.columns import micros_between, round_ratio
 from chatlens.operators.common import adjacent, humans, narrow, reply_edges, share, top_k, with_content
+from chatlens.session import shared_scratch
 
 DESC, ASC = F.desc_nulls_last, F.asc_nulls_first
 MIN_US = 60_000_000
@@ -262,3 +263,51 @@ def conversation_catalysts(messages: DataFrame, users: DataFrame, silence_min: i
                    share(F.col("successful_ignitions"), F.col("spark_attempts")).alias("success_rate"),
                    round_ratio(F.col("_f"), F.col("spark_attempts"), 1).alias("avg_chain_length"))
     return top_k(j2, [DESC("successful_ignitions"), ASC("uid")], k).drop("uid")
+
+
+def thread_depths(messages: DataFrame) -> DataFrame:
+    """(id, depth, n): how many replies lie between a message and the one that
+    starts its thread, on n ways (one, where ids do not repeat). Messages that
+    lead to no start are left out, as in a recursive query from the starts.
+
+    Links are doubled: after k rounds each message knows the one 2^k replies
+    above, and all depths under 2^k are found, so a thread of a million replies
+    takes twenty rounds, each a join of the messages that reach so far up. The
+    rounds are written to the shared folder. A circle that a thread runs into
+    has no depth and is an error."""
+    spark = messages.sparkSession
+    root = shared_scratch(spark, "threads")
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    links = keep(messages.filter("reply_to_message_id IS NOT NULL").groupBy(
+        "id", F.col("reply_to_message_id").alias("up")).agg(F.count(F.lit(1)).alias("n")), "links-0")
+    starts = messages.filter("reply_to_message_id IS NULL").groupBy("id").agg(
+        F.lit(0).cast("long").alias("depth"), F.count(F.lit(1)).alias("n"))
+    found = [keep(starts, "depth-0")]
+    # of the starts only those with replies are looked up again
+    below = [keep(found[0].join(links.select(F.col("up").alias("id")), "id", "left_semi"), "answered")]
+    n_links, step, k = links.count(), 1, 0
+    while not links.isEmpty():
+        known = below[0]
+        for more in below[1:]:
+            known = known.unionByName(more)
+        known = known.select(F.col("id").alias("up"), "depth", F.col("n").alias("_n"))
+        new = keep(links.join(known, "up").groupBy("id", (F.col("depth") + step).alias("depth")).agg(
+            F.sum(F.col("n") * F.col("_n")).alias("n")), f"depth-{k + 1}")
+        found.append(new)
+        below.append(new)
+        if step > n_links:          # a way longer than there are links runs in a circle
+            if not new.isEmpty():
+                raise ValueError("replies run in a circle below the start of a thread")
+            break
+        on = links.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("n").alias("_n"))
+        links = keep(links.join(on, "up").groupBy("id", F.col("_up").alias("up")).agg(
+            F.sum(F.col("n") * F.col("_n")).alias("n")), f"links-{k + 1}")
+        step, k = 2 * step, k + 1
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out

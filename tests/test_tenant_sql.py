@@ -138,3 +138,42 @@ def test_row_cap_always_applies(spark, small):
     assert sql_gate.row_cap(small.messages.select("id"), 0)[0].count() == 0
     df3, _ = sql_gate.row_cap(small.messages.select("id"), 50_000)
     assert df3.count() == min(10_000, small.messages.count())
+
+
+def _thread(spark, links):
+    from chatlens.operators.replies import thread_depths
+
+    df = spark.createDataFrame(links, "id long, reply_to_message_id long")
+    return sorted((r.id, r.depth, r.n) for r in thread_depths(df).collect())
+
+
+def test_threads_of_any_depth(spark):
+    """300 replies in a row (more than a user's own recursive query may take),
+    replies to nothing, a repeated message, and a circle that no start leads to."""
+    chain = [(0, None)] + [(k, k - 1) for k in range(1, 301)]
+    got = _thread(spark, chain + [(900, 899), (1000, 1001), (1001, 1000), (500, None), (500, None), (501, 500)])
+    assert got == [(k, k, 1) for k in range(301)] + [(500, 0, 2), (501, 1, 2)]
+    with pytest.raises(ValueError, match="circle"):
+        _thread(spark, [(1, None), (1, 2), (2, 1)])
+
+
+def test_thread_depths_come_whole(spark):
+    """The registered query on threads deeper than any cap of the gate."""
+    from types import SimpleNamespace
+
+    from chatlens.catalog import load_all
+    from chatlens.sources.schema import SCHEMAS
+
+    queries = load_all()
+    n = sql_gate.MAX_LIMIT + 5
+    m = spark.range(n).select(F.lit(TENANT).alias("tenant_id"), "id", F.when(F.col("id") > 0, F.col("id") - 1)
+                              .alias("reply_to_message_id"))
+    tables = {x: spark.createDataFrame([], SCHEMAS[x]) for x in tenant.VISIBLE} | {"messages": m}
+
+    class Tables(SimpleNamespace):
+        def __getitem__(self, name):
+            return tables[name]
+
+    got = queries["sql_thread_depth"].run(Tables(spark=spark))
+    assert got.dtypes == [("depth", "int"), ("messages", "bigint")]
+    assert sorted(tuple(r) for r in got.collect()) == [(k, 1) for k in range(n)]
