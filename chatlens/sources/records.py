@@ -114,9 +114,15 @@ def nest_messages(messages: DataFrame, users: DataFrame, mentions: DataFrame,
         F.count(F.lit(1)).cast("int").alias("count")).join(_emoji_struct(emojis), "emoji_id", "left")
     reacts = per_emoji.groupBy("message_id").agg(
         F.sort_array(F.collect_list(F.struct("emoji", "count"))).alias("reactions"))
-    m = messages.join(_user_struct(users, "author_id", "author"), "author_id", "left")
-    m = m.join(ment.withColumnRenamed("message_id", "id"), "id", "left") \
-         .join(reacts.withColumnRenamed("message_id", "id"), "id", "left")
+    # what belongs to a message is put together on its ids alone; then the
+    # texts are shuffled once, and pass by a hash table without being sorted
+    own = messages.select("id", "author_id").distinct() \
+        .join(_user_struct(users, "author_id", "author"), "author_id", "left") \
+        .join(ment.withColumnRenamed("message_id", "id"), "id", "left") \
+        .join(reacts.withColumnRenamed("message_id", "id"), "id", "left") \
+        .select(F.col("id").alias("_id"), F.col("author_id").alias("_author"), "author", "mentions", "reactions")
+    m = messages.join(own.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id"))
+                      & F.col("author_id").eqNullSafe(F.col("_author")), "left")
     ref = F.when(F.col("reply_to_message_id").isNotNull(),
                  F.struct(F.col("reply_to_message_id").alias("message_id"),
                           F.col("channel_id").alias("channel_id")))
