@@ -249,11 +249,15 @@ def insert_ignore(old: DataFrame, new: DataFrame, key: list[str],
     first key column after ``tenant_id``) can collide, so the anti-join
     reads just that range of the stored keys (two scalar subqueries give the
     bounds). With storage sorted by id, parquet statistics then skip the
-    rest of the history instead of shuffling every stored key each load."""
-    new = _pick_per_key(new, key, order_col, last=False)
+    rest of the history instead of shuffling every stored key each load.
+
+    The rows of a batch, which may hold long texts, are shuffled once by the
+    key, before the first row is picked: a partial pick would sort all texts on
+    the way in, too, and spill them."""
     prune_col = prune_col or next((k for k in key if k != "tenant_id"), key[0])
     lo = new.agg(F.min(prune_col)).scalar()
     hi = new.agg(F.max(prune_col)).scalar()
+    new = _pick_per_key(new.repartition(*key), key, order_col, last=False)
     stored = old.select(*key).filter(F.col(prune_col).between(lo, hi))
     fresh = new.join(stored, key, "left_anti")
     return old.unionByName(fresh.select(*old.columns))
