@@ -62,13 +62,20 @@ def split_batch(batch: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFra
 
 def fresh_rows(batch: DataFrame, stored: DataFrame, ledger: DataFrame, key: list[str]) -> DataFrame:
     """Rows of the batch whose key is not stored, one per key (the least row).
-    Stored keys are read for the intervals that the batch hits only."""
+    Stored keys are read for the intervals that the batch hits only. Which keys
+    are stored is found on the keys and channels alone; the rows themselves,
+    which may hold long texts, are shuffled once, by the key."""
     rest = [c for c in batch.columns if c not in key]
-    one = batch.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row")).select(*key, "_row.*").select(*batch.columns)
-    new, perhaps = split_batch(one, ledger)
+    upto = 1 + max(rest.index(c) for c in CHANNEL if c in rest)     # the least row begins with the least of these
+    slim = (batch.groupBy(*key).agg(F.min(F.struct(*rest[:upto])).alias("_row")).select(*key, "_row.*")
+            .select(*key, *[c for c in CHANNEL if c not in key]))
+    _, perhaps = split_batch(slim, ledger)
     bounds = perhaps.agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     known = stored.select(*key).filter(F.col("id").between(bounds.select("lo").scalar(), bounds.select("hi").scalar()))
-    return new.unionByName(perhaps.join(known, key, "left_anti"))
+    held = perhaps.join(known, key, "left_semi").select(*key)
+    one = (batch.repartition(*key).groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row"))
+           .select(*key, "_row.*").select(*batch.columns))
+    return one.join(held, key, "left_anti").select(*batch.columns)
 
 
 def sync_state(ledger: DataFrame, sync_type: str = "messages", status: str = "completed",

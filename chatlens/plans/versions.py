@@ -114,7 +114,7 @@ class TableStore:
         own = F.col("tenant_id").eqNullSafe(F.lit(self.tenant))
         out = df.withColumn("part", F.coalesce(part, F.lit("none"))).observe(
             seen, F.count(F.lit(1)).alias("rows"), F.count(F.when(~own, 1)).alias("foreign"))
-        (out.hint("rebalance", "part").write.partitionBy("tenant_id", "part")
+        (out.hint("rebalance", "part").write.option("compression", "zstd").partitionBy("tenant_id", "part")
          .parquet(f"{self.root}/{name}/gen={self.gen}"))
         try:
             counts = dict(seen.get)
