@@ -20,8 +20,9 @@ when 100 * intersection >= 75 * union; the result is the connected components.
    Rounds stop when one finds less than a twentieth of the first one's links.
 4. The rest, exactly: what buckets still hold of nodes of different
    components is compared in full, in small buckets as distinct pairs, in
-   large ones in blocks of at most ``BLOCK`` nodes a side, of which only links
-   leave the task. After that no pair that shares a signature is left open.
+   large ones in blocks of at most ``BLOCK`` nodes a side: first by their
+   profiles, then the sets of those that may have a link there, of which only
+   links leave the task. After that no pair that shares a signature is left open.
 
 A pair is first tested by the profiles (no true link fails), then by the whole
 shingle sets, which are computed from the texts of such candidates only.
@@ -54,6 +55,8 @@ SPREAD = 4096           # ways that the rows of a hot signature are spread
 SMALL = 32              # nodes of a bucket that is compared pair by pair
 BLOCK = 2048            # nodes of a block of a larger one, at most
 BLOCK_SHINGLES = 1 << 21    # shingles of a block, about
+STRIPE = 256            # nodes of a block whose counts are compared with the other block's at a time
+WIDE = 1024             # shingles whose owners are held as a matrix at a time
 ROUNDS = 6              # rounds of step 3 at most; step 4 does what they leave
 SEEN = 1 << 20          # nodes or texts that a task remembers, to emit copies once
 MAP_BITS = 1 << 27      # bits of a map of keys, at most (16 MB); it moves work, never results
@@ -127,19 +130,50 @@ def _hot(sample: DataFrame, frequent: np.ndarray, number: Callable) -> DataFrame
             .orderBy(F.desc("n"), "signature").limit(HOT_LIST).select("signature"))
 
 
+def _parted(held: np.ndarray):
+    """Signatures of a list in two parts: the others, then those of ``held``
+    (sorted, ``HOT_LIST`` at most). The list of hot ones rides with the task,
+    so that no row meets another to learn whether its signature is hot."""
+    schema = T.StructType([T.StructField("signatures", T.ArrayType(T.LongType())),
+                           T.StructField("n_cold", T.IntegerType())])
+
+    @F.pandas_udf(schema)
+    def parted(lists: pd.Series) -> pd.DataFrame:
+        out, n_cold = [], []
+        for own in lists:
+            if own is None:
+                out.append(None)
+                n_cold.append(0)
+                continue
+            at = np.searchsorted(held, own)
+            at[at == len(held)] = 0
+            hot = held[at] == own
+            out.append(np.concatenate((own[~hot], own[hot])) if hot.any() else own)
+            n_cold.append(len(own) - int(hot.sum()))
+        return pd.DataFrame({"signatures": pd.Series(out, dtype=object),
+                             "n_cold": np.array(n_cold, np.int32)})
+
+    return parted
+
+
 def _rows(described: DataFrame, hot: DataFrame) -> DataFrame:
     """A row for each document (``doc`` is set, ``signature`` null) and the
     rows (signature, node) of the signatures that several nodes have. Document
     rows go through the same exchange, each under a key of its own."""
     doc = F.struct("doc_id", "text_key", "check", "n_shingles", "profile")
     none = F.lit(None).cast("long")
-    # a list of the document's own entry and its signatures
+    held = np.sort(hot.toArrow()["signature"].to_numpy().astype(np.int64))
+    if len(held):
+        described = described.withColumn("parted", _parted(held)("signatures")).select(
+            *[c for c in described.columns if c != "signatures"], "parted.*")
+    else:
+        described = described.withColumn("n_cold", F.size("signatures"))
+    # a list of the document's own entry and its signatures, hot ones last
     entries = F.concat(F.array(none), F.coalesce(F.col("signatures"), F.array().cast("array<bigint>")))
-    rows = (described.select("node", doc.alias("doc"), F.explode(entries).alias("signature"))
+    rows = (described.select("node", doc.alias("doc"), "n_cold", F.posexplode(entries).alias("at", "signature"))
             .withColumn("doc", F.when(F.col("signature").isNull(), F.col("doc")))
-            .join(F.broadcast(hot.withColumn("hot", F.lit(True))), "signature", "left")
-            .withColumn("spread", F.when(F.col("hot"), 1 + F.pmod("node", F.lit(SPREAD)))
-                        .when(F.col("signature").isNull(), F.monotonically_increasing_id()).otherwise(0)))
+            .withColumn("spread", F.when(F.col("at") == 0, F.monotonically_increasing_id())
+                        .when(F.col("at") > F.col("n_cold"), 1 + F.pmod("node", F.lit(SPREAD))).otherwise(0)))
     own = Window.partitionBy("signature", "spread")
     met = (rows.select("signature", "spread", "node", "doc")
            .withColumn("lo", F.min("node").over(own)).withColumn("hi", F.max("node").over(own)))
@@ -322,11 +356,12 @@ def _large(still: DataFrame, nodes: DataFrame) -> DataFrame:
             .select("signature", "node", "label", "aside", "block", "n_blocks", "n_main_blocks"))
 
 
-def _block_links(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between nodes of the larger buckets. Nodes aside meet each other
-    and the main group, block by block; of what a pair of blocks finds, a
-    spanning forest leaves."""
+def _units(large: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A row for each node and pair of blocks (first, second) that it takes
+    part in, with its own block, its size and its profile. Blocks aside meet
+    each other and those of the main group, whose numbers are negative."""
     others = F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)
+    own = F.when(F.col("aside") == 0, -F.col("block") - 1).otherwise(F.col("block"))
     units = F.when(F.col("aside") == 0, F.transform(others, lambda o: F.struct(
         o.alias("first"), (-F.col("block") - 1).alias("second")))).otherwise(
         F.concat(F.transform(others, lambda o: F.struct(F.least("block", o).alias("first"),
@@ -335,33 +370,87 @@ def _block_links(large: DataFrame, sets: DataFrame) -> DataFrame:
                      F.sequence(F.lit(1).cast("long"), F.col("n_main_blocks")),
                      lambda o: F.struct(F.col("block").alias("first"), (-o).alias("second")))).otherwise(
                      F.array().cast("array<struct<first:bigint,second:bigint>>"))))
-    met = (large.withColumn("unit", F.explode(units))
-           .select("signature", "unit.first", "unit.second", "node", "label").join(sets, "node"))
+    return (large.join(nodes.select("node", "n_shingles", "profile"), "node")
+            .withColumn("own", own).withColumn("unit", F.explode(units))
+            .select("signature", "unit.first", "unit.second", "own", "node", "label", "n_shingles", "profile"))
 
+
+def _block_near(large: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of the pairs of blocks, without the nodes that the profiles tell
+    can't be linked with any node of the other block. Profiles are a small part
+    of the sets, which only the nodes left need."""
+    cols = ["signature", "first", "second", "own", "node", "label"]
+
+    def run(unit: pd.DataFrame) -> pd.DataFrame:
+        first = (unit["own"] == unit["first"]).to_numpy()
+        second = (unit["own"] == unit["second"]).to_numpy()
+        keep = _have_near(unit["n_shingles"].to_numpy(), unit["profile"].to_list(), unit["label"].to_numpy(),
+                          np.flatnonzero(first), np.flatnonzero(second))
+        return unit.loc[keep, cols]
+
+    return (_units(large, nodes).groupBy("signature", "first", "second")
+            .applyInPandas(run, ", ".join(f"{c} long" for c in cols)))
+
+
+def _have_near(sizes: np.ndarray, profiles: list[bytes], labels: np.ndarray,
+               first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Which of the sets may be linked (``S.may_link``) with one of the other
+    side and of another label."""
+    lengths, keep = np.array([len(p) for p in profiles]), np.zeros(len(sizes), bool)
+    for length in np.unique(lengths[second]).tolist():
+        cols = second[lengths[second] == length]
+        table = np.stack([np.frombuffer(profiles[k], np.uint8) for k in cols]).astype(np.int16)
+        for i in first.tolist():
+            fits = ((labels[cols] != labels[i])
+                    & (S.DEN * np.minimum(sizes[cols], sizes[i]) >= S.NUM * np.maximum(sizes[cols], sizes[i])))
+            if not fits.any():
+                continue
+            if lengths[i] == length:
+                at = np.flatnonzero(fits)
+                apart = np.abs(table[at] - np.frombuffer(profiles[i], np.uint8).astype(np.int16)).sum(1, dtype=np.int32)
+                near = cols[at[apart <= S.differences(sizes[cols[at]], sizes[i])]]
+            else:
+                near = np.array([k for k in cols[fits].tolist()
+                                 if S.may_link(int(sizes[i]), profiles[i], int(sizes[k]), profiles[k])], np.int64)
+            if len(near):
+                keep[i] = True
+                keep[near] = True
+    return keep
+
+
+def _block_links(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the nodes of pairs of blocks; of what a pair of blocks
+    finds, a spanning forest leaves."""
     def run(unit: pd.DataFrame) -> pd.DataFrame:
+        first = (unit["own"] == unit["first"]).to_numpy()
+        second = (unit["own"] == unit["second"]).to_numpy()
         return _forest(unit["node"].to_numpy(), unit["label"].to_numpy(),
-                       [np.frombuffer(x, np.uint64) for x in unit["shingles"]])
+                       [np.frombuffer(x, np.uint64) for x in unit["shingles"]],
+                       np.flatnonzero(first), np.flatnonzero(second))
 
-    return (met.groupBy("signature", "first", "second")
+    return (near.join(sets, "node").groupBy("signature", "first", "second")
             .applyInPandas(run, "a long, b long").distinct())
 
 
-def _forest(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray]) -> pd.DataFrame:
-    """Links between the labels of a few sets, as a spanning forest."""
-    sizes = np.array([len(s) for s in sets])
+def _forest(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray],
+            first: np.ndarray, second: np.ndarray) -> pd.DataFrame:
+    """Links between the labels of the sets at ``first`` and those at
+    ``second``, as a spanning forest. Only the counts of common elements are
+    held for all pairs at once; a stripe of them is compared at a time."""
+    sizes = np.array([len(s) for s in sets], np.int64)
     values, counts = np.unique(np.concatenate(sets), return_counts=True)
     shared = values[counts > 1]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, len(shared), 4096):      # a slice of the domain at a time
-        part = shared[lo:lo + 4096]
+    both = np.zeros((len(first), len(second)), np.float32)
+    for lo in range(0, len(shared), WIDE):      # a slice of the domain at a time
+        part = shared[lo:lo + WIDE]
         has = np.zeros((len(sets), len(part)), np.float32)
         for k, s in enumerate(sets):
             own = s[np.searchsorted(s, part[0]):np.searchsorted(s, part[-1], "right")]
             at = np.searchsorted(part, own)
             has[k, at[part[at] == own]] = 1
-        both += has @ has.T
-    union = sizes[:, None] + sizes[None, :] - both
-    a, b = np.nonzero(np.triu(S.DEN * both.astype(np.float64) >= S.NUM * union, 1))
+        right = has[second].T
+        for row in range(0, len(first), STRIPE):
+            both[row:row + STRIPE] += has[first[row:row + STRIPE]] @ right
     root = {x: x for x in labels.tolist()}
 
     def find(x: int) -> int:
@@ -371,11 +460,17 @@ def _forest(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray]) -> pd
         return x
 
     out = []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(int(labels[i])), find(int(labels[j]))
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((int(nodes[i]), int(nodes[j])))
+    for row in range(0, len(first), STRIPE):
+        common, rows = both[row:row + STRIPE].astype(np.int64), first[row:row + STRIPE]
+        union = sizes[rows][:, None] + sizes[second][None, :] - common
+        linked = ((common > 0) & (S.DEN * common >= S.NUM * union)
+                  & (labels[rows][:, None] != labels[second][None, :]))
+        for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+            i, j = rows[i], second[j]
+            x, y = find(int(labels[i])), find(int(labels[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((int(nodes[i]), int(nodes[j])))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -413,7 +508,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = 0
     for turn in range(ROUNDS):
         still = keep_table(_open(buckets, labels), "ngram-open")
-        buckets = still.select("signature", "node")         # the others are settled
+        # the others are settled, and those of two nodes are by this round's pair
+        buckets = still.filter("size > 2").select("signature", "node")
         pairs = _star_pairs(still, turn)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -430,9 +526,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     still = keep_table(_open(buckets, labels), "ngram-open")
     large = keep_table(_large(still, nodes), "ngram-large")
     near = keep_table(_may_link(_small_pairs(still).join(tried, ["a", "b"], "left_anti"), nodes), "ngram-near")
-    need = near.unionByName(large.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    blocks = keep_table(_block_near(large, nodes), "ngram-blocks")
+    need = near.unionByName(blocks.select(F.col("node").alias("a"), F.col("node").alias("b")))
     sets = _with_sets(texts, need, nodes, sets, number)
-    new = keep_table(_linked(near, sets).unionByName(_block_links(large, sets)), "ngram-links")
+    new = keep_table(_linked(near, sets).unionByName(_block_links(blocks, sets)), "ngram-links")
     labels = components(labels, new)
 
     joined = nodes.join(labels, "node", "left").select(

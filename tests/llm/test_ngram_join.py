@@ -207,3 +207,68 @@ def test_sets_whose_nodes_are_alike_are_told_apart(make):
     rows = [(k, t) for k, t in enumerate(texts + texts[:5])]
     got = J.join(make(rows), digest=poor).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_hot_signatures_ride_with_the_tasks(make, monkeypatch):
+    """No row meets the list of hot signatures in a join."""
+    monkeypatch.setattr(J, "SAMPLE", 1)
+    monkeypatch.setattr(J, "HOT", 20)
+    texts = make(list(enumerate(near_copies(random.Random(2), 80)))).selectExpr(
+        "doc_id", "text", "xxhash64(text) AS text_key")
+    number = J.partial(J._number, split=frozenset(), digest=S.digest)
+    frequent = J._frequent(J._sample(texts))
+    hot = J._hot(J._sample(texts), frequent, number)
+    assert not hot.isEmpty()
+    plan = J._rows(J._described(texts, frequent, number), hot)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_profiles_of_blocks_against_pairs():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 900, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.permutation(base[:n])[:n - gone],
+                                      rng.integers(0, 2**64, gone, dtype=np.uint64))))
+            for n in (60, 70, 130, 900) for gone in (0, 0, 5, 10, 20, 40)]
+    sets += [np.unique(rng.integers(0, 2**64, 65, dtype=np.uint64)) for _ in range(5)]
+    # elements of one class, whose count is capped
+    sets += [np.unique(rng.integers(0, 2**40, n, dtype=np.uint64) << np.uint64(20)) for n in (400, 420, 1100)]
+    sizes, profiles = np.array([len(s) for s in sets]), [S.profile(s) for s in sets]
+    labels = rng.integers(0, 12, len(sets))
+    for first in (np.arange(len(sets)), rng.permutation(len(sets))[:9]):
+        second = np.setdiff1d(np.arange(len(sets)), first) if len(first) < len(sets) else first
+        want = set()
+        for a in first.tolist():
+            for b in second.tolist():
+                if labels[a] != labels[b] and S.may_link(int(sizes[a]), profiles[a], int(sizes[b]), profiles[b]):
+                    want |= {a, b}
+        assert set(np.flatnonzero(J._have_near(sizes, profiles, labels, first, second)).tolist()) == want
+        assert 0 < len(want) < len(sets)
+
+
+def test_links_of_large_blocks_take_little_memory():
+    import tracemalloc
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 2**64, 2400, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, 12)) for _ in range(1500)]
+    sets += [s.copy() for s in sets[:40]] + [np.unique(rng.choice(pool, 12)) for _ in range(1460)]
+    nodes = np.arange(3000)
+    tracemalloc.start()
+    got = J._forest(nodes, nodes, sets, np.arange(1500), np.arange(1500, 3000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(k, k + 1500) for k in range(40)} <= set(zip(got["a"], got["b"], strict=True))
+    assert peak < 60e6          # 290 MB with all pairs held as wide numbers
+
+
+def test_only_sets_that_may_link_are_sent(make, monkeypatch):
+    """Texts that share a passage meet in large buckets, but few are alike."""
+    monkeypatch.setattr(J, "SMALL", 4)
+    sent = []
+    blocks = J._block_links
+    monkeypatch.setattr(J, "_block_links", lambda near, sets: sent.append(near.count()) or blocks(near, sets))
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(90000)}"
+    passage = [word() for _ in range(40)]
+    rows = [" ".join([word() for _ in range(60)] + passage + [word() for _ in range(60)]) for _ in range(60)]
+    check(make, list(enumerate(rows)))
+    assert sent == [0]
