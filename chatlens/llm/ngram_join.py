@@ -22,7 +22,8 @@ when 100 * intersection >= 75 * union; the result is the connected components.
    components is compared in full, in small buckets as distinct pairs, in
    large ones in blocks of at most ``BLOCK`` nodes a side: first by their
    profiles, then the sets of those that may have a link there, of which only
-   links leave the task. After that no pair that shares a signature is left open.
+   links leave the task. Nodes that share many large buckets are compared in the
+   first of them. After that no pair that shares a signature is left open.
 
 A pair is first tested by the profiles (no true link fails), then by the whole
 shingle sets, which are computed from the texts of such candidates only.
@@ -40,7 +41,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +58,7 @@ BLOCK = 2048            # nodes of a block of a larger one, at most
 BLOCK_SHINGLES = 1 << 21    # shingles of a block, about
 STRIPE = 256            # nodes of a block whose counts are compared with the other block's at a time
 WIDE = 1024             # shingles whose owners are held as a matrix at a time
+MET = 16                # earlier large buckets that a node's row names, at most; they move work, never results
 ROUNDS = 6              # rounds of step 3 at most; step 4 does what they leave
 SEEN = 1 << 20          # nodes or texts that a task remembers, to emit copies once
 MAP_BITS = 1 << 27      # bits of a map of keys, at most (16 MB); it moves work, never results
@@ -175,7 +177,8 @@ def _rows(described: DataFrame, hot: DataFrame) -> DataFrame:
             .withColumn("spread", F.when(F.col("at") == 0, F.monotonically_increasing_id())
                         .when(F.col("at") > F.col("n_cold"), 1 + F.pmod("node", F.lit(SPREAD))).otherwise(0)))
     own = Window.partitionBy("signature", "spread")
-    met = (rows.select("signature", "spread", "node", "doc")
+    # a node next to its signature, without zeros between, is sent in fewer bytes
+    met = (rows.select("node", "signature", "spread", "doc")
            .withColumn("lo", F.min("node").over(own)).withColumn("hi", F.max("node").over(own)))
     return (met.filter(F.col("signature").isNull() | (F.col("spread") > 0) | (F.col("lo") != F.col("hi")))
             .select("signature", "spread", "node", "doc").dropDuplicates(["signature", "spread", "node"])
@@ -242,13 +245,19 @@ def _both(pairs: DataFrame, of_nodes: DataFrame, *cols: str) -> DataFrame:
     return pairs
 
 
+def _sizes_fit(n: Column, m: Column) -> Column:
+    return F.least(n, m) * S.DEN >= F.greatest(n, m) * S.NUM
+
+
 def _may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of a kept table that sizes and profiles leave. Only profiles of
+    nodes of such pairs are shuffled."""
     @F.pandas_udf("boolean")
     def test(n: pd.Series, p: pd.Series, m: pd.Series, q: pd.Series) -> pd.Series:
         return pd.Series([S.may_link(*x) for x in zip(n, p, m, q, strict=True)], dtype=bool)
 
-    near = _both(pairs, nodes, "n_shingles", "profile").filter(
-        F.least("n_shingles_a", "n_shingles_b") * S.DEN >= F.greatest("n_shingles_a", "n_shingles_b") * S.NUM)
+    near = _both(pairs, _only(nodes, _ends(pairs)), "n_shingles", "profile").filter(
+        _sizes_fit(F.col("n_shingles_a"), F.col("n_shingles_b")))
     return near.filter(test("n_shingles_a", "profile_a", "n_shingles_b", "profile_b")).select("a", "b")
 
 
@@ -266,9 +275,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
 
-def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``sets`` without most of those that a join with ``nodes`` drops."""
-    return sets.filter(_perhaps_in(_key_map(nodes, "node"))("node"))
+def _only(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` without most of those that a join with ``nodes`` drops."""
+    return rows.filter(_perhaps_in(_key_map(nodes, "node"))("node"))
 
 
 def _distinct_buckets(buckets: DataFrame) -> DataFrame:
@@ -302,10 +311,11 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
                             .select("node", F.coalesce("root", "label").alias("label")), "ngram-labels")
 
 
-def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of buckets with several components: signature, node, label, and
-    the bucket's size and its largest component (main; least of equals)."""
-    rows = buckets.join(labels, "node")
+def _open(buckets: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of buckets with several components: signature, node, label,
+    n_shingles, and the bucket's size and its largest component (main; least
+    of equals)."""
+    rows = buckets.join(labels.join(nodes.select("node", "n_shingles"), "node"), "node")
     parts = rows.groupBy("signature", "label").agg(F.count(F.lit(1)).alias("n"))
     whole = (parts.groupBy("signature")
              .agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"),
@@ -315,28 +325,36 @@ def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _star_pairs(still: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each bucket's nodes outside its main component with one node of
+    that, if their sizes fit."""
     mains = (still.filter("label = main").groupBy("signature")
-             .agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub")))
+             .agg(F.min_by(F.struct("node", "n_shingles"), F.xxhash64("node", F.lit(turn))).alias("hub")))
     return (still.filter("label <> main").join(mains, "signature")
-            .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+            .filter(_sizes_fit(F.col("n_shingles"), F.col("hub.n_shingles")))
+            .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
 
 
 def _small_pairs(still: DataFrame) -> DataFrame:
     rows = still.filter(F.col("size") <= SMALL)
-    x = rows.select("signature", F.col("node").alias("a"), F.col("label").alias("la"))
-    y = rows.select("signature", F.col("node").alias("b"), F.col("label").alias("lb"))
-    return x.join(y, "signature").filter("a < b and la <> lb").select("a", "b").distinct()
+    x = rows.select("signature", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("n"))
+    y = rows.select("signature", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("m"))
+    return (x.join(y, "signature").filter("a < b and la <> lb").filter(_sizes_fit(F.col("n"), F.col("m")))
+            .select("a", "b").distinct())
 
 
-def _large(still: DataFrame, nodes: DataFrame) -> DataFrame:
+def _large(still: DataFrame) -> DataFrame:
     """Rows of the larger buckets: signature, node, aside, block and n_blocks
     (of the nodes aside) and n_main_blocks. Of the nodes of a bucket that need
     not be compared with each other the most are its main group (aside 0):
     either its main component, or nodes that all share the same earlier bucket,
-    where they are met. A block holds as many nodes as keep its sets small."""
+    where they are met. A block holds as many nodes as keep its sets small.
+    ``met`` has the least ``MET`` of the node's earlier larger buckets: nodes
+    that both name one have been met there, or in an earlier one yet."""
+    by_node = Window.partitionBy("node").orderBy("signature")
     rows = (still.filter(F.col("size") > SMALL)
-            .withColumn("earlier", F.lag("signature").over(Window.partitionBy("node").orderBy("signature")))
-            .join(nodes.select("node", "n_shingles"), "node"))
+            .withColumn("earlier", F.lag("signature").over(by_node))
+            .withColumn("least", F.when(F.row_number().over(by_node) <= MET, F.col("signature")))
+            .withColumn("met", F.collect_list("least").over(by_node.rowsBetween(Window.unboundedPreceding, -1))))
     shared = (rows.filter("earlier IS NOT NULL").groupBy("signature", "earlier").agg(F.count(F.lit(1)).alias("n"))
               .groupBy("signature").agg(F.max(F.struct("n", "earlier")).alias("most")))
     whole = (rows.groupBy("signature").agg(F.count(F.when(F.col("label") == F.col("main"), 1)).alias("n_main"),
@@ -353,12 +371,12 @@ def _large(still: DataFrame, nodes: DataFrame) -> DataFrame:
             .withColumn("n_main_blocks", F.ceil(n_main / block))
             .withColumn("block", F.pmod(F.xxhash64("node", "signature"),
                                         F.when(in_main, F.col("n_main_blocks")).otherwise(F.col("n_blocks"))))
-            .select("signature", "node", "label", "aside", "block", "n_blocks", "n_main_blocks"))
+            .select("signature", "node", "label", "aside", "block", "n_blocks", "n_main_blocks", "n_shingles", "met"))
 
 
 def _units(large: DataFrame, nodes: DataFrame) -> DataFrame:
     """A row for each node and pair of blocks (first, second) that it takes
-    part in, with its own block, its size and its profile. Blocks aside meet
+    part in, with its own block, size, profile and ``met``. Blocks aside meet
     each other and those of the main group, whose numbers are negative."""
     others = F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)
     own = F.when(F.col("aside") == 0, -F.col("block") - 1).otherwise(F.col("block"))
@@ -370,47 +388,62 @@ def _units(large: DataFrame, nodes: DataFrame) -> DataFrame:
                      F.sequence(F.lit(1).cast("long"), F.col("n_main_blocks")),
                      lambda o: F.struct(F.col("block").alias("first"), (-o).alias("second")))).otherwise(
                      F.array().cast("array<struct<first:bigint,second:bigint>>"))))
-    return (large.join(nodes.select("node", "n_shingles", "profile"), "node")
+    return (large.join(_only(nodes, large).select("node", "profile"), "node")
             .withColumn("own", own).withColumn("unit", F.explode(units))
-            .select("signature", "unit.first", "unit.second", "own", "node", "label", "n_shingles", "profile"))
+            .select("signature", "unit.first", "unit.second", "own", "node", "label", "n_shingles", "profile", "met"))
 
 
 def _block_near(large: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows of the pairs of blocks, without the nodes that the profiles tell
-    can't be linked with any node of the other block. Profiles are a small part
-    of the sets, which only the nodes left need."""
+    can't be linked with any node of the other block that they first meet
+    there. Profiles are a small part of the sets, which only the nodes left need."""
     cols = ["signature", "first", "second", "own", "node", "label"]
 
     def run(unit: pd.DataFrame) -> pd.DataFrame:
         first = (unit["own"] == unit["first"]).to_numpy()
         second = (unit["own"] == unit["second"]).to_numpy()
         keep = _have_near(unit["n_shingles"].to_numpy(), unit["profile"].to_list(), unit["label"].to_numpy(),
-                          np.flatnonzero(first), np.flatnonzero(second))
+                          np.flatnonzero(first), np.flatnonzero(second), _coded(unit["met"].to_list()))
         return unit.loc[keep, cols]
 
     return (_units(large, nodes).groupBy("signature", "first", "second")
             .applyInPandas(run, ", ".join(f"{c} long" for c in cols)))
 
 
+def _coded(lists: list) -> np.ndarray:
+    """A row for each list, with small numbers for its entries, equal ones for
+    equal entries; the largest one fills up."""
+    lengths = np.array([len(x) for x in lists], np.int64)
+    values, at = np.unique(np.concatenate([np.asarray(x, np.int64) for x in lists]), return_inverse=True)
+    out = np.full((len(lists), lengths.max() + 1), len(values), np.int64)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = at
+    return out
+
+
 def _have_near(sizes: np.ndarray, profiles: list[bytes], labels: np.ndarray,
-               first: np.ndarray, second: np.ndarray) -> np.ndarray:
+               first: np.ndarray, second: np.ndarray, met: np.ndarray | None = None) -> np.ndarray:
     """Which of the sets may be linked (``S.may_link``) with one of the other
-    side and of another label."""
+    side, of another label and with no entry of ``met`` (``_coded``) in common."""
     lengths, keep = np.array([len(p) for p in profiles]), np.zeros(len(sizes), bool)
+    met = np.zeros((len(sizes), 1), np.int64) if met is None else met
+    of_row = np.zeros(met.max() + 1, bool)
     for length in np.unique(lengths[second]).tolist():
         cols = second[lengths[second] == length]
         table = np.stack([np.frombuffer(profiles[k], np.uint8) for k in cols]).astype(np.int16)
         for i in first.tolist():
-            fits = ((labels[cols] != labels[i])
-                    & (S.DEN * np.minimum(sizes[cols], sizes[i]) >= S.NUM * np.maximum(sizes[cols], sizes[i])))
-            if not fits.any():
+            at = np.flatnonzero((labels[cols] != labels[i])
+                                & (S.DEN * np.minimum(sizes[cols], sizes[i]) >= S.NUM * np.maximum(sizes[cols], sizes[i])))
+            of_row[met[i]] = True
+            of_row[-1] = False
+            at = at[~of_row[met[cols[at]]].any(1)]
+            of_row[met[i]] = False
+            if not len(at):
                 continue
             if lengths[i] == length:
-                at = np.flatnonzero(fits)
                 apart = np.abs(table[at] - np.frombuffer(profiles[i], np.uint8).astype(np.int16)).sum(1, dtype=np.int32)
                 near = cols[at[apart <= S.differences(sizes[cols[at]], sizes[i])]]
             else:
-                near = np.array([k for k in cols[fits].tolist()
+                near = np.array([k for k in cols[at].tolist()
                                  if S.may_link(int(sizes[i]), profiles[i], int(sizes[k]), profiles[k])], np.int64)
             if len(near):
                 keep[i] = True
@@ -428,7 +461,7 @@ def _block_links(near: DataFrame, sets: DataFrame) -> DataFrame:
                        [np.frombuffer(x, np.uint64) for x in unit["shingles"]],
                        np.flatnonzero(first), np.flatnonzero(second))
 
-    return (near.join(sets, "node").groupBy("signature", "first", "second")
+    return (near.join(_only(sets, near), "node").groupBy("signature", "first", "second")
             .applyInPandas(run, "a long, b long").distinct())
 
 
@@ -507,13 +540,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = tried = None
     first = 0
     for turn in range(ROUNDS):
-        still = keep_table(_open(buckets, labels), "ngram-open")
+        still = keep_table(_open(buckets, labels, nodes), "ngram-open")
         # the others are settled, and those of two nodes are by this round's pair
         buckets = still.filter("size > 2").select("signature", "node")
         pairs = _star_pairs(still, turn)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        near = keep_table(_may_link(pairs, nodes), "ngram-near")
+        near = keep_table(_may_link(keep_table(pairs, "ngram-pairs"), nodes), "ngram-near")
         sets = _with_sets(texts, near, nodes, sets, number)
         new = keep_table(_linked(near, sets), "ngram-links")
         found = new.count()
@@ -523,9 +556,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if found * 20 <= first:
             break
 
-    still = keep_table(_open(buckets, labels), "ngram-open")
-    large = keep_table(_large(still, nodes), "ngram-large")
-    near = keep_table(_may_link(_small_pairs(still).join(tried, ["a", "b"], "left_anti"), nodes), "ngram-near")
+    still = keep_table(_open(buckets, labels, nodes), "ngram-open")
+    large = keep_table(_large(still), "ngram-large")
+    pairs = keep_table(_small_pairs(still).join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+    near = keep_table(_may_link(pairs, nodes), "ngram-near")
     blocks = keep_table(_block_near(large, nodes), "ngram-blocks")
     need = near.unionByName(blocks.select(F.col("node").alias("a"), F.col("node").alias("b")))
     sets = _with_sets(texts, need, nodes, sets, number)

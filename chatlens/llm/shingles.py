@@ -73,6 +73,7 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
 
 # Links and PartEnum signatures ----------------------------------------------
 
+SIGNATURE_BITS = 48
 BAND = 4                # sizes of a band: 4**b up to 4**(b+1) - 1
 NUM, DEN = 75, 100      # sets link at DEN * intersection >= NUM * union
 
@@ -110,7 +111,9 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     all sets share, the least k + 1 of each set have one in common. The order
     takes signatures without a frequent shingle first (``frequent`` is a sorted
     array; it moves work, never results). A set takes part in the band of its
-    size and, if linked sets may be as large, in the next.
+    size and, if linked sets may be as large, in the next. Signatures have
+    ``SIGNATURE_BITS`` bits, as shuffles send each of them: a chance meeting of
+    two is a pair more to compare, never a result.
     """
     n = len(shingles)
     if not n:
@@ -138,7 +141,7 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
             key = mix(np.add.reduceat(mix(key[order]), first) + part[first])
             hot = np.logical_or.reduceat(common[order], first)
         out.append(key[np.lexsort((key, hot))][:need])
-    return np.concatenate(out)
+    return np.concatenate(out) >> np.uint64(64 - SIGNATURE_BITS)
 
 
 def profile(shingles: np.ndarray) -> bytes:

@@ -272,3 +272,60 @@ def test_only_sets_that_may_link_are_sent(make, monkeypatch):
     rows = [" ".join([word() for _ in range(60)] + passage + [word() for _ in range(60)]) for _ in range(60)]
     check(make, list(enumerate(rows)))
     assert sent == [0]
+
+
+def families(rng, n, words=120):
+    """Texts that keep most words of one text, in many of which a pair shares
+    more than half of its shingles, but few link."""
+    base = [f"w{rng.randrange(90000)}" for _ in range(words)]
+    return [" ".join(edited(rng, base, rng.choice((3, 4, 5, 6)))) for _ in range(n)]
+
+
+def test_pairs_of_many_common_buckets_are_sent_once(make, monkeypatch):
+    """Alike texts share most of their large buckets; each pair is compared in
+    the first one, and only sets of such pairs are shuffled."""
+    monkeypatch.setattr(J, "SMALL", 4)
+    sent = []
+    blocks = J._block_links
+    monkeypatch.setattr(J, "_block_links", lambda near, sets: sent.append((
+        near.count(), near.select("node").distinct().count())) or blocks(near, sets))
+    rng = random.Random(12)
+    check(make, list(enumerate(families(rng, 60) + near_copies(rng, 20))))
+    (rows, nodes), = sent
+    assert nodes > 20
+    assert rows < 8 * nodes         # 25 rows a node where each bucket sends its own
+
+
+@pytest.mark.parametrize("named", (0, 1, 3))
+def test_few_named_buckets_lose_no_link(make, monkeypatch, named):
+    monkeypatch.setattr(J, "SMALL", 3)
+    monkeypatch.setattr(J, "BLOCK", 16)
+    monkeypatch.setattr(J, "ROUNDS", 1)
+    monkeypatch.setattr(J, "MET", named)
+    rng = random.Random(named)
+    check(make, list(enumerate(families(rng, 40) + near_copies(rng, 30) + families(rng, 30, 90))))
+
+
+def test_nodes_met_before_are_not_near():
+    s = np.arange(60, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sizes, profiles, both = np.full(4, 60), [S.profile(s)] * 4, np.arange(4)
+    met = J._coded([np.array([5, 9]), [], np.array([9]), np.array([7])])
+    assert met.shape == (4, 3) and met[0, 1] == met[2, 0] and (met[:, -1] == met.max()).all()
+    assert J._have_near(sizes, profiles, np.arange(4), both[:1], both[2:3], met).sum() == 0
+    assert J._have_near(sizes, profiles, np.arange(4), both[:1], both, met).tolist() == [True, True, False, True]
+    assert J._have_near(sizes, profiles, np.arange(4), both[1:2], both, J._coded([[]] * 4)).all()
+
+
+def test_only_profiles_of_pairs_are_shuffled(make, spark):
+    """Nodes that no pair has leave before the join."""
+    nodes = spark.range(5000).selectExpr("id AS node", "60L AS n_shingles", "unhex(repeat('04', 16)) AS profile")
+    pairs = spark.createDataFrame([(3, 4), (7, 90)], "a long, b long")
+    assert sorted(map(tuple, J._may_link(pairs, nodes).collect())) == [(3, 4), (7, 90)]
+    assert J._only(nodes, J._ends(pairs)).count() < 50
+
+
+def test_signatures_are_short():
+    rng = np.random.default_rng(2)
+    for n in (3, 70, 300, 1200):
+        got = S.signatures(np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)), np.empty(0, np.uint64))
+        assert int(got.max()) < 2 ** S.SIGNATURE_BITS and len(np.unique(got)) == len(got)
