@@ -47,6 +47,7 @@ from pyspark.sql import types as T
 
 from chatlens.llm import shingles as S
 from chatlens.llm.common import free_name, keep_table
+from chatlens.session import shared_scratch
 
 SAMPLE = 16             # one text in so many is looked at for frequent shingles
 FREQUENT = 200_000      # most of them, at most (8 bytes each)
@@ -63,6 +64,8 @@ ROUNDS = 6              # rounds of step 3 at most; step 4 does what they leave
 SEEN = 1 << 20          # nodes or texts that a task remembers, to emit copies once
 MAP_BITS = 1 << 27      # bits of a map of keys, at most (16 MB); it moves work, never results
 CHUNK = 1 << 15         # bits of a map that are put together in one row
+MAP_CHUNKS = 64         # such rows that a task puts together, about
+TASK_ROWS = 1 << 16     # rows of edges between components that are one task, about
 
 
 def _sample(texts: DataFrame) -> DataFrame:
@@ -194,7 +197,9 @@ def _key_map(keys: DataFrame, col: str) -> np.ndarray:
         bits *= 2
     rows = (keys.select(F.pmod(col, F.lit(bits)).alias("bit"))
             .groupBy(F.floor(F.col("bit") / CHUNK).alias("chunk"))
-            .agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(CHUNK))).alias("set")).toArrow())
+            .agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(CHUNK))).alias("set"))
+            # a few rows, mostly: no task for each partition of the shuffle
+            .coalesce(-(-bits // (CHUNK * MAP_CHUNKS))).toArrow())
     out = np.zeros((bits // CHUNK, CHUNK // 8), np.uint8)
     for chunk, some in zip(rows["chunk"].to_pylist(), rows["set"], strict=True):
         out[chunk] = np.frombuffer(some.as_buffer(), np.uint8)
@@ -292,23 +297,43 @@ def _distinct_buckets(buckets: DataFrame) -> DataFrame:
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (node, label) with the components that ``links`` join made
-    one, under their least label. Roots hook onto the least root they are
-    linked with, then chains are shortened; the number of components that are
-    not whole at least halves in each round."""
-    while True:
-        ends = links
-        for side in ("a", "b"):
-            ends = ends.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side)
-        up = keep_table(ends.filter("la <> lb")
-                        .select(F.greatest("la", "lb").alias("label"), F.least("la", "lb").alias("root"))
-                        .groupBy("label").agg(F.min("root").alias("root")), "ngram-hooks")
-        if up.isEmpty():
-            return labels
+    one, under their least label. Components hook onto the least one that they
+    are linked with, then chains are shortened; the number of components that
+    are not whole at least halves in each round. Labels are read once before
+    the rounds and once after; the rounds have the edges between components
+    only, in as many tasks as their number asks for."""
+    ends = links
+    for side in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side)
+    tasks = -(-links.count() // TASK_ROWS) or 1
+    edges = keep_table(_edges(ends.select("la", "lb")).coalesce(tasks), "ngram-edges")
+    if edges.isEmpty():
+        return labels
+    now = keep_table(edges.select("label").union(edges.select("root")).distinct()
+                     .select("label", F.col("label").alias("root")).coalesce(tasks), "ngram-roots")
+    while not edges.isEmpty():
+        up = keep_table(edges.groupBy("label").agg(F.min("root").alias("root")).coalesce(tasks), "ngram-hooks")
+        far = up
         for _ in range(3):
-            over = up.select(F.col("label").alias("root"), F.col("root").alias("over"))
-            up = up.join(over, "root", "left").select("label", F.coalesce("over", "root").alias("root"))
-        labels = keep_table(labels.join(up, "label", "left")
-                            .select("node", F.coalesce("root", "label").alias("label")), "ngram-labels")
+            far = _moved(far, up, "root")
+        up = keep_table(far.coalesce(tasks), "ngram-hooks")
+        now = keep_table(_moved(now, up, "root").coalesce(tasks), "ngram-roots")
+        moved = _moved(_moved(edges, up, "label"), up, "root")
+        edges = keep_table(_edges(moved.select(F.col("label").alias("la"), F.col("root").alias("lb")))
+                           .coalesce(tasks), "ngram-edges")
+    return keep_table(_moved(labels, now, "label"), "ngram-labels")
+
+
+def _edges(ends: DataFrame) -> DataFrame:
+    return (ends.filter("la <> lb")
+            .select(F.greatest("la", "lb").alias("label"), F.least("la", "lb").alias("root")).distinct())
+
+
+def _moved(rows: DataFrame, up: DataFrame, col: str) -> DataFrame:
+    """``rows`` with the root that ``up`` (label, root) has for ``col``, if any."""
+    over = up.select(F.col("label").alias(col), F.col("root").alias("over"))
+    return rows.join(over, col, "left").select(
+        *[F.coalesce("over", c).alias(c) if c == col else F.col(c) for c in rows.columns])
 
 
 def _open(buckets: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -537,6 +562,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = keep_table(_distinct_buckets(buckets), "ngram-buckets")
     labels = keep_table(buckets.select("node").distinct().withColumn("label", F.col("node")), "ngram-labels")
 
+    # sets that are made later lie beside the first ones, in one folder
+    folder = shared_scratch(docs.sparkSession, "ngram-texts")
     sets = tried = None
     first = 0
     for turn in range(ROUNDS):
@@ -547,7 +574,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         near = keep_table(_may_link(keep_table(pairs, "ngram-pairs"), nodes), "ngram-near")
-        sets = _with_sets(texts, near, nodes, sets, number)
+        sets = _with_sets(texts, near, nodes, sets, number, folder)
         new = keep_table(_linked(near, sets), "ngram-links")
         found = new.count()
         first = first or found
@@ -562,7 +589,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = keep_table(_may_link(pairs, nodes), "ngram-near")
     blocks = keep_table(_block_near(large, nodes), "ngram-blocks")
     need = near.unionByName(blocks.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    sets = _with_sets(texts, need, nodes, sets, number)
+    sets = _with_sets(texts, need, nodes, sets, number, folder)
     new = keep_table(_linked(near, sets).unionByName(_block_links(blocks, sets)), "ngram-links")
     labels = components(labels, new)
 
@@ -577,16 +604,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _with_sets(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, sets: DataFrame | None,
-               number: Callable) -> DataFrame:
-    """``sets`` and those of the nodes of ``pairs`` that it lacks."""
+               number: Callable, folder: str) -> DataFrame:
+    """``sets`` (read from ``folder``) and those of the nodes of ``pairs`` that
+    it lacks, which are written there too: one scan, however often sets are made."""
     need = _ends(pairs).distinct()
     if sets is not None:
         need = need.join(sets, "node", "left_anti")
     need = keep_table(need.join(nodes.select("node", "text_key"), "node"), "ngram-needed")
     if need.isEmpty():
-        return sets if sets is not None else keep_table(_sets(texts.limit(0), need, number), "ngram-texts")
-    more = keep_table(_sets(texts, need, number), "ngram-texts")
-    return more if sets is None else sets.unionByName(more)
+        if sets is not None:
+            return sets
+        texts = texts.limit(0)
+    more = _sets(texts, need, number)
+    more.write.mode("append").parquet(folder)
+    return texts.sparkSession.read.schema(more.schema).parquet(folder)
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

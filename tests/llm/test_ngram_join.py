@@ -1,5 +1,6 @@
 import random
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -329,3 +330,75 @@ def test_signatures_are_short():
     for n in (3, 70, 300, 1200):
         got = S.signatures(np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)), np.empty(0, np.uint64))
         assert int(got.max()) < 2 ** S.SIGNATURE_BITS and len(np.unique(got)) == len(got)
+
+
+def tasks_of(spark, work):
+    """Spark tasks that ``work`` starts, by the job group's stages."""
+    group = f"counted-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        work()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+
+
+@pytest.fixture
+def wide(spark):
+    """Many partitions of a shuffle, none of them merged."""
+    conf = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_rounds_of_components_take_few_tasks(wide):
+    """A round takes tasks by the number of edges, not by all partitions of each shuffle."""
+    n = 3000
+    rng = np.random.default_rng(3)
+    chain = rng.permutation(n)
+    pairs = pd.DataFrame({"a": np.concatenate([chain[:-1], chain[:500]]),
+                          "b": np.concatenate([chain[1:], chain[500:1000]])})
+    links = J.keep_table(wide.createDataFrame(pairs[pairs.index % 7 > 0]).coalesce(1), "test-links")
+    labels = J.keep_table(wide.range(n).selectExpr("id AS node", "id AS label"), "test-labels")
+    got = {}
+    tasks = tasks_of(wide, lambda: got.update({r.node: r.label for r in J.components(labels, links).collect()}))
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links.collect():
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {k: find(k) for k in range(n)}
+    assert tasks < 400, tasks
+
+
+def test_key_map_takes_few_tasks(wide):
+    keys = J.keep_table(wide.range(100_000).selectExpr("xxhash64(id) AS k").coalesce(2), "test-keys")
+    maps = []
+    tasks = tasks_of(wide, lambda: maps.append(J._key_map(keys, "k")))
+    assert J._on_map(maps[0], np.array([r.k for r in keys.collect()], np.int64)).all()
+    assert tasks < 50, tasks
+
+
+def test_sets_of_all_rounds_are_one_scan(make):
+    texts = make([(k, f"w{k} " + " ".join(f"x{k}_{j}" for j in range(12))) for k in range(6)]).selectExpr(
+        "doc_id", "text", "xxhash64(text) AS text_key")
+    number = J.partial(J._number, split=frozenset(), digest=S.digest)
+    nodes = J.keep_table(J._described(texts, np.empty(0, np.uint64), number), "test-nodes")
+    at = [r.node for r in nodes.orderBy("doc_id").collect()]
+    pairs = [texts.sparkSession.createDataFrame([(at[j], at[k])], "a long, b long") for j, k in ((0, 1), (1, 2), (0, 2))]
+    folder, sets = J.shared_scratch(texts.sparkSession, "test-sets"), None
+    for p in pairs:
+        sets = J._with_sets(texts, p, nodes, sets, number, folder)
+    want = [(at[r.doc_id], S.shingle_set(r.text).tobytes()) for r in texts.filter("doc_id < 3").collect()]
+    assert sorted((r.node, bytes(r.shingles)) for r in sets.collect()) == sorted(want)
+    assert "Union" not in sets._jdf.queryExecution().optimizedPlan().toString()
