@@ -177,3 +177,26 @@ def test_thread_depths_come_whole(spark):
     got = queries["sql_thread_depth"].run(Tables(spark=spark))
     assert got.dtypes == [("depth", "int"), ("messages", "bigint")]
     assert sorted(tuple(r) for r in got.collect()) == [(k, 1) for k in range(n)]
+
+
+def test_set_operations_come_whole(spark):
+    """The registered query on more authors than the gate's cap of rows."""
+    from types import SimpleNamespace
+
+    from chatlens.catalog import load_all
+    from chatlens.sources.schema import SCHEMAS, conform
+
+    n = sql_gate.MAX_LIMIT + 5
+    ids = spark.range(n + 1).select(F.lit(TENANT).alias("tenant_id"), "id", F.col("id").alias("author_id"),
+                                    F.col("id").alias("message_id"), F.col("id").alias("mentioned_user_id"))
+    tables = {x: spark.createDataFrame([], SCHEMAS[x]) for x in tenant.VISIBLE} | {
+        x: conform(ids, x) for x in ("messages", "message_mentions")}
+    tables["reactions"] = conform(ids.filter(F.col("id") == n).withColumns(
+        {"user_id": F.col("id"), "emoji_id": F.lit(3)}), "reactions")
+
+    class Tables(SimpleNamespace):
+        def __getitem__(self, name):
+            return tables[name]
+
+    got = load_all()["sql_set_operations"].run(Tables(spark=spark))
+    assert sorted(r.author_id for r in got.collect()) == list(range(n))
