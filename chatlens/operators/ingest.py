@@ -325,28 +325,36 @@ def incremental_batch(messages_new: DataFrame, sync_state: DataFrame) -> DataFra
         .drop("last_message_id")
 
 
+def _named(ids: DataFrame, col: str) -> tuple[DataFrame, list[str]]:
+    """Deleted keys under the name of a column, and what to join them on."""
+    own = [c for c in ids.columns if c != "tenant_id"][0]
+    scope = ["tenant_id"] if "tenant_id" in ids.columns else []
+    return ids.select(*scope, F.col(own).alias(col)), scope + [col]
+
+
+def messages_within(messages: DataFrame, servers=None, channels=None) -> list[DataFrame]:
+    """(tenant_id, id) of the messages of deleted servers, and of channels."""
+    named = [_named(ids, col) for ids, col in ((servers, "server_id"), (channels, "channel_id")) if ids is not None]
+    return [messages.join(gone, on, "left_semi").select("tenant_id", "id") for gone, on in named]
+
+
 def cascade_delete(tables: dict[str, DataFrame], servers=None, channels=None,
-                   messages=None, users=None) -> dict[str, DataFrame]:
+                   messages=None, users=None, namesakes: bool = True) -> dict[str, DataFrame]:
     """Apply the foreign-key actions for deleted keys: dependants go,
     ``messages.author_id`` of a deleted user becomes NULL; emojis stay. Keys
     come as a DataFrame of ids, or of (tenant_id, id), which deletes in that
-    tenant only. Rows that were orphans before are left alone."""
-    t = dict(tables)
+    tenant only. Rows that were orphans before are left alone.
 
-    def named(ids, col):
-        own = [c for c in ids.columns if c != "tenant_id"][0]
-        scope = ["tenant_id"] if "tenant_id" in ids.columns else []
-        return ids.select(*scope, F.col(own).alias(col)), scope + [col]
+    A message that stays goes after all where it has the id of one that goes
+    with its server or channel. ``namesakes=False`` says that there is none, so
+    messages, with their texts, are not joined on these ids."""
+    t = dict(tables)
 
     def drop(name, col, ids):
         if ids is not None and name in t:
-            gone, on = named(ids, col)
+            gone, on = _named(ids, col)
             t[name] = t[name].join(gone, on, "left_anti")
 
-    def messages_of(col, ids):
-        gone, on = named(ids, col)
-        return tables["messages"].join(gone, on, "left_semi").select("tenant_id", "id")
-
     if servers is not None:
         drop("servers", "id", servers)
         for n in ("channels", "messages", "server_members", "sync_state"):
@@ -360,15 +368,15 @@ def cascade_delete(tables: dict[str, DataFrame], servers=None, channels=None,
         drop("server_members", "user_id", users)
         drop("message_mentions", "mentioned_user_id", users)
         drop("reactions", "user_id", users)
-        gone, on = named(users, "author_id")
+        gone, on = _named(users, "author_id")
         m = t["messages"]
         left = m.join(gone, on, "left_semi").withColumn("author_id", F.lit(None).cast("long"))
         t["messages"] = m.join(gone, on, "left_anti").unionByName(left.select(*m.columns))
     # Messages removed above (by server or channel) or given directly.
-    for removed in ([messages_of("server_id", servers)] if servers is not None else []) + (
-            [messages_of("channel_id", channels)] if channels is not None else []) + (
+    for removed in messages_within(tables["messages"], servers, channels) + (
             [messages] if messages is not None else []):
-        drop("messages", "id", removed)
+        if namesakes or removed is messages:
+            drop("messages", "id", removed)
         drop("message_mentions", "message_id", removed)
         drop("reactions", "message_id", removed)
     return t

@@ -60,22 +60,54 @@ def split_batch(batch: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFra
     return j.filter("NOT _in").drop("_in"), j.filter("_in").drop("_in")
 
 
-def fresh_rows(batch: DataFrame, stored: DataFrame, ledger: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of the batch whose key is not stored, one per key (the least row).
-    Stored keys are read for the intervals that the batch hits only. Which keys
-    are stored is found on the keys and channels alone; the rows themselves,
-    which may hold long texts, are shuffled once, by the key."""
+def _slim(batch: DataFrame, key: list[str]) -> DataFrame:
+    """The keys of a batch with the channel of their least row, and how often
+    they come; no text is read."""
     rest = [c for c in batch.columns if c not in key]
     upto = 1 + max(rest.index(c) for c in CHANNEL if c in rest)     # the least row begins with the least of these
-    slim = (batch.groupBy(*key).agg(F.min(F.struct(*rest[:upto])).alias("_row")).select(*key, "_row.*")
-            .select(*key, *[c for c in CHANNEL if c not in key]))
+    return (batch.groupBy(*key).agg(F.min(F.struct(*rest[:upto])).alias("_row"), F.count(F.lit(1)).alias("_n"))
+            .select(*key, "_row.*", "_n").select(*key, *[c for c in CHANNEL if c not in key], "_n"))
+
+
+def _held(slim: DataFrame, stored: DataFrame, ledger: DataFrame, key: list[str]) -> DataFrame:
+    """Keys of ``slim`` that are stored; stored keys are read for the intervals
+    that the batch hits only."""
     _, perhaps = split_batch(slim, ledger)
     bounds = perhaps.agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     known = stored.select(*key).filter(F.col("id").between(bounds.select("lo").scalar(), bounds.select("hi").scalar()))
-    held = perhaps.join(known, key, "left_semi").select(*key)
-    one = (batch.repartition(*key).groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row"))
-           .select(*key, "_row.*").select(*batch.columns))
-    return one.join(held, key, "left_anti").select(*batch.columns)
+    return perhaps.join(known, key, "left_semi").select(*key)
+
+
+def _least_rows(batch: DataFrame, key: list[str]) -> DataFrame:
+    rest = [c for c in batch.columns if c not in key]
+    return (batch.repartition(*key).groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row"))
+            .select(*key, "_row.*").select(*batch.columns))
+
+
+def doubtful_keys(batch: DataFrame, stored: DataFrame, ledger: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that come more than once in the batch or are stored, with ``held``
+    for the latter. A row of any other key is fresh as it is."""
+    slim = _slim(batch, key)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    held = _held(slim, stored, ledger, key).select(*[F.col(c).alias(f"_{c}") for c in key], F.lit(True).alias("_held"))
+    return (slim.join(held, same, "left").filter("_n > 1 OR _held")
+            .select(*key, F.coalesce("_held", F.lit(False)).alias("held")))
+
+
+def fresh_rows(batch: DataFrame, stored: DataFrame, ledger: DataFrame, key: list[str],
+               doubtful: DataFrame | None = None) -> DataFrame:
+    """Rows of the batch whose key is not stored, one per key (the least row).
+    Stored keys are read for the intervals that the batch hits only. Which keys
+    are stored is found on the keys and channels alone; the rows themselves,
+    which may hold long texts, are shuffled once, by the key. With the
+    ``doubtful_keys``, if these are few, only their rows are."""
+    if doubtful is not None:
+        few = F.broadcast(doubtful.select(*[F.col(c).alias(f"_{c}") for c in key], "held"))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+        again = batch.join(few.filter("NOT held"), same, "left_semi")
+        return batch.join(few, same, "left_anti").unionByName(_least_rows(again, key))
+    held = _held(_slim(batch, key), stored, ledger, key)
+    return _least_rows(batch, key).join(held, key, "left_anti").select(*batch.columns)
 
 
 def sync_state(ledger: DataFrame, sync_type: str = "messages", status: str = "completed",

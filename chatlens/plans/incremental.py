@@ -10,6 +10,7 @@ dumps or on their order.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,13 @@ from chatlens.sources.schema import SCHEMAS
 
 KEYS = {"message_mentions": ["tenant_id", "message_id", "mentioned_user_id"],
         "reactions": ["tenant_id", "message_id", "emoji_id", "user_id"]}
+FEW = 100_000           # keys that are broadcast
+
+
+def _if_few(keys: DataFrame) -> DataFrame | None:
+    """A list of keys as rows that the plan holds, if it is a short one."""
+    rows = keys.limit(FEW + 1).toArrow()
+    return keys.sparkSession.createDataFrame(rows) if rows.num_rows <= FEW else None
 
 
 def _upsert(store: TableStore, name: str, new: DataFrame, merge) -> dict:
@@ -67,7 +75,11 @@ def load_facts(store: TableStore, messages: DataFrame, reactions: DataFrame, men
     counts = {}
     ledger = store.read("sync_ledger", LG.LEDGER)
     stored = store.read("messages", SCHEMAS["messages"])
-    counts["messages"] = store.append("messages", LG.fresh_rows(messages, stored, ledger, ["tenant_id", "id"]))
+    key = ["tenant_id", "id"]
+    doubtful = _if_few(LG.doubtful_keys(messages, stored, ledger, key))
+    fresh = messages if doubtful is not None and doubtful.isEmpty() else \
+        LG.fresh_rows(messages, stored, ledger, key, doubtful)
+    counts["messages"] = store.append("messages", fresh)
     for name, batch in (("reactions", reactions), ("message_mentions", mentions)):
         old = store.read(name, SCHEMAS[name])
         fresh = G.insert_ignore(old.limit(0), batch, KEYS[name]).join(
@@ -111,13 +123,28 @@ def load_dump(store: TableStore, records: DataFrame, pages: DataFrame | None = N
                       started_at=started, completed_at=dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
 
 
+def _namesakes(stored: DataFrame, keys: dict) -> bool:
+    """Whether a message that stays has the id of one that goes with its server
+    or channel."""
+    gone = G.messages_within(stored, keys.get("servers"), keys.get("channels"))
+    if not gone:
+        return False
+    stay = G.cascade_delete({"messages": stored}, **keys, namesakes=False)["messages"].select("tenant_id", "id")
+    return not reduce(DataFrame.unionByName, gone).join(stay, ["tenant_id", "id"], "left_semi").isEmpty()
+
+
 def delete_cascading(store: TableStore, **keys) -> dict[str, dict]:
     """``ingest.cascade_delete`` on the store: the rows go, the roll-ups of the
     days that this touches are worked out again from what is left of these days,
     and no other day is written."""
     names = ["messages", "reactions", "message_mentions", "users", "channels", "server_members"]
     before = {n: store.read(n, SCHEMAS[n]) for n in names}
-    after = G.cascade_delete(before, **keys)
+    keys = {n: ids for n, ids in keys.items() if ids is not None}
+    short = {n: _if_few(ids) for n, ids in keys.items()}
+    keys = {n: ids if short[n] is None else F.broadcast(short[n]) for n, ids in keys.items()}
+    namesakes = _namesakes(before["messages"], keys)
+    after = G.cascade_delete(before, **keys, namesakes=namesakes)
+    in_place = not namesakes and None not in short.values()     # messages, with their texts, are only filtered
     days = P.touched_days(before, after).select("part").distinct()
     days = days.sparkSession.createDataFrame(days.toArrow())       # days of a tenant
     counts = {}
@@ -125,8 +152,8 @@ def delete_cascading(store: TableStore, **keys) -> dict[str, dict]:
     for name in names:
         if name in day_of:
             here = F.date_format(F.to_date(day_of[name]), "yyyy-MM-dd").alias("part")
-            kept = after[name].withColumn("part", here).join(days, "part", "left_semi").drop("part")
-            counts[name] = store.replace(name, kept, days)
+            kept = after[name].withColumn("part", here).join(F.broadcast(days), "part", "left_semi").drop("part")
+            counts[name] = store.replace(name, kept, days, in_place and name == "messages")
         else:
             counts[name] = store.replace(name, after[name])
     m = after["messages"].withColumn("part", PARTS["messages"]()).join(days, "part", "left_semi").drop("part")

@@ -106,7 +106,7 @@ class TableStore:
         return rows.join(live.select("part", "gen"), ["part", "gen"], "left_semi").select(*schema.names)
 
     # -- writing --------------------------------------------------------------
-    def _stage(self, name: str, df: DataFrame, parts: DataFrame | None) -> dict:
+    def _stage(self, name: str, df: DataFrame, parts: DataFrame | None, in_place: bool = False) -> dict:
         if name in self.staged:
             raise ValueError(f"{name} is staged already")
         part = PARTS.get(name, lambda: bucket_part("id"))()
@@ -114,7 +114,8 @@ class TableStore:
         own = F.col("tenant_id").eqNullSafe(F.lit(self.tenant))
         out = df.withColumn("part", F.coalesce(part, F.lit("none"))).observe(
             seen, F.count(F.lit(1)).alias("rows"), F.count(F.when(~own, 1)).alias("foreign"))
-        (out.hint("rebalance", "part").write.option("compression", "zstd").partitionBy("tenant_id", "part")
+        out = out if in_place else out.hint("rebalance", "part")
+        (out.write.option("compression", "zstd").partitionBy("tenant_id", "part")
          .parquet(f"{self.root}/{name}/gen={self.gen}"))
         try:
             counts = dict(seen.get)
@@ -129,12 +130,13 @@ class TableStore:
         """Add rows; returns the counts of the pass (rows, foreign)."""
         return self._stage(name, df, None)
 
-    def replace(self, name: str, df: DataFrame, parts: DataFrame | None = None) -> dict:
+    def replace(self, name: str, df: DataFrame, parts: DataFrame | None = None, in_place: bool = False) -> dict:
         """Put ``df`` in the place of the listed parts (a frame with ``part``),
-        or of the tenant's whole table."""
+        or of the tenant's whole table. ``in_place``: its rows come from the
+        table's own files, unshuffled, so they lie by part already."""
         if parts is None:
             parts = self.manifest().filter((F.col("table") == name) & (F.col("tenant_id") == self.tenant))
-        return self._stage(name, df, parts.select("part").distinct())
+        return self._stage(name, df, parts.select("part").distinct(), in_place)
 
     def commit(self) -> int:
         """Publish all that was staged; nothing of it was visible before."""

@@ -248,3 +248,21 @@ def test_ids_below_the_mark_and_in_holes_are_loaded(spark):
     assert sorted(r.id for r in new.collect()) == [3, 11, 15, 25]
     empty = spark.createDataFrame([], LG.LEDGER)
     assert LG.fresh_rows(batch, stored.limit(0), empty, ["tenant_id", "id"]).count() == 7
+
+
+@pytest.mark.parametrize("ids", [(1, 2, 3, 4), (1, 2, 2, None)])
+def test_deleted_channels_take_messages_of_the_same_id_along(spark, tmp_path, ids):
+    blank = dict.fromkeys(SCHEMAS["messages"].names)
+    m = spark.createDataFrame([blank | {
+        "tenant_id": A, "id": k, "server_id": 1, "channel_id": n % 2, "author_id": n, "content": f"text {n}",
+        "created_at": T0 + dt.timedelta(days=n)} for n, k in enumerate(ids)], SCHEMAS["messages"])
+    store = TableStore(spark, str(tmp_path), A)
+    store.append("messages", m)
+    store.commit()
+    gone = {"channels": spark.createDataFrame([(A, 1)], "tenant_id string, number long"),
+            "users": spark.range(2, 3).toDF("id")}
+    I.delete_cascading(store, **gone)
+    left = TableStore(spark, str(tmp_path), A).read("messages", SCHEMAS["messages"])
+    want = G.cascade_delete({"messages": m}, **gone)["messages"]
+    assert rows(left) == rows(want, SCHEMAS["messages"].names)
+    assert left.count() == (2 if ids[2] == 3 else 1)

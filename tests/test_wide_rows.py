@@ -85,3 +85,32 @@ def test_a_posting_is_a_gram_of_a_block(spark, tmp_path):
     assert posted.count() <= 2 * len(grams) and {r.gram for r in posted.collect()} == grams
     assert sorted(r.id for r in SE.candidates(spark, root, "words", A).collect()) == ids
     assert sorted(r.id for r in SE.matches(spark, root, "SAME", A).collect()) == [k for k in ids if k % 2]
+
+
+def test_rows_of_sure_keys_stay_where_they_are(spark, tmp_path, no_broadcast):
+    """Of a batch only the keys that come twice are shuffled, those that are
+    stored already are dropped in place; null keys are one key."""
+    m = _tables(spark, tmp_path)[0]
+    m = m.unionByName(m.filter("id = 3").withColumn("id", F.lit(None).cast("long")))
+    m = m.unionByName(m.filter("id IS NULL"))
+    key = ["tenant_id", "id"]
+    held = m.filter("id = 2")
+    ledger = LG.run_intervals(held)
+    doubtful = LG.doubtful_keys(m, held, ledger, key)
+    assert not [p for kind in ("Exchange", "Sort ") for p in _steps(doubtful, kind) if "content#" in p]
+    assert sorted((r.id or 0, r.held) for r in doubtful.collect()) == [(0, False), (2, True), (4, False)]
+    few = spark.createDataFrame(doubtful.toArrow())
+    df = LG.fresh_rows(m, held, ledger, key, few)
+    assert len(_steps(df, "Exchange")) == 1             # of the rows behind the semi join
+    want = LG.fresh_rows(m, held, ledger, key)
+    assert sorted(df.collect(), key=repr) == sorted(want.collect(), key=repr) and want.count() == 4
+    sure = LG.fresh_rows(m, held, ledger, key, few.filter("held"))
+    assert sure.count() == 6                            # nobody told of the others
+
+
+def test_deleted_channels_leave_the_other_texts_in_place(spark, tmp_path, no_broadcast):
+    m = _tables(spark, tmp_path)[0]
+    gone = {"channels": F.broadcast(spark.range(1, 2).toDF("id")), "users": F.broadcast(spark.range(1, 2).toDF("id"))}
+    left = G.cascade_delete({"messages": m}, **gone, namesakes=False)["messages"]
+    assert not _steps(left, "Exchange") and not _steps(left, "Sort ")
+    assert sorted((r.id, r.author_id) for r in left.collect()) == [(2, 2), (4, None), (4, None)]
