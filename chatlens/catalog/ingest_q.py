@@ -26,7 +26,7 @@ MSG_COLS = ("tenant_id, id, server_id, channel_id, author_id, content, created_a
 
 
 def _records(t):
-    return nest_messages(t.messages, t.users, t.message_mentions, t.reactions, t.emojis)
+    return nest_messages(t.slim_messages, t.users, t.message_mentions, t.reactions, t.emojis, t.with_texts)
 
 
 def _pages(t):

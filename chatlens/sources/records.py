@@ -19,6 +19,8 @@ never one huge array.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,8 +107,11 @@ def _emoji_struct(emojis: DataFrame) -> DataFrame:
 
 
 def nest_messages(messages: DataFrame, users: DataFrame, mentions: DataFrame,
-                  reactions: DataFrame, emojis: DataFrame) -> DataFrame:
-    """Message records from flat tables (children grouped by message id)."""
+                  reactions: DataFrame, emojis: DataFrame,
+                  texts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Message records from flat tables (children grouped by message id).
+    ``messages`` may come without their text: ``texts`` then puts it on the
+    finished rows, so that no text is shuffled by the message id."""
     mu = mentions.join(_user_struct(users, "mentioned_user_id", "u"), "mentioned_user_id", "left")
     ment = mu.groupBy("message_id").agg(F.sort_array(F.collect_list(
         F.coalesce(F.col("u"), _bare("mentioned_user_id")))).alias("mentions"))
@@ -121,8 +126,9 @@ def nest_messages(messages: DataFrame, users: DataFrame, mentions: DataFrame,
         .join(ment.withColumnRenamed("message_id", "id"), "id", "left") \
         .join(reacts.withColumnRenamed("message_id", "id"), "id", "left") \
         .select(F.col("id").alias("_id"), F.col("author_id").alias("_author"), "author", "mentions", "reactions")
-    m = messages.join(own.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id"))
+    m = messages.join(own if texts else own.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id"))
                       & F.col("author_id").eqNullSafe(F.col("_author")), "left")
+    m = texts(m) if texts else m
     ref = F.when(F.col("reply_to_message_id").isNotNull(),
                  F.struct(F.col("reply_to_message_id").alias("message_id"),
                           F.col("channel_id").alias("channel_id")))

@@ -78,15 +78,16 @@ CHAT_TABLES = ["servers", "users", "server_members", "channels", "messages",
                "message_mentions", "emojis", "reactions", "sync_state"]
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """Select and cast ``df`` to the declared schema (missing columns → NULL)."""
+def conform(df: DataFrame, table: str, also: list[str] = ()) -> DataFrame:
+    """Select and cast ``df`` to the declared schema (missing columns → NULL),
+    and keep the columns ``also`` as they are."""
     schema = SCHEMAS[table]
     have = set(df.columns)
     cols = []
     for f in schema.fields:
         c = F.col(f.name) if f.name in have else F.lit(None)
         cols.append(c.cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    return df.select(*cols, *also)
 
 
 def check(df: DataFrame, table: str) -> DataFrame:

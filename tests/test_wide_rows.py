@@ -136,3 +136,20 @@ def test_the_index_shuffles_no_text(spark, tmp_path, monkeypatch):
     root = SE.write_index(m, str(tmp_path / "blocks"), block=1000)
     assert SE._texts(spark, root, A).groupBy("block").count().agg(F.max("count")).first()[0] == 1000
     assert sorted(r.id for r in SE.candidates(spark, root, "found", A).collect()) == [0, 0, 299, 70_001]
+
+
+def test_records_take_their_texts_last(spark, tmp_path, no_broadcast):
+    """Rows meet their texts when all else is on them: the texts' own table is
+    shuffled, and no message with a text; of two texts of a key both count."""
+    m, *rest = _tables(spark, tmp_path)
+    spark.createDataFrame([(k, f"text {k}") for k in (1, 2, 3, 4, 4)], "id long, content string").write.parquet(
+        f"{tmp_path}/texts")
+    held = spark.read.parquet(f"{tmp_path}/texts")
+    put = lambda df: df.join(held, "id", "left")
+    slim = m.drop("content")
+    df = G.normalize_messages(nest_messages(slim, *rest, texts=put), A)
+    assert all("id#" in p and "author_id#" not in p and "_author#" not in p for p in _steps(df, "Exchange"))
+    whole = put(slim).select(*m.columns)
+    want = G.normalize_messages(nest_messages(whole, *rest), A)
+    assert len(_steps(df, "Exchange")) == 1 and len(_steps(want, "Exchange")) == 2
+    assert sorted(df.collect(), key=repr) == sorted(want.collect(), key=repr) and df.count() == 4 + 8
