@@ -142,12 +142,14 @@ def _merge_latest_channels(t):
     "content,", "CASE WHEN created_at >= TIMESTAMP '2024-01-20 00:00:00' THEN 'EDITED ' || content "
                 "ELSE content END AS content,") + " FROM messages")
 def _insert_ignore(t):
-    m = t.messages
-    old = m.filter(F.col("created_at") < F.lit("2024-01-20").cast("timestamp_ntz"))
-    new = m.filter(F.col("created_at") >= F.lit("2024-01-15").cast("timestamp_ntz")) \
-        .withColumn("content", F.concat(F.lit("EDITED "), F.col("content")))
+    old = t.messages.filter(F.col("created_at") < F.lit("2024-01-20").cast("timestamp_ntz"))
+    new = t.slim_messages.filter(F.col("created_at") >= F.lit("2024-01-15").cast("timestamp_ntz"))
+
+    def edited(rows):
+        return t.with_texts(rows).withColumn("content", F.concat(F.lit("EDITED "), F.col("content")))
+
     # a second copy of the batch must not change the result either
-    return G.insert_ignore(old, new.unionByName(new), ["tenant_id", "id"])
+    return G.insert_ignore(old, new.unionByName(new), ["tenant_id", "id"], texts=edited)
 
 
 @register("history_cutoff", f"SELECT id, created_at FROM messages WHERE created_at > {since(7)}")

@@ -9,6 +9,8 @@ never overwrite the data being read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -240,8 +242,8 @@ def merge_latest_channels(old: DataFrame, new: DataFrame, saas: bool = False,
     return merge_latest(old, new, ["tenant_id", "id"], over, first, order_col=order_col)
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, key: list[str],
-                  order_col: str | None = None, prune_col: str | None = None) -> DataFrame:
+def insert_ignore(old: DataFrame, new: DataFrame, key: list[str], order_col: str | None = None,
+                  prune_col: str | None = None, texts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """First write wins: rows whose key exists are dropped, and within the
     batch the first row per key (by ``order_col``) is kept.
 
@@ -253,16 +255,42 @@ def insert_ignore(old: DataFrame, new: DataFrame, key: list[str],
 
     The rows of a batch, which may hold long texts, are shuffled once by the
     key, before the first row is picked: a partial pick would sort all texts on
-    the way in, too, and spill them."""
+    the way in, too, and spill them. A batch may also come without its texts:
+    ``texts`` then puts them on the rows that are left (``_pick_before_texts``)."""
     prune_col = prune_col or next((k for k in key if k != "tenant_id"), key[0])
     lo = new.agg(F.min(prune_col)).scalar()
     hi = new.agg(F.max(prune_col)).scalar()
-    new = _pick_per_key(new.repartition(*key), key, order_col, last=False)
     stored = old.select(*key).filter(F.col(prune_col).between(lo, hi))
+    if texts is not None:
+        if order_col is not None:
+            raise ValueError("a batch without texts is picked by its least rows")
+        return old.unionByName(_pick_before_texts(new, stored, key, old.columns, texts).select(*old.columns))
+    new = _pick_per_key(new.repartition(*key), key, order_col, last=False)
     fresh = new.join(stored, key, "left_anti")
     return old.unionByName(fresh.select(*old.columns))
 
 
+def _pick_before_texts(new: DataFrame, stored: DataFrame, key: list[str], columns: list[str],
+                       texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The least row of each key that is not stored, of a batch that lacks some
+    of ``columns``; ``texts`` adds these (and may make several rows of one, but
+    never none). Rows are told apart by the columns before the first missing
+    one; only keys that still have several rows are picked with their texts."""
+    rest = [c for c in columns if c not in key]
+    lead = rest[:next(n for n, c in enumerate(rest) if c not in new.columns)]
+    one = new.repartition(*key).distinct()
+    if lead:
+        least = Window.partitionBy(*key).orderBy(*[ASC(c) for c in lead])
+        one = one.withColumn("_at", F.rank().over(least)).filter("_at = 1").drop("_at")
+    left = one.join(stored, key, "left_anti")
+    several = texts(left).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(
+        *[F.col(c).alias(f"_{c}") for c in key])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    sure = texts(left.join(several, same, "left_anti")).select(*columns)
+    open_ = texts(left.join(several, same, "left_semi")).select(*columns)
+    return sure.unionByName(_pick_per_key(open_.repartition(*key), key, None, last=False))
+
+
 # -- slices and counters --------------------------------------------------------
 def history_cutoff(records: DataFrame, as_of=None, sync_days: int = 30) -> DataFrame:
     return records.filter(F.col("created_at") > since(as_of, sync_days))

@@ -153,3 +153,28 @@ def test_records_take_their_texts_last(spark, tmp_path, no_broadcast):
     want = G.normalize_messages(nest_messages(whole, *rest), A)
     assert len(_steps(df, "Exchange")) == 1 and len(_steps(want, "Exchange")) == 2
     assert sorted(df.collect(), key=repr) == sorted(want.collect(), key=repr) and df.count() == 4 + 8
+
+
+def test_first_write_is_picked_before_the_texts(spark, tmp_path, no_broadcast):
+    """Only keys that still have several rows are picked with their texts: of
+    two texts of a key, or of rows that differ behind the text; nulls are a key."""
+    m = _tables(spark, tmp_path)[0].drop("content").withColumn("doc", F.col("id"))
+    twin = m.filter("id = 3").withColumn("doc", F.lit(9).cast("long"))
+    none = m.filter("id = 2").withColumn("id", F.lit(None).cast("long")).withColumn("channel_id", F.lit(7).cast("long"))
+    m = m.unionByName(twin).unionByName(none).unionByName(none.withColumn("channel_id", F.lit(8).cast("long")))
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "d"), (9, "c"), (4, "f"), (4, "e")], "doc long, content string") \
+        .write.parquet(f"{tmp_path}/texts")
+    held = spark.read.parquet(f"{tmp_path}/texts")
+    put = lambda df: df.join(held, "doc", "left").drop("doc")
+    names, key = SCHEMAS["messages"].names, ["tenant_id", "id"]
+    old = put(m).filter("id = 1").select(*names)
+    df = G.insert_ignore(old, m.unionByName(m), key, texts=put)
+    by_key = [p for p in _steps(df, "Exchange") if "REPARTITION_BY_COL" in p]
+    assert len(by_key) == 1                             # of the keys with several rows
+    batch = put(m).select(*names)
+    want = G.insert_ignore(old, batch.unionByName(batch), key)
+    assert sorted(df.collect(), key=repr) == sorted(want.collect(), key=repr)
+    got = {(r.id, r.channel_id): r.content for r in df.collect()}
+    assert got == {(1, 1): "a", (2, 0): "b", (3, 1): "c", (4, 0): "e", (None, 7): "b"}
+    with pytest.raises(ValueError, match="least rows"):
+        G.insert_ignore(old, m, key, order_col="created_at", texts=put)
